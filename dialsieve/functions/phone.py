@@ -16,34 +16,53 @@ STATUSES = ["valid", "possible", "invalid", "empty"]
 _SEPARATORS = r"(?U)[\[\]\s\x1c-\x1f()\-+.]"
 
 
-def _rules(is_empty: Column, cleaned: Column) -> Column:
+# rule codes, in evaluation order
+EMPTY, NON_NUMERIC, SHORT, LONG, SAME_DIGIT, BAD_AREA, BAD_EXCHANGE, NANP, INTERNATIONAL, POSSIBLE = range(1, 11)
+
+
+def _code(is_empty: Column, cleaned: Column) -> Column:
+    """The number of the first rule that fires (small int)."""
+    n = F.length(cleaned)
+    nanp = F.when((n == 11) & cleaned.startswith("1"), F.substring(cleaned, 2, 10)).otherwise(cleaned)
+    ten = F.length(nanp) == 10
+    return (F.when(is_empty, EMPTY)
+             .when(~cleaned.rlike(r"^[0-9]+$"), NON_NUMERIC)
+             .when(n < 7, SHORT)
+             .when(n > 15, LONG)
+             .when(F.replace(cleaned, F.substring(cleaned, 1, 1), F.lit("")) == "", SAME_DIGIT)
+             .when(ten & (F.substring(nanp, 1, 3).cast("int") < 200), BAD_AREA)
+             .when(ten & (F.substring(nanp, 4, 3).cast("int") < 200), BAD_EXCHANGE)
+             .when(ten, NANP)
+             .when(n >= 10, INTERNATIONAL)
+             .otherwise(POSSIBLE))
+
+
+def _status(code: Column) -> Column:
+    return (F.when(code == EMPTY, "empty").when(code <= BAD_EXCHANGE, "invalid")
+             .when(code <= INTERNATIONAL, "valid").otherwise("possible"))
+
+
+def _reason(code: Column, cleaned: Column) -> Column:
     n = F.length(cleaned)
     n_txt = n.cast("string")
     nanp = F.when((n == 11) & cleaned.startswith("1"), F.substring(cleaned, 2, 10)).otherwise(cleaned)
-    npa = F.substring(nanp, 1, 3)
-    nxx = F.substring(nanp, 4, 3)
-    first = F.substring(cleaned, 1, 1)
-
-    def st(status, reason):
-        return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
-
-    return (
-        F.when(is_empty, st("empty", F.lit("No phone number")))
-        .when(~cleaned.rlike(r"^[0-9]+$"), st("invalid", F.lit("Contains non-numeric characters")))
-        .when(n < 7, st("invalid", F.concat(F.lit("Too short - "), n_txt, F.lit(" digits (min 7)"))))
-        .when(n > 15, st("invalid", F.concat(F.lit("Too long - "), n_txt, F.lit(" digits (E.164 max 15)"))))
-        .when(F.replace(cleaned, first, F.lit("")) == "",
-              st("invalid", F.concat(F.lit("All same digit - "), first)))
-        .when((F.length(nanp) == 10) & (npa.cast("int") < 200),
-              st("invalid", F.concat(F.lit("Invalid NANP area code "), npa)))
-        .when((F.length(nanp) == 10) & (nxx.cast("int") < 200),
-              st("invalid", F.concat(F.lit("Invalid NANP exchange "), nxx)))
-        .when(F.length(nanp) == 10,
-              st("valid", F.concat(F.lit("NANP ("), npa, F.lit("-"), nxx, F.lit("-"),
-                                   F.substring(nanp, 7, 4), F.lit(")"))))
-        .when(n >= 10, st("valid", F.concat(F.lit("International E.164 ("), n_txt, F.lit(" digits)"))))
-        .otherwise(st("possible", F.concat(n_txt, F.lit("-digit number"))))
-    )
+    npa, nxx = F.substring(nanp, 1, 3), F.substring(nanp, 4, 3)
+    return (F.when(code == EMPTY, F.lit("No phone number"))
+             .when(code == NON_NUMERIC, F.lit("Contains non-numeric characters"))
+             .when(code == SHORT, F.concat(F.lit("Too short - "), n_txt, F.lit(" digits (min 7)")))
+             .when(code == LONG, F.concat(F.lit("Too long - "), n_txt, F.lit(" digits (E.164 max 15)")))
+             .when(code == SAME_DIGIT, F.concat(F.lit("All same digit - "), F.substring(cleaned, 1, 1)))
+             .when(code == BAD_AREA, F.concat(F.lit("Invalid NANP area code "), npa))
+             .when(code == BAD_EXCHANGE, F.concat(F.lit("Invalid NANP exchange "), nxx))
+             .when(code == NANP, F.concat(F.lit("NANP ("), npa, F.lit("-"), nxx, F.lit("-"),
+                                          F.substring(nanp, 7, 4), F.lit(")")))
+             .when(code == INTERNATIONAL, F.concat(F.lit("International E.164 ("), n_txt, F.lit(" digits)")))
+             .otherwise(F.concat(n_txt, F.lit("-digit number"))))
+
+
+def _rules(is_empty: Column, cleaned: Column) -> Column:
+    code = _code(is_empty, cleaned)
+    return F.struct(_status(code).alias("status"), _reason(code, cleaned).alias("reason"))
 
 
 def validate_phone(c) -> Column:
@@ -62,13 +81,14 @@ def validate_phone(c) -> Column:
 def with_phone_validity(df: DataFrame, src: str, status: str = "tel_valid", reason: str = "tel_reason") -> DataFrame:
     """Add ``status``/``reason`` columns for the raw phone column ``src``.
 
-    Two projections: the regex work (trim test, separator removal) first, the
-    rule chain second over the staged values - Catalyst keeps them apart
-    because the staged values are referenced many times, which keeps every
-    generated method small and each regex evaluated once per row."""
+    Staged projections: the regex work (trim test, separator removal), then a
+    small integer rule code, then status and reason from the code.  Catalyst
+    keeps the stages apart because each staged value is referenced several
+    times, so every regex runs once per row and a filter on ``status`` that is
+    pushed down carries only the small code expression."""
     raw = s(F.col(src))
     staged = df.withColumns({"_pv_e": norm(raw).isin(EMPTY_PHONE),
                              "_pv_c": F.regexp_replace(raw, _SEPARATORS, "")})
-    v = _rules(F.col("_pv_e"), F.col("_pv_c"))
-    return staged.withColumn("_pv", v).withColumns({status: F.col("_pv.status"), reason: F.col("_pv.reason")}) \
-                 .drop("_pv", "_pv_e", "_pv_c")
+    coded = staged.withColumn("_pv_k", _code(F.col("_pv_e"), F.col("_pv_c")))
+    return coded.withColumns({status: _status(F.col("_pv_k")), reason: _reason(F.col("_pv_k"), F.col("_pv_c"))}) \
+                .drop("_pv_e", "_pv_c", "_pv_k")

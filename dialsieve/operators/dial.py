@@ -75,9 +75,8 @@ def dial_counts(history: DataFrame, phones: DataFrame, check_date: dt.date,
         h = h.where(F.col("dial_week") == F.lit(monday))
     h = h.where((F.col("pbx_dialing_date") >= F.lit(monday)) & (F.col("pbx_dialing_date") < F.lit(next_monday)))
     p = phones.select(F.col("phone").alias("dialed_number")).distinct()
-    pb, _ = bounded_broadcast(p, broadcast_rows)
     calls = (h.select("dialed_number", "call_id", "pbx_dialing_date")
-              .join(pb, "dialed_number", "left_semi")
+              .join(p, "dialed_number", "left_semi")
               .groupBy("dialed_number", "call_id")
               .agg(F.max(F.col("pbx_dialing_date") == F.lit(check_date)).alias("_today")))
     per_number = calls.groupBy("dialed_number").agg(
@@ -116,9 +115,11 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
     if "suppression_reason" not in df.columns:
         df = df.withColumn("suppression_reason", F.lit(""))
     keyed = mark_direct(with_phone_keys(df), direct, broadcast_rows)
+    # counts are derived from the input (one row per distinct number), so their
+    # size is only known at run time: AQE turns the joins into broadcasts when
+    # the materialised counts are small and keeps shuffle joins otherwise.
     counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
                          check_date, broadcast_rows)
-    counts, _ = bounded_broadcast(counts, broadcast_rows)
     rid = [F.col(c) for c in ("src_ord", "row_ord") if c in df.columns]
     ct = counts.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
                        F.col("weekly_count").alias("_week"))

@@ -75,10 +75,10 @@ def new_rows(store: DataFrame | None, batch_aligned: DataFrame,
     if store is None:
         return batch
     bkeys = batch.select(*KEYS)
-    bk, small = bounded_broadcast(bkeys, broadcast_rows)
-    hits = store.select(*KEYS).join(bk, KEYS, "left_semi")
-    if small:
-        hits, _ = bounded_broadcast(hits.distinct(), broadcast_rows)
+    bk, small = bounded_broadcast(bkeys, broadcast_rows, bound=batch_aligned)
+    hits = store.select(*KEYS).join(bk, KEYS, "left_semi").distinct()
+    if small:  # hits are a subset of the batch keys, so the same bound holds
+        hits = F.broadcast(hits)
     return batch.join(hits, KEYS, "left_anti")
 
 
@@ -148,13 +148,16 @@ def history_match(f3: DataFrame, store: DataFrame,
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Extract rows whose (lower(trim(campaign)), lower(trim(contact link)))
     occur in the history store."""
-    keys = (store.select(norm_lower(s(F.col("campaign_name"))).alias("_hc"),
-                         norm_lower(s(F.col("contact_link"))).alias("_hl")).distinct())
-    keys, _ = bounded_broadcast(keys, broadcast_rows)
-    fk = f3.withColumn("_fc", norm_lower(s(F.col("campaign_name")))) \
-           .withColumn("_fl", norm_lower(s(F.col("contact_link"))))
-    return fk.join(keys, (F.col("_fc") == F.col("_hc")) & (F.col("_fl") == F.col("_hl")), "left_semi") \
-             .drop("_fc", "_fl")
+    fk = f3.withColumn("_hc", norm_lower(s(F.col("campaign_name")))) \
+           .withColumn("_hl", norm_lower(s(F.col("contact_link"))))
+    # the extract's keys (an input) filter the store map-side; the store is never shuffled whole
+    ek, small = bounded_broadcast(fk.select("_hc", "_hl").distinct(), broadcast_rows, bound=f3)
+    hits = (store.select(norm_lower(s(F.col("campaign_name"))).alias("_hc"),
+                         norm_lower(s(F.col("contact_link"))).alias("_hl"))
+                 .join(ek, ["_hc", "_hl"], "left_semi").distinct())
+    if small:
+        hits = F.broadcast(hits)
+    return fk.join(hits, ["_hc", "_hl"], "left_semi").drop("_hc", "_hl")
 
 
 def history_preview(store: DataFrame, n: int = 200) -> DataFrame:

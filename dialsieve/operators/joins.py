@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast-hinted ``df`` when it provably has <= ``max_rows`` rows."""
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Broadcast-hinted ``df`` when it provably has <= ``max_rows`` rows.
+
+    ``bound`` is a cheaper frame known to have at least as many rows as
+    ``df`` (e.g. the raw input of a distinct); it is counted instead.  Only
+    stored inputs are checked this way; for frames derived inside a plan AQE
+    decides from runtime statistics."""
     if max_rows <= 0:
         return df, False
-    n = df.limit(max_rows + 1).count()
+    n = (bound if bound is not None else df).limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False

@@ -84,9 +84,14 @@ def snapshot_lookup(snap: DataFrame, f3: DataFrame, broadcast_rows: int = DEFAUL
     """Latest snapshot rows whose (campaign, link) key occurs in the extract
     (no key cap; the extract's distinct keys are a size-checked broadcast or a
     shuffle semi join)."""
-    keys = extract_keys(f3).distinct()
-    keys, _ = bounded_broadcast(keys, broadcast_rows)
-    return snapshot_latest(snap).join(keys, ["_campaign_name", "_contact_link"], "left_semi")
+    keys, _ = bounded_broadcast(extract_keys(f3).distinct(), broadcast_rows, bound=f3)
+    return snapshot_latest(_hit_rows(snap, keys))
+
+
+def _hit_rows(snap: DataFrame, keys: DataFrame) -> DataFrame:
+    """Snapshot rows (all batches) whose key is among ``keys`` - filtered
+    before the latest-wins window, so the window only sorts matching rows."""
+    return snap.join(keys, ["_campaign_name", "_contact_link"], "left_semi")
 
 
 def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
@@ -100,7 +105,8 @@ def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
     their own campaign, name and link.  Order columns are the extract's."""
     if snap is None:
         return f3
-    latest = snapshot_latest(snap)
+    keys, _ = bounded_broadcast(extract_keys(f3).distinct(), broadcast_rows, bound=f3)
+    latest = snapshot_latest(_hit_rows(snap, keys))
     s_cols = [c for c in latest.columns if c not in INTERNAL and c not in ORDER_COLUMNS and not c.startswith("_")]
     f_cols = [c for c in f3.columns if c not in ORDER_COLUMNS]
     rid = [F.col(c) for c in ORDER_COLUMNS if c in f3.columns]
@@ -109,7 +115,7 @@ def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
     right = latest.select(*[F.col(c).alias(f"_s_{c}") for c in s_cols],
                           F.col("_campaign_name").alias("_sk_c"), F.col("_contact_link").alias("_sk_l"),
                           F.lit(True).alias("_matched"))
-    right, _ = bounded_broadcast(right, broadcast_rows)
+    # ``right`` holds one row per extract key at most: AQE broadcasts it when small
     j = fx.join(right, (F.col("_fk_c") == F.col("_sk_c")) & (F.col("_fk_l") == F.col("_sk_l")), "left")
     matched = F.coalesce(F.col("_matched"), F.lit(False))
 

@@ -97,13 +97,20 @@ def update_dead_list(calls: DataFrame, existing: DataFrame | None = None) -> Dat
     if existing is not None:
         ecol = next((c for c in existing.columns if c.lower() in ("email id", "email", "emailaddress")),
                     existing.columns[0])
-        old_ord = F.struct(*([F.lit(-1).cast("long")] * len(ord_cols)))
         old = existing.select(norm_lower(F.col(f"`{ecol}`")).alias("email"), F.lit(1).alias("_ver"),
-                              old_ord.alias("_ord"))
+                              _list_order(existing, len(ord_cols)).alias("_ord"))
         new = old.select("email", "_ver", F.col("_ord").cast(old_ord_type(ord_cols))).unionByName(new)
     return _last_per_key(new, "email")
 
 
+def _list_order(existing: DataFrame, width: int):
+    """Order key of an existing list's rows: its ``row_ord`` when present (file
+    order), padded to the width of the new rows' order key."""
+    o = F.col("row_ord").cast("long") if "row_ord" in existing.columns else F.monotonically_increasing_id()
+    return F.struct(*([F.lit(0).cast("long")] * (width - 1) + [o])).cast(
+        "struct<" + ",".join(f"col{i + 1}:long" for i in range(width)) + ">")
+
+
 def old_ord_type(ord_cols) -> str:
     return "struct<" + ",".join(f"col{i + 1}:long" for i in range(len(ord_cols))) + ">"
 
@@ -136,6 +143,6 @@ def update_rpc_list(calls: DataFrame, as_of: dt.datetime, existing: DataFrame |
             (F.col("disposition") if "disposition" in existing.columns else F.lit("")).cast("string").alias("disposition"),
             (F.col("dialing_date") if "dialing_date" in existing.columns else F.lit("")).cast("string").alias("dialing_date"),
             F.lit(1).alias("_ver"),
-            F.struct(*([F.lit(-1).cast("long")] * len(ord_cols))).cast(old_ord_type(ord_cols)).alias("_ord"))
+            _list_order(existing, len(ord_cols)).alias("_ord"))
         new = old.unionByName(new)
     return _last_per_key(new, "email")

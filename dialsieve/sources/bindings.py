@@ -186,14 +186,14 @@ def dead_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do-not-call list: emails of the dead/DNC calls of one upload day."""
     c = calls(spark, sf_dir)
     return c.where((F.col("pbx_dialing_date") == F.lit(DEAD_LIST_DAY)) & F.col("dgs").isin(DEAD_DGS)) \
-            .select(F.col("email").alias("Email ID"))
+            .select("row_ord", F.col("email").alias("Email ID"))
 
 
 def rpc_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RPC+ list: emails of the right-party calls of one upload day."""
     c = calls(spark, sf_dir)
     return c.where((F.col("pbx_dialing_date") == F.lit(RPC_LIST_DAY)) & F.col("dgs").isin(RPC_DGS)) \
-            .select(F.col("email").alias("email"), F.col("dgs").alias("disposition"),
+            .select("row_ord", F.col("email").alias("email"), F.col("dgs").alias("disposition"),
                     F.lit(RPC_LIST_DAY.isoformat()).alias("dialing_date"))
 
 
