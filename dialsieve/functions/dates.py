@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm
+from . import sql as X
 
 # --- fixed values: date spellings tried in order (month-first for slashes)
 DATE_FORMATS = [
@@ -21,31 +21,34 @@ DATE_FORMATS = [
 DATE_BLANKS = ["", "-", "nan", "NaT", "NAT"]
 
 
-def parse_date(c) -> Column:
+def parse_timestamp_sql(x: str) -> str:
+    v = X.norm(x)
+    tries = ", ".join(f"try_to_timestamp({v}, {X.lit(f)})" for f in DATE_FORMATS)
+    return f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) ELSE coalesce({tries}) END"
+
+
+def parse_date_sql(x: str) -> str:
+    return f"CAST({parse_timestamp_sql(x)} AS DATE)"
+
+
+def parse_date(name: str) -> Column:
     """DATE from a string, trying each format per row; blanks and junk -> NULL."""
-    v = norm(c)
-    tried = [F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(v.isin(DATE_BLANKS), F.lit(None).cast("date")).otherwise(F.coalesce(*tried).cast("date"))
+    return F.expr(parse_date_sql(X.ref(name)))
 
 
-def parse_timestamp(c) -> Column:
+def parse_timestamp(name: str) -> Column:
     """TIMESTAMP from a string, trying each format per row; blanks and junk -> NULL."""
-    v = norm(c)
-    tried = [F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(v.isin(DATE_BLANKS), F.lit(None).cast("timestamp")).otherwise(F.coalesce(*tried))
+    return F.expr(parse_timestamp_sql(X.ref(name)))
 
 
-def iso_year(d) -> Column:
-    d = F.col(d) if isinstance(d, str) else d
-    return F.extract(F.lit("YEAROFWEEK"), d).cast("int")
+def iso_year(name: str) -> Column:
+    return F.expr(f"CAST(extract(YEAROFWEEK FROM {X.ref(name)}) AS INT)")
 
 
-def iso_week(d) -> Column:
-    d = F.col(d) if isinstance(d, str) else d
-    return F.weekofyear(d)
+def iso_week(name: str) -> Column:
+    return F.expr(f"weekofyear({X.ref(name)})")
 
 
-def week_start(d) -> Column:
+def week_start(name: str) -> Column:
     """Monday of the ISO week."""
-    d = F.col(d) if isinstance(d, str) else d
-    return F.date_trunc("week", d).cast("date")
+    return F.expr(f"CAST(date_trunc('week', {X.ref(name)}) AS DATE)")

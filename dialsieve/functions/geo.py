@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits, norm, norm_lower
+from . import sql as X
 
 # --- fixed values: US state -> zone (default EST)
 US_STATE_ZONES = {
@@ -36,20 +34,21 @@ US_NAMES = ["usa", "united states", "us", "u.s.", "u.s.a."]
 CA_NAMES = ["canada", "ca", "can"]
 
 
-def _lit_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain(*d.items())])
+def timezone_sql(country: str, state: str) -> str:
+    """US / Canada by two-letter state code (default EST); else the trimmed country."""
+    c = X.norm_lower(country)
+    st = f"upper({X.norm(state)})"
+    return (f"CASE WHEN {c} IN ({X.lits(US_NAMES)}) "
+            f"THEN coalesce(try_element_at({X.lit_map(US_STATE_ZONES)}, {st}), 'EST') "
+            f"WHEN {c} IN ({X.lits(CA_NAMES)}) "
+            f"THEN coalesce(try_element_at({X.lit_map(CA_PROVINCE_ZONES)}, {st}), 'EST') "
+            f"ELSE {X.norm(country)} END")
 
 
-def timezone(country, state) -> Column:
-    """US / Canada by two-letter state code (default EST); else the trimmed country."""
-    c = norm_lower(country)
-    st = F.upper(norm(state))
-    return (F.when(c.isin(US_NAMES), F.coalesce(F.try_element_at(_lit_map(US_STATE_ZONES), st), F.lit("EST")))
-             .when(c.isin(CA_NAMES), F.coalesce(F.try_element_at(_lit_map(CA_PROVINCE_ZONES), st), F.lit("EST")))
-             .otherwise(norm(country)))
+def timezone(country: str, state: str) -> Column:
+    return F.expr(timezone_sql(X.ref(country), X.ref(state)))
 
 
-def area_code(phone) -> Column:
+def area_code(name: str) -> Column:
     """First three digits when the number has at least ten digits."""
-    d = digits(phone)
-    return F.when(F.length(d) >= 10, F.substring(d, 1, 3)).otherwise(F.lit(""))
+    return F.expr(X.area_code(X.ref(name)))

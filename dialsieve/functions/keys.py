@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_lower
+from . import sql as X
 
 
-def fingerprint(*parts) -> Column:
+def fingerprint(*names: str) -> Column:
     """md5 hex of concat(lower(trim(p)) ...); '' when every part is blank."""
-    joined = F.concat(*[norm_lower(p) for p in parts])
-    return F.coalesce(F.md5(F.nullif(joined, F.lit(""))), F.lit(""))
+    return F.expr(X.fingerprint(*[X.ref(n) for n in names]))

@@ -1,81 +1,78 @@
-"""Phone number validation as one Column expression (no UDF)."""
+"""Phone number validation as built-in expressions (no UDF)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import norm, s
+from . import sql as X
 
 # --- fixed values: raw values treated as "no phone number" (after trim, case-sensitive)
 EMPTY_PHONE = ["", "-", "nan", "None", "NA", "na"]
 
 STATUSES = ["valid", "possible", "invalid", "empty"]
 
+# rule codes, in evaluation order
+EMPTY, NON_NUMERIC, SHORT, LONG, SAME_DIGIT, BAD_AREA, BAD_EXCHANGE, NANP, INTERNATIONAL, POSSIBLE = range(1, 11)
 
-_SEPARATORS = r"(?U)[\[\]\s\x1c-\x1f()\-+.]"
+_SEPARATORS = r"r'(?U)[\[\]\s\x1c-\x1f()\-+.]'"
 
 
-# rule codes, in evaluation order
-EMPTY, NON_NUMERIC, SHORT, LONG, SAME_DIGIT, BAD_AREA, BAD_EXCHANGE, NANP, INTERNATIONAL, POSSIBLE = range(1, 11)
+def _nanp(c: str) -> str:
+    return f"(CASE WHEN length({c}) = 11 AND startswith({c}, '1') THEN substring({c}, 2, 10) ELSE {c} END)"
+
+
+def code_sql(is_empty: str, c: str) -> str:
+    """The number of the first rule that fires: empty spelling; non-digit left
+    after removing ``[ ] ( ) - + .`` and whitespace; < 7 or > 15 digits; one
+    repeated digit; 10 digits (after dropping the 1 of an 11-digit 1xxx number)
+    with area or exchange < 200; 10 digits; >= 10 digits; else possible."""
+    n = f"length({c})"
+    nanp = _nanp(c)
+    return (f"CASE WHEN {is_empty} THEN {EMPTY} "
+            f"WHEN NOT ({c} rlike r'^[0-9]+$') THEN {NON_NUMERIC} "
+            f"WHEN {n} < 7 THEN {SHORT} WHEN {n} > 15 THEN {LONG} "
+            f"WHEN replace({c}, substring({c}, 1, 1), '') = '' THEN {SAME_DIGIT} "
+            f"WHEN length({nanp}) = 10 AND CAST(substring({nanp}, 1, 3) AS INT) < 200 THEN {BAD_AREA} "
+            f"WHEN length({nanp}) = 10 AND CAST(substring({nanp}, 4, 3) AS INT) < 200 THEN {BAD_EXCHANGE} "
+            f"WHEN length({nanp}) = 10 THEN {NANP} WHEN {n} >= 10 THEN {INTERNATIONAL} ELSE {POSSIBLE} END")
+
+
+def status_sql(k: str) -> str:
+    return (f"CASE WHEN {k} = {EMPTY} THEN 'empty' WHEN {k} <= {BAD_EXCHANGE} THEN 'invalid' "
+            f"WHEN {k} <= {INTERNATIONAL} THEN 'valid' ELSE 'possible' END")
+
+
+def reason_sql(k: str, c: str) -> str:
+    n = f"CAST(length({c}) AS STRING)"
+    nanp = _nanp(c)
+    npa, nxx = f"substring({nanp}, 1, 3)", f"substring({nanp}, 4, 3)"
+    return (f"CASE WHEN {k} = {EMPTY} THEN 'No phone number' "
+            f"WHEN {k} = {NON_NUMERIC} THEN 'Contains non-numeric characters' "
+            f"WHEN {k} = {SHORT} THEN concat('Too short - ', {n}, ' digits (min 7)') "
+            f"WHEN {k} = {LONG} THEN concat('Too long - ', {n}, ' digits (E.164 max 15)') "
+            f"WHEN {k} = {SAME_DIGIT} THEN concat('All same digit - ', substring({c}, 1, 1)) "
+            f"WHEN {k} = {BAD_AREA} THEN concat('Invalid NANP area code ', {npa}) "
+            f"WHEN {k} = {BAD_EXCHANGE} THEN concat('Invalid NANP exchange ', {nxx}) "
+            f"WHEN {k} = {NANP} THEN concat('NANP (', {npa}, '-', {nxx}, '-', substring({nanp}, 7, 4), ')') "
+            f"WHEN {k} = {INTERNATIONAL} THEN concat('International E.164 (', {n}, ' digits)') "
+            f"ELSE concat({n}, '-digit number') END")
+
+
+def empty_sql(raw: str) -> str:
+    return f"({X.norm(raw)} IN ({X.lits(EMPTY_PHONE)}))"
+
+
+def cleaned_sql(raw: str) -> str:
+    return f"regexp_replace({X.s(raw)}, {_SEPARATORS}, '')"
 
 
-def _code(is_empty: Column, cleaned: Column) -> Column:
-    """The number of the first rule that fires (small int)."""
-    n = F.length(cleaned)
-    nanp = F.when((n == 11) & cleaned.startswith("1"), F.substring(cleaned, 2, 10)).otherwise(cleaned)
-    ten = F.length(nanp) == 10
-    return (F.when(is_empty, EMPTY)
-             .when(~cleaned.rlike(r"^[0-9]+$"), NON_NUMERIC)
-             .when(n < 7, SHORT)
-             .when(n > 15, LONG)
-             .when(F.replace(cleaned, F.substring(cleaned, 1, 1), F.lit("")) == "", SAME_DIGIT)
-             .when(ten & (F.substring(nanp, 1, 3).cast("int") < 200), BAD_AREA)
-             .when(ten & (F.substring(nanp, 4, 3).cast("int") < 200), BAD_EXCHANGE)
-             .when(ten, NANP)
-             .when(n >= 10, INTERNATIONAL)
-             .otherwise(POSSIBLE))
-
-
-def _status(code: Column) -> Column:
-    return (F.when(code == EMPTY, "empty").when(code <= BAD_EXCHANGE, "invalid")
-             .when(code <= INTERNATIONAL, "valid").otherwise("possible"))
-
-
-def _reason(code: Column, cleaned: Column) -> Column:
-    n = F.length(cleaned)
-    n_txt = n.cast("string")
-    nanp = F.when((n == 11) & cleaned.startswith("1"), F.substring(cleaned, 2, 10)).otherwise(cleaned)
-    npa, nxx = F.substring(nanp, 1, 3), F.substring(nanp, 4, 3)
-    return (F.when(code == EMPTY, F.lit("No phone number"))
-             .when(code == NON_NUMERIC, F.lit("Contains non-numeric characters"))
-             .when(code == SHORT, F.concat(F.lit("Too short - "), n_txt, F.lit(" digits (min 7)")))
-             .when(code == LONG, F.concat(F.lit("Too long - "), n_txt, F.lit(" digits (E.164 max 15)")))
-             .when(code == SAME_DIGIT, F.concat(F.lit("All same digit - "), F.substring(cleaned, 1, 1)))
-             .when(code == BAD_AREA, F.concat(F.lit("Invalid NANP area code "), npa))
-             .when(code == BAD_EXCHANGE, F.concat(F.lit("Invalid NANP exchange "), nxx))
-             .when(code == NANP, F.concat(F.lit("NANP ("), npa, F.lit("-"), nxx, F.lit("-"),
-                                          F.substring(nanp, 7, 4), F.lit(")")))
-             .when(code == INTERNATIONAL, F.concat(F.lit("International E.164 ("), n_txt, F.lit(" digits)")))
-             .otherwise(F.concat(n_txt, F.lit("-digit number"))))
-
-
-def _rules(is_empty: Column, cleaned: Column) -> Column:
-    code = _code(is_empty, cleaned)
-    return F.struct(_status(code).alias("status"), _reason(code, cleaned).alias("reason"))
-
-
-def validate_phone(c) -> Column:
-    """struct<status, reason> for a raw phone value.
-
-    Rules, first match wins: empty spelling; separators ``[ ] ( ) - + .`` and
-    whitespace removed, anything else non-digit -> invalid; < 7 or > 15 digits
-    -> invalid; one repeated digit -> invalid; 10 digits (after dropping the 1
-    of an 11-digit 1xxx number) judged by NANP area/exchange >= 200; >= 10
-    digits -> international; else possible.  For whole frames prefer
-    ``with_phone_validity``, which evaluates the separator removal once."""
-    raw = s(c)
-    return _rules(norm(raw).isin(EMPTY_PHONE), F.regexp_replace(raw, _SEPARATORS, ""))
+def validate_phone(name: str) -> Column:
+    """struct<status, reason> for a raw phone column (single expression).
+    For whole frames prefer ``with_phone_validity``."""
+    raw = X.ref(name)
+    k = code_sql(empty_sql(raw), cleaned_sql(raw))
+    return F.expr(f"named_struct('status', {status_sql(k)}, 'reason', {reason_sql(k, cleaned_sql(raw))})")
 
 
 def with_phone_validity(df: DataFrame, src: str, status: str = "tel_valid", reason: str = "tel_reason") -> DataFrame:
@@ -86,9 +83,8 @@ def with_phone_validity(df: DataFrame, src: str, status: str = "tel_valid", reas
     keeps the stages apart because each staged value is referenced several
     times, so every regex runs once per row and a filter on ``status`` that is
     pushed down carries only the small code expression."""
-    raw = s(F.col(src))
-    staged = df.withColumns({"_pv_e": norm(raw).isin(EMPTY_PHONE),
-                             "_pv_c": F.regexp_replace(raw, _SEPARATORS, "")})
-    coded = staged.withColumn("_pv_k", _code(F.col("_pv_e"), F.col("_pv_c")))
-    return coded.withColumns({status: _status(F.col("_pv_k")), reason: _reason(F.col("_pv_k"), F.col("_pv_c"))}) \
+    raw = X.ref(src)
+    staged = df.withColumns({"_pv_e": F.expr(empty_sql(raw)), "_pv_c": F.expr(cleaned_sql(raw))})
+    coded = staged.withColumn("_pv_k", F.expr(code_sql("_pv_e", "_pv_c")))
+    return coded.withColumns({status: F.expr(status_sql("_pv_k")), reason: F.expr(reason_sql("_pv_k", "_pv_c"))}) \
                 .drop("_pv_e", "_pv_c", "_pv_k")

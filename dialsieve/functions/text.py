@@ -1,10 +1,12 @@
-"""String normalisers: strip, digits, profile URLs, null tokens."""
+"""String normalisers as Columns (wrappers over ``functions.sql``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sql as X
+
 # --- fixed values: tokens a spreadsheet reader turns into "no value" (exact match)
 SCAN_NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -15,56 +17,37 @@ SCAN_NA_TOKENS = [
 # --- fixed values: sentinels blanked (after trim) when aligning call history
 HISTORY_NULL_TOKENS = ["nan", "<NA>", "None", "NaT", "NAT", "NaN"]
 
-# Unicode whitespace plus the file/group/record/unit separators, as a
-# scripting-language strip() sees them.
-_EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
 
-def s(c) -> Column:
-    """Null -> '' ; input may be a name or a Column."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(c.cast("string"), F.lit(""))
+def s(name: str) -> Column:
+    return F.expr(X.s(X.ref(name)))
 
 
-def norm(c) -> Column:
+def norm(name: str) -> Column:
     """Strip leading/trailing Unicode whitespace; null -> ''."""
-    return F.regexp_replace(s(c), _EDGE_WS, "")
+    return F.expr(X.norm(X.ref(name)))
 
 
-def norm_lower(c) -> Column:
-    return F.lower(norm(c))
+def norm_lower(name: str) -> Column:
+    return F.expr(X.norm_lower(X.ref(name)))
 
 
-def digits(c) -> Column:
+def digits(name: str) -> Column:
     """Digits only (ASCII 0-9)."""
-    return F.regexp_replace(s(c), r"[^0-9]", "")
-
+    return F.expr(X.digits(X.ref(name)))
 
-def blank_tokens(c, tokens=SCAN_NA_TOKENS) -> Column:
-    """'' when the raw cell equals one of ``tokens`` (exact), else the cell."""
-    v = s(c)
-    return F.when(v.isin(list(tokens)), F.lit("")).otherwise(v)
 
+def blank_tokens(name: str, tokens=SCAN_NA_TOKENS) -> Column:
+    return F.expr(X.blank_tokens(X.ref(name), tokens))
 
-def blank_sentinels(c) -> Column:
-    """Trim, then '' for the history null sentinels."""
-    v = norm(c)
-    return F.when(v.isin(HISTORY_NULL_TOKENS), F.lit("")).otherwise(v)
 
+def blank_sentinels(name: str) -> Column:
+    return F.expr(X.blank_whole(X.ref(name), HISTORY_NULL_TOKENS))
 
-def clean_url(c) -> Column:
-    """Profile URL canonical form.
 
-    blank -> blank; lower+trim; drop from the first '?' to the end; strip all
-    trailing '/'; prefix https:// unless it already starts with 'http'.
-    One chain of replacements, so each step is evaluated once per row."""
-    u = F.nullif(norm_lower(c), F.lit(""))
-    u = F.regexp_replace(u, r"(?d)\?.*$", "")
-    u = F.regexp_replace(u, r"/+\z", "")
-    u = F.regexp_replace(u, r"^(?!http)", "https://")
-    return F.coalesce(u, F.lit(""))
+def clean_url(name: str) -> Column:
+    """Profile URL canonical form (see ``functions.sql.clean_url``)."""
+    return F.expr(X.clean_url(X.ref(name)))
 
 
-def usable(c, unusable=("", "-", "nan", "None")) -> Column:
-    """True when the trimmed value is not one of the 'no value' spellings."""
-    return ~norm(c).isin(list(unusable))
+def usable(name: str) -> Column:
+    return F.expr(X.usable(X.ref(name)))

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql as X
 from ..functions.phone import STATUSES
-from ..functions.text import norm
-from ..schema import LABELS, ORDER_COLUMNS, col_or_blank, first_present
+from ..schema import LABELS, ORDER_COLUMNS, col_or_blank, first_present, q, sql_or_blank
 
 BLANK_CAMPAIGN = ["", "nan", "None", "-"]
 STATUS_RANK = {"GTG": 1, "SUPPRESSED": 2, "OVER_LIMIT": 3}
@@ -17,7 +17,7 @@ STATUS_RANK = {"GTG": 1, "SUPPRESSED": 2, "OVER_LIMIT": 3}
 
 def campaign_first(df: DataFrame) -> DataFrame:
     """The first non-blank (trimmed) campaign code in upload order, one row."""
-    c = norm(col_or_blank(df, "campaign_name"))
+    c = F.expr(X.norm(sql_or_blank(df, "campaign_name")))
     return (df.where(c != "")
               .agg(F.min_by(c, F.struct(*[F.col(x) for x in ORDER_COLUMNS if x in df.columns])).alias("campaign_code"))
               .select(F.coalesce("campaign_code", F.lit("")).alias("campaign_code")))
@@ -27,7 +27,7 @@ def campaign_list(df: DataFrame) -> DataFrame:
     """Distinct non-blank campaign codes, sorted, joined with ', ' (one row).
     Distinct values are found with a distributed aggregate first; only the
     distinct codes reach the final one-row collect."""
-    codes = df.select(norm(col_or_blank(df, "campaign_name")).alias("c")).where("c != ''").distinct()
+    codes = df.selectExpr(f"{X.norm(sql_or_blank(df, 'campaign_name'))} AS c").where("c != ''").distinct()
     return codes.agg(F.array_join(F.sort_array(F.collect_list("c")), ", ").alias("campaigns")) \
                 .select(F.coalesce("campaigns", F.lit("")).alias("campaigns"))
 
@@ -35,7 +35,7 @@ def campaign_list(df: DataFrame) -> DataFrame:
 def batch_campaign(tagged: DataFrame, fallback: str = "") -> str:
     """Batch-level campaign: first non-blank campaign among GTG rows, else
     suppressed, else over-limit rows, else ``fallback``.  One bounded row."""
-    c = norm(col_or_blank(tagged, "campaign_name"))
+    c = F.expr(X.norm(sql_or_blank(tagged, "campaign_name")))
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv])[F.col("row_status")],
                       F.lit(9))
     row = (tagged.where(c != "")
@@ -44,14 +44,14 @@ def batch_campaign(tagged: DataFrame, fallback: str = "") -> str:
     return (row["v"] if row and row["v"] else "") or fallback
 
 
-def _json_struct(df: DataFrame, with_limit: bool):
+def _json_sql(df: DataFrame, with_limit: bool) -> str:
     cols = [c for c in df.columns if not c.startswith("_") and c not in ORDER_COLUMNS
             and c not in ("row_status", "dial_limit_reason", "suppression_reason")]
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(LABELS.get(c, c)) for c in cols]
-    fields.append(F.col("suppression_reason").alias("suppression_reason"))
+    fields = [f"{X.lit(LABELS.get(c, c))}, coalesce(CAST({q(c)} AS STRING), '')" for c in cols]
+    fields.append("'suppression_reason', suppression_reason")
     if with_limit:
-        fields.append(F.col("dial_limit_reason").alias("dial_limit_reason"))
-    return F.to_json(F.struct(*fields))
+        fields.append("'dial_limit_reason', dial_limit_reason")
+    return "to_json(named_struct(" + ", ".join(fields) + "))"
 
 
 def audit_rows(tagged: DataFrame, batch_id: str, processed_at: dt.datetime, campaign_type: str,
@@ -64,18 +64,18 @@ def audit_rows(tagged: DataFrame, batch_id: str, processed_at: dt.datetime, camp
     reason, as it was never checked."""
     if batch_campaign_name is None:
         batch_campaign_name = batch_campaign(tagged, campaign_code)
-    c = norm(col_or_blank(tagged, "campaign_name"))
-    camp = F.when(c.isin(BLANK_CAMPAIGN), F.lit(batch_campaign_name)).otherwise(c)
-    row_json = F.when(F.col("row_status") == "SUPPRESSED", _json_struct(tagged, False)) \
-                .otherwise(_json_struct(tagged, True))
-    order = [F.col(x) for x in ORDER_COLUMNS if x in tagged.columns]
-    return tagged.select(
-        *order,
-        F.lit(batch_id).alias("batch_id"), F.lit(processed_at).cast("timestamp").alias("processed_at"),
-        camp.alias("campaign_code"), camp.alias("campaign_name"), F.lit(campaign_type).alias("campaign_type"),
-        F.col("row_status"), F.col("suppression_reason"),
-        F.when(F.col("row_status") == "OVER_LIMIT", F.col("dial_limit_reason")).otherwise(F.lit("")).alias("dial_limit_reason"),
-        row_json.alias("row_json"))
+    c = X.norm(sql_or_blank(tagged, "campaign_name"))
+    camp = f"CASE WHEN {c} IN ({X.lits(BLANK_CAMPAIGN)}) THEN {X.lit(batch_campaign_name)} ELSE {c} END"
+    row_json = (f"CASE WHEN row_status = 'SUPPRESSED' THEN {_json_sql(tagged, False)} "
+                f"ELSE {_json_sql(tagged, True)} END")
+    order = [x for x in ORDER_COLUMNS if x in tagged.columns]
+    return tagged.selectExpr(
+        *order, f"{X.lit(batch_id)} AS batch_id",
+        f"CAST({X.lit(processed_at.strftime('%Y-%m-%d %H:%M:%S'))} AS TIMESTAMP) AS processed_at",
+        f"{camp} AS campaign_code", f"{camp} AS campaign_name", f"{X.lit(campaign_type)} AS campaign_type",
+        "row_status", "suppression_reason",
+        "CASE WHEN row_status = 'OVER_LIMIT' THEN dial_limit_reason ELSE '' END AS dial_limit_reason",
+        f"{row_json} AS row_json")
 
 
 def run_metrics(tagged: DataFrame, output: DataFrame | None = None) -> DataFrame:
@@ -187,9 +187,15 @@ def suppression_summary(tagged: DataFrame) -> DataFrame:
 
 
 def invalid_sample(validated: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` invalid raw numbers in upload order."""
+    """The first ``n`` invalid raw numbers in upload order.
+
+    A top-n with invalid rows ranked first, filtered after the limit: the same
+    rows as filter-then-top-n, but the status test stays above the top-n
+    instead of being pushed (and inlined) into the scan."""
     tel = first_present(validated, ["telephone", "phone_office"])
     order = [F.col(x) for x in ORDER_COLUMNS if x in validated.columns]
-    return (validated.where(F.col("tel_valid") == "invalid")
-                     .select(*order, col_or_blank(validated, tel).alias("tel") if tel else F.lit("").alias("tel"))
-                     .orderBy(*order).limit(n))
+    bad = F.col("tel_valid") == "invalid"
+    top = (validated.select(*order, bad.alias("_bad"),
+                            col_or_blank(validated, tel).alias("tel") if tel else F.lit("").alias("tel"))
+                    .orderBy(F.col("_bad").desc(), *order).limit(n))
+    return top.where("_bad").drop("_bad")

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digits
-from ..schema import col_or_blank, first_present
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, spread_blank
+from ..functions import sql as X
+from ..schema import first_present, q, sql_or_blank
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
 
 # canonical candidates for the dialled number and the direct number, in order
 TEL_CANDIDATES = ["telephone", "phone_office", "dialed_number"]
@@ -33,8 +33,8 @@ def with_phone_keys(df: DataFrame) -> DataFrame:
     canonical columns."""
     tel = first_present(df, TEL_CANDIDATES)
     dtel = first_present(df, DIRECT_CANDIDATES)
-    return (df.withColumn("_tel", digits(col_or_blank(df, tel)) if tel else F.lit(""))
-              .withColumn("_dtel", digits(col_or_blank(df, dtel)) if dtel else F.lit("")))
+    return df.withColumns({"_tel": F.expr(X.digits(sql_or_blank(df, tel))),
+                           "_dtel": F.expr(X.digits(sql_or_blank(df, dtel)))})
 
 
 def mark_direct(df: DataFrame, direct: DataFrame | None,
@@ -44,8 +44,7 @@ def mark_direct(df: DataFrame, direct: DataFrame | None,
         return df.withColumn("_is_direct", F.lit(False))
     dl = direct.select(F.col("phone").alias("_dphone")).distinct().withColumn("_dhit", F.lit(True))
     dl, _ = bounded_broadcast(dl, broadcast_rows)
-    rid = [F.col(c) for c in ("src_ord", "row_ord") if c in df.columns]
-    return (df.withColumn("_dk", spread_blank(F.col("_dtel"), *rid))
+    return (df.withColumn("_dk", F.expr(spread_blank_sql("_dtel", row_id(df))))
               .join(dl, F.col("_dk") == F.col("_dphone"), "left")
               .withColumn("_is_direct", F.coalesce(F.col("_dhit"), F.lit(False)))
               .drop("_dk", "_dphone", "_dhit"))
@@ -53,9 +52,10 @@ def mark_direct(df: DataFrame, direct: DataFrame | None,
 
 def phone_universe(marked: DataFrame) -> DataFrame:
     """Distinct numbers to count: every dialled number plus listed direct numbers."""
-    a = marked.select(F.col("_tel").alias("phone"))
-    b = marked.where("_is_direct").select(F.col("_dtel").alias("phone"))
-    return a.unionByName(b).where(F.col("phone") != "").distinct()
+    # one pass over the input: both numbers of a row as an array, exploded
+    both = F.array(F.col("_tel"), F.when(F.col("_is_direct"), F.col("_dtel")).otherwise(F.lit("")))
+    return (marked.select(F.explode(F.array_distinct(both)).alias("phone"))
+                  .where(F.col("phone") != "").distinct())
 
 
 def dial_counts(history: DataFrame, phones: DataFrame, check_date: dt.date,
@@ -120,41 +120,31 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
     # the materialised counts are small and keeps shuffle joins otherwise.
     counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
                          check_date, broadcast_rows)
-    rid = [F.col(c) for c in ("src_ord", "row_ord") if c in df.columns]
+    rid = row_id(df)
     ct = counts.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
                        F.col("weekly_count").alias("_week"))
     cd = counts.select(F.col("dialed_number").alias("_cd_k"), F.col("daily_count").alias("_dday"),
                        F.col("weekly_count").alias("_dweek"))
-    j = (keyed.withColumn("_tk", spread_blank(F.col("_tel"), *rid))
+    j = (keyed.withColumns({"_tk": F.expr(spread_blank_sql("_tel", rid)),
+                            "_dk": F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid))})
               .join(ct, F.col("_tk") == F.col("_ct_k"), "left")
-              .withColumn("_dk", F.when(F.col("_is_direct"), F.col("_dtel"))
-                                  .otherwise(spread_blank(F.lit(""), *rid)))
               .join(cd, F.col("_dk") == F.col("_cd_k"), "left"))
-    zero = F.lit(0).cast("long")
-    day, week = F.coalesce("_day", zero), F.coalesce("_week", zero)
-    dday, dweek = F.coalesce("_dday", zero), F.coalesce("_dweek", zero)
-    date_txt = F.lit(check_date.isoformat())
-    direct = F.col("_is_direct")
+    day, week = "coalesce(_day, 0)", "coalesce(_week, 0)"
+    dday, dweek = "coalesce(_dday, 0)", "coalesce(_dweek, 0)"
+    d = check_date.isoformat()
     reason = (
-        F.when(F.col("suppression_reason") != "", F.lit(""))
-        .when(F.col("_tel") == "", F.lit(""))
-        .when(direct & (dweek > m_dw),
-              F.concat(F.lit("Direct-dial weekly limit exceeded: "), dweek.cast("string"),
-                       F.lit(f" dials this ISO week (max {m_dw}, Direct Number in repo)")))
-        .when(direct & F.lit(not is_dell) & (dday > m_dd),
-              F.concat(F.lit("Direct-dial daily limit exceeded: "), dday.cast("string"), F.lit(" dials on "),
-                       date_txt, F.lit(f" (max {m_dd}, Direct Number in repo)")))
-        .when(week > m_w,
-              F.concat(F.lit("Weekly dial limit exceeded: "), week.cast("string"),
-                       F.lit(f" dials this ISO week (max {m_w})")))
-        .when(day > max_day,
-              F.concat(F.lit("Daily dial limit exceeded: "), day.cast("string"), F.lit(" dials on "),
-                       date_txt, F.lit(f" (max {max_day})")))
-        .otherwise(F.lit("")))
-    status = (F.when(F.col("suppression_reason") != "", F.lit("SUPPRESSED"))
-               .when(F.col("dial_limit_reason") != "", F.lit("OVER_LIMIT"))
-               .otherwise(F.lit("GTG")))
-    out = j.withColumn("dial_limit_reason", reason).withColumn("row_status", status)
+        "CASE WHEN suppression_reason <> '' THEN '' WHEN _tel = '' THEN '' "
+        f"WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
+        f"CAST({dweek} AS STRING), ' dials this ISO week (max {m_dw}, Direct Number in repo)') "
+        f"WHEN _is_direct AND {str(not is_dell).upper()} AND {dday} > {m_dd} THEN concat("
+        f"'Direct-dial daily limit exceeded: ', CAST({dday} AS STRING), ' dials on {d} (max {m_dd}, Direct Number in repo)') "
+        f"WHEN {week} > {m_w} THEN concat('Weekly dial limit exceeded: ', CAST({week} AS STRING), "
+        f"' dials this ISO week (max {m_w})') "
+        f"WHEN {day} > {max_day} THEN concat('Daily dial limit exceeded: ', CAST({day} AS STRING), "
+        f"' dials on {d} (max {max_day})') ELSE '' END")
+    status = ("CASE WHEN suppression_reason <> '' THEN 'SUPPRESSED' WHEN dial_limit_reason <> '' THEN 'OVER_LIMIT' "
+              "ELSE 'GTG' END")
+    out = j.withColumn("dial_limit_reason", F.expr(reason)).withColumn("row_status", F.expr(status))
     return out.drop("_tk", "_ct_k", "_day", "_week", "_dk", "_cd_k", "_dday", "_dweek", "_tel", "_dtel",
                     "_is_direct")
 

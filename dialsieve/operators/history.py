@@ -14,9 +14,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date, week_start
-from ..functions.text import blank_sentinels, digits, norm_lower, s
-from ..schema import CALL_LAYOUT, HISTORY_COLUMNS
+from ..functions import sql as X
+from ..functions.dates import parse_date_sql, week_start
+from ..functions.text import HISTORY_NULL_TOKENS
+from ..schema import CALL_LAYOUT, HISTORY_COLUMNS, q
 from ..session import materialize
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
@@ -41,19 +42,21 @@ def align_history(raw: DataFrame) -> DataFrame:
             present[h] = c
     cols = []
     for name in HISTORY_COLUMNS:
-        src = F.col(f"`{present[name]}`") if name in present else F.lit("")
+        src = q(present[name]) if name in present else "''"
         if name == "pbx_dialing_date":
-            cols.append(parse_date(src).alias(name))
+            cols.append(f"{parse_date_sql(src)} AS {name}")
         elif name == "dialed_number":
-            cols.append(digits(src).alias(name))
+            cols.append(f"{X.digits(src)} AS {name}")
+        elif name in present:
+            cols.append(f"{X.blank_whole(src, HISTORY_NULL_TOKENS)} AS {name}")
         else:
-            cols.append(blank_sentinels(src).alias(name))
-    order = [F.col(c).cast("long").alias(c) for c in ("src_ord", "row_ord") if c in raw.columns]
-    if not any(c in raw.columns for c in ("src_ord",)):
-        order = [F.lit(1).cast("long").alias("src_ord")] + order
+            cols.append(f"'' AS {name}")
+    order = [f"CAST({q(c)} AS BIGINT) AS {c}" for c in ("src_ord", "row_ord") if c in raw.columns]
+    if "src_ord" not in raw.columns:
+        order = ["CAST(1 AS BIGINT) AS src_ord"] + order
     if "row_ord" not in raw.columns:
-        order.append(F.monotonically_increasing_id().alias("row_ord"))
-    return raw.select(*cols, *order)
+        order.append("monotonically_increasing_id() AS row_ord")
+    return raw.selectExpr(*cols, *order)
 
 
 def dedup_batch(aligned: DataFrame) -> DataFrame:
@@ -148,12 +151,10 @@ def history_match(f3: DataFrame, store: DataFrame,
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Extract rows whose (lower(trim(campaign)), lower(trim(contact link)))
     occur in the history store."""
-    fk = f3.withColumn("_hc", norm_lower(s(F.col("campaign_name")))) \
-           .withColumn("_hl", norm_lower(s(F.col("contact_link"))))
+    fk = f3.withColumns({"_hc": F.expr(X.norm_lower("campaign_name")), "_hl": F.expr(X.norm_lower("contact_link"))})
     # the extract's keys (an input) filter the store map-side; the store is never shuffled whole
     ek, small = bounded_broadcast(fk.select("_hc", "_hl").distinct(), broadcast_rows, bound=f3)
-    hits = (store.select(norm_lower(s(F.col("campaign_name"))).alias("_hc"),
-                         norm_lower(s(F.col("contact_link"))).alias("_hl"))
+    hits = (store.selectExpr(f"{X.norm_lower('campaign_name')} AS _hc", f"{X.norm_lower('contact_link')} AS _hl")
                  .join(ek, ["_hc", "_hl"], "left_semi").distinct())
     if small:
         hits = F.broadcast(hits)

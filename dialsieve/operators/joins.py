@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import q
+
 # A list / lookup side is broadcast only when it has at most this many rows
 # (checked with a bounded count); above it the join is a shuffle join and AQE
 # may still pick a broadcast from runtime statistics.
@@ -27,12 +31,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return df, False
 
 
-def spread_blank(key: Column, *row_id: Column) -> Column:
-    """Join key where blank becomes a row-unique value that matches nothing.
+def spread_blank_sql(key: str, row_id: Sequence[str]) -> str:
+    """Join-key text where blank becomes a row-unique value that matches nothing.
 
     Blank keys (no email, no phone ...) never match a list, but in a shuffle
     join they would all hash to one partition; giving each its own value
-    spreads them evenly.  Deterministic, so a retried task rebuilds the same
-    partitioning."""
-    salt = F.concat(F.lit("\u0000"), *[c.cast("string") for c in row_id])
-    return F.when(key == "", salt).otherwise(key)
+    spreads them evenly.  Deterministic (built from the row's order columns),
+    so a retried task rebuilds the same partitioning."""
+    ids = ", ".join(f"CAST({q(c)} AS STRING)" for c in row_id) or "''"
+    return f"coalesce(nullif({key}, ''), concat(char(0), {ids}))"
+
+
+def row_id(df: DataFrame) -> list[str]:
+    return [c for c in ("src_ord", "row_ord") if c in df.columns]

@@ -2,93 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import area_code, timezone
-from ..functions.keys import fingerprint
+from ..functions import sql as X
+from ..functions.geo import timezone_sql
 from ..functions.phone import with_phone_validity
-from ..functions.text import clean_url, digits, norm_lower, usable
-from ..schema import OUTPUT_COLUMNS, col_or_blank, first_present
+from ..schema import OUTPUT_COLUMNS, first_present, q, sql_or_blank
 
 PHONE_CLEAN = ["telephone", "phone_office", "phone_direct", "dialed_number", "direct_number", "board_direct_no"]
 URL_CLEAN = ["profile_url", "contact_li_url", "contact_link", "org_li_url", "company_li_url"]
 DIRECT_PICK = ["direct_number_1", "direct_number_2", "direct_number_3", "direct_number_4",
                "direct_number", "phone_direct"]
 
+# output column -> canonical source column, for the plain copies
+COPIES = {
+    "firstname": "first_name", "lastname": "last_name", "fullname": "full_name", "email_address": "email_address",
+    "job_title": "org_title", "job_level": "job_level", "extension": "ext", "new_function": "job_function",
+    "c_street": "address1", "c_city": "city", "c_state": "state", "c_postalcode": "postal_code",
+    "c_country": "country", "datascore": "qs", "Home Location": "home_location",
+    "Work Location": "work_location", "Skills": "skills", "contactsource": "data_source",
+    "company_name": "org_name", "company_li_url": "org_li_url", "website": "domain", "sic_code": "sic_code",
+    "naic_code": "naic_code", "li_industry": "industry_type", "emp_range": "employee_size",
+    "rev_range": "revenue_size", "companySource": "data_source", "street": "address1", "city": "city",
+    "state": "state", "postalcode": "postal_code", "country": "country", "campaign_code": "campaign_name",
+    "Revenue Link": "revenue_link", "SIC/NAICS Code Link": "sic_naics_link", "WP Status": "wp_status",
+    "comp_desc": "org_description", "AC_List_Mapping": "ac_list_mapping", "asset_title": "asset_pitched",
+    "open_click_status": "open_click_status", "intent": "intent", "contact_li_url": "profile_url",
+    "phone_office": "telephone", "contactphone1": "telephone", "timezone": "timezone",
+    "tel_valid": "tel_valid", "tel_reason": "tel_reason",
+}
+
 
 def add_phone_validity(df: DataFrame) -> DataFrame:
     """C2 on the raw telephone value: ``tel_valid``, ``tel_reason``."""
     tel = first_present(df, ["telephone", "phone_office"])
     if tel is None:
-        return df.withColumn("tel_valid", F.lit("unknown")).withColumn("tel_reason", F.lit("No telephone column in input"))
+        return df.withColumns({"tel_valid": F.lit("unknown"), "tel_reason": F.lit("No telephone column in input")})
     return with_phone_validity(df, tel)
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
     """C1 digits-only phones, C5 time zone, C3/C4 profile URLs (in place)."""
-    repl = {c: digits(F.col(c)) for c in PHONE_CLEAN if c in df.columns}
-    repl.update({c: clean_url(F.col(c)) for c in URL_CLEAN if c in df.columns})
+    repl = {c: F.expr(X.digits(q(c))) for c in PHONE_CLEAN if c in df.columns}
+    repl.update({c: F.expr(X.clean_url(q(c))) for c in URL_CLEAN if c in df.columns})
     country = first_present(df, ["country", "c_country"])
     state = first_present(df, ["state", "c_state"])
-    repl["timezone"] = timezone(col_or_blank(df, country) if country else F.lit(""),
-                                col_or_blank(df, state) if state else F.lit(""))
+    repl["timezone"] = F.expr(timezone_sql(sql_or_blank(df, country), sql_or_blank(df, state)))
     return df.withColumns(repl)
 
 
-def first_usable_phone(df: DataFrame) -> Column:
+def first_usable_phone_sql(df: DataFrame) -> str:
     """H5: the first direct number that is not '', '-', 'nan' or 'None'."""
-    picks = [F.when(usable(F.col(c)), F.coalesce(F.col(c), F.lit(""))) for c in DIRECT_PICK if c in df.columns]
-    return F.coalesce(*picks, F.lit("")) if picks else F.lit("")
+    return X.first_usable([q(c) for c in DIRECT_PICK if c in df.columns])
+
+
+def first_usable_phone(df: DataFrame):
+    return F.expr(first_usable_phone_sql(df))
+
+
+def output_exprs(df: DataFrame, run_ts: str) -> dict[str, str]:
+    """SQL text of the 66 output columns over a validated, cleaned frame."""
+    g = lambda name: sql_or_blank(df, name)
+    camp_lc = X.norm_lower(g("campaign_name"))
+    url, full, org, country = g("profile_url"), g("full_name"), g("org_name"), g("country")
+    office = g("telephone")
+    e = {c: X.BLANK for c in OUTPUT_COLUMNS}
+    e.update({o: g(src) for o, src in COPIES.items()})
+    e.update({
+        "contactid": X.fingerprint(url, full),
+        "companyid": X.fingerprint(org, country),
+        "phone_direct": first_usable_phone_sql(df),
+        "updated_on": X.lit(run_ts), "created_on": X.lit(run_ts),
+        "ph_area_code": f"CASE WHEN {office} <> '' THEN {X.area_code(office)} ELSE '' END",
+        "li_cmp_md1": X.fingerprint(url, camp_lc),
+        "fnln_comp_cmp_md2": X.fingerprint(full, org, camp_lc),
+    })
+    return e
 
 
 def output_projection(df: DataFrame, run_ts: str) -> DataFrame:
-    """H4: one ``select`` of the 66 output expressions (plus order columns).
+    """H4: one ``selectExpr`` of the 66 output expressions (plus order columns).
 
     Expects a frame that went through ``add_phone_validity`` and
     ``clean_columns``; ``run_ts`` ('yyyy-MM-dd HH:mm:ss') fills created/updated."""
-    g = lambda name: col_or_blank(df, name)
-    camp = g("campaign_name")
-    camp_lc = norm_lower(camp)
-    url, full, org, country = g("profile_url"), g("full_name"), g("org_name"), g("country")
-    phone_office = g("telephone")
-    blank = F.lit("")
-    e = {
-        "contactid": fingerprint(url, full),
-        "companyid": fingerprint(org, country),
-        "firstname": g("first_name"), "middlename": blank, "lastname": g("last_name"),
-        "fullname": full, "contact_li_url": url, "email_address": g("email_address"),
-        "job_title": g("org_title"), "job_level": g("job_level"), "phone_office": phone_office,
-        "work_mobile": blank, "phone_direct": first_usable_phone(df), "mobile_phone": blank,
-        "phone_alt1": blank, "contactphone1": phone_office, "extension": g("ext"),
-        "new_parentdept": blank, "new_dept": blank, "new_function": g("job_function"),
-        "c_street": g("address1"), "c_city": g("city"), "c_state": g("state"),
-        "c_postalcode": g("postal_code"), "c_country": country, "datascore": g("qs"),
-        "Home Location": g("home_location"), "Work Location": g("work_location"), "Skills": g("skills"),
-        "contactsource": g("data_source"), "companyphone1": blank, "company_name": org,
-        "company_li_url": g("org_li_url"), "website": g("domain"), "sic_code": g("sic_code"),
-        "naic_code": g("naic_code"), "li_industry": g("industry_type"), "parent_industry": blank,
-        "sub_industry": blank, "emp_range": g("employee_size"), "rev_range": g("revenue_size"),
-        "companySource": g("data_source"), "street": g("address1"), "city": g("city"),
-        "state": g("state"), "postalcode": g("postal_code"), "country": country,
-        "campaign_code": camp, "updated_on": F.lit(run_ts), "created_on": F.lit(run_ts),
-        "siteid": blank, "Revenue Link": g("revenue_link"), "SIC/NAICS Code Link": g("sic_naics_link"),
-        "WP Status": g("wp_status"),
-        "ph_area_code": F.when(phone_office != "", area_code(phone_office)).otherwise(blank),
-        "comp_desc": g("org_description"), "AC_List_Mapping": g("ac_list_mapping"),
-        "timezone": g("timezone"), "to_delete": blank,
-        "li_cmp_md1": fingerprint(url, camp_lc), "fnln_comp_cmp_md2": fingerprint(full, org, camp_lc),
-        "asset_title": g("asset_pitched"), "open_click_status": g("open_click_status"),
-        "intent": g("intent"), "tel_valid": g("tel_valid"), "tel_reason": g("tel_reason"),
-    }
-    order = [F.col(c) for c in ("src_ord", "row_ord") if c in df.columns]
-    return df.select(*order, *[e[c].alias(c) for c in OUTPUT_COLUMNS])
-
-
-def contacted(df: DataFrame) -> Column:
+    e = output_exprs(df, run_ts)
+    order = [c for c in ("src_ord", "row_ord") if c in df.columns]
+    return df.selectExpr(*order, *[f"{v} AS {q(k)}" for k, v in e.items()])
+
+
+def contacted(df: DataFrame):
     """MD5(first + last + profile url) - offered, not part of the 66 columns."""
-    return fingerprint(col_or_blank(df, "first_name"), col_or_blank(df, "last_name"),
-                       col_or_blank(df, "profile_url"))
+    return F.expr(X.fingerprint(sql_or_blank(df, "first_name"), sql_or_blank(df, "last_name"),
+                                sql_or_blank(df, "profile_url")))
 
 
 def output_dedup(out: DataFrame) -> DataFrame:

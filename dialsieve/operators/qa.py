@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, norm_lower
-from ..schema import first_present
+from ..functions import sql as X
+from ..schema import first_present, q
 
 # --- fixed values: disposition keywords that mark a contact for redialling (substring match)
 RECHURN_KEYWORDS = [
@@ -36,8 +36,7 @@ def rechurn_filter(f3: DataFrame, keywords=RECHURN_KEYWORDS) -> DataFrame:
     col = first_present(f3, ["dgs_disposition", "system_disposition"])
     if col is None:
         return f3
-    v = F.lower(norm(F.col(col)))
-    return f3.where(v.rlike(rechurn_pattern(keywords)))
+    return f3.where(F.expr(f"{X.norm_lower(q(col))} rlike {X.lit(rechurn_pattern(keywords))}"))
 
 
 def gtg_decision(df: DataFrame) -> tuple[str | None, str | None]:
@@ -51,8 +50,9 @@ def gtg_decision(df: DataFrame) -> tuple[str | None, str | None]:
         return None, None
     aggs = []
     for c in present:
-        v = norm_lower(F.col(c))
-        aggs += [F.bool_or(v.isin(GTG_VALUES)).alias(f"g_{c}"), F.bool_or(v.isin(NON_GTG_VALUES)).alias(f"n_{c}")]
+        v = X.norm_lower(q(c))
+        aggs += [F.expr(f"bool_or({v} IN ({X.lits(GTG_VALUES)}))").alias(f"g_{c}"),
+                 F.expr(f"bool_or({v} IN ({X.lits(NON_GTG_VALUES)}))").alias(f"n_{c}")]
     row = df.agg(*aggs).first()
     for c in present:
         if row[f"g_{c}"]:
@@ -70,7 +70,7 @@ def gtg_filter(df: DataFrame) -> DataFrame:
     how, c = gtg_decision(df)
     if how is None:
         return df
-    v = norm_lower(F.col(c))
+    v = X.norm_lower(q(c))
     if how == "keep":
-        return df.where(v.isin(GTG_VALUES))
-    return df.where(~v.isin(NON_GTG_VALUES))
+        return df.where(F.expr(f"{v} IN ({X.lits(GTG_VALUES)})"))
+    return df.where(F.expr(f"NOT ({v} IN ({X.lits(NON_GTG_VALUES)}))"))

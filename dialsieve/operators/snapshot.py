@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_lower
-from ..schema import ORDER_COLUMNS, col_or_blank, first_present
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, spread_blank
+from ..functions import sql as X
+from ..schema import ORDER_COLUMNS, first_present, sql_or_blank
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
 
 CAMPAIGN_CANDIDATES = ["campaign_name"]
 SNAPSHOT_LINK_CANDIDATES = ["profile_url", "contact_link", "contact_li_url"]
@@ -32,9 +32,10 @@ def snapshot_rows(collated: DataFrame, batch_id: str, loaded_at=None) -> DataFra
         return None
     if loaded_at is not None:
         collated = collated.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
-    return (collated.withColumn("batch_id", F.lit(batch_id))
-                    .withColumn("_campaign_name", norm_lower(col_or_blank(collated, camp)))
-                    .withColumn("_contact_link", norm_lower(col_or_blank(collated, link))))
+    return collated.withColumns({
+        "batch_id": F.lit(batch_id),
+        "_campaign_name": F.expr(X.norm_lower(sql_or_blank(collated, camp))),
+        "_contact_link": F.expr(X.norm_lower(sql_or_blank(collated, link)))})
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
@@ -67,17 +68,16 @@ def snapshot_latest(snap: DataFrame) -> DataFrame:
     return snap.withColumn("_rn", F.row_number().over(_latest_window())).where("_rn = 1").drop("_rn")
 
 
-def extract_key_cols(f3: DataFrame):
-    """(campaign key, link key) Column expressions of an extract."""
+def extract_key_sql(f3: DataFrame) -> tuple[str, str]:
+    """(campaign key, link key) SQL text of an extract."""
     camp = first_present(f3, CAMPAIGN_CANDIDATES)
     link = first_present(f3, EXTRACT_LINK_CANDIDATES)
-    return (norm_lower(col_or_blank(f3, camp) if camp else F.lit("")),
-            norm_lower(col_or_blank(f3, link) if link else F.lit("")))
+    return X.norm_lower(sql_or_blank(f3, camp)), X.norm_lower(sql_or_blank(f3, link))
 
 
 def extract_keys(f3: DataFrame) -> DataFrame:
-    c, l = extract_key_cols(f3)
-    return f3.select(c.alias("_campaign_name"), l.alias("_contact_link"))
+    c, l = extract_key_sql(f3)
+    return f3.selectExpr(f"{c} AS _campaign_name", f"{l} AS _contact_link")
 
 
 def snapshot_lookup(snap: DataFrame, f3: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -109,33 +109,31 @@ def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
     latest = snapshot_latest(_hit_rows(snap, keys))
     s_cols = [c for c in latest.columns if c not in INTERNAL and c not in ORDER_COLUMNS and not c.startswith("_")]
     f_cols = [c for c in f3.columns if c not in ORDER_COLUMNS]
-    rid = [F.col(c) for c in ORDER_COLUMNS if c in f3.columns]
-    kc, kl = extract_key_cols(f3)
-    fx = f3.select("*", spread_blank(kc, *rid).alias("_fk_c"), kl.alias("_fk_l"))
+    kc, kl = extract_key_sql(f3)
+    fx = f3.withColumns({"_fk_c": F.expr(spread_blank_sql(kc, row_id(f3))), "_fk_l": F.expr(kl)})
     right = latest.select(*[F.col(c).alias(f"_s_{c}") for c in s_cols],
                           F.col("_campaign_name").alias("_sk_c"), F.col("_contact_link").alias("_sk_l"),
                           F.lit(True).alias("_matched"))
     # ``right`` holds one row per extract key at most: AQE broadcasts it when small
     j = fx.join(right, (F.col("_fk_c") == F.col("_sk_c")) & (F.col("_fk_l") == F.col("_sk_l")), "left")
-    matched = F.coalesce(F.col("_matched"), F.lit(False))
-
     overrides = {}
     email = first_present(f3, ["email_address"])
     if email:
-        overrides["email_address"] = F.col(email)
+        overrides["email_address"] = email
     phone = first_present(f3, ["dialed_number", "telephone"])
     if phone:
-        overrides["dialed_number"] = F.col(phone)
+        overrides["dialed_number"] = phone
     direct = first_present(f3, ["direct_number", "direct_number_1"])
     if direct:
-        overrides["direct_number"] = F.col(direct)
+        overrides["direct_number"] = direct
 
     out_cols = list(dict.fromkeys(f_cols + s_cols + list(overrides)))
-    sel = [F.col(c) for c in ORDER_COLUMNS if c in f3.columns]
+    sel = [c for c in ORDER_COLUMNS if c in f3.columns]
+    m = "coalesce(_matched, false)"
     for c in out_cols:
-        f_val = F.coalesce(F.col(c).cast("string"), F.lit("")) if c in f_cols else F.lit("")
-        s_val = F.coalesce(F.col(f"_s_{c}").cast("string"), F.lit("")) if c in s_cols else F.lit("")
-        m_val = F.coalesce(overrides[c].cast("string"), F.lit("")) if c in overrides else s_val
-        sel.append(F.when(matched, m_val).otherwise(f_val).alias(c))
-    sel.append(matched.alias("_matched"))
-    return j.select(*sel)
+        f_val = f"coalesce(CAST({X.ref(c)} AS STRING), '')" if c in f_cols else "''"
+        s_val = f"coalesce(CAST({X.ref('_s_' + c)} AS STRING), '')" if c in s_cols else "''"
+        m_val = f"coalesce(CAST({X.ref(overrides[c])} AS STRING), '')" if c in overrides else s_val
+        sel.append(f"CASE WHEN {m} THEN {m_val} ELSE {f_val} END AS {X.ref(c)}")
+    sel.append(f"{m} AS _matched")
+    return j.selectExpr(*sel)

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_timestamp
-from ..functions.text import norm, norm_lower
-from ..schema import col_or_blank, first_present
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, spread_blank
+from ..functions import sql as X
+from ..functions.dates import parse_timestamp_sql
+from ..schema import first_present, q, sql_or_blank
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
 
 # --- fixed values: suppression reasons, in priority order
 DEAD_REASON = "DEAD/DNC Email"
@@ -24,10 +24,6 @@ RPC_DISPOSITIONS = ["bant lead", "lead scored", "operator confirmed", "prospect
 RPC_WINDOW_DAYS = 31
 
 
-def _row_id(df: DataFrame):
-    return [F.col(c) for c in ("src_ord", "row_ord") if c in df.columns]
-
-
 def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFrame | None = None,
                      domain: DataFrame | None = None,
                      broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -38,7 +34,7 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
     toggled off.  The two email lists become one (key, priority) frame, so an
     input row meets one email join and one domain join."""
     out = df
-    rid = _row_id(df)
+    rid = row_id(df)
     email_lists = []
     if dead is not None:
         email_lists.append(dead.select("key", F.lit(1).alias("prio")))
@@ -51,16 +47,16 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
             el = el.unionByName(x)
         el = el.groupBy("key").agg(F.min("prio").alias("_eprio")).withColumnRenamed("key", "_ekey")
         el, _ = bounded_broadcast(el, broadcast_rows)
-        ek = spread_blank(norm_lower(col_or_blank(df, "email_address")), *rid)
-        out = out.withColumn("_ek", ek).join(el, F.col("_ek") == F.col("_ekey"), "left") \
+        ek = spread_blank_sql(X.norm_lower(sql_or_blank(df, "email_address")), rid)
+        out = out.withColumn("_ek", F.expr(ek)).join(el, F.col("_ek") == F.col("_ekey"), "left") \
                  .drop("_ek", "_ekey")
         prio = F.col("_eprio")
     dom = F.lit(False)
     if domain is not None:
         dl = domain.select(F.col("key").alias("_dkey")).distinct().withColumn("_dhit", F.lit(True))
         dl, _ = bounded_broadcast(dl, broadcast_rows)
-        dk = spread_blank(norm_lower(col_or_blank(df, "domain")), *rid)
-        out = out.withColumn("_dk", dk).join(dl, F.col("_dk") == F.col("_dkey"), "left") \
+        dk = spread_blank_sql(X.norm_lower(sql_or_blank(df, "domain")), rid)
+        out = out.withColumn("_dk", F.expr(dk)).join(dl, F.col("_dk") == F.col("_dkey"), "left") \
                  .drop("_dk", "_dkey")
         dom = F.coalesce(F.col("_dhit"), F.lit(False))
     reason = (F.when(prio == 1, F.lit(DEAD_REASON)).when(prio == 2, F.lit(RPC_REASON))
@@ -90,14 +86,14 @@ def update_dead_list(calls: DataFrame, existing: DataFrame | None = None) -> Dat
     if email is None or disp is None:
         return existing
     ord_cols = [F.col(c) for c in ("src_ord", "row_ord") if c in calls.columns] or [F.lit(0)]
-    new = (calls.where(F.lower(norm(F.col(disp))).isin(DEAD_DISPOSITIONS))
-                .select(norm_lower(F.col(email)).alias("email"), F.lit(2).alias("_ver"),
+    new = (calls.where(F.expr(f"{X.norm_lower(q(disp))} IN ({X.lits(DEAD_DISPOSITIONS)})"))
+                .select(F.expr(X.norm_lower(q(email))).alias("email"), F.lit(2).alias("_ver"),
                         F.struct(*ord_cols).cast(old_ord_type(ord_cols)).alias("_ord"))
                 .where(F.col("email") != ""))
     if existing is not None:
         ecol = next((c for c in existing.columns if c.lower() in ("email id", "email", "emailaddress")),
                     existing.columns[0])
-        old = existing.select(norm_lower(F.col(f"`{ecol}`")).alias("email"), F.lit(1).alias("_ver"),
+        old = existing.select(F.expr(X.norm_lower(q(ecol))).alias("email"), F.lit(1).alias("_ver"),
                               _list_order(existing, len(ord_cols)).alias("_ord"))
         new = old.select("email", "_ver", F.col("_ord").cast(old_ord_type(ord_cols))).unionByName(new)
     return _last_per_key(new, "email")
@@ -124,22 +120,22 @@ def update_rpc_list(calls: DataFrame, as_of: dt.datetime, existing: DataFrame |
     if email is None or disp is None:
         return existing
     ord_cols = [F.col(c) for c in ("src_ord", "row_ord") if c in calls.columns] or [F.lit(0)]
-    cond = F.lower(norm(F.col(disp))).isin(RPC_DISPOSITIONS)
+    cond = F.expr(f"{X.norm_lower(q(disp))} IN ({X.lits(RPC_DISPOSITIONS)})")
     if date is not None:
         cutoff = as_of - dt.timedelta(days=RPC_WINDOW_DAYS)
         d = F.col(date)
         ts = d.cast("timestamp") if dict(calls.dtypes)[date] in ("date", "timestamp", "timestamp_ntz") \
-            else parse_timestamp(d)
+            else F.expr(parse_timestamp_sql(q(date)))
         cond = cond & F.coalesce(ts >= F.lit(cutoff), F.lit(False))
     new = (calls.where(cond)
-                .select(norm_lower(F.col(email)).alias("email"), norm(F.col(disp)).alias("disposition"),
+                .select(F.expr(X.norm_lower(q(email))).alias("email"), F.expr(X.norm(q(disp))).alias("disposition"),
                         F.lit(as_of.strftime("%Y-%m-%d")).alias("dialing_date"), F.lit(2).alias("_ver"),
                         F.struct(*ord_cols).cast(old_ord_type(ord_cols)).alias("_ord"))
                 .where(F.col("email") != ""))
     if existing is not None:
         ecol = next((c for c in existing.columns if c.lower() == "email"), existing.columns[0])
         old = existing.select(
-            norm_lower(F.col(f"`{ecol}`")).alias("email"),
+            F.expr(X.norm_lower(q(ecol))).alias("email"),
             (F.col("disposition") if "disposition" in existing.columns else F.lit("")).cast("string").alias("disposition"),
             (F.col("dialing_date") if "dialing_date" in existing.columns else F.lit("")).cast("string").alias("dialing_date"),
             F.lit(1).alias("_ver"),

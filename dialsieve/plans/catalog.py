@@ -175,7 +175,7 @@ def q_limit_breakdown(spark, d):
 
 def q_phone_clean(spark, d):
     c = contact_fields(spark, d)
-    return c.select("row_ord", "tel", digits(F.col("tel")).alias("tel_digits"))
+    return c.select("row_ord", "tel", digits("tel").alias("tel_digits"))
 
 
 def q_phone_validate(spark, d):
@@ -193,27 +193,27 @@ def q_invalid_sample(spark, d):
 
 def q_url_clean(spark, d):
     p = B.table(spark, d, "pages")
-    return p.select(F.col("page_id").alias("row_ord"), "url", clean_url(F.col("url")).alias("url_clean"))
+    return p.select(F.col("page_id").alias("row_ord"), "url", clean_url("url").alias("url_clean"))
 
 
 def q_timezone_map(spark, d):
     c = contact_fields(spark, d)
-    return c.select("row_ord", "country", "state", timezone(F.col("country"), F.col("state")).alias("timezone"))
+    return c.select("row_ord", "country", "state", timezone("country", "state").alias("timezone"))
 
 
 def q_area_code(spark, d):
     c = contact_fields(spark, d)
-    return c.select("row_ord", "tel", area_code(digits(F.col("tel"))).alias("ph_area_code"))
+    return c.select("row_ord", "tel", area_code("tel").alias("ph_area_code"))
 
 
 def q_fingerprints(spark, d):
     c = clean_columns(collated(spark, d))
-    camp_lc = F.lower(F.trim(F.col("campaign_name")))
+    c = c.withColumn("_camp_lc", F.lower(F.trim("campaign_name")))
     return c.select("src_ord", "row_ord",
-                    fingerprint(F.col("profile_url"), F.col("full_name")).alias("contactid"),
-                    fingerprint(F.col("org_name"), F.col("country")).alias("companyid"),
-                    fingerprint(F.col("profile_url"), camp_lc).alias("li_cmp_md1"),
-                    fingerprint(F.col("full_name"), F.col("org_name"), camp_lc).alias("fnln_comp_cmp_md2"),
+                    fingerprint("profile_url", "full_name").alias("contactid"),
+                    fingerprint("org_name", "country").alias("companyid"),
+                    fingerprint("profile_url", "_camp_lc").alias("li_cmp_md1"),
+                    fingerprint("full_name", "org_name", "_camp_lc").alias("fnln_comp_cmp_md2"),
                     contacted(c).alias("contacted"))
 
 
@@ -240,7 +240,7 @@ def q_date_parse(spark, d):
             .when(et == "signup", F.when(F.col("event_id") % 2 == 0, F.lit("-")).otherwise(F.lit("x")))
             .otherwise(F.lit("")))
     return e.select(F.col("event_id").alias("row_ord"), raw.alias("raw")) \
-            .withColumn("parsed", parse_date(F.col("raw")))
+            .withColumn("parsed", parse_date("raw"))
 
 
 def q_iso_week(spark, d):

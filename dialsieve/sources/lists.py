@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import digits, norm_lower
+from ..functions import sql as X
+from ..schema import q
 
 # --- fixed values: key-column candidates per list
 DEAD_KEYS = ["email id", "email", "Email ID", "Email"]
@@ -22,13 +23,11 @@ def suppression_keys(raw: DataFrame, candidates: Sequence[str]) -> DataFrame:
     wins, else the first column."""
     lowered = {c.strip().lower(): c for c in raw.columns}
     found = next((lowered[c.lower()] for c in candidates if c.lower() in lowered), raw.columns[0])
-    k = norm_lower(F.col(f"`{found}`"))
-    return raw.select(k.alias("key")).where(F.col("key") != "").distinct()
+    return raw.selectExpr(f"{X.norm_lower(q(found))} AS key").where(F.col("key") != "").distinct()
 
 
 def direct_dial_keys(raw: DataFrame) -> DataFrame:
     """Distinct digits-only numbers (column ``phone``) of a direct-dial list;
     the first column whose name contains 'phone' or 'number', else the first."""
     found = next((c for c in raw.columns if "phone" in c.lower() or "number" in c.lower()), raw.columns[0])
-    p = digits(F.col(f"`{found}`"))
-    return raw.select(p.alias("phone")).where(~F.col("phone").isin("", "0")).distinct()
+    return raw.selectExpr(f"{X.digits(q(found))} AS phone").where(~F.col("phone").isin("", "0")).distinct()

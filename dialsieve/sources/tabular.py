@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SCAN_NA_TOKENS, blank_tokens
-from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, ORDER_COLUMNS, canonicalize, dedupe_columns
+from ..functions import sql as X
+from ..functions.text import SCAN_NA_TOKENS
+from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, ORDER_COLUMNS, canonicalize, dedupe_columns, q
 
 
 def blank_na(df: DataFrame, keep: Sequence[str] = ORDER_COLUMNS, tokens=SCAN_NA_TOKENS) -> DataFrame:
     """Every data column as a string; NA spellings and nulls become ''.  Headers trimmed."""
     df = dedupe_columns(df)
-    return df.select([F.col(f"`{c}`") if c in keep else blank_tokens(F.col(f"`{c}`"), tokens).alias(c)
-                      for c in df.columns])
+    return df.selectExpr(*[q(c) if c in keep else f"{X.blank_tokens(q(c), tokens)} AS {q(c)}"
+                           for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", options: dict | None = None) -> DataFrame:
