@@ -13,6 +13,20 @@ from ..schema import q
 # (checked with a bounded count); above it the join is a shuffle join and AQE
 # may still pick a broadcast from runtime statistics.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+# Inputs whose optimizer size estimate is below this are broadcast without a
+# counting job.  The estimate comes from file sizes (compressed), so the real
+# in-memory size can be a few times larger - still far below any broadcast
+# limit at this threshold.
+ESTIMATE_FAST_BYTES = 4 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (no job), or None."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001 - estimates are best effort
+        return None
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -25,6 +39,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     decides from runtime statistics."""
     if max_rows <= 0:
         return df, False
+    est = estimated_bytes(bound if bound is not None else df)
+    if est is not None and est <= ESTIMATE_FAST_BYTES:
+        return F.broadcast(df), True
     n = (bound if bound is not None else df).limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True

@@ -29,49 +29,44 @@ F1_MAX_NATION = 16   # Format-1 file: customers of nations 0..16
 F2_MIN_NATION = 8    # Format-2 file: customers of nations 8..24 (8..16 in both)
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table (the scan handle is reused within a session: listing and
+    footer reads happen once; the DataFrame itself is immutable)."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _TABLES[key]
 
 
 def _txt(c: Column) -> Column:
     return c.cast("string")
 
 
-def _pad4(c: Column) -> Column:
-    return F.lpad(_txt(c), 4, "0")
-
-
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contact per customer, with messy emails, phones, states, countries and URLs."""
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    email = F.when(k % 50 == 0, F.lit("")).otherwise(F.concat(
-        F.when(k % 3 == 0, F.lit(" U")).otherwise(F.lit("u")), _txt(k % 1000),
-        F.lit("@Corp"), _txt(k % 40), F.lit(".com ")))
-    m12 = k % 12
-    tel = (F.when(m12 == 0, F.lit("")).when(m12 == 1, F.lit("-")).when(m12 == 2, F.lit("call me 555"))
-            .when(m12 == 3, F.lit("12345")).when(m12 == 4, F.lit("1234567890123456"))
-            .when(m12 == 5, F.lit("777-777-7777")).when(m12 == 6, F.lit("(123) 555-0100"))
-            .when(m12 == 7, F.lit("212-100-0000"))
-            .when(m12 == 8, F.concat(F.lit("+1 (212) 555-"), _pad4(k % 10000)))
-            .when(m12 == 9, F.concat(F.lit("+44 20 7946 "), _pad4(k % 10000)))
-            .when(m12 == 10, F.concat(F.lit("555-"), _pad4(k % 10000)))
-            .otherwise(F.concat(F.lit("212.555."), _pad4(F.floor(k / 12).cast("long") % 100))))
-    m7 = k % 7
-    state = (F.when(m7 == 0, "CA").when(m7 == 1, "tx ").when(m7 == 2, "NY").when(m7 == 3, "ON")
-              .when(m7 == 4, "BC").when(m7 == 5, "ZZ").otherwise(""))
-    m8 = k % 8
-    country = (F.when(m8 == 0, "USA").when(m8 == 1, "u.s.").when(m8 == 2, "Canada").when(m8 == 3, "ca")
-                .when(m8 == 4, "Germany").when(m8 == 5, " India ").when(m8 == 6, "United States").otherwise(""))
-    url = F.concat(F.lit("https://LinkedIn.com/in/u"), _txt(k),
-                   F.when(k % 2 == 0, F.lit("/")).otherwise(F.lit("?trk=1")))
-    return c.select(
-        k.alias("row_ord"), F.col("c_nationkey").alias("nation"),
-        F.col("c_mktsegment").alias("campaign"), F.col("c_name").alias("full_name"),
-        F.concat(F.lit("Org "), _txt(k % 97)).alias("org"), email.alias("email"),
-        F.concat(F.lit("corp"), _txt(k % 40), F.lit(".COM")).alias("domain"),
-        tel.alias("tel"), state.alias("state"), country.alias("country"), url.alias("profile_url"),
-        F.when(F.col("c_acctbal") >= 5000, F.lit("High Intent")).otherwise(F.lit("")).alias("intent"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS row_ord", "c_nationkey AS nation", "c_mktsegment AS campaign", "c_name AS full_name",
+        "concat('Org ', CAST(c_custkey % 97 AS STRING)) AS org",
+        "CASE WHEN c_custkey % 50 = 0 THEN '' ELSE concat(CASE WHEN c_custkey % 3 = 0 THEN ' U' ELSE 'u' END, "
+        "CAST(c_custkey % 1000 AS STRING), '@Corp', CAST(c_custkey % 40 AS STRING), '.com ') END AS email",
+        "concat('corp', CAST(c_custkey % 40 AS STRING), '.COM') AS domain",
+        "CASE c_custkey % 12 WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN 'call me 555' WHEN 3 THEN '12345' "
+        "WHEN 4 THEN '1234567890123456' WHEN 5 THEN '777-777-7777' WHEN 6 THEN '(123) 555-0100' "
+        "WHEN 7 THEN '212-100-0000' "
+        "WHEN 8 THEN concat('+1 (212) 555-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) "
+        "WHEN 9 THEN concat('+44 20 7946 ', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) "
+        "WHEN 10 THEN concat('555-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) "
+        "ELSE concat('212.555.', lpad(CAST(CAST(floor(c_custkey / 12) AS BIGINT) % 100 AS STRING), 4, '0')) END AS tel",
+        "CASE c_custkey % 7 WHEN 0 THEN 'CA' WHEN 1 THEN 'tx ' WHEN 2 THEN 'NY' WHEN 3 THEN 'ON' WHEN 4 THEN 'BC' "
+        "WHEN 5 THEN 'ZZ' ELSE '' END AS state",
+        "CASE c_custkey % 8 WHEN 0 THEN 'USA' WHEN 1 THEN 'u.s.' WHEN 2 THEN 'Canada' WHEN 3 THEN 'ca' "
+        "WHEN 4 THEN 'Germany' WHEN 5 THEN ' India ' WHEN 6 THEN 'United States' ELSE '' END AS country",
+        "concat('https://LinkedIn.com/in/u', CAST(c_custkey AS STRING), "
+        "CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '?trk=1' END) AS profile_url",
+        "CASE WHEN c_acctbal >= 5000 THEN 'High Intent' ELSE '' END AS intent")
 
 
 def contact_file(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
@@ -94,30 +89,21 @@ def contact_files(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str
     return [(contact_file(spark, sf_dir, "1"), "1"), (contact_file(spark, sf_dir, "2"), "2")]
 
 
-def _dgs(event_type: Column) -> Column:
-    return (F.when(event_type == "click", "Prospect Call Back").when(event_type == "view", "Ringing No Response")
-             .when(event_type == "error", "Dead Contact").when(event_type == "signup", "BANT Lead")
-             .otherwise("DNC Prospect"))
-
-
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per event; ``(call_id, dialed_number)`` repeats on purpose."""
-    e = table(spark, sf_dir, "events")
-    u = F.col("user_id")
-    m5 = u % 5
-    campaign = (F.when(m5 == 0, "automobile").when(m5 == 1, "building").when(m5 == 2, "furniture")
-                 .when(m5 == 3, "household").otherwise("machinery"))
-    return e.select(
-        F.col("event_id").alias("row_ord"),
-        _txt(u * 1000 + F.col("event_id") % 50).alias("call_id"),
-        F.concat(F.lit("(212) 555-"), _pad4(u)).alias("dialed_raw"),
-        F.concat(F.lit("212555"), _pad4(u)).alias("dialed_number"),
-        F.col("ts").cast("date").alias("pbx_dialing_date"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("pbx_text"),
-        F.concat(F.lit("U"), _txt(u), F.lit("@corp"), _txt(u % 40), F.lit(".com")).alias("email"),
-        _dgs(F.col("event_type")).alias("dgs"), F.col("event_type"),
-        campaign.alias("campaign"),
-        F.concat(F.lit("https://linkedin.com/in/u"), _txt(u), F.lit("/")).alias("contact_link"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS row_ord", "CAST(user_id * 1000 + event_id % 50 AS STRING) AS call_id",
+        "concat('(212) 555-', lpad(CAST(user_id AS STRING), 4, '0')) AS dialed_raw",
+        "concat('212555', lpad(CAST(user_id AS STRING), 4, '0')) AS dialed_number",
+        "CAST(ts AS DATE) AS pbx_dialing_date",
+        "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS pbx_text",
+        "concat('U', CAST(user_id AS STRING), '@corp', CAST(user_id % 40 AS STRING), '.com') AS email",
+        "CASE event_type WHEN 'click' THEN 'Prospect Call Back' WHEN 'view' THEN 'Ringing No Response' "
+        "WHEN 'error' THEN 'Dead Contact' WHEN 'signup' THEN 'BANT Lead' ELSE 'DNC Prospect' END AS dgs",
+        "event_type",
+        "CASE user_id % 5 WHEN 0 THEN 'automobile' WHEN 1 THEN 'building' WHEN 2 THEN 'furniture' "
+        "WHEN 3 THEN 'household' ELSE 'machinery' END AS campaign",
+        "concat('https://linkedin.com/in/u', CAST(user_id AS STRING), '/') AS contact_link")
 
 
 def call_file(spark: SparkSession, sf_dir: str, date_from: dt.date | None = None,
@@ -142,38 +128,32 @@ def extract_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-    ok, ck, pr = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
-    qa = (F.when(F.col("o_orderstatus") == "F", "GTG").when(F.col("o_orderstatus") == "O", "Failed")
-           .otherwise("Pending"))
-    dgs = (F.when(pr == "1-URGENT", "Ringing No Response").when(pr == "2-HIGH", "RPC VM Reached")
-            .when(pr == "3-MEDIUM", "Lead Scored").when(pr == "4-NOT SPECIFIED", "Toll Free Number")
-            .otherwise("Completed"))
-    return j.select(
-        ok.alias("row_ord"),
-        F.when(ok % 7 == 0, F.lit("other")).otherwise(F.lower("c_mktsegment")).alias("campaignName"),
-        F.concat(F.lit(" https://linkedin.com/in/u"), _txt(ck),
-                 F.when(ck % 2 == 0, F.lit("/")).otherwise(F.lit("?trk=1"))).alias("Contact Link"),
-        qa.alias("QA_Final_Status"),
-        F.concat(F.lit("u"), _txt(ck % 1000), F.lit("@corp"), _txt(ck % 40), F.lit(".com")).alias("EmailAddress"),
-        F.concat(F.lit("(212) 555-"), _pad4(ck % 1000)).alias("Dialed Number"),
-        F.when(pr.isin("1-URGENT", "2-HIGH"), F.concat(F.lit("212-555-"), _pad4(ck % 1000)))
-         .otherwise(F.lit("")).alias("Direct Number"),
-        dgs.alias("DGS Disposition"), F.col("c_name").alias("Full_Name"),
-        F.concat(F.lit("Asset "), pr).alias("Asset Pitched"), _txt(ok).alias("call_id"))
+    return j.selectExpr(
+        "o_orderkey AS row_ord",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE lower(c_mktsegment) END AS campaignName",
+        "concat(' https://linkedin.com/in/u', CAST(o_custkey AS STRING), "
+        "CASE WHEN o_custkey % 2 = 0 THEN '/' ELSE '?trk=1' END) AS `Contact Link`",
+        "CASE o_orderstatus WHEN 'F' THEN 'GTG' WHEN 'O' THEN 'Failed' ELSE 'Pending' END AS QA_Final_Status",
+        "concat('u', CAST(o_custkey % 1000 AS STRING), '@corp', CAST(o_custkey % 40 AS STRING), '.com') AS EmailAddress",
+        "concat('(212) 555-', lpad(CAST(o_custkey % 1000 AS STRING), 4, '0')) AS `Dialed Number`",
+        "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') "
+        "THEN concat('212-555-', lpad(CAST(o_custkey % 1000 AS STRING), 4, '0')) ELSE '' END AS `Direct Number`",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'Ringing No Response' WHEN '2-HIGH' THEN 'RPC VM Reached' "
+        "WHEN '3-MEDIUM' THEN 'Lead Scored' WHEN '4-NOT SPECIFIED' THEN 'Toll Free Number' ELSE 'Completed' END "
+        "AS `DGS Disposition`",
+        "c_name AS Full_Name", "concat('Asset ', o_orderpriority) AS `Asset Pitched`",
+        "CAST(o_orderkey AS STRING) AS call_id")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log rows (one per order); many ties on ``logged_at``."""
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    return o.select(
-        k.alias("id"), F.col("o_orderdate").alias("logged_at"),
-        F.concat(F.lit("user"), _txt(F.col("o_custkey") % 5)).alias("username"),
-        F.when(k % 3 == 0, F.lit("rechurn")).otherwise(F.lit("contact")).alias("pipeline"),
-        F.concat(F.lit("b"), _txt(k % 200)).alias("batch_id"),
-        F.when(k % 11 == 0, F.lit("  ")).otherwise(F.col("o_orderpriority")).alias("campaign_name"),
-        (k % 1000).alias("total_rows"), (k % 700).alias("gtg_rows"),
-        (k % 200).alias("suppressed"), (k % 100).alias("over_limit"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "o_orderdate AS logged_at", "concat('user', CAST(o_custkey % 5 AS STRING)) AS username",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'rechurn' ELSE 'contact' END AS pipeline",
+        "concat('b', CAST(o_orderkey % 200 AS STRING)) AS batch_id",
+        "CASE WHEN o_orderkey % 11 = 0 THEN '  ' ELSE o_orderpriority END AS campaign_name",
+        "o_orderkey % 1000 AS total_rows", "o_orderkey % 700 AS gtg_rows",
+        "o_orderkey % 200 AS suppressed", "o_orderkey % 100 AS over_limit")
 
 
 # --- list files derived from the call log ----------------------------------
