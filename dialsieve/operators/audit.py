@@ -32,15 +32,19 @@ def campaign_list(df: DataFrame) -> DataFrame:
                 .select(F.coalesce("campaigns", F.lit("")).alias("campaigns"))
 
 
-def batch_campaign(tagged: DataFrame, fallback: str = "") -> str:
-    """Batch-level campaign: first non-blank campaign among GTG rows, else
-    suppressed, else over-limit rows, else ``fallback``.  One bounded row."""
+def batch_campaign_frame(tagged: DataFrame) -> DataFrame:
+    """One row, one column: the first non-blank campaign among GTG rows, else
+    suppressed, else over-limit rows (NULL when there is none)."""
     c = F.expr(X.norm(sql_or_blank(tagged, "campaign_name")))
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv])[F.col("row_status")],
-                      F.lit(9))
-    row = (tagged.where(c != "")
-                 .agg(F.min_by(c, F.struct(rank, *[F.col(x) for x in ORDER_COLUMNS if x in tagged.columns])).alias("v"))
-                 .first())
+    rank = F.expr("CASE row_status WHEN 'GTG' THEN 1 WHEN 'SUPPRESSED' THEN 2 ELSE 3 END")
+    return (tagged.where(c != "")
+                  .agg(F.min_by(c, F.struct(rank, *[F.col(x) for x in ORDER_COLUMNS if x in tagged.columns]))
+                       .alias("v")))
+
+
+def batch_campaign(tagged: DataFrame, fallback: str = "") -> str:
+    """Batch-level campaign as a Python value (one bounded row), for run logs."""
+    row = batch_campaign_frame(tagged).first()
     return (row["v"] if row and row["v"] else "") or fallback
 
 
@@ -63,9 +67,13 @@ def audit_rows(tagged: DataFrame, batch_id: str, processed_at: dt.datetime, camp
     (export labels) plus its reasons - a suppressed row carries no dial-limit
     reason, as it was never checked."""
     if batch_campaign_name is None:
-        batch_campaign_name = batch_campaign(tagged, campaign_code)
+        # a scalar subquery: computed once inside the same query, no collect
+        fallback = F.coalesce(batch_campaign_frame(tagged).scalar(), F.lit(campaign_code))
+    else:
+        fallback = F.lit(batch_campaign_name)
     c = X.norm(sql_or_blank(tagged, "campaign_name"))
-    camp = f"CASE WHEN {c} IN ({X.lits(BLANK_CAMPAIGN)}) THEN {X.lit(batch_campaign_name)} ELSE {c} END"
+    tagged = tagged.withColumn("_fallback_campaign", fallback)
+    camp = f"CASE WHEN {c} IN ({X.lits(BLANK_CAMPAIGN)}) THEN _fallback_campaign ELSE {c} END"
     row_json = (f"CASE WHEN row_status = 'SUPPRESSED' THEN {_json_sql(tagged, False)} "
                 f"ELSE {_json_sql(tagged, True)} END")
     order = [x for x in ORDER_COLUMNS if x in tagged.columns]

@@ -39,38 +39,38 @@ def rechurn_filter(f3: DataFrame, keywords=RECHURN_KEYWORDS) -> DataFrame:
     return f3.where(F.expr(f"{X.norm_lower(q(col))} rlike {X.lit(rechurn_pattern(keywords))}"))
 
 
-def gtg_decision(df: DataFrame) -> tuple[str | None, str | None]:
-    """A10: which QA column decides and how: ('keep'|'drop', column) or (None, None).
-
-    The any-match flags of every present QA column come from ONE aggregate
-    (a single row of booleans, map-side combined); only that row reaches the
-    driver."""
+def gtg_decision(df: DataFrame) -> DataFrame | None:
+    """A10: one-row, one-column frame with the decision code, or None when no
+    QA column is present.  Code 2i+1 = keep the GTG rows of QA column i, 2i+2
+    = drop the failed rows of column i, 0 = keep everything.  The any-match
+    flags are aggregates (map-side combined)."""
     present = [c for c in QA_COLUMNS if c in df.columns]
     if not present:
-        return None, None
-    aggs = []
-    for c in present:
+        return None
+    branches = []
+    for i, c in enumerate(present):
         v = X.norm_lower(q(c))
-        aggs += [F.expr(f"bool_or({v} IN ({X.lits(GTG_VALUES)}))").alias(f"g_{c}"),
-                 F.expr(f"bool_or({v} IN ({X.lits(NON_GTG_VALUES)}))").alias(f"n_{c}")]
-    row = df.agg(*aggs).first()
-    for c in present:
-        if row[f"g_{c}"]:
-            return "keep", c
-        if row[f"n_{c}"]:
-            return "drop", c
-    return None, None
+        branches.append(f"WHEN bool_or({v} IN ({X.lits(GTG_VALUES)})) THEN {2 * i + 1}")
+        branches.append(f"WHEN bool_or({v} IN ({X.lits(NON_GTG_VALUES)})) THEN {2 * i + 2}")
+    return df.agg(F.expr("CASE " + " ".join(branches) + " ELSE 0 END").alias("decision"))
 
 
 def gtg_filter(df: DataFrame) -> DataFrame:
     """FL4: for the first QA column holding any GTG value keep only GTG rows;
     else for the first holding any failure value drop those rows; else keep all.
-    The decision depends on all rows, so it is a global aggregate, not a
-    per-partition choice."""
-    how, c = gtg_decision(df)
-    if how is None:
+
+    The decision depends on all rows, so it is a global aggregate; it enters
+    the filter as a scalar subquery (computed once, no driver round trip, no
+    join)."""
+    decision = gtg_decision(df)
+    if decision is None:
         return df
-    v = X.norm_lower(q(c))
-    if how == "keep":
-        return df.where(F.expr(f"{v} IN ({X.lits(GTG_VALUES)})"))
-    return df.where(F.expr(f"NOT ({v} IN ({X.lits(NON_GTG_VALUES)}))"))
+    present = [c for c in QA_COLUMNS if c in df.columns]
+    d = decision.scalar()
+    cond = F.lit(True)
+    for i, c in reversed(list(enumerate(present))):
+        v = X.norm_lower(q(c))
+        cond = (F.when(d == 2 * i + 1, F.expr(f"{v} IN ({X.lits(GTG_VALUES)})"))
+                 .when(d == 2 * i + 2, F.expr(f"NOT ({v} IN ({X.lits(NON_GTG_VALUES)}))"))
+                 .otherwise(cond))
+    return df.where(cond)

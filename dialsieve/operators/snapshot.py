@@ -95,18 +95,25 @@ def _hit_rows(snap: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS, keys_from: DataFrame | None = None) -> DataFrame:
     """Each extract row joined to its snapshot row (one per key).
 
     Matched: the snapshot's fields, with email, dialled number and direct
     number taken from the extract (when it has them); extract-only columns are
     ''.  Unmatched: the extract row as it is, snapshot-only columns ''.  Column
     aliases are resolved per side before the merge, so unmatched rows keep
-    their own campaign, name and link.  Order columns are the extract's."""
+    their own campaign, name and link.  Order columns are the extract's.
+
+    ``keys_from`` may give the raw extract the rows came from: its keys (a
+    superset) select the snapshot rows, so the lookup branch does not
+    recompute whatever produced ``f3``."""
     if snap is None:
         return f3
-    keys, _ = bounded_broadcast(extract_keys(f3).distinct(), broadcast_rows, bound=f3)
-    latest = snapshot_latest(_hit_rows(snap, keys))
+    # ``f3`` here is usually derived (the rows that passed suppression and
+    # limits), so its size is not counted: the semi join shuffles on the key,
+    # the latest-wins window reuses that partitioning, and AQE switches to a
+    # broadcast when the extract's keys turn out small at run time.
+    latest = snapshot_latest(_hit_rows(snap, extract_keys(keys_from if keys_from is not None else f3).distinct()))
     s_cols = [c for c in latest.columns if c not in INTERNAL and c not in ORDER_COLUMNS and not c.startswith("_")]
     f_cols = [c for c in f3.columns if c not in ORDER_COLUMNS]
     kc, kl = extract_key_sql(f3)

@@ -26,6 +26,6 @@ def rechurn_output(f3: DataFrame, snapshot: DataFrame | None, lists: Lists, hist
     """Lazy P2 output (66 columns)."""
     tagged = rechurn_tagged(f3, lists, history, limits, filter_rechurn)
     allowed = tagged.where(F.col("row_status") == "GTG").drop("suppression_reason", "dial_limit_reason", "row_status")
-    merged = rechurn_merge(allowed, snapshot).drop("_matched")
+    merged = rechurn_merge(allowed, snapshot, keys_from=f3).drop("_matched")
     out = transform_and_output(merged, run_ts)
     return out.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
