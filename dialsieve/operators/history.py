@@ -101,7 +101,7 @@ def ingest_counts(batch_aligned: DataFrame, inserted: DataFrame) -> DataFrame:
 def with_store_columns(rows: DataFrame, batch_id: str, loaded_at: dt.datetime) -> DataFrame:
     return (rows.withColumn("batch_id", F.lit(batch_id))
                 .withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
-                .withColumn("dial_week", week_start(F.col("pbx_dialing_date"))))
+                .withColumn("dial_week", week_start("pbx_dialing_date")))
 
 
 def append_history(spark: SparkSession, store_path: str, raw_batch: DataFrame, batch_id: str,

@@ -375,6 +375,19 @@ def q_rpc_list_update(spark, d):
     return update_rpc_list(_upload(spark, d), B.AS_OF, B.rpc_list_file(spark, d))
 
 
+def q_history_ingest_stream(spark, d):
+    """K1 stream mode: the call log lands as files in a folder under the shared
+    checkpoint directory and is ingested by a file stream (availableNow)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming.ingest import ingest_stream
+    base = f"{checkpoint_dir(spark).rstrip('/')}/history-stream-{uuid.uuid4().hex[:12]}"
+    B.call_file(spark, d).write.parquet(f"{base}/landing")
+    ingest_stream(spark, f"{base}/landing", f"{base}/store", f"{base}/progress", loaded_at=RUN_AT)
+    return spark.read.parquet(f"{base}/store").select(*_HIST_OUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -455,6 +455,9 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
         "SELECT e.row_ord, e.campaign_name, e.contact_link FROM extract e JOIN (SELECT DISTINCT "
         f"{nl('campaign_name')} AS camp, {nl('contact_link')} AS link FROM store2) pc "
         f"ON {nl('e.campaign_name')} = pc.camp AND {nl('e.contact_link')} = pc.link")
+    q["history_ingest_stream"] = with_(CALLS, f"a AS ({hist_select()})") + (
+        f"SELECT {hout} FROM a QUALIFY row_number() OVER (PARTITION BY call_id, dialed_number "
+        "ORDER BY src_ord, row_ord) = 1")
     q["history_preview"] = with_(*hx) + (
         "SELECT row_ord, call_id, dialed_number, pbx_dialing_date FROM store2 ORDER BY src_ord, row_ord LIMIT 200")
 
