@@ -107,3 +107,9 @@ def area_code(x: str) -> str:
 
 def lit_map(d: dict) -> str:
     return "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in d.items()) + ")"
+
+
+def ts_ntz(value) -> str:
+    """A wall-clock timestamp literal (no time zone), from a datetime or text."""
+    text = value.strftime("%Y-%m-%d %H:%M:%S") if hasattr(value, "strftime") else str(value)
+    return f"CAST({lit(text)} AS TIMESTAMP_NTZ)"

@@ -79,7 +79,7 @@ def audit_rows(tagged: DataFrame, batch_id: str, processed_at: dt.datetime, camp
     order = [x for x in ORDER_COLUMNS if x in tagged.columns]
     return tagged.selectExpr(
         *order, f"{X.lit(batch_id)} AS batch_id",
-        f"CAST({X.lit(processed_at.strftime('%Y-%m-%d %H:%M:%S'))} AS TIMESTAMP) AS processed_at",
+        f"{X.ts_ntz(processed_at)} AS processed_at",
         f"{camp} AS campaign_code", f"{camp} AS campaign_name", f"{X.lit(campaign_type)} AS campaign_type",
         "row_status", "suppression_reason",
         "CASE WHEN row_status = 'OVER_LIMIT' THEN dial_limit_reason ELSE '' END AS dial_limit_reason",
@@ -110,7 +110,7 @@ def activity_row(metrics: DataFrame, logged_at: dt.datetime, username: str, pipe
                  campaign_name: str, notes: str = "") -> DataFrame:
     """K4: the run-log row built from the metrics frame."""
     return metrics.select(
-        F.lit(logged_at).cast("timestamp").alias("logged_at"), F.lit(username).alias("username"),
+        F.expr(X.ts_ntz(logged_at)).alias("logged_at"), F.lit(username).alias("username"),
         F.lit(pipeline).alias("pipeline"), F.lit(batch_id).alias("batch_id"),
         F.lit(campaign_name).alias("campaign_name"), "total_rows", "gtg_rows", "suppressed", "over_limit",
         "dedup_removed", F.lit(notes).alias("notes"))

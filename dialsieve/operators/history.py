@@ -100,7 +100,7 @@ def ingest_counts(batch_aligned: DataFrame, inserted: DataFrame) -> DataFrame:
 
 def with_store_columns(rows: DataFrame, batch_id: str, loaded_at: dt.datetime) -> DataFrame:
     return (rows.withColumn("batch_id", F.lit(batch_id))
-                .withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
+                .withColumn("loaded_at", F.expr(X.ts_ntz(loaded_at)))
                 .withColumn("dial_week", week_start("pbx_dialing_date")))
 
 

@@ -31,7 +31,7 @@ def snapshot_rows(collated: DataFrame, batch_id: str, loaded_at=None) -> DataFra
     if camp is None or link is None:
         return None
     if loaded_at is not None:
-        collated = collated.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
+        collated = collated.withColumn("loaded_at", F.expr(X.ts_ntz(loaded_at)))
     return collated.withColumns({
         "batch_id": F.lit(batch_id),
         "_campaign_name": F.expr(X.norm_lower(sql_or_blank(collated, camp))),

@@ -122,11 +122,11 @@ def update_rpc_list(calls: DataFrame, as_of: dt.datetime, existing: DataFrame |
     ord_cols = [F.col(c) for c in ("src_ord", "row_ord") if c in calls.columns] or [F.lit(0)]
     cond = F.expr(f"{X.norm_lower(q(disp))} IN ({X.lits(RPC_DISPOSITIONS)})")
     if date is not None:
+        # compared as wall-clock (no time zone) values on both sides
         cutoff = as_of - dt.timedelta(days=RPC_WINDOW_DAYS)
-        d = F.col(date)
-        ts = d.cast("timestamp") if dict(calls.dtypes)[date] in ("date", "timestamp", "timestamp_ntz") \
-            else F.expr(parse_timestamp_sql(q(date)))
-        cond = cond & F.coalesce(ts >= F.lit(cutoff), F.lit(False))
+        typed = dict(calls.dtypes)[date] in ("date", "timestamp", "timestamp_ntz")
+        ts = f"CAST({q(date)} AS TIMESTAMP_NTZ)" if typed else f"CAST({parse_timestamp_sql(q(date))} AS TIMESTAMP_NTZ)"
+        cond = cond & F.expr(f"coalesce({ts} >= {X.ts_ntz(cutoff)}, false)")
     new = (calls.where(cond)
                 .select(F.expr(X.norm_lower(q(email))).alias("email"), F.expr(X.norm(q(disp))).alias("disposition"),
                         F.lit(as_of.strftime("%Y-%m-%d")).alias("dialing_date"), F.lit(2).alias("_ver"),
