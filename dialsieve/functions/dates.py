@@ -20,11 +20,30 @@ DATE_FORMATS = [
 
 DATE_BLANKS = ["", "-", "nan", "NaT", "NAT"]
 
+# the shape of a value each format can parse (disjoint shapes), used to make
+# one parse attempt per row instead of failing through the list
+_D2, _D4 = "[0-9]{2}", "[0-9]{4}"
+_SHAPES = {
+    "yyyy-MM-dd": f"^{_D4}-{_D2}-{_D2}$",
+    "yyyy-MM-dd HH:mm:ss": f"^{_D4}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": f"^{_D4}-{_D2}-{_D2}T{_D2}:{_D2}:{_D2}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": f"^{_D4}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}[.][0-9]{{6}}$",
+    "MM/dd/yyyy": f"^{_D2}/{_D2}/{_D4}$",
+    "MM/dd/yyyy HH:mm:ss": f"^{_D2}/{_D2}/{_D4} {_D2}:{_D2}:{_D2}$",
+    "yyyy/MM/dd": f"^{_D4}/{_D2}/{_D2}$",
+}
+
 
 def parse_timestamp_sql(x: str) -> str:
+    """Formats tried in order.  A value whose shape matches one format gets
+    exactly that parse attempt (a failed parse is costly in the JVM); any
+    other value falls back to trying the whole list."""
     v = X.norm(x)
     tries = ", ".join(f"try_to_timestamp({v}, {X.lit(f)})" for f in DATE_FORMATS)
-    return f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) ELSE coalesce({tries}) END"
+    shaped = " ".join(f"WHEN {v} rlike {X.lit(_SHAPES[f])} THEN try_to_timestamp({v}, {X.lit(f)})"
+                      for f in DATE_FORMATS)
+    return (f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) {shaped} "
+            f"ELSE coalesce({tries}) END")
 
 
 def parse_date_sql(x: str) -> str:
