@@ -29,9 +29,11 @@ def lits(values: Iterable[str]) -> str:
 
 BLANK = "''"
 
-# Unicode whitespace plus the file/group/record/unit separators, as a
-# scripting-language strip() sees them.
-_EDGE_WS = r"r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
+# The characters a scripting-language strip() removes: every code point whose
+# str.isspace() is true (Unicode whitespace plus the file/group/record/unit
+# separators), generated by that rule and written as \uXXXX escapes.
+_WS_CHARS = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+_WS_SET = "'" + "".join(f"\\u{ord(c):04x}" for c in _WS_CHARS) + "'"
 
 
 def s(x: str) -> str:
@@ -40,8 +42,9 @@ def s(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    """Strip leading/trailing Unicode whitespace; null -> ''."""
-    return f"regexp_replace({s(x)}, {_EDGE_WS}, '')"
+    """Strip leading/trailing Unicode whitespace; null -> ''.  A trim with an
+    explicit character set: a scan of the two edges, no regex."""
+    return f"trim(BOTH {_WS_SET} FROM {s(x)})"
 
 
 def norm_lower(x: str) -> str:
@@ -59,16 +62,9 @@ def blank_tokens(x: str, tokens: Iterable[str]) -> str:
 
 
 def blank_whole(x: str, tokens: Iterable[str]) -> str:
-    """Trim, then '' when the whole value is one of ``tokens`` (one regex pass)."""
-    alt = "|".join(_re_escape(t) for t in tokens)
-    return f"regexp_replace({norm(x)}, r'^(?:{alt})$', '')"
-
-
-def _re_escape(t: str) -> str:
-    out = []
-    for ch in t:
-        out.append("\\" + ch if ch in r".^$*+?()[]{}|\/-<>" else ch)
-    return "".join(out)
+    """Trim, then '' when the whole value is one of ``tokens``."""
+    n = norm(x)
+    return f"CASE WHEN {n} IN ({lits(tokens)}) THEN '' ELSE {n} END"
 
 
 def clean_url(x: str) -> str:

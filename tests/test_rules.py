@@ -101,3 +101,16 @@ def test_date_parse_and_iso_week(spark):
 ])
 def test_alias_resolution(cols, cands, want):
     assert resolve(cols, cands) == want
+
+
+def test_strip_matches_python_whitespace(spark):
+    from dialsieve.functions import norm
+    samples = ["\u3000 a b\x1c", "\t\n x \u00a0", "\u2028y\u2029", "  ", "z", "\x0b\x1fq\x1e"]
+    df = spark.createDataFrame([(v,) for v in samples], "v string")
+    assert [r[0] for r in df.select(norm("v")).collect()] == [v.strip() for v in samples]
+
+
+def test_phone_separators_include_unicode_space(spark):
+    df = strings(spark, [("212\u00a0555\u30000101",), ("212\x1c555-0101",)], ["tel"])
+    got = [r["tel_reason"] for r in with_phone_validity(df, "tel").collect()]
+    assert got == ["NANP (212-555-0101)", "NANP (212-555-0101)"]
