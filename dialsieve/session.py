@@ -17,6 +17,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     cores = os.cpu_count() or 8
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM; on a cluster the
+        # deployment sizes driver and executors
+        b = b.config("spark.driver.memory", os.environ.get("DIALSIEVE_DRIVER_MEMORY", "16g"))
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -29,6 +29,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", options: dict |
     opts.update(options or {})
     if fmt == "csv":
         df = spark.read.options(**opts).csv(path)
+        # the CSV reader renames duplicate headers (appending their index);
+        # restore the header line's names so keep-first applies (metadata only)
+        header = _csv_header(spark, path, opts)
+        if header and len(header) == len(df.columns):
+            df = df.toDF(*header)
     else:
         df = spark.read.format(fmt).load(path)
     if "row_ord" not in [c.strip() for c in df.columns]:
@@ -36,6 +41,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", options: dict |
     return blank_na(df)
 
 
+def _csv_header(spark: SparkSession, path: str, opts: dict) -> list[str] | None:
+    import csv
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return None
+    sep = opts.get("sep", opts.get("delimiter", ","))
+    return next(csv.reader([first[0][0].lstrip("\ufeff")], delimiter=sep))
+
+
 def collate(files: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Union contact files of Format-1 / Format-2 by canonical name.
 
