@@ -10,21 +10,26 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "dialsieve") -> SparkSession:
-    """Session with AQE, UTC and the UI off.  On a cluster the master and the
-    shuffle width come from the submit configuration; locally they default to
-    ``local[*]`` and the core count."""
+    """Session with AQE (partition coalescing, skew joins), UTC and the UI off.
+
+    Local masters get a shuffle width equal to the core count and a large
+    driver heap (every task runs in the driver JVM).  On a cluster the master,
+    memory and ``spark.sql.shuffle.partitions`` come from the deployment:
+    size the latter for the largest shuffle (about its bytes / 128 MB, i.e.
+    tens of thousands at 100 TB) and let AQE coalesce small stages down."""
     b = SparkSession.builder.appName(app_name)
+    local = bool(master and master.startswith("local"))
     if master:
         b = b.master(master)
-    cores = os.cpu_count() or 8
-    if master and master.startswith("local"):
-        # local mode runs every task inside the driver JVM; on a cluster the
-        # deployment sizes driver and executors
-        b = b.config("spark.driver.memory", os.environ.get("DIALSIEVE_DRIVER_MEMORY", "16g"))
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-          .config("spark.sql.adaptive.enabled", "true")
+    if local:
+        b = (b.config("spark.driver.memory", os.environ.get("DIALSIEVE_DRIVER_MEMORY", "16g"))
+              .config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8)))
+    elif shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
+          .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
