@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..schema import first_present, q, sql_or_blank
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join, row_id, spread_blank_sql
 
 # canonical candidates for the dialled number and the direct number, in order
 TEL_CANDIDATES = ["telephone", "phone_office", "dialed_number"]
@@ -43,11 +43,9 @@ def mark_direct(df: DataFrame, direct: DataFrame | None,
     if direct is None:
         return df.withColumn("_is_direct", F.lit(False))
     dl = direct.select(F.col("phone").alias("_dphone")).distinct().withColumn("_dhit", F.lit(True))
-    dl, _ = bounded_broadcast(dl, broadcast_rows)
-    return (df.withColumn("_dk", F.expr(spread_blank_sql("_dtel", row_id(df))))
-              .join(dl, F.col("_dk") == F.col("_dphone"), "left")
-              .withColumn("_is_direct", F.coalesce(F.col("_dhit"), F.lit(False)))
-              .drop("_dk", "_dphone", "_dhit"))
+    _, small = bounded_broadcast(dl, broadcast_rows)
+    return (mark_join(ensure_row_id(df), "_dtel", dl, "_dphone", ["_dhit"], small)
+              .withColumn("_is_direct", F.coalesce(F.col("_dhit"), F.lit(False))).drop("_dhit"))
 
 
 def phone_universe(marked: DataFrame) -> DataFrame:
@@ -114,6 +112,7 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
 
     if "suppression_reason" not in df.columns:
         df = df.withColumn("suppression_reason", F.lit(""))
+    df = ensure_row_id(df)
     keyed = mark_direct(with_phone_keys(df), direct, broadcast_rows)
     # counts are derived from the input (one row per distinct number), so their
     # size is only known at run time: AQE turns the joins into broadcasts when
@@ -121,20 +120,11 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
     counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
                          check_date, broadcast_rows)
     rid = row_id(df)
-    ct = counts.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
-                       F.col("weekly_count").alias("_week"))
-    cd = counts.select(F.col("dialed_number").alias("_cd_k"), F.col("daily_count").alias("_dday"),
-                       F.col("weekly_count").alias("_dweek"))
-    j = (keyed.withColumns({"_tk": F.expr(spread_blank_sql("_tel", rid)),
-                            "_dk": F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid))})
-              .join(ct, F.col("_tk") == F.col("_ct_k"), "left")
-              .join(cd, F.col("_dk") == F.col("_cd_k"), "left"))
+    d = check_date.isoformat()
     day, week = "coalesce(_day, 0)", "coalesce(_week, 0)"
     dday, dweek = "coalesce(_dday, 0)", "coalesce(_dweek, 0)"
-    d = check_date.isoformat()
     reason = (
-        "CASE WHEN suppression_reason <> '' THEN '' WHEN _tel = '' THEN '' "
-        f"WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
+        f"CASE WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
         f"CAST({dweek} AS STRING), ' dials this ISO week (max {m_dw}, Direct Number in repo)') "
         f"WHEN _is_direct AND {str(not is_dell).upper()} AND {dday} > {m_dd} THEN concat("
         f"'Direct-dial daily limit exceeded: ', CAST({dday} AS STRING), ' dials on {d} (max {m_dd}, Direct Number in repo)') "
@@ -142,11 +132,28 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
         f"' dials this ISO week (max {m_w})') "
         f"WHEN {day} > {max_day} THEN concat('Daily dial limit exceeded: ', CAST({day} AS STRING), "
         f"' dials on {d} (max {max_day})') ELSE '' END")
+    ct = counts.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
+                       F.col("weekly_count").alias("_week"))
+    cd = counts.select(F.col("dialed_number").alias("_cd_k"), F.col("daily_count").alias("_dday"),
+                       F.col("weekly_count").alias("_dweek"))
+    # Narrow join: only the row id, the two numbers and the direct flag of the
+    # rows that need a check (not suppressed, dialled number present) meet the
+    # counts.  A blank direct number is spread so it cannot pile up.
+    narrow = (keyed.where((F.col("suppression_reason") == "") & (F.col("_tel") != ""))
+                   .select(*rid, "_tel", "_is_direct",
+                           F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid)).alias("_dk")))
+    checked = (narrow.join(ct, F.col("_tel") == F.col("_ct_k"), "left")
+                     .join(cd, F.col("_dk") == F.col("_cd_k"), "left")
+                     .select(*rid, F.expr(reason).alias("_reason"))
+                     .where(F.col("_reason") != ""))
+    # the failing rows (usually few) go back to their rows by the unique row
+    # id: a broadcast at run time when small, an even shuffle otherwise
+    joined = keyed.join(checked, rid, "left")
     status = ("CASE WHEN suppression_reason <> '' THEN 'SUPPRESSED' WHEN dial_limit_reason <> '' THEN 'OVER_LIMIT' "
               "ELSE 'GTG' END")
-    out = j.withColumn("dial_limit_reason", F.expr(reason)).withColumn("row_status", F.expr(status))
-    return out.drop("_tk", "_ct_k", "_day", "_week", "_dk", "_cd_k", "_dday", "_dweek", "_tel", "_dtel",
-                    "_is_direct")
+    out = (joined.withColumn("dial_limit_reason", F.coalesce(F.col("_reason"), F.lit("")))
+                 .withColumn("row_status", F.expr(status)))
+    return out.drop("_reason", "_tel", "_dtel", "_is_direct")
 
 
 def phone_coverage(keyed: DataFrame) -> DataFrame:

@@ -61,3 +61,29 @@ def spread_blank_sql(key: str, row_id: Sequence[str]) -> str:
 
 def row_id(df: DataFrame) -> list[str]:
     return [c for c in ("src_ord", "row_ord") if c in df.columns]
+
+
+def ensure_row_id(df: DataFrame) -> DataFrame:
+    """Frames without upload-order columns get a ``row_ord`` (stable for a given
+    input split) so per-row results can be attached back by id."""
+    return df if row_id(df) else df.withColumn("row_ord", F.monotonically_increasing_id())
+
+
+def mark_join(df: DataFrame, key_sql: str, marks: DataFrame, marks_key: str, payload: list[str],
+              small: bool) -> DataFrame:
+    """Attach ``payload`` columns of the ``marks`` row whose ``marks_key``
+    equals the row's key (``marks`` has one row per key; NULL when none).
+
+    Small ``marks`` (size-checked): one broadcast hash join, map-side.
+    Large ``marks``: a narrow join - only (row id, key) of the rows with a
+    non-blank key are shuffled against the marks, and the hits (usually few)
+    are attached back by the unique row id - instead of shuffling every column
+    of every row."""
+    rid = row_id(df)
+    if small or not rid:
+        side = F.broadcast(marks) if small else marks
+        return (df.withColumn("_mk", F.expr(spread_blank_sql(key_sql, rid)))
+                  .join(side, F.col("_mk") == F.col(marks_key), "left").drop("_mk", marks_key))
+    hits = (df.select(*rid, F.expr(key_sql).alias("_mk")).where(F.col("_mk") != "")
+              .join(marks, F.col("_mk") == F.col(marks_key), "inner").select(*rid, *payload))
+    return df.join(hits, rid, "left")

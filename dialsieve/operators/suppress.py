@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sql as X
 from ..functions.dates import parse_timestamp_sql
 from ..schema import first_present, q, sql_or_blank
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join
 
 # --- fixed values: suppression reasons, in priority order
 DEAD_REASON = "DEAD/DNC Email"
@@ -33,8 +33,7 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
     distinct (``sources.lists.suppression_keys``); ``None`` = list missing or
     toggled off.  The two email lists become one (key, priority) frame, so an
     input row meets one email join and one domain join."""
-    out = df
-    rid = row_id(df)
+    out = ensure_row_id(df)
     email_lists = []
     if dead is not None:
         email_lists.append(dead.select("key", F.lit(1).alias("prio")))
@@ -46,18 +45,14 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
         for x in email_lists[1:]:
             el = el.unionByName(x)
         el = el.groupBy("key").agg(F.min("prio").alias("_eprio")).withColumnRenamed("key", "_ekey")
-        el, _ = bounded_broadcast(el, broadcast_rows)
-        ek = spread_blank_sql(X.norm_lower(sql_or_blank(df, "email_address")), rid)
-        out = out.withColumn("_ek", F.expr(ek)).join(el, F.col("_ek") == F.col("_ekey"), "left") \
-                 .drop("_ek", "_ekey")
+        _, small = bounded_broadcast(el, broadcast_rows)
+        out = mark_join(out, X.norm_lower(sql_or_blank(df, "email_address")), el, "_ekey", ["_eprio"], small)
         prio = F.col("_eprio")
     dom = F.lit(False)
     if domain is not None:
         dl = domain.select(F.col("key").alias("_dkey")).distinct().withColumn("_dhit", F.lit(True))
-        dl, _ = bounded_broadcast(dl, broadcast_rows)
-        dk = spread_blank_sql(X.norm_lower(sql_or_blank(df, "domain")), rid)
-        out = out.withColumn("_dk", F.expr(dk)).join(dl, F.col("_dk") == F.col("_dkey"), "left") \
-                 .drop("_dk", "_dkey")
+        _, small = bounded_broadcast(dl, broadcast_rows)
+        out = mark_join(out, X.norm_lower(sql_or_blank(df, "domain")), dl, "_dkey", ["_dhit"], small)
         dom = F.coalesce(F.col("_dhit"), F.lit(False))
     reason = (F.when(prio == 1, F.lit(DEAD_REASON)).when(prio == 2, F.lit(RPC_REASON))
                .when(dom, F.lit(DOMAIN_REASON)).otherwise(F.lit("")))
