@@ -116,6 +116,11 @@ def activity_row(metrics: DataFrame, logged_at: dt.datetime, username: str, pipe
         "dedup_removed", F.lit(notes).alias("notes"))
 
 
+def append_run_log(row: DataFrame, path: str) -> None:
+    """K4: append the run-log row (``activity_row``) to the run log."""
+    row.write.mode("append").parquet(path)
+
+
 def _label(*cols) -> F.Column:
     """First non-blank trimmed value, else an em dash."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols], F.lit("—"))

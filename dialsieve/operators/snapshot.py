@@ -88,10 +88,24 @@ def snapshot_lookup(snap: DataFrame, f3: DataFrame, broadcast_rows: int = DEFAUL
     return snapshot_latest(_hit_rows(snap, keys))
 
 
+def hit_batches(snap: DataFrame, keys: DataFrame) -> DataFrame:
+    """The batch ids holding at least one requested key.  Reads only the
+    three key columns of the snapshot (column pruning makes the Parquet
+    dataset its own key index)."""
+    return (snap.select("batch_id", "_campaign_name", "_contact_link")
+                .join(keys, ["_campaign_name", "_contact_link"], "left_semi")
+                .select("batch_id").distinct())
+
+
 def _hit_rows(snap: DataFrame, keys: DataFrame) -> DataFrame:
-    """Snapshot rows (all batches) whose key is among ``keys`` - filtered
-    before the latest-wins window, so the window only sorts matching rows."""
-    return snap.join(keys, ["_campaign_name", "_contact_link"], "left_semi")
+    """Snapshot rows (all batches) whose key is among ``keys``.
+
+    First the batches holding a key are found from the key columns, then the
+    snapshot is semi-joined on ``batch_id`` - its partition column - so
+    dynamic partition pruning reads the other columns of those batches only;
+    the key semi join and the latest-wins window then see matching rows only."""
+    pruned = snap.join(hit_batches(snap, keys), "batch_id", "left_semi")
+    return pruned.join(keys, ["_campaign_name", "_contact_link"], "left_semi")
 
 
 def rechurn_merge(f3: DataFrame, snap: DataFrame | None,

@@ -137,3 +137,24 @@ def update_rpc_list(calls: DataFrame, as_of: dt.datetime, existing: DataFrame |
             _list_order(existing, len(ord_cols)).alias("_ord"))
         new = old.unionByName(new)
     return _last_per_key(new, "email")
+
+
+def write_list(keys: DataFrame, lists_dir: str, name: str, version: str) -> str:
+    """K5/K6: write a list as a new version folder ``{lists_dir}/{name}/v={version}``.
+    A list is never overwritten in place (readers may be reading it); a
+    wholesale replacement is just a newer version."""
+    path = f"{lists_dir.rstrip('/')}/{name}/v={version}"
+    keys.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_list(spark, lists_dir: str, name: str) -> DataFrame | None:
+    """The newest version of a list (versions sort as text), or None when the
+    list does not exist - the matching suppression step is then skipped."""
+    root = f"{lists_dir.rstrip('/')}/{name}"
+    try:
+        versions = spark.read.parquet(root).select("v").distinct()
+    except Exception:  # noqa: BLE001 - a missing list means "skip this step"
+        return None
+    newest = versions.agg(F.max("v").alias("v"))
+    return spark.read.parquet(root).join(newest, "v", "left_semi").drop("v")

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import audit_rows, batch_campaign, campaign_list, run_metrics
+from ..operators.audit import (activity_row, append_run_log, audit_rows, batch_campaign, campaign_list,
+                               run_metrics)
 from ..operators.dial import tag_dial_limits
 from ..operators.output import transform_and_output
 from ..operators.snapshot import snapshot_rows, write_snapshot
@@ -55,7 +56,7 @@ def contact_output(collated: DataFrame, lists: Lists, history: DataFrame, limits
 
 def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: Limits, *, run_ts: str,
                 batch_id: str, campaign_type: str, out_dir: str, snapshot_path: str | None = None,
-                audit_path: str | None = None) -> dict:
+                audit_path: str | None = None, runlog_path: str | None = None, username: str = "") -> dict:
     """Run P1 end to end with sinks.
 
     The tagged frame is checkpointed once (shared checkpoint folder), then
@@ -77,7 +78,11 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
         snap = snapshot_rows(collated, batch_id, processed_at)
         if snap is not None:
             write_snapshot(snap, snapshot_path)
-    metrics = run_metrics(tagged, output).first().asDict()
+    metrics_df = run_metrics(tagged, output)
+    metrics = metrics_df.first().asDict()
     metrics["campaigns"] = campaign_list(collated).first()["campaigns"]
     metrics["batch_id"] = batch_id
+    if runlog_path:
+        append_run_log(activity_row(metrics_df, processed_at, username, "contact", batch_id, metrics["campaigns"]),
+                       runlog_path)
     return metrics

@@ -20,7 +20,8 @@ def test_contact_run_with_sinks(spark, scratch):
     col = C.collated(spark, SF)
     m = run_contact(col, C.lists(spark, SF), C.dial_history(spark, SF), C.limits(), run_ts=B.RUN_TS,
                     batch_id=B.BATCH_ID, campaign_type="NON-DELL", out_dir=f"{scratch}/out",
-                    snapshot_path=f"{scratch}/snap", audit_path=f"{scratch}/audit")
+                    snapshot_path=f"{scratch}/snap", audit_path=f"{scratch}/audit",
+                    runlog_path=f"{scratch}/runlog", username="tester")
     total = col.count()
     assert m["total_rows"] == total
     assert m["gtg_rows"] + m["suppressed"] + m["over_limit"] == total          # clean + suppressed = input
@@ -34,6 +35,8 @@ def test_contact_run_with_sinks(spark, scratch):
     snap = spark.read.parquet(f"{scratch}/snap")
     assert snap.count() == total and set(r[0] for r in snap.select("batch_id").distinct().collect()) == {B.BATCH_ID}
     assert m["campaigns"]
+    log = spark.read.parquet(f"{scratch}/runlog").first()
+    assert (log["pipeline"], log["total_rows"], log["username"]) == ("contact", total, "tester")
 
 
 def test_results_do_not_depend_on_partitioning(spark):
@@ -90,3 +93,28 @@ def test_list_joins_are_broadcast_and_dedup_is_map_side_limited(spark):
 def test_store_scan_is_pruned(spark):
     p = _plan(C.q_history_ingest(spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in p
+
+
+def test_snapshot_lookup_prunes_batches(spark, scratch):
+    from dialsieve.operators.snapshot import snapshot_lookup, write_snapshot
+    write_snapshot(C.snapshot(spark, "/root/testdata/sf0.1"), f"{scratch}/snap")
+    snap = spark.read.parquet(f"{scratch}/snap")
+    f3 = C.extract(spark, SF).where("row_ord < 100")
+    df = snapshot_lookup(snap, f3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(batch_id" in plan
+    mem = snapshot_lookup(C.snapshot(spark, "/root/testdata/sf0.1"), f3)
+    cols = sorted(mem.columns)
+    want = sorted(map(tuple, mem.select(*cols).collect()))
+    got = sorted(map(tuple, df.select(*cols).collect()))
+    assert got == want
+
+
+def test_versioned_lists(spark, scratch):
+    from dialsieve.operators.suppress import read_list, write_list
+    assert read_list(spark, f"{scratch}/lists", "dead") is None
+    a = spark.createDataFrame([("a@x.com",)], "key string")
+    b = spark.createDataFrame([("b@x.com",), ("c@x.com",)], "key string")
+    write_list(a, f"{scratch}/lists", "dead", "20240101")
+    write_list(b, f"{scratch}/lists", "dead", "20240201")
+    assert sorted(r[0] for r in read_list(spark, f"{scratch}/lists", "dead").collect()) == ["b@x.com", "c@x.com"]
