@@ -137,12 +137,17 @@ def truncate_history(spark: SparkSession, store_path: str, like: DataFrame) -> N
     like.limit(0).write.mode("overwrite").partitionBy("dial_week").parquet(store_path)
 
 
-def history_profile(store: DataFrame) -> DataFrame:
-    """A2: rows, distinct campaigns, distinct contacts, first and last dialling date."""
+def history_profile(store: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """A2: rows, distinct campaigns, distinct contacts, first and last dialling date.
+
+    Exact distinct counts of two columns plan as an Expand (each store row
+    twice) plus two aggregation levels; ``approx=True`` uses HyperLogLog++
+    sketches instead (one pass, map-side combined, relative error ``rsd``)."""
+    distinct = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
     return store.agg(
         F.count(F.lit(1)).cast("long").alias("total_rows"),
-        F.count_distinct("campaign_name").cast("long").alias("campaigns"),
-        F.count_distinct("contact_link").cast("long").alias("contacts"),
+        distinct("campaign_name").cast("long").alias("campaigns"),
+        distinct("contact_link").cast("long").alias("contacts"),
         F.min("pbx_dialing_date").alias("earliest_date"),
         F.max("pbx_dialing_date").alias("latest_date"))
 
