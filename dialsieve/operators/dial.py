@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..schema import first_present, q, sql_or_blank
+from ..session import materialize
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join, row_id, spread_blank_sql
 
 # canonical candidates for the dialled number and the direct number, in order
@@ -91,7 +92,7 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
                     max_direct: int | None = None, is_dell: bool = False,
                     max_direct_week: int | None = None, max_direct_day: int | None = None,
                     max_week: int | None = None,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize_counts: bool = True) -> DataFrame:
     """Add ``dial_limit_reason`` to the rows with a blank ``suppression_reason``
     (suppressed rows are not checked) and the final ``row_status``.
 
@@ -120,11 +121,22 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
     counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
                          check_date, broadcast_rows)
     rid = row_id(df)
+    # Only numbers that can fail a check matter: a number at or under every
+    # threshold behaves exactly like a number never dialled.  The remaining
+    # (usually few) counts are checkpointed once and size-checked, so the two
+    # lookups are broadcast joins and the wide input rows are never shuffled;
+    # above the bound they fall back to shuffle joins.
+    lo_week, lo_day = min(m_dw, m_w), min(max_day, m_dd if not is_dell else max_day)
+    over = counts.where((F.col("weekly_count") > lo_week) | (F.col("daily_count") > lo_day))
+    if materialize_counts:
+        over = materialize(over)
+    over, _ = bounded_broadcast(over, broadcast_rows)
     d = check_date.isoformat()
     day, week = "coalesce(_day, 0)", "coalesce(_week, 0)"
     dday, dweek = "coalesce(_dday, 0)", "coalesce(_dweek, 0)"
     reason = (
-        f"CASE WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
+        "CASE WHEN suppression_reason <> '' THEN '' WHEN _tel = '' THEN '' "
+        f"WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
         f"CAST({dweek} AS STRING), ' dials this ISO week (max {m_dw}, Direct Number in repo)') "
         f"WHEN _is_direct AND {str(not is_dell).upper()} AND {dday} > {m_dd} THEN concat("
         f"'Direct-dial daily limit exceeded: ', CAST({dday} AS STRING), ' dials on {d} (max {m_dd}, Direct Number in repo)') "
@@ -132,28 +144,19 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
         f"' dials this ISO week (max {m_w})') "
         f"WHEN {day} > {max_day} THEN concat('Daily dial limit exceeded: ', CAST({day} AS STRING), "
         f"' dials on {d} (max {max_day})') ELSE '' END")
-    ct = counts.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
-                       F.col("weekly_count").alias("_week"))
-    cd = counts.select(F.col("dialed_number").alias("_cd_k"), F.col("daily_count").alias("_dday"),
-                       F.col("weekly_count").alias("_dweek"))
-    # Narrow join: only the row id, the two numbers and the direct flag of the
-    # rows that need a check (not suppressed, dialled number present) meet the
-    # counts.  A blank direct number is spread so it cannot pile up.
-    narrow = (keyed.where((F.col("suppression_reason") == "") & (F.col("_tel") != ""))
-                   .select(*rid, "_tel", "_is_direct",
-                           F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid)).alias("_dk")))
-    checked = (narrow.join(ct, F.col("_tel") == F.col("_ct_k"), "left")
-                     .join(cd, F.col("_dk") == F.col("_cd_k"), "left")
-                     .select(*rid, F.expr(reason).alias("_reason"))
-                     .where(F.col("_reason") != ""))
-    # the failing rows (usually few) go back to their rows by the unique row
-    # id: a broadcast at run time when small, an even shuffle otherwise
-    joined = keyed.join(checked, rid, "left")
+    ct = over.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
+                     F.col("weekly_count").alias("_week"))
+    cd = over.select(F.col("dialed_number").alias("_cd_k"), F.col("daily_count").alias("_dday"),
+                     F.col("weekly_count").alias("_dweek"))
+    j = (keyed.withColumns({"_tk": F.expr(spread_blank_sql("_tel", rid)),
+                            "_dk": F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid))})
+              .join(ct, F.col("_tk") == F.col("_ct_k"), "left")
+              .join(cd, F.col("_dk") == F.col("_cd_k"), "left"))
     status = ("CASE WHEN suppression_reason <> '' THEN 'SUPPRESSED' WHEN dial_limit_reason <> '' THEN 'OVER_LIMIT' "
               "ELSE 'GTG' END")
-    out = (joined.withColumn("dial_limit_reason", F.coalesce(F.col("_reason"), F.lit("")))
-                 .withColumn("row_status", F.expr(status)))
-    return out.drop("_reason", "_tel", "_dtel", "_is_direct")
+    out = j.withColumn("dial_limit_reason", F.expr(reason)).withColumn("row_status", F.expr(status))
+    return out.drop("_tk", "_ct_k", "_day", "_week", "_dk", "_cd_k", "_dday", "_dweek", "_tel", "_dtel",
+                    "_is_direct")
 
 
 def phone_coverage(keyed: DataFrame) -> DataFrame:

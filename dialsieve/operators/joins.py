@@ -76,9 +76,9 @@ def mark_join(df: DataFrame, key_sql: str, marks: DataFrame, marks_key: str, pay
 
     Small ``marks`` (size-checked): one broadcast hash join, map-side.
     Large ``marks``: a narrow join - only (row id, key) of the rows with a
-    non-blank key are shuffled against the marks, and the hits (usually few)
-    are attached back by the unique row id - instead of shuffling every column
-    of every row."""
+    non-blank key are shuffled against the marks; the hits (usually few) are
+    checkpointed, size-checked and attached back by the unique row id with a
+    broadcast - instead of shuffling every column of every row."""
     rid = row_id(df)
     if small or not rid:
         side = F.broadcast(marks) if small else marks
@@ -86,4 +86,8 @@ def mark_join(df: DataFrame, key_sql: str, marks: DataFrame, marks_key: str, pay
                   .join(side, F.col("_mk") == F.col(marks_key), "left").drop("_mk", marks_key))
     hits = (df.select(*rid, F.expr(key_sql).alias("_mk")).where(F.col("_mk") != "")
               .join(marks, F.col("_mk") == F.col(marks_key), "inner").select(*rid, *payload))
+    # the hits are derived, so their size is unknown until computed: checkpoint
+    # them once and size-check, so the attach is a broadcast when they are few
+    from ..session import materialize
+    hits, _ = bounded_broadcast(materialize(hits), DEFAULT_BROADCAST_ROWS)
     return df.join(hits, rid, "left")
