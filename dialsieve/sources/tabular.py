@@ -25,7 +25,10 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", options: dict |
     CSV is read with every column as a string; Parquet/ORC columns are cast.
     ``row_ord`` is taken from the file when present, else numbered in scan
     order right after the scan (stable for a given file split)."""
-    opts = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"'}
+    # multiLine stays off by default: a multi-line CSV file cannot be split and
+    # would be read by one task; pass options={"multiLine": "true"} for files
+    # with line breaks inside quoted cells
+    opts = {"header": "true", "inferSchema": "false", "multiLine": "false", "escape": '"'}
     opts.update(options or {})
     if fmt == "csv":
         df = spark.read.options(**opts).csv(path)
