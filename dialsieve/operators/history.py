@@ -133,8 +133,10 @@ def read_store(spark: SparkSession, store_path: str) -> DataFrame | None:
 
 
 def truncate_history(spark: SparkSession, store_path: str, like: DataFrame) -> None:
-    """K8: replace the store by an empty one of the same schema."""
-    like.limit(0).write.mode("overwrite").partitionBy("dial_week").parquet(store_path)
+    """K8: empty the store.  The empty frame is built from the schema alone (the
+    path being replaced is not read); an empty store reads back as None, which
+    every reader treats as "no rows yet"."""
+    spark.createDataFrame([], like.schema).write.mode("overwrite").partitionBy("dial_week").parquet(store_path)
 
 
 def history_profile(store: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:

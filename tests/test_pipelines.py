@@ -118,3 +118,20 @@ def test_versioned_lists(spark, scratch):
     write_list(a, f"{scratch}/lists", "dead", "20240101")
     write_list(b, f"{scratch}/lists", "dead", "20240201")
     assert sorted(r[0] for r in read_list(spark, f"{scratch}/lists", "dead").collect()) == ["b@x.com", "c@x.com"]
+
+
+def test_truncate_store_and_snapshot(spark, scratch):
+    from dialsieve.operators.history import truncate_history
+    from dialsieve.operators.snapshot import truncate_snapshot, write_snapshot
+    load_history(spark, f"{scratch}/store", B.call_file(spark, SF), "b1", dt.datetime(2024, 2, 1))
+    s = read_store(spark, f"{scratch}/store")
+    n = s.count()
+    truncate_history(spark, f"{scratch}/store", s)
+    assert read_store(spark, f"{scratch}/store") is None          # empty store = no rows yet
+    again = load_history(spark, f"{scratch}/store", B.call_file(spark, SF), "b2", dt.datetime(2024, 2, 2))
+    assert again["inserted"] == n
+    write_snapshot(C.snapshot(spark, SF), f"{scratch}/snap")
+    snap = spark.read.parquet(f"{scratch}/snap")
+    truncate_snapshot(spark, f"{scratch}/snap", snap)
+    import glob
+    assert not glob.glob(f"{scratch}/snap/batch_id=*")
