@@ -116,6 +116,15 @@ def activity_row(metrics: DataFrame, logged_at: dt.datetime, username: str, pipe
         "dedup_removed", F.lit(notes).alias("notes"))
 
 
+def export_rows(tagged: DataFrame) -> DataFrame:
+    """K7: removed rows as exported - input columns under their file labels,
+    then the reasons and the status (used to partition the export)."""
+    cols = [c for c in tagged.columns if not c.startswith("_") and c not in ORDER_COLUMNS
+            and c not in ("row_status", "dial_limit_reason", "suppression_reason")]
+    return tagged.selectExpr(*[f"{q(c)} AS {q(LABELS.get(c, c))}" for c in cols],
+                             "suppression_reason", "dial_limit_reason", "row_status")
+
+
 def append_run_log(row: DataFrame, path: str) -> None:
     """K4: append the run-log row (``activity_row``) to the run log."""
     row.write.mode("append").parquet(path)

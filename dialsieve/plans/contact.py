@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.audit import (activity_row, append_run_log, audit_rows, batch_campaign, campaign_list,
-                               run_metrics)
+                               export_rows, run_metrics)
 from ..operators.dial import tag_dial_limits
 from ..operators.output import transform_and_output
 from ..operators.snapshot import snapshot_rows, write_snapshot
@@ -68,8 +68,8 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
     tagged = materialize(tag(collated, lists, history, limits))
     output = output_of(tagged, run_ts)
     output.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS]).write.mode("overwrite").parquet(f"{out_dir}/output")
-    tagged.where(F.col("row_status") != "GTG").write.mode("overwrite").partitionBy("row_status") \
-          .parquet(f"{out_dir}/removed")
+    export_rows(tagged.where(F.col("row_status") != "GTG")).write.mode("overwrite") \
+        .partitionBy("row_status").parquet(f"{out_dir}/removed")
     camp = batch_campaign(tagged)
     if audit_path:
         audit_rows(tagged, batch_id, processed_at, campaign_type, camp, camp) \

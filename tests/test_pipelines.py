@@ -30,6 +30,7 @@ def test_contact_run_with_sinks(spark, scratch):
     assert out.count() + m["dedup_removed"] == m["gtg_rows"]                    # output + duplicates = allowed
     removed = spark.read.parquet(f"{scratch}/out/removed")
     assert removed.count() == m["suppressed"] + m["over_limit"]
+    assert {"Campaign Name", "EmailAddress", "suppression_reason", "dial_limit_reason"} <= set(removed.columns)
     audit = spark.read.parquet(f"{scratch}/audit")
     assert audit.count() == total
     snap = spark.read.parquet(f"{scratch}/snap")
