@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sql as X
-from ..schema import first_present, q, sql_or_blank
+from ..schema import first_present, sql_or_blank
 from ..session import materialize
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join, row_id, spread_blank_sql
 

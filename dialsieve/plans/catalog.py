@@ -17,7 +17,7 @@ from ..functions.dates import iso_week, iso_year, parse_date, week_start
 from ..functions.geo import area_code, timezone
 from ..functions.keys import fingerprint
 from ..functions.phone import with_phone_validity
-from ..functions.text import blank_tokens, clean_url, digits
+from ..functions.text import clean_url, digits
 from ..operators import audit as A
 from ..operators import dial as D
 from ..operators import history as H
