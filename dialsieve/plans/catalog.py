@@ -31,7 +31,7 @@ from ..sources import bindings as B
 from ..sources.lists import DEAD_KEYS, DOMAIN_KEYS, RPC_KEYS, direct_dial_keys, suppression_keys
 from ..sources.tabular import blank_na, collate, collate_calls
 from .contact import Limits, Lists, output_of, tag
-from .rechurn import rechurn_output
+from .rechurn import gtg_output, rechurn_output
 
 OLD_BATCH_ID = "20240101_000000_f0e1d2"
 OLD_LOADED_AT = dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -333,6 +333,10 @@ def q_rechurn_run(spark, d):
                           limits(), B.RUN_TS)
 
 
+def q_rechurn_gtg_output(spark, d):
+    return gtg_output(extract(spark, d), snapshot(spark, d), B.RUN_TS)
+
+
 def q_audit_rows(spark, d):
     t = tagged(spark, d)
     return A.audit_rows(t, B.BATCH_ID, RUN_AT, CAMPAIGN_TYPE)

@@ -506,6 +506,12 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     octes3, last3 = output_ctes("merged", mpresent, "r")
     q["rechurn_run"] = with_(*base, SNAP, EXTRACT, *xtag, xallowed, merged, *octes3) + out66(last3)
 
+    # extract's GTG output: latest snapshot rows matched by extract keys (no QA column -> all kept)
+    gm = ("gmatch AS (SELECT * FROM latest l WHERE EXISTS (SELECT 1 FROM extract e WHERE "
+          f"{nl('e.campaign_name')} = l._campaign_name AND {nl('e.contact_link')} = l._contact_link))")
+    octes4, last4 = output_ctes("gmatch", CONTACT_PRESENT, "g")
+    q["rechurn_gtg_output"] = with_(CONTACTS, SNAP, EXTRACT, gm, *octes4) + out66(last4)
+
     # audit
     labels = [("campaign_name", "Campaign Name"), ("full_name", "Full name"), ("org_name", "Organization 1"),
               ("email_address", "EmailAddress"), ("domain", "Domain"), ("telephone", "TelephoneNumber"),

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.output import transform_and_output
-from ..operators.qa import rechurn_filter
-from ..operators.snapshot import rechurn_merge
+from ..operators.qa import gtg_filter, rechurn_filter
+from ..operators.snapshot import rechurn_merge, snapshot_lookup
 from ..schema import OUTPUT_COLUMNS
 from .contact import Limits, Lists, tag
 
@@ -29,3 +29,14 @@ def rechurn_output(f3: DataFrame, snapshot: DataFrame | None, lists: Lists, hist
     merged = rechurn_merge(allowed, snapshot, keys_from=f3).drop("_matched")
     out = transform_and_output(merged, run_ts)
     return out.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
+
+
+def gtg_output(f3: DataFrame, snapshot: DataFrame, run_ts: str) -> DataFrame:
+    """The extract's second output: snapshot rows matched by the extract's
+    (campaign, link) keys, GTG-filtered by their QA columns (FL4), then the
+    cleaning chain, the 66 columns and the keep-first dedup."""
+    matched = snapshot_lookup(snapshot, f3)
+    matched = matched.drop(*[c for c in ("batch_id", "loaded_at", "_campaign_name", "_contact_link")
+                             if c in matched.columns])
+    out = transform_and_output(gtg_filter(matched), run_ts)
+    return out.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
