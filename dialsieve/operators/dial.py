@@ -134,15 +134,21 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
     d = check_date.isoformat()
     day, week = "coalesce(_day, 0)", "coalesce(_week, 0)"
     dday, dweek = "coalesce(_dday, 0)", "coalesce(_dweek, 0)"
+    # the number of the failing check (0 = none) first, then the reason text
+    # and the status from it: a filter on the status that Catalyst pushes down
+    # then carries these comparisons only, not the text building
+    code = ("CASE WHEN suppression_reason <> '' THEN 0 WHEN _tel = '' THEN 0 "
+            f"WHEN _is_direct AND {dweek} > {m_dw} THEN 1 "
+            f"WHEN _is_direct AND {str(not is_dell).upper()} AND {dday} > {m_dd} THEN 2 "
+            f"WHEN {week} > {m_w} THEN 3 WHEN {day} > {max_day} THEN 4 ELSE 0 END")
     reason = (
-        "CASE WHEN suppression_reason <> '' THEN '' WHEN _tel = '' THEN '' "
-        f"WHEN _is_direct AND {dweek} > {m_dw} THEN concat('Direct-dial weekly limit exceeded: ', "
+        f"CASE _dl_code WHEN 1 THEN concat('Direct-dial weekly limit exceeded: ', "
         f"CAST({dweek} AS STRING), ' dials this ISO week (max {m_dw}, Direct Number in repo)') "
-        f"WHEN _is_direct AND {str(not is_dell).upper()} AND {dday} > {m_dd} THEN concat("
+        f"WHEN 2 THEN concat("
         f"'Direct-dial daily limit exceeded: ', CAST({dday} AS STRING), ' dials on {d} (max {m_dd}, Direct Number in repo)') "
-        f"WHEN {week} > {m_w} THEN concat('Weekly dial limit exceeded: ', CAST({week} AS STRING), "
+        f"WHEN 3 THEN concat('Weekly dial limit exceeded: ', CAST({week} AS STRING), "
         f"' dials this ISO week (max {m_w})') "
-        f"WHEN {day} > {max_day} THEN concat('Daily dial limit exceeded: ', CAST({day} AS STRING), "
+        f"WHEN 4 THEN concat('Daily dial limit exceeded: ', CAST({day} AS STRING), "
         f"' dials on {d} (max {max_day})') ELSE '' END")
     ct = over.select(F.col("dialed_number").alias("_ct_k"), F.col("daily_count").alias("_day"),
                      F.col("weekly_count").alias("_week"))
@@ -152,11 +158,12 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
                             "_dk": F.expr(spread_blank_sql("CASE WHEN _is_direct THEN _dtel ELSE '' END", rid))})
               .join(ct, F.col("_tk") == F.col("_ct_k"), "left")
               .join(cd, F.col("_dk") == F.col("_cd_k"), "left"))
-    status = ("CASE WHEN suppression_reason <> '' THEN 'SUPPRESSED' WHEN dial_limit_reason <> '' THEN 'OVER_LIMIT' "
+    status = ("CASE WHEN suppression_reason <> '' THEN 'SUPPRESSED' WHEN _dl_code > 0 THEN 'OVER_LIMIT' "
               "ELSE 'GTG' END")
-    out = j.withColumn("dial_limit_reason", F.expr(reason)).withColumn("row_status", F.expr(status))
+    out = (j.withColumn("_dl_code", F.expr(code))
+            .withColumns({"dial_limit_reason": F.expr(reason), "row_status": F.expr(status)}))
     return out.drop("_tk", "_ct_k", "_day", "_week", "_dk", "_cd_k", "_dday", "_dweek", "_tel", "_dtel",
-                    "_is_direct")
+                    "_is_direct", "_dl_code")
 
 
 def phone_coverage(keyed: DataFrame) -> DataFrame:
