@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 SF = "/root/testdata/sf0.001"
 FAST = ["suppression_tag", "dial_limit_tag", "contact_run", "rechurn_run", "audit_rows", "history_ingest",
         "snapshot_lookup", "rechurn_merge", "gtg_filter", "phone_validate", "url_clean", "timezone_map",
-        "rpc_list_update", "activity_topk", "phone_profile"]
+        "rpc_list_update", "activity_topk", "phone_profile", "rechurn_gtg_output", "history_ingest_stream"]
 
 
 @pytest.fixture(scope="module")
