@@ -25,8 +25,8 @@ from ..session import checkpoint_dir, materialize
 
 #: Bytes of text that one numpy step handles (a longer single text is handled alone).
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch between the JVM and Python (documents can be long).
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch between the JVM and Python (documents can be long).
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
@@ -38,6 +38,7 @@ LOWER[65:91] += 32
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: small Arrow batches, shared checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     checkpoint_dir(spark)
     ship_package(spark)
     return spark
