@@ -2,12 +2,55 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import phrases
-from .common import table
+from . import decontaminate, idfiles, minhash, phrases, quality, spotsigs, tokencount
+from .common import shared_folder, table
+
+#: Documents whose labels never train: crc32 of the id's text, mod 4, is 2.
+HELD_OUT = "crc32(cast(id as string)) % 4 = 2"
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, from the installed package that holds them."""
+    import public_tokenizers
+    return os.fspath(public_tokenizers.path(name))
+
+
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    pieces, byte_fallback = tokencount.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return tokencount.count_tokens(table(spark, d, "documents"), pieces, byte_fallback)
+
+
+def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(spark, "ids")
+    docs = table(spark, d, "documents")
+    manifest = idfiles.write_files(docs, folder, tokenizer_file("byte_bpe_50k.json"))
+    return idfiles.read_files(spark, folder, manifest, kind=docs.schema["doc_id"].dataType)
+
+
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"), train=f"not ({HELD_OUT})")
+    return (quality.score(docs, model)
+            .select("doc_id", F.expr(HELD_OUT.replace("id", "doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
+
+
+def op7_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_groups(table(spark, d, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return spotsigs.edited_digest(table(spark, d, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -15,6 +58,12 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
