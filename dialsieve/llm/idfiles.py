@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,13 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: Ids of a block, and bytes of a file, at which the next one begins.
-BLOCK_IDS, FILE_BYTES = 1 << 21, 64 << 20
+BLOCK_IDS, FILE_BYTES = 1 << 20, 32 << 20
+#: Text bytes that are cut into pieces at a time.
+SLICE_BYTES = 1 << 20
 #: Text bytes of a key range (one task sorts and writes it).
 RANGE_BYTES = 64 << 20
 #: Pieces of text whose ids a task remembers.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 300_000
 
 MAGIC = b"FRQ1"
 
@@ -107,13 +110,18 @@ def decode_blocks(raw) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
 
 # --- tokens ------------------------------------------------------------------
 
+#: Unicode white space, as the tokenizer's pattern means it.
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, remembered per piece of text.
 
-    A text is cut before every single space between two signs that no tokenizer rule treats
-    as white space or joins over it; the byte-level pre-tokenizer begins a piece at such a
-    space anyway, so the ids of the pieces, one after another, are the ids of the text
-    (``tests/llm`` compares them).  Frequent pieces are then encoded once per task."""
+    The byte-level pre-tokenizer never joins text over white space, but for one space before
+    a word; so a text is cut into runs without white space (with one space before them) and
+    the white space between, and the ids of the pieces, one after another, are the ids of the
+    text (``tests/llm`` compares them).  Letters and the signs after them are separate there
+    too, so a word's ids serve it with any signs.  Each new piece is encoded once."""
 
     def __init__(self, path: str, end_id: int | None):
         import re
@@ -122,18 +130,26 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        edge = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]"
-        self.cut = re.compile(f"(?<={edge})(?= {edge})").split
+        self.cut = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]").findall
+        self.signs = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]+)").fullmatch
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), 2000):
+            part = pieces[a:a + 2000]
+            for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = array("I", e.ids).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
+        new = pieces.difference(self.known)
+        if not new:
+            return
         if len(self.known) + len(new) > MEMORY_PIECES:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
-        for a in range(0, len(new), 10_000):
-            part = new[a:a + 10_000]
-            for p, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        parts = {p: m.groups() for p in new if (m := self.signs(p))}
+        self._encode(list({x for m in parts.values() for x in m}.union(new.difference(parts)).difference(self.known)))
+        for p, (word, signs) in parts.items():
+            self.known[p] = self.known[word] + self.known[signs]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids (and the end id) as little-endian u32 bytes."""
@@ -143,6 +159,17 @@ class Tokens:
         return [b"".join(map(get, c)) + self.end for c in cut]
 
 
+_tokens: dict[tuple, Tokens] = {}
+
+
+def _tokens_of(path: str, end_id: int | None) -> Tokens:
+    """One per Python worker: what a task has learnt serves the next one."""
+    if (path, end_id) not in _tokens:
+        _tokens.clear()
+        _tokens[path, end_id] = Tokens(path, end_id)
+    return _tokens[path, end_id]
+
+
 # --- files -------------------------------------------------------------------
 
 def _store(folder: str):
@@ -181,34 +208,37 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
         from pyspark import TaskContext
         store, root = _store(folder)
-        part, tokens = TaskContext.get().partitionId(), Tokens(tokenizer, end_id)
+        store.create_dir(root, recursive=True)
+        part, tokens = TaskContext.get().partitionId(), _tokens_of(tokenizer, end_id)
         held: list[bytes] = []
         keys: list[pa.Array] = []
-        blocks: list[bytes] = []
-        size, docs_in, ids_in, number = 0, 0, 0, 0
+        out, trial, number = None, "", 0
+        size = docs_in = ids_in = written = 0
 
         def block() -> None:
-            nonlocal held, keys, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            blocks.append(encode_block(ids, np.array([len(x) // 4 for x in held], np.uint32), pa.concat_arrays(keys)))
-            held, keys, size = [], [], 0
-
-        def file() -> pa.RecordBatch:
-            nonlocal blocks, docs_in, ids_in, number
-            path = f"{root}/part-{part:08d}-{number:05d}.ids"
-            store.create_dir(root, recursive=True)
-            with store.open_output_stream(trial := f"{root}/_{uuid.uuid4().hex}") as f:
-                for x in blocks:
-                    f.write(x)
-            _publish(store, trial, path)
-            row = pa.record_batch([pa.array([path.rpartition("/")[2]]), pa.array([part], pa.int32()), pa.array([number], pa.int32()),
+            """Encode what is held and append it to the open file."""
+            nonlocal held, keys, size, out, trial, written
+            if out is None:
+                trial = f"{root}/_{uuid.uuid4().hex}"
+                out, written = store.open_output_stream(trial), 0
+            raw = encode_block(np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held], np.uint32),
+                               pa.concat_arrays(keys))
+            out.write(raw)
+            held, keys, size, written = [], [], 0, written + len(raw)
+
+        def close() -> pa.RecordBatch:
+            nonlocal out, docs_in, ids_in, number
+            out.close()
+            name = f"part-{part:08d}-{number:05d}.ids"
+            _publish(store, trial, f"{root}/{name}")
+            row = pa.record_batch([pa.array([name]), pa.array([part], pa.int32()), pa.array([number], pa.int32()),
                                    pa.array([docs_in], pa.int64()), pa.array([ids_in], pa.int64())],
                                   ["path", "part", "file", "docs", "ids"])
-            blocks, docs_in, ids_in, number = [], 0, 0, number + 1
+            out, docs_in, ids_in, number = None, 0, 0, number + 1
             return row
 
         for b in batches:
-            for s in C.text_slices(b):
+            for s in C.text_slices(b, "text", SLICE_BYTES):
                 got = tokens.ids(s.column(1).to_pylist())
                 held += got
                 keys.append(s.column(0))
@@ -216,12 +246,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
                 size, docs_in, ids_in = size + n, docs_in + len(got), ids_in + n
                 if size >= BLOCK_IDS:
                     block()
-                if sum(map(len, blocks)) >= FILE_BYTES:
-                    yield file()
+                if out is not None and written >= FILE_BYTES:
+                    yield close()
         if held:
             block()
-        if blocks:
-            yield file()
+        if out is not None:
+            yield close()
 
     return C.save(rows.mapInArrow(write, "path string, part int, file int, docs long, ids long"))
 
