@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, materialize
 
 #: Bytes of text that one numpy step handles (a longer single text is handled alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch between the JVM and Python (documents can be long).
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
@@ -161,11 +161,20 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit value of each byte span, independent of where it stands."""
-    f, inv = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[buf] * f[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts])
+    """64-bit value of each byte span (in order, apart), independent of where it stands."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):                      # bounded arrays for long inputs
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        part = buf[base:int(ends[j - 1])]
+        f, inv = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[part] * f[:-1], out=total[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((total[b] - total[a]) * inv[a])
+        i = j
+    return out
 
 
 def grams(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -44,8 +44,8 @@ BLOCK_IDS, FILE_BYTES = 1 << 20, 32 << 20
 SLICE_BYTES = 1 << 20
 #: Text bytes of a key range (one task sorts and writes it).
 RANGE_BYTES = 64 << 20
-#: Pieces of text whose ids a task remembers.
-MEMORY_PIECES = 300_000
+#: Pieces of text whose ids a worker remembers in each of two generations.
+MEMORY_PIECES = 200_000
 
 MAGIC = b"FRQ1"
 
@@ -133,6 +133,7 @@ class Tokens:
         self.cut = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]").findall
         self.signs = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]+)").fullmatch
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}        # what was known before: used again, a piece moves up
 
     def _encode(self, pieces: list[str]) -> None:
         for a in range(0, len(pieces), 2000):
@@ -145,7 +146,10 @@ class Tokens:
         if not new:
             return
         if len(self.known) + len(new) > MEMORY_PIECES:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.older, self.known = self.known, {p: self.known[p] for p in pieces if p in self.known}
+        for p in new.intersection(self.older):
+            self.known[p] = self.older[p]
+        new.difference_update(self.older)
         parts = {p: m.groups() for p in new if (m := self.signs(p))}
         self._encode(list({x for m in parts.values() for x in m}.union(new.difference(parts)).difference(self.known)))
         for p, (word, signs) in parts.items():

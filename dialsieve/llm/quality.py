@@ -35,7 +35,7 @@ from . import common as C
 #: Hash buckets of byte n-grams; as many again hold the word-shape n-grams.
 BUCKETS = 1 << 15
 #: Labelled rows used for coordinate descent (four fifths) and the logistic curve (one fifth).
-FIT_ROWS = 12_000
+FIT_ROWS = 5_000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 THRESHOLD = 0.7
 
@@ -75,7 +75,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
             flag[c[per[d]:max(per[d], per[d + 1] - n)]] = True
         at = np.flatnonzero(flag)
         flag[at] = False
-        yield at
+        yield at.astype(np.int32)
 
 
 @dataclass
@@ -131,7 +131,7 @@ def log_ratios(total: np.ndarray) -> np.ndarray:
 def descend(vectors: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray,
             epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1 hinge loss; the intercept is a constant feature of 1."""
-    scaled = [ratio[at] / max(1e-9, float((ratio[at] ** 2).sum()) ** 0.5) for at in vectors]
+    scaled = [(ratio[at] / max(1e-9, float((ratio[at] ** 2).sum()) ** 0.5)).astype(np.float32) for at in vectors]
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(y))
     norm = np.array([float((x ** 2).sum()) + 1.0 for x in scaled])
     rng = np.random.default_rng(7)
@@ -183,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         """The bounded sample, in one task: descent on four fifths, curve on the rest."""
         import pandas as pd
         pdf = pdf.sort_values("h", kind="stable")
-        vectors, y = list(features(pa.array(pdf["text"], pa.string()))), np.where(pdf["y"] == 1, 1.0, -1.0)
+        texts = pa.record_batch([pa.array(pdf["text"], pa.string())], ["text"])
+        vectors = [at for s in C.text_slices(texts) for at in features(s.column(0))]
+        y = np.where(pdf["y"] == 1, 1.0, -1.0)
         fold = np.zeros(len(y), bool)
         for side in (1.0, -1.0):
             fold[np.flatnonzero(y == side)[4::5]] = True

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, minhash, phrases, quality, spotsigs, tokencount
+from . import decontaminate, idfiles, linededup, minhash, mixing, phrases, quality, secrets, spotsigs, tokencount
 from .common import shared_folder, table
 
 #: Documents whose labels never train: crc32 of the id's text, mod 4, is 2.
@@ -25,11 +25,21 @@ def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return (mixing.plan(table(spark, d, "documents"))
+            .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate"))
+
+
 def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
     pieces, byte_fallback = tokencount.vocabulary(tokenizer_file("piece_bpe_32k.model"))
     return tokencount.count_tokens(table(spark, d, "documents"), pieces, byte_fallback)
 
 
+def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return (linededup.drop_repeats(table(spark, d, "documents"))
+            .select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "ids")
     docs = table(spark, d, "documents")
@@ -53,18 +63,29 @@ def op8_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return spotsigs.edited_digest(table(spark, d, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, d, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, d, "documents"), texts=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where SQL expresses the query; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
+    "op9_secret_scan": secrets.oracle(),
+}
