@@ -146,6 +146,8 @@ class Items:
         row = np.searchsorted(offsets, p, "right") - 1
         good = (self.values[j] == g) & (p + self.q <= offsets[row + 1])
         p, j, row = p[good], j[good], row[good]
+        if not len(p):
+            return empty, empty, empty
         many = np.cumsum(self.count[j])
         width = int((np.diff(offsets).max(initial=0) + self.longest) // 16 + 3)
 

@@ -269,11 +269,14 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame, id_col: st
     from pyspark.sql import Window
     C.prepare(spark)
     kind = kind or T.LongType()
+    last = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.ArrayType(T.LongType()))
+    if not manifest.limit(1).count():           # no documents, no files
+        return spark.createDataFrame([], T.StructType([T.StructField(id_col, kind), T.StructField("start", T.LongType()),
+                                                       T.StructField("n_tokens", T.LongType()), last]))
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     begins = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("begin"))
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder)
              .select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
-    last = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.ArrayType(T.LongType()))
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("key", kind), T.StructField("at", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), last])
 
