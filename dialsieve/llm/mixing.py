@@ -80,13 +80,14 @@ def tilts(table: DataFrame, goal: DataFrame, max_rate: float = MAX_RATE) -> Data
                    .select("g.source", "source_size", "target", "mean",
                            F.when(open_, F.lit(0.0)).alias("tilt"), F.least(down, F.lit(0.0)).alias("lo"), up.alias("hi")))
     cells = table.where("size > 0")
+    exact = lambda x: F.sum(x.cast("decimal(28,9)")).cast("double")  # noqa: E731  the same in any order of rows
     for _ in range(MAX_STEPS):
         z = F.col("size") / F.col("mean")
         e = F.exp(F.least(F.col("tilt") * z, F.lit(math.log(max_rate))))
         free = F.col("tilt") * z < math.log(max_rate)
         sums = (cells.alias("c").join(state.where("tilt is not null").select("source", "mean", "tilt").alias("t"), F.expr("c.source <=> t.source"))
-                .groupBy("t.source").agg(F.sum(F.col("n") * F.col("size") * e).alias("f"),
-                                         F.sum(F.when(free, F.col("n") * F.col("size") * z * e).otherwise(0.0)).alias("d")))
+                .groupBy("t.source").agg(exact(F.col("n") * F.col("size") * e).alias("f"),
+                                         exact(F.when(free, F.col("n") * F.col("size") * z * e).otherwise(0.0)).alias("d")))
         gap = F.col("f") - F.col("target")
         lo = F.when(gap < 0, F.greatest("lo", "tilt")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.least("hi", "tilt")).otherwise(F.col("hi"))
