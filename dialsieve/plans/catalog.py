@@ -57,8 +57,8 @@ def limits() -> Limits:
 
 
 def dial_history(spark, d) -> DataFrame:
-    """Calls that count toward limits: the error-outcome calls, aligned."""
-    return H.align_history(B.call_file(spark, d, event_type="error"))
+    """The call history of the limits: every call, aligned."""
+    return H.align_history(B.call_file(spark, d))
 
 
 def tagged(spark, d) -> DataFrame:
@@ -372,11 +372,11 @@ def _upload(spark, d):
 
 
 def q_dead_list_update(spark, d):
-    return update_dead_list(_upload(spark, d), B.dead_list_file(spark, d))
+    return update_dead_list(_upload(spark, d), B.dead_list_file(spark, d, B.STORE_BEFORE))
 
 
 def q_rpc_list_update(spark, d):
-    return update_rpc_list(_upload(spark, d), B.AS_OF, B.rpc_list_file(spark, d))
+    return update_rpc_list(_upload(spark, d), B.AS_OF, B.rpc_list_file(spark, d, B.STORE_BEFORE))
 
 
 def q_history_ingest_stream(spark, d):

@@ -99,30 +99,48 @@ def pdate(x: str) -> str:
 
 # --- bindings ----------------------------------------------------------------
 
-CONTACTS = """contacts AS (
-  SELECT c_custkey AS row_ord, c_nationkey AS nation, c_mktsegment AS campaign, c_name AS full_name,
-    concat('Org ', CAST(c_custkey % 97 AS VARCHAR)) AS org,
+def padded(x: str) -> str:
+    """An id as text of at least four digits (never cut)."""
+    return f"lpad(CAST({x} AS VARCHAR), greatest(4, length(CAST({x} AS VARCHAR)))::INTEGER, '0')"
+
+
+FILLED = ["data_source", "first_name", "last_name", "home_location", "org_title", "org_description", "work_location",
+          "org_li_url", "skills", "address1", "city", "postal_code", "employee_size", "industry_type", "revenue_size",
+          "revenue_link", "sic_code", "naic_code", "sic_naics_link", "job_level", "job_function", "qs",
+          "ac_list_mapping", "wp_status"]
+
+FILLED_LABELS = list(zip(FILLED, [
+    "Data_Source", "First name", "Last name", "Home Location", "Organization Title 1", "Organization Description 1",
+    "Work Location", "Organization LI URL 1", "Skills", "Address1", "City", "Zip Code/Postal Code", "Employee Size",
+    "Industry Type", "Revenue Size", "Revenue Link", "SIC Code", "NAIC Code", "SIC/NAICS Code Link", "Job Level",
+    "Job Function", "QS", "AC_List_Mapping", "WP Status"], strict=True))
+
+CONTACTS = f"""contacts AS (
+  SELECT c_custkey AS row_ord, c_nationkey AS nation,
+    CASE c_custkey % 16 WHEN 3 THEN '' WHEN 9 THEN ' - ' ELSE c_mktsegment END AS campaign, c_name AS full_name,
+    concat('Org ', CAST(c_custkey // 100 AS VARCHAR)) AS org,
     CASE WHEN c_custkey % 50 = 0 THEN '' ELSE concat(CASE WHEN c_custkey % 3 = 0 THEN ' U' ELSE 'u' END,
-      CAST(c_custkey % 1000 AS VARCHAR), '@Corp', CAST(c_custkey % 40 AS VARCHAR), '.com ') END AS email,
-    concat('corp', CAST(c_custkey % 40 AS VARCHAR), '.COM') AS domain,
+      CAST(c_custkey AS VARCHAR), '@Corp', CAST(c_custkey // 10 AS VARCHAR), '.com ') END AS email,
+    concat('corp', CAST(c_custkey // 10 AS VARCHAR), '.COM') AS domain,
     CASE c_custkey % 12 WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN 'call me 555' WHEN 3 THEN '12345'
       WHEN 4 THEN '1234567890123456' WHEN 5 THEN '777-777-7777' WHEN 6 THEN '(123) 555-0100'
       WHEN 7 THEN '212-100-0000'
-      WHEN 8 THEN concat('+1 (212) 555-', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'))
-      WHEN 9 THEN concat('+44 20 7946 ', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'))
-      WHEN 10 THEN concat('555-', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'))
-      ELSE concat('212.555.', lpad(CAST(CAST(floor(c_custkey / 12) AS BIGINT) % 100 AS VARCHAR), 4, '0')) END AS tel,
+      WHEN 8 THEN concat('+1 (212) 555-', {padded('c_custkey')})
+      WHEN 9 THEN concat('+44 20 7946 ', {padded('c_custkey')})
+      WHEN 10 THEN concat('555-', {padded('c_custkey')})
+      ELSE concat('212.555.', {padded('c_custkey // 12')}) END AS tel,
     CASE c_custkey % 7 WHEN 0 THEN 'CA' WHEN 1 THEN 'tx ' WHEN 2 THEN 'NY' WHEN 3 THEN 'ON' WHEN 4 THEN 'BC'
       WHEN 5 THEN 'ZZ' ELSE '' END AS state,
     CASE c_custkey % 8 WHEN 0 THEN 'USA' WHEN 1 THEN 'u.s.' WHEN 2 THEN 'Canada' WHEN 3 THEN 'ca'
       WHEN 4 THEN 'Germany' WHEN 5 THEN ' India ' WHEN 6 THEN 'United States' ELSE '' END AS country,
     concat('https://LinkedIn.com/in/u', CAST(c_custkey AS VARCHAR),
       CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '?trk=1' END) AS profile_url,
-    CASE WHEN c_acctbal >= 5000 THEN 'High Intent' ELSE '' END AS intent
+    CASE WHEN c_acctbal >= 5000 THEN 'High Intent' ELSE '' END AS intent,
+    {", ".join(f"concat('{c} ', CAST(c_custkey AS VARCHAR)) AS {c}" for c in FILLED)}
   FROM customer)"""
 
 _CONTACT_COLS = ("row_ord, campaign AS campaign_name, full_name, org AS org_name, email AS email_address, domain, "
-                 "tel AS telephone, state, country, profile_url")
+                 "tel AS telephone, state, country, profile_url, " + ", ".join(FILLED))
 
 COLLATED = f"""collated AS (
   SELECT CAST(1 AS BIGINT) AS src_ord, {_CONTACT_COLS}, intent FROM contacts WHERE nation <= 16
@@ -130,17 +148,20 @@ COLLATED = f"""collated AS (
   SELECT CAST(2 AS BIGINT) AS src_ord, {_CONTACT_COLS}, 'No Intent' AS intent FROM contacts WHERE nation >= 8)"""
 
 CONTACT_PRESENT = ["campaign_name", "full_name", "org_name", "email_address", "domain", "telephone", "state",
-                   "country", "profile_url", "intent"]
+                   "country", "profile_url", *FILLED, "intent"]
 
-CALLS = """calls AS (
+CALLS = f"""calls AS (
   SELECT event_id AS row_ord, CAST(user_id * 1000 + event_id % 50 AS VARCHAR) AS call_id,
-    concat('(212) 555-', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS dialed_raw,
-    concat('212555', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS dialed_number,
+    concat('(212) 555-', {padded('user_id')}) AS dialed_raw,
+    concat('212555', {padded('user_id')}) AS dialed_number,
     CAST(ts AS DATE) AS pbx_dialing_date,
     strftime(ts, '%Y-%m-%d %H:%M:%S') AS pbx_text,
-    concat('U', CAST(user_id AS VARCHAR), '@corp', CAST(user_id % 40 AS VARCHAR), '.com') AS email,
-    CASE event_type WHEN 'click' THEN 'Prospect Call Back' WHEN 'view' THEN 'Ringing No Response'
-      WHEN 'error' THEN 'Dead Contact' WHEN 'signup' THEN 'BANT Lead' ELSE 'DNC Prospect' END AS dgs,
+    concat('U', CAST(user_id AS VARCHAR), '@corp', CAST(user_id // 10 AS VARCHAR), '.com') AS email,
+    CASE WHEN event_type = 'view' THEN 'Ringing No Response'
+      WHEN event_type = 'click' THEN CASE WHEN event_id % 20 = 0 THEN 'Prospect Call Back' ELSE 'Left Message' END
+      WHEN event_type = 'error' THEN CASE WHEN event_id % 30 = 0 THEN 'Dead Contact' ELSE 'Wrong Number' END
+      WHEN event_type = 'signup' THEN CASE WHEN event_id % 20 = 0 THEN 'BANT Lead' ELSE 'Information Sent' END
+      WHEN event_id % 30 = 0 THEN 'DNC Prospect' ELSE 'Hang Up' END AS dgs,
     event_type,
     CASE user_id % 5 WHEN 0 THEN 'automobile' WHEN 1 THEN 'building' WHEN 2 THEN 'furniture'
       WHEN 3 THEN 'household' ELSE 'machinery' END AS campaign,
@@ -174,16 +195,16 @@ def hist_select(where: str = "") -> str:
     return f"SELECT {', '.join(cols)}, CAST(1 AS BIGINT) AS src_ord, row_ord FROM calls{w}"
 
 
-EXTRACT = """extract AS (
+EXTRACT = f"""extract AS (
   SELECT CAST(1 AS BIGINT) AS src_ord, o.o_orderkey AS row_ord,
     CASE WHEN o.o_orderkey % 7 = 0 THEN 'other' ELSE lower(c.c_mktsegment) END AS campaign_name,
     concat(' https://linkedin.com/in/u', CAST(o.o_custkey AS VARCHAR),
       CASE WHEN o.o_custkey % 2 = 0 THEN '/' ELSE '?trk=1' END) AS contact_link,
     CASE o.o_orderstatus WHEN 'F' THEN 'GTG' WHEN 'O' THEN 'Failed' ELSE 'Pending' END AS qa_final_status,
-    concat('u', CAST(o.o_custkey % 1000 AS VARCHAR), '@corp', CAST(o.o_custkey % 40 AS VARCHAR), '.com') AS email_address,
-    concat('(212) 555-', lpad(CAST(o.o_custkey % 1000 AS VARCHAR), 4, '0')) AS dialed_number,
+    concat('u', CAST(o.o_custkey AS VARCHAR), '@corp', CAST(o.o_custkey // 10 AS VARCHAR), '.com') AS email_address,
+    concat('(212) 555-', {padded('o.o_custkey')}) AS dialed_number,
     CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH')
-      THEN concat('212-555-', lpad(CAST(o.o_custkey % 1000 AS VARCHAR), 4, '0')) ELSE '' END AS direct_number,
+      THEN concat('212-555-', {padded('o.o_custkey')}) ELSE '' END AS direct_number,
     CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Ringing No Response' WHEN '2-HIGH' THEN 'RPC VM Reached'
       WHEN '3-MEDIUM' THEN 'Lead Scored' WHEN '4-NOT SPECIFIED' THEN 'Toll Free Number' ELSE 'Completed' END
       AS dgs_disposition,
@@ -195,19 +216,17 @@ EXTRACT_PRESENT = ["campaign_name", "contact_link", "qa_final_status", "email_ad
                    "direct_number", "dgs_disposition", "full_name", "asset_pitched", "call_id"]
 
 LISTS = f"""dead AS (
-  SELECT DISTINCT {nl('email')} AS key FROM calls
-  WHERE pbx_dialing_date = DATE '2024-01-05' AND dgs IN ('Dead Contact', 'DNC Prospect') AND {nl('email')} <> ''),
+  SELECT DISTINCT {nl('email')} AS key FROM calls WHERE dgs IN ('Dead Contact', 'DNC Prospect') AND {nl('email')} <> ''),
 rpc AS (
-  SELECT DISTINCT {nl('email')} AS key FROM calls
-  WHERE pbx_dialing_date = DATE '2024-01-12' AND dgs IN ('Prospect Call Back', 'BANT Lead') AND {nl('email')} <> ''),
+  SELECT DISTINCT {nl('email')} AS key FROM calls WHERE dgs IN ('Prospect Call Back', 'BANT Lead') AND {nl('email')} <> ''),
 domains AS (
-  SELECT DISTINCT {nl("concat('Corp', CAST(n.n_nationkey AS VARCHAR), '.com ')")} AS key
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'),
+  SELECT DISTINCT {nl("concat('Corp', CAST(s.s_suppkey AS VARCHAR), '.com ')")} AS key
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE r.r_name = 'ASIA'),
 direct AS (
-  SELECT DISTINCT {dg('dialed_raw')} AS phone FROM calls
-  WHERE pbx_dialing_date = DATE '2024-01-15' AND dgs = 'BANT Lead' AND {dg('dialed_raw')} NOT IN ('', '0'))"""
+  SELECT DISTINCT {dg('dialed_raw')} AS phone FROM calls WHERE dgs = 'BANT Lead' AND {dg('dialed_raw')} NOT IN ('', '0'))"""
 
-HIST_ERR = f"""hist AS ({hist_select("event_type = 'error'")})"""
+HIST = f"""hist AS ({hist_select()})"""
 
 SNAP = f"""snap AS (
   SELECT CAST(1 AS BIGINT) AS src_ord, {_CONTACT_COLS}, intent, '{OLD_BATCH_ID}' AS batch_id,
@@ -245,12 +264,12 @@ def tag_ctes(src: str, tel: str, dtel: str, has_domain: bool, prefix: str = "")
     dw, dd = "coalesce(cd.weekly_count, 0)", "coalesce(cd.daily_count, 0)"
     w, d = "coalesce(ct.weekly_count, 0)", "coalesce(ct.daily_count, 0)"
     reason = ("CASE WHEN k.suppression_reason <> '' THEN '' WHEN k._tel = '' THEN '' "
-              f"WHEN k._is_direct AND {dw} > 3 THEN 'Direct-dial weekly limit exceeded: ' || CAST({dw} AS VARCHAR) "
-              "|| ' dials this ISO week (max 3, Direct Number in repo)' "
-              f"WHEN k._is_direct AND {dd} > 3 THEN 'Direct-dial daily limit exceeded: ' || CAST({dd} AS VARCHAR) "
-              "|| ' dials on 2024-01-18 (max 3, Direct Number in repo)' "
-              f"WHEN {w} > 3 THEN 'Weekly dial limit exceeded: ' || CAST({w} AS VARCHAR) || ' dials this ISO week (max 3)' "
-              f"WHEN {d} > 1 THEN 'Daily dial limit exceeded: ' || CAST({d} AS VARCHAR) || ' dials on 2024-01-18 (max 1)' "
+              f"WHEN k._is_direct AND {dw} > 15 THEN 'Direct-dial weekly limit exceeded: ' || CAST({dw} AS VARCHAR) "
+              "|| ' dials this ISO week (max 15, Direct Number in repo)' "
+              f"WHEN k._is_direct AND {dd} > 15 THEN 'Direct-dial daily limit exceeded: ' || CAST({dd} AS VARCHAR) "
+              "|| ' dials on 2024-01-18 (max 15, Direct Number in repo)' "
+              f"WHEN {w} > 15 THEN 'Weekly dial limit exceeded: ' || CAST({w} AS VARCHAR) || ' dials this ISO week (max 15)' "
+              f"WHEN {d} > 3 THEN 'Daily dial limit exceeded: ' || CAST({d} AS VARCHAR) || ' dials on 2024-01-18 (max 3)' "
               "ELSE '' END")
     tagged0 = (f"{p}tagged0 AS (SELECT k.*, {reason} AS dial_limit_reason FROM {p}keyed k "
                f"LEFT JOIN {p}counts ct ON ct.dialed_number = k._tel "
@@ -347,7 +366,7 @@ def _merged_all() -> str:
 
 
 def _contact_lists_ctes():
-    return [CONTACTS, COLLATED, CALLS, LISTS, HIST_ERR]
+    return [CONTACTS, COLLATED, CALLS, LISTS, HIST]
 
 
 def sql() -> dict[str, str]:
@@ -414,7 +433,7 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
         f"SELECT src_ord, row_ord, {fp(url('profile_url'), 'full_name')} AS contactid, "
         f"{fp('org_name', 'country')} AS companyid, {fp(url('profile_url'), nl('campaign_name'))} AS li_cmp_md1, "
         f"{fp('full_name', 'org_name', nl('campaign_name'))} AS fnln_comp_cmp_md2, "
-        f"{fp(BLANK, BLANK, url('profile_url'))} AS contacted FROM collated")
+        f"{fp('first_name', 'last_name', url('profile_url'))} AS contacted FROM collated")
     dn = ("SELECT row_ord, CASE event_type WHEN 'click' THEN '-' WHEN 'view' THEN 'nan' WHEN 'error' THEN ' ' "
           "ELSE dialed_raw END AS d1, CASE event_type WHEN 'error' THEN 'None' WHEN 'view' THEN '' "
           "ELSE concat('+1 ', dialed_number) END AS d2, CASE WHEN event_type = 'view' THEN dialed_number ELSE '' END AS d0 "
@@ -515,7 +534,8 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     # audit
     labels = [("campaign_name", "Campaign Name"), ("full_name", "Full name"), ("org_name", "Organization 1"),
               ("email_address", "EmailAddress"), ("domain", "Domain"), ("telephone", "TelephoneNumber"),
-              ("state", "State"), ("country", "Country"), ("profile_url", "Profile url"), ("intent", "Intent")]
+              ("state", "State"), ("country", "Country"), ("profile_url", "Profile url"), *FILLED_LABELS,
+              ("intent", "Intent")]
     jbase = ", ".join(f"{_q(lbl)}, {c}" for c, lbl in labels) + ", 'suppression_reason', suppression_reason"
     row_json = (f"CASE WHEN row_status = 'SUPPRESSED' THEN CAST(json_object({jbase}) AS VARCHAR) "
                 f"ELSE CAST(json_object({jbase}, 'dial_limit_reason', dial_limit_reason) AS VARCHAR) END")
@@ -565,13 +585,13 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
 
     # list maintenance (K5)
     up = "up AS (SELECT * FROM calls WHERE pbx_dialing_date >= DATE '2024-01-13')"
-    olddead = ("olddead AS (SELECT email AS ex FROM calls WHERE pbx_dialing_date = DATE '2024-01-05' "
+    olddead = ("olddead AS (SELECT email AS ex FROM calls WHERE pbx_dialing_date < DATE '2024-01-20' "
                "AND dgs IN ('Dead Contact', 'DNC Prospect'))")
     q["dead_list_update"] = with_(CALLS, up, olddead) + (
         f"SELECT DISTINCT email FROM (SELECT {nl('ex')} AS email FROM olddead UNION ALL "
         f"SELECT {nl('email')} FROM up WHERE {nl('dgs')} IN ('dead contact', 'dnc prospect') AND {nl('email')} <> '')")
     oldrpc = ("oldrpc AS (SELECT email, dgs AS disposition, '2024-01-12' AS dialing_date, row_ord FROM calls "
-              "WHERE pbx_dialing_date = DATE '2024-01-12' AND dgs IN ('Prospect Call Back', 'BANT Lead'))")
+              "WHERE pbx_dialing_date < DATE '2024-01-20' AND dgs IN ('Prospect Call Back', 'BANT Lead'))")
     from ..operators.suppress import RPC_DISPOSITIONS
     q["rpc_list_update"] = with_(CALLS, up, oldrpc) + (
         "SELECT email, disposition, dialing_date FROM ("
