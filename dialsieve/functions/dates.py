@@ -7,43 +7,38 @@ from pyspark.sql import functions as F
 
 from . import sql as X
 
-# --- fixed values: date spellings tried in order (month-first for slashes)
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyy/MM/dd",
-]
+_D2, _D12, _D4 = "[0-9]{2}", "[0-9]{1,2}", "[0-9]{4}"
+_DASH, _SLASH = f"{_D4}-{_D12}-{_D12}", f"{_D12}/{_D12}/{_D4}"
+
+# --- fixed values: date spellings by shape (disjoint shapes; month first for slashes)
+DATE_FORMATS: dict[str, str] = {
+    _DASH: "yyyy-M-d",
+    f"{_DASH} {_D12}:{_D2}": "yyyy-M-d H:mm",
+    f"{_DASH} {_D12}:{_D2}:{_D2}": "yyyy-M-d H:mm:ss",
+    f"{_DASH} {_D12}:{_D2}:{_D2}[.][0-9]{{3}}": "yyyy-M-d H:mm:ss.SSS",
+    f"{_DASH} {_D12}:{_D2}:{_D2}[.][0-9]{{6}}": "yyyy-M-d H:mm:ss.SSSSSS",
+    f"{_DASH}T{_D12}:{_D2}:{_D2}": "yyyy-M-d'T'H:mm:ss",
+    f"{_DASH}T{_D12}:{_D2}:{_D2}Z": "yyyy-M-d'T'H:mm:ss'Z'",
+    _SLASH: "M/d/yyyy",
+    f"{_SLASH} {_D12}:{_D2}": "M/d/yyyy H:mm",
+    f"{_SLASH} {_D12}:{_D2}:{_D2}": "M/d/yyyy H:mm:ss",
+    f"{_SLASH} {_D12}:{_D2} [AP]M": "M/d/yyyy h:mm a",
+    f"{_SLASH} {_D12}:{_D2}:{_D2} [AP]M": "M/d/yyyy h:mm:ss a",
+    f"{_D12}-[A-Z][a-z]{{2}}-{_D4}": "d-MMM-yyyy",
+    "[0-9]{8}": "yyyyMMdd",
+    f"{_D4}/{_D12}/{_D12}": "yyyy/M/d",
+}
 
 DATE_BLANKS = ["", "-", "nan", "NaT", "NAT"]
 
-# the shape of a value each format can parse (disjoint shapes), used to make
-# one parse attempt per row instead of failing through the list
-_D2, _D4 = "[0-9]{2}", "[0-9]{4}"
-_SHAPES = {
-    "yyyy-MM-dd": f"^{_D4}-{_D2}-{_D2}$",
-    "yyyy-MM-dd HH:mm:ss": f"^{_D4}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}$",
-    "yyyy-MM-dd'T'HH:mm:ss": f"^{_D4}-{_D2}-{_D2}T{_D2}:{_D2}:{_D2}$",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS": f"^{_D4}-{_D2}-{_D2} {_D2}:{_D2}:{_D2}[.][0-9]{{6}}$",
-    "MM/dd/yyyy": f"^{_D2}/{_D2}/{_D4}$",
-    "MM/dd/yyyy HH:mm:ss": f"^{_D2}/{_D2}/{_D4} {_D2}:{_D2}:{_D2}$",
-    "yyyy/MM/dd": f"^{_D4}/{_D2}/{_D2}$",
-}
-
 
 def parse_timestamp_sql(x: str) -> str:
-    """Formats tried in order.  A value whose shape matches one format gets
-    exactly that parse attempt (a failed parse is costly in the JVM); any
-    other value falls back to trying the whole list."""
+    """One parse attempt per value, with the format of its shape (a failed parse is
+    costly in the JVM); blanks and values of no known shape are NULL."""
     v = X.norm(x)
-    tries = ", ".join(f"try_to_timestamp({v}, {X.lit(f)})" for f in DATE_FORMATS)
-    shaped = " ".join(f"WHEN {v} rlike {X.lit(_SHAPES[f])} THEN try_to_timestamp({v}, {X.lit(f)})"
-                      for f in DATE_FORMATS)
-    return (f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) {shaped} "
-            f"ELSE coalesce({tries}) END")
+    shaped = " ".join(f"WHEN {v} rlike {X.lit(f'^{shape}$')} THEN try_to_timestamp({v}, {X.lit(f)})"
+                      for shape, f in DATE_FORMATS.items())
+    return f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) {shaped} END"
 
 
 def parse_date_sql(x: str) -> str:

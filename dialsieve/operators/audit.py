@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..functions.phone import STATUSES
-from ..schema import LABELS, ORDER_COLUMNS, col_or_blank, first_present, q, sql_or_blank
+from ..schema import ORDER_COLUMNS, col_or_blank, first_present, labels_of, q, sql_or_blank
 
 BLANK_CAMPAIGN = ["", "nan", "None", "-"]
-STATUS_RANK = {"GTG": 1, "SUPPRESSED": 2, "OVER_LIMIT": 3}
 
 
 def campaign_first(df: DataFrame) -> DataFrame:
@@ -24,9 +23,9 @@ def campaign_first(df: DataFrame) -> DataFrame:
 
 
 def campaign_list(df: DataFrame) -> DataFrame:
-    """Distinct non-blank campaign codes, sorted, joined with ', ' (one row).
-    Distinct values are found with a distributed aggregate first; only the
-    distinct codes reach the final one-row collect."""
+    """Distinct non-blank campaign codes, sorted, joined with ', ' (one row, as wide as
+    the result is).  Distinct values are found with a distributed aggregate first;
+    only the distinct codes reach the final row."""
     codes = df.selectExpr(f"{X.norm(sql_or_blank(df, 'campaign_name'))} AS c").where("c != ''").distinct()
     return codes.agg(F.array_join(F.sort_array(F.collect_list("c")), ", ").alias("campaigns")) \
                 .select(F.coalesce("campaigns", F.lit("")).alias("campaigns"))
@@ -51,7 +50,8 @@ def batch_campaign(tagged: DataFrame, fallback: str = "") -> str:
 def _json_sql(df: DataFrame, with_limit: bool) -> str:
     cols = [c for c in df.columns if not c.startswith("_") and c not in ORDER_COLUMNS
             and c not in ("row_status", "dial_limit_reason", "suppression_reason")]
-    fields = [f"{X.lit(LABELS.get(c, c))}, coalesce(CAST({q(c)} AS STRING), '')" for c in cols]
+    label = labels_of(df, cols)
+    fields = [f"{X.lit(label[c])}, coalesce(CAST({q(c)} AS STRING), '')" for c in cols]
     fields.append("'suppression_reason', suppression_reason")
     if with_limit:
         fields.append("'dial_limit_reason', dial_limit_reason")
@@ -121,13 +121,20 @@ def export_rows(tagged: DataFrame) -> DataFrame:
     then the reasons and the status (used to partition the export)."""
     cols = [c for c in tagged.columns if not c.startswith("_") and c not in ORDER_COLUMNS
             and c not in ("row_status", "dial_limit_reason", "suppression_reason")]
-    return tagged.selectExpr(*[f"{q(c)} AS {q(LABELS.get(c, c))}" for c in cols],
+    label = labels_of(tagged, cols)
+    return tagged.selectExpr(*[f"{q(c)} AS {q(label[c])}" for c in cols],
                              "suppression_reason", "dial_limit_reason", "row_status")
 
 
-def append_run_log(row: DataFrame, path: str) -> None:
-    """K4: append the run-log row (``activity_row``) to the run log."""
-    row.write.mode("append").parquet(path)
+def replace_batch(rows: DataFrame, path: str) -> None:
+    """Write the rows of a batch into its ``batch_id`` partition, replacing what an earlier
+    run of the same batch left there; other batches are not touched."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def write_run_log(row: DataFrame, path: str) -> None:
+    """K4: the run-log row (``activity_row``) of a batch."""
+    replace_batch(row, path)
 
 
 def _label(*cols) -> F.Column:
@@ -164,6 +171,17 @@ def grand_totals(runs: DataFrame) -> DataFrame:
     return runs.agg(*[F.sum(c).cast("long").alias(c) for c in ("total_rows", "gtg_rows", "suppressed", "over_limit")])
 
 
+def list_sizes(lists: dict[str, DataFrame | None]) -> DataFrame:
+    """Rows of every list, 0 for an empty or missing one."""
+    frames = [df for df in lists.values() if df is not None]
+    spark = frames[0].sparkSession
+    parts = spark.createDataFrame([(name, 0) for name in lists], "list string, n int")
+    for name, df in lists.items():
+        if df is not None:
+            parts = parts.unionByName(df.select(F.lit(name).alias("list"), F.lit(1).alias("n")))
+    return parts.groupBy("list").agg(F.sum("n").cast("long").alias("n"))
+
+
 def activity_topk(runs: DataFrame, n: int = 1000) -> DataFrame:
     """O2: newest ``n`` run-log rows (ties broken by id), campaign label cleaned.
     ``orderBy().limit()`` plans as TakeOrderedAndProject: a per-partition top-n,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sql as X
 from ..schema import first_present, sql_or_blank
 from ..session import materialize
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join, row_id, spread_blank_sql
+from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, mark_join, row_id, spread_blank_sql
 
 # canonical candidates for the dialled number and the direct number, in order
 TEL_CANDIDATES = ["telephone", "phone_office", "dialed_number"]
@@ -44,8 +44,7 @@ def mark_direct(df: DataFrame, direct: DataFrame | None,
     if direct is None:
         return df.withColumn("_is_direct", F.lit(False))
     dl = direct.select(F.col("phone").alias("_dphone")).distinct().withColumn("_dhit", F.lit(True))
-    _, small = bounded_broadcast(dl, broadcast_rows)
-    return (mark_join(ensure_row_id(df), "_dtel", dl, "_dphone", ["_dhit"], small)
+    return (mark_join(df, "_dtel", dl, "_dphone", ["_dhit"], broadcast_rows)
               .withColumn("_is_direct", F.coalesce(F.col("_dhit"), F.lit(False))).drop("_dhit"))
 
 
@@ -57,11 +56,11 @@ def phone_universe(marked: DataFrame) -> DataFrame:
                   .where(F.col("phone") != "").distinct())
 
 
-def dial_counts(history: DataFrame, phones: DataFrame, check_date: dt.date,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def dial_counts(history: DataFrame | None, phones: DataFrame, check_date: dt.date) -> DataFrame:
     """Per number in ``phones``: distinct call ids on ``check_date`` and in its
     ISO week, from the history store (``dialed_number``, ``call_id``,
-    ``pbx_dialing_date``).  Numbers never dialled get 0, 0.
+    ``pbx_dialing_date``).  Numbers never dialled get 0, 0; so does every number
+    when there is no history yet (None or an empty store).
 
     The store is cut to one week first: a date range that Parquet can push
     down, plus ``dial_week = monday`` on the partition column when the store
@@ -69,11 +68,14 @@ def dial_counts(history: DataFrame, phones: DataFrame, check_date: dt.date,
     then (number, call) pairs are deduplicated and counted - two aggregates
     with map-side combine, so a hot number does not land whole in one task."""
     monday, next_monday = week_bounds(check_date)
+    p = phones.select(F.col("phone").alias("dialed_number")).distinct()
+    if history is None:
+        zero = F.lit(0).cast("long")
+        return p.select("dialed_number", zero.alias("daily_count"), zero.alias("weekly_count"))
     h = history
     if "dial_week" in h.columns:
         h = h.where(F.col("dial_week") == F.lit(monday))
     h = h.where((F.col("pbx_dialing_date") >= F.lit(monday)) & (F.col("pbx_dialing_date") < F.lit(next_monday)))
-    p = phones.select(F.col("phone").alias("dialed_number")).distinct()
     calls = (h.select("dialed_number", "call_id", "pbx_dialing_date")
               .join(p, "dialed_number", "left_semi")
               .groupBy("dialed_number", "call_id")
@@ -87,7 +89,7 @@ def dial_counts(history: DataFrame, phones: DataFrame, check_date: dt.date,
                      F.coalesce("weekly_count", F.lit(0).cast("long")).alias("weekly_count")))
 
 
-def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
+def tag_dial_limits(df: DataFrame, history: DataFrame | None, check_date: dt.date,
                     direct: DataFrame | None = None, max_day: int | None = None,
                     max_direct: int | None = None, is_dell: bool = False,
                     max_direct_week: int | None = None, max_direct_day: int | None = None,
@@ -113,13 +115,12 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
 
     if "suppression_reason" not in df.columns:
         df = df.withColumn("suppression_reason", F.lit(""))
-    df = ensure_row_id(df)
     keyed = mark_direct(with_phone_keys(df), direct, broadcast_rows)
     # counts are derived from the input (one row per distinct number), so their
     # size is only known at run time: AQE turns the joins into broadcasts when
     # the materialised counts are small and keeps shuffle joins otherwise.
     counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
-                         check_date, broadcast_rows)
+                         check_date)
     rid = row_id(df)
     # Only numbers that can fail a check matter: a number at or under every
     # threshold behaves exactly like a number never dialled.  The remaining
@@ -167,13 +168,18 @@ def tag_dial_limits(df: DataFrame, history: DataFrame, check_date: dt.date,
 
 
 def phone_coverage(keyed: DataFrame) -> DataFrame:
-    """A14 as (metric, value) rows: non-blank dialled numbers, non-blank
-    direct numbers, distinct listed direct numbers present, distinct numbers
-    queried.  Each is one map-side-combined aggregate; they are stacked by
-    union (no join)."""
-    a = keyed.agg(F.count_if(F.col("_tel") != "").cast("long").alias("v")).select(F.lit("tel_nonblank").alias("metric"), "v")
-    b = keyed.agg(F.count_if(F.col("_dtel") != "").cast("long").alias("v")).select(F.lit("dtel_nonblank").alias("metric"), "v")
-    c = (keyed.where(F.col("_is_direct") & (F.col("_dtel") != "")).select("_dtel").distinct()
-              .agg(F.count(F.lit(1)).cast("long").alias("v")).select(F.lit("direct_in_list").alias("metric"), "v"))
-    d = phone_universe(keyed).agg(F.count(F.lit(1)).cast("long").alias("v")).select(F.lit("phones_queried").alias("metric"), "v")
-    return a.unionByName(b).unionByName(c).unionByName(d).withColumnRenamed("v", "value")
+    """A14 as (metric, value) rows: non-blank dialled numbers, non-blank direct
+    numbers, distinct listed direct numbers present, distinct numbers queried.
+
+    One pass: every row gives its numbers with what they count for; numbers are
+    combined map-side, then the per-number flags are summed."""
+    listed = F.when(F.col("_is_direct"), F.col("_dtel")).otherwise(F.lit(""))
+    each = keyed.select(F.explode(F.array(F.struct(F.col("_tel").alias("phone"), F.lit(1).alias("t"), F.lit(0).alias("d"), F.lit(False).alias("l")),
+                                          F.struct(listed.alias("phone"), F.lit(0).alias("t"),
+                                                   (F.col("_dtel") != "").cast("int").alias("d"), F.col("_is_direct").alias("l")))).alias("x"))
+    per = each.groupBy("x.phone").agg(F.sum("x.t").alias("t"), F.sum("x.d").alias("d"), F.max("x.l").alias("l"))
+    named = F.col("phone") != ""
+    sums = per.agg(F.sum(F.when(named, F.col("t")).otherwise(0)).alias("tel_nonblank"), F.sum("d").alias("dtel_nonblank"),
+                   F.count_if(named & F.col("l")).alias("direct_in_list"), F.count_if(named).alias("phones_queried"))
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("value"))
+                                           for c in sums.columns])).alias("m")).select("m.metric", "m.value")

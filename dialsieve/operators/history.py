@@ -13,12 +13,14 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sql as X
-from ..functions.dates import parse_date_sql, week_start
+from ..functions.dates import DATE_BLANKS, parse_date_sql, week_start
 from ..functions.text import HISTORY_NULL_TOKENS
-from ..schema import CALL_LAYOUT, HISTORY_COLUMNS, q
+from ..schema import CALL_LAYOUT, HISTORY_COLUMNS, key_columns, q
 from ..session import materialize
+from ..sources.tabular import read_if_written
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 KEYS = ["call_id", "dialed_number"]
@@ -71,18 +73,20 @@ def new_rows(store: DataFrame | None, batch_aligned: DataFrame,
              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Rows of the batch whose key is not in the store (J6 / K1 plan).
 
-    Two steps so the store is never shuffled: the store's key columns are
-    semi-joined against the (size-checked, broadcast) batch keys - a map-only
-    filter over the store - and the batch is anti-joined with those hits."""
+    A batch whose keys were counted small is broadcast against the store's two
+    key columns (a map-only filter over the store), and the hits against the
+    batch.  A larger batch is anti-joined with the store's keys by a shuffle: only
+    the keys of the store move, and blank call ids, which share one key per
+    number, are reduced map-side first."""
     batch = dedup_batch(batch_aligned)
     if store is None:
         return batch
-    bkeys = batch.select(*KEYS)
-    bk, small = bounded_broadcast(bkeys, broadcast_rows, bound=batch_aligned)
-    hits = store.select(*KEYS).join(bk, KEYS, "left_semi").distinct()
-    if small:  # hits are a subset of the batch keys, so the same bound holds
-        hits = F.broadcast(hits)
-    return batch.join(hits, KEYS, "left_anti")
+    keys = store.select(*KEYS)
+    bkeys, small = bounded_broadcast(batch_aligned.select(*KEYS), broadcast_rows)
+    if small:
+        hits = F.broadcast(keys.join(F.broadcast(bkeys.distinct()), KEYS, "left_semi").distinct())
+        return batch.join(hits, KEYS, "left_anti")
+    return batch.join(keys.distinct().hint("merge"), KEYS, "left_anti")
 
 
 def ingest_counts(batch_aligned: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -106,36 +110,50 @@ def with_store_columns(rows: DataFrame, batch_id: str, loaded_at: dt.datetime) -
 
 def append_history(spark: SparkSession, store_path: str, raw_batch: DataFrame, batch_id: str,
                    loaded_at: dt.datetime, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> dict:
-    """K1: align, dedup, keep new keys, append to the store; returns counts.
+    """K1: align, dedup, keep new keys, append to the store; returns counts, with the
+    number of non-blank dialling dates that no date format parses.
 
     The new rows are checkpointed first so the count and the write come from
     one computation.  Single writer: a crash between checkpoint and commit is
     repaired by re-running the same batch (already stored keys are skipped)."""
     aligned = align_history(raw_batch)
-    store = read_store(spark, store_path)
+    store = read_if_written(spark, store_path)
     fresh = materialize(with_store_columns(new_rows(store, aligned, broadcast_rows), batch_id, loaded_at))
     total = aligned.count()
     inserted = fresh.count()
     if inserted:
         fresh.write.mode("append").partitionBy("dial_week").parquet(store_path)
-    return {"total": total, "inserted": inserted, "skipped": total - inserted}
+    return {"total": total, "inserted": inserted, "skipped": total - inserted, "unparsed_dates": unparsed_dates(raw_batch)}
+
+
+def unparsed_dates(raw: DataFrame) -> int:
+    """Non-blank dialling dates that parse to no date."""
+    found = next((c for c in raw.columns if _HEADER_TO_COL.get(c.strip(), c.strip()) == "pbx_dialing_date"), None)
+    if found is None:
+        return 0
+    text = X.norm(f"CAST({q(found)} AS STRING)")
+    return raw.selectExpr(f"{text} AS t", f"{parse_date_sql(q(found))} AS d") \
+        .where(f"d IS NULL AND t NOT IN ({X.lits(DATE_BLANKS)})").count()
 
 
-def read_store(spark: SparkSession, store_path: str) -> DataFrame | None:
-    """The store, or None when nothing was written yet (S7).  Always re-read
-    after a write: an old frame keeps its old file list."""
-    try:
-        return spark.read.parquet(store_path)
-    except Exception as exc:  # missing path -> empty store
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+def store_schema() -> T.StructType:
+    """Columns of the store."""
+    text = [T.StructField(c, T.DateType() if c == "pbx_dialing_date" else T.StringType()) for c in HISTORY_COLUMNS]
+    return T.StructType([*text, T.StructField("src_ord", T.LongType()), T.StructField("row_ord", T.LongType()),
+                         T.StructField("batch_id", T.StringType()), T.StructField("loaded_at", T.TimestampNTZType()),
+                         T.StructField("dial_week", T.DateType())])
+
+
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """The store; an empty frame with its columns when nothing was written yet.
+    Always re-read after a write: an old frame keeps its old file list."""
+    stored = read_if_written(spark, store_path)
+    return spark.createDataFrame([], store_schema()) if stored is None else stored
 
 
 def truncate_history(spark: SparkSession, store_path: str, like: DataFrame) -> None:
     """K8: empty the store.  The empty frame is built from the schema alone (the
-    path being replaced is not read); an empty store reads back as None, which
-    every reader treats as "no rows yet"."""
+    path being replaced is not read); an empty store reads back as an empty frame."""
     spark.createDataFrame([], like.schema).write.mode("overwrite").partitionBy("dial_week").parquet(store_path)
 
 
@@ -154,18 +172,20 @@ def history_profile(store: DataFrame, approx: bool = False, rsd: float = 0.01) -
         F.max("pbx_dialing_date").alias("latest_date"))
 
 
-def history_match(f3: DataFrame, store: DataFrame,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def history_match(f3: DataFrame, store: DataFrame) -> DataFrame:
     """Extract rows whose (lower(trim(campaign)), lower(trim(contact link)))
-    occur in the history store."""
-    fk = f3.withColumns({"_hc": F.expr(X.norm_lower("campaign_name")), "_hl": F.expr(X.norm_lower("contact_link"))})
-    # the extract's keys (an input) filter the store map-side; the store is never shuffled whole
-    ek, small = bounded_broadcast(fk.select("_hc", "_hl").distinct(), broadcast_rows, bound=f3)
-    hits = (store.selectExpr(f"{X.norm_lower('campaign_name')} AS _hc", f"{X.norm_lower('contact_link')} AS _hl")
-                 .join(ek, ["_hc", "_hl"], "left_semi").distinct())
-    if small:
-        hits = F.broadcast(hits)
-    return fk.join(hits, ["_hc", "_hl"], "left_semi").drop("_hc", "_hl")
+    occur in the history store.  Key columns are found by their aliases, else the
+    extract's first and second column stand in; blank keys never match.
+
+    The store's key pairs are reduced map-side before they move, and only
+    (pair) columns of the store are read."""
+    camp, link = key_columns(f3, ["campaign_name"], ["contact_link", "profile_url", "contactid"])
+    pair = lambda c, l: (X.norm_lower(f"coalesce(CAST({q(c)} AS STRING), '')"), X.norm_lower(f"coalesce(CAST({q(l)} AS STRING), '')"))
+    ec, el = pair(camp, link)
+    sc, sl = pair("campaign_name", "contact_link")
+    known = store.selectExpr(f"{sc} AS _hc", f"{sl} AS _hl").where("_hc <> '' AND _hl <> ''").distinct()
+    rows = f3.withColumns({"_hc": F.expr(ec), "_hl": F.expr(el)}).where("_hc <> '' AND _hl <> ''")
+    return rows.join(known, ["_hc", "_hl"], "left_semi").drop("_hc", "_hl")
 
 
 def history_preview(store: DataFrame, n: int = 200) -> DataFrame:

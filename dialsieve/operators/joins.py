@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and skew-safe keys."""
+"""Join helpers: counted broadcasts and skew-safe keys."""
 
 from __future__ import annotations
 
@@ -9,85 +9,55 @@ from pyspark.sql import functions as F
 
 from ..schema import q
 
-# A list / lookup side is broadcast only when it has at most this many rows
-# (checked with a bounded count); above it the join is a shuffle join and AQE
-# may still pick a broadcast from runtime statistics.
+# A list / lookup side is broadcast only when it was counted and has at most
+# this many rows and bytes; else the join is a shuffle join, whatever the
+# optimizer estimates.
 DEFAULT_BROADCAST_ROWS = 2_000_000
-# Inputs whose optimizer size estimate is below this are broadcast without a
-# counting job.  The estimate comes from file sizes (compressed), so the real
-# in-memory size can be a few times larger - still far below any broadcast
-# limit at this threshold.
-ESTIMATE_FAST_BYTES = 4 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (no job), or None."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # noqa: BLE001 - estimates are best effort
-        return None
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      bound: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast-hinted ``df`` when it provably has <= ``max_rows`` rows.
-
-    ``bound`` is a cheaper frame known to have at least as many rows as
-    ``df`` (e.g. the raw input of a distinct); it is counted instead.  Only
-    stored inputs are checked this way; for frames derived inside a plan AQE
-    decides from runtime statistics."""
-    if max_rows <= 0:
-        return df, False
-    est = estimated_bytes(bound if bound is not None else df)
-    if est is not None and est <= ESTIMATE_FAST_BYTES:
-        return F.broadcast(df), True
-    n = (bound if bound is not None else df).limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast-hinted ``df`` when it has at most ``max_rows`` rows and ``max_bytes``
+    bytes of text, else ``df`` with a shuffle-join hint.
+
+    Rows and bytes are counted by one aggregate over ``df`` (distributed; one row
+    comes back), so use it for lists and key sets that are cheap to compute or
+    checkpointed.  The hint only chooses the physical join, never the result."""
+    if max_rows > 0:
+        size = F.lit(8 * len(df.columns))
+        for c, kind in df.dtypes:
+            if kind == "string":
+                size = size + F.coalesce(F.octet_length(F.col(q(c))), F.lit(0))
+        n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+        if n <= max_rows and (total or 0) <= max_bytes:
+            return F.broadcast(df), True
+    return df.hint("merge"), False
 
 
 def spread_blank_sql(key: str, row_id: Sequence[str]) -> str:
-    """Join-key text where blank becomes a row-unique value that matches nothing.
+    """Join-key text where blank becomes a value of its own row that matches nothing.
 
     Blank keys (no email, no phone ...) never match a list, but in a shuffle
-    join they would all hash to one partition; giving each its own value
-    spreads them evenly.  Deterministic (built from the row's order columns),
-    so a retried task rebuilds the same partitioning."""
+    join they would all hash to one partition; giving each row its own value
+    spreads them.  It is built from the row's order columns (which may be NULL or
+    repeated: that only spreads less), so a retried task rebuilds it."""
     ids = ", ".join(f"CAST({q(c)} AS STRING)" for c in row_id) or "''"
-    return f"coalesce(nullif({key}, ''), concat(char(0), {ids}))"
+    return f"coalesce(nullif({key}, ''), concat(char(0), concat_ws(',', {ids})))"
 
 
 def row_id(df: DataFrame) -> list[str]:
     return [c for c in ("src_ord", "row_ord") if c in df.columns]
 
 
-def ensure_row_id(df: DataFrame) -> DataFrame:
-    """Frames without upload-order columns get a ``row_ord`` (stable for a given
-    input split) so per-row results can be attached back by id."""
-    return df if row_id(df) else df.withColumn("row_ord", F.monotonically_increasing_id())
-
-
 def mark_join(df: DataFrame, key_sql: str, marks: DataFrame, marks_key: str, payload: list[str],
-              small: bool) -> DataFrame:
+              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Attach ``payload`` columns of the ``marks`` row whose ``marks_key``
     equals the row's key (``marks`` has one row per key; NULL when none).
 
-    Small ``marks`` (size-checked): one broadcast hash join, map-side.
-    Large ``marks``: a narrow join - only (row id, key) of the rows with a
-    non-blank key are shuffled against the marks; the hits (usually few) are
-    checkpointed, size-checked and attached back by the unique row id with a
-    broadcast - instead of shuffling every column of every row."""
-    rid = row_id(df)
-    if small or not rid:
-        side = F.broadcast(marks) if small else marks
-        return (df.withColumn("_mk", F.expr(spread_blank_sql(key_sql, rid)))
-                  .join(side, F.col("_mk") == F.col(marks_key), "left").drop("_mk", marks_key))
-    hits = (df.select(*rid, F.expr(key_sql).alias("_mk")).where(F.col("_mk") != "")
-              .join(marks, F.col("_mk") == F.col(marks_key), "inner").select(*rid, *payload))
-    # the hits are derived, so their size is unknown until computed: checkpoint
-    # them once and size-check, so the attach is a broadcast when they are few
-    from ..session import materialize
-    hits, _ = bounded_broadcast(materialize(hits), DEFAULT_BROADCAST_ROWS)
-    return df.join(hits, rid, "left")
+    One plan at every size: the rows themselves are left-joined on their key, so
+    rows need no unique id.  Counted small marks are broadcast (map-side); larger
+    ones shuffle, with blank keys spread and hot keys left to AQE's skew join."""
+    side, _ = bounded_broadcast(marks.select(marks_key, *payload), broadcast_rows)
+    return (df.withColumn("_mk", F.expr(spread_blank_sql(key_sql, row_id(df))))
+              .join(side, F.col("_mk") == F.col(marks_key), "left").drop("_mk", marks_key))

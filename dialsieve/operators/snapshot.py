@@ -4,8 +4,8 @@ merge with later call extracts (K2, K9, J7, J8, J10, W4, W5, FL8).
 A snapshot batch holds every collated row of a contact run plus ``batch_id``
 and the normalised join keys ``_campaign_name`` / ``_contact_link`` (lower,
 trim, URL uncleaned).  It is Parquet partitioned by ``batch_id``; an upsert is
-an append of a new batch, and readers take, per key, the row of the latest
-batch (then the first row in upload order).
+a new batch, and readers take, per key, the row of the batch loaded last (then
+the first row in upload order; the order columns are unique within a batch).
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql as X
-from ..schema import ORDER_COLUMNS, first_present, sql_or_blank
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, row_id, spread_blank_sql
+from ..schema import ORDER_COLUMNS, first_present, key_columns, sql_or_blank
+from ..sources.tabular import read_if_written
+from .audit import replace_batch
+from .joins import row_id, spread_blank_sql
 
 CAMPAIGN_CANDIDATES = ["campaign_name"]
 SNAPSHOT_LINK_CANDIDATES = ["profile_url", "contact_link", "contact_li_url"]
-EXTRACT_LINK_CANDIDATES = ["contact_link", "profile_url"]
+EXTRACT_LINK_CANDIDATES = ["contact_link", "profile_url", "contactid"]
 INTERNAL = ("batch_id", "loaded_at", "_campaign_name", "_contact_link")
 
 
@@ -39,8 +41,14 @@ def snapshot_rows(collated: DataFrame, batch_id: str, loaded_at=None) -> DataFra
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Append one batch (partition ``batch_id``)."""
-    rows.write.mode("append").partitionBy("batch_id").parquet(path)
+    """Write each batch into its ``batch_id`` partition; a batch that is run again
+    replaces its own rows only."""
+    replace_batch(rows, path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The snapshot, or None when no contact run has written one."""
+    return read_if_written(spark, path)
 
 
 def truncate_snapshot(spark: SparkSession, path: str, like: DataFrame) -> None:
@@ -48,68 +56,62 @@ def truncate_snapshot(spark: SparkSession, path: str, like: DataFrame) -> None:
     spark.createDataFrame([], like.schema).write.mode("overwrite").partitionBy("batch_id").parquet(path)
 
 
-def _latest_window():
-    return Window.partitionBy("_campaign_name", "_contact_link") \
-                 .orderBy(F.col("batch_id").desc(), F.col("src_ord"), F.col("row_ord"))
+_KEY = ["_campaign_name", "_contact_link"]
+_PLACE = ["batch_id", "src_ord", "row_ord"]
+
+
+def winners(snap: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """One (key, place) per non-blank key (of ``keys`` only, when given): the batch that
+    was loaded last, then the greatest batch id, then the first row in upload order.
+
+    Only the key and place columns are read and moved, so a key that very many rows
+    share costs narrow rows, cut to one per map task before the shuffle."""
+    loaded = ["loaded_at"] if "loaded_at" in snap.columns else []
+    rows = snap.select(*_KEY, *_PLACE, *loaded).where("_campaign_name <> '' AND _contact_link <> ''")
+    if keys is not None:
+        rows = rows.join(keys, _KEY, "left_semi")
+    order = [F.col(c).desc() for c in [*loaded, "batch_id"]] + [F.col("src_ord"), F.col("row_ord")]
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def _rows_at(snap: DataFrame, places: DataFrame) -> DataFrame:
+    """The full rows at the winners' places; ``batch_id`` is the partition column, so only
+    the batches that hold a winner are read."""
+    return snap.join(places.select(*_KEY, *_PLACE), [*_KEY, *_PLACE], "left_semi")
 
 
 def snapshot_index(snap: DataFrame) -> DataFrame:
-    """J10 / W5 / FL8: the key index - one (batch_id, campaign, link) per key,
-    non-blank keys only, the latest batch winning."""
-    keyed = snap.where((F.col("_campaign_name") != "") & (F.col("_contact_link") != ""))
-    latest = keyed.withColumn("_rn", F.row_number().over(_latest_window())).where("_rn = 1")
-    extra = [F.col("loaded_at")] if "loaded_at" in snap.columns else []
-    return latest.select("batch_id", F.col("_campaign_name").alias("campaign_name"),
-                         F.col("_contact_link").alias("contact_link"), *extra)
+    """J10 / W5 / FL8: the key index - one (batch_id, campaign, link) per non-blank key."""
+    extra = ["loaded_at"] if "loaded_at" in snap.columns else []
+    return winners(snap).select("batch_id", F.col("_campaign_name").alias("campaign_name"),
+                                F.col("_contact_link").alias("contact_link"), *extra)
 
 
 def snapshot_latest(snap: DataFrame) -> DataFrame:
-    """One full snapshot row per join key (latest batch, then upload order)."""
-    return snap.withColumn("_rn", F.row_number().over(_latest_window())).where("_rn = 1").drop("_rn")
+    """One full snapshot row per non-blank join key."""
+    return _rows_at(snap, winners(snap))
 
 
 def extract_key_sql(f3: DataFrame) -> tuple[str, str]:
-    """(campaign key, link key) SQL text of an extract."""
-    camp = first_present(f3, CAMPAIGN_CANDIDATES)
-    link = first_present(f3, EXTRACT_LINK_CANDIDATES)
+    """(campaign key, link key) SQL text of an extract; columns by name, else the first two."""
+    camp, link = key_columns(f3, CAMPAIGN_CANDIDATES, EXTRACT_LINK_CANDIDATES)
     return X.norm_lower(sql_or_blank(f3, camp)), X.norm_lower(sql_or_blank(f3, link))
 
 
 def extract_keys(f3: DataFrame) -> DataFrame:
+    """Distinct non-blank (campaign, link) keys of an extract."""
     c, l = extract_key_sql(f3)
-    return f3.selectExpr(f"{c} AS _campaign_name", f"{l} AS _contact_link")
-
-
-def snapshot_lookup(snap: DataFrame, f3: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Latest snapshot rows whose (campaign, link) key occurs in the extract
-    (no key cap; the extract's distinct keys are a size-checked broadcast or a
-    shuffle semi join)."""
-    keys, _ = bounded_broadcast(extract_keys(f3).distinct(), broadcast_rows, bound=f3)
-    return snapshot_latest(_hit_rows(snap, keys))
-
-
-def hit_batches(snap: DataFrame, keys: DataFrame) -> DataFrame:
-    """The batch ids holding at least one requested key.  Reads only the
-    three key columns of the snapshot (column pruning makes the Parquet
-    dataset its own key index)."""
-    return (snap.select("batch_id", "_campaign_name", "_contact_link")
-                .join(keys, ["_campaign_name", "_contact_link"], "left_semi")
-                .select("batch_id").distinct())
-
+    return (f3.selectExpr(f"{c} AS _campaign_name", f"{l} AS _contact_link")
+              .where("_campaign_name <> '' AND _contact_link <> ''").distinct())
 
-def _hit_rows(snap: DataFrame, keys: DataFrame) -> DataFrame:
-    """Snapshot rows (all batches) whose key is among ``keys``.
 
-    First the batches holding a key are found from the key columns, then the
-    snapshot is semi-joined on ``batch_id`` - its partition column - so
-    dynamic partition pruning reads the other columns of those batches only;
-    the key semi join and the latest-wins window then see matching rows only."""
-    pruned = snap.join(hit_batches(snap, keys), "batch_id", "left_semi")
-    return pruned.join(keys, ["_campaign_name", "_contact_link"], "left_semi")
+def snapshot_lookup(snap: DataFrame | None, f3: DataFrame) -> DataFrame | None:
+    """Latest snapshot rows whose (campaign, link) key occurs in the extract (no
+    key cap, blank keys never match); None when there is no snapshot."""
+    return None if snap is None else _rows_at(snap, winners(snap, extract_keys(f3)))
 
 
-def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS, keys_from: DataFrame | None = None) -> DataFrame:
+def rechurn_merge(f3: DataFrame, snap: DataFrame | None, keys_from: DataFrame | None = None) -> DataFrame:
     """Each extract row joined to its snapshot row (one per key).
 
     Matched: the snapshot's fields, with email, dialled number and direct
@@ -123,15 +125,12 @@ def rechurn_merge(f3: DataFrame, snap: DataFrame | None,
     recompute whatever produced ``f3``."""
     if snap is None:
         return f3
-    # ``f3`` here is usually derived (the rows that passed suppression and
-    # limits), so its size is not counted: the semi join shuffles on the key,
-    # the latest-wins window reuses that partitioning, and AQE switches to a
-    # broadcast when the extract's keys turn out small at run time.
-    latest = snapshot_latest(_hit_rows(snap, extract_keys(keys_from if keys_from is not None else f3).distinct()))
+    latest = snapshot_lookup(snap, keys_from if keys_from is not None else f3)
     s_cols = [c for c in latest.columns if c not in INTERNAL and c not in ORDER_COLUMNS and not c.startswith("_")]
     f_cols = [c for c in f3.columns if c not in ORDER_COLUMNS]
     kc, kl = extract_key_sql(f3)
-    fx = f3.withColumns({"_fk_c": F.expr(spread_blank_sql(kc, row_id(f3))), "_fk_l": F.expr(kl)})
+    # a row without a whole key matches nothing: it gets a key of its own, so none pile up
+    fx = f3.withColumns({"_fk_c": F.expr(spread_blank_sql(f"if({kl} = '', '', {kc})", row_id(f3))), "_fk_l": F.expr(kl)})
     right = latest.select(*[F.col(c).alias(f"_s_{c}") for c in s_cols],
                           F.col("_campaign_name").alias("_sk_c"), F.col("_contact_link").alias("_sk_l"),
                           F.lit(True).alias("_matched"))

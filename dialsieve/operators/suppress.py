@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sql as X
 from ..functions.dates import parse_timestamp_sql
 from ..schema import first_present, q, sql_or_blank
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, ensure_row_id, mark_join
+from ..sources.tabular import read_if_written
+from .joins import DEFAULT_BROADCAST_ROWS, mark_join
 
 # --- fixed values: suppression reasons, in priority order
 DEAD_REASON = "DEAD/DNC Email"
@@ -33,7 +34,7 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
     distinct (``sources.lists.suppression_keys``); ``None`` = list missing or
     toggled off.  The two email lists become one (key, priority) frame, so an
     input row meets one email join and one domain join."""
-    out = ensure_row_id(df)
+    out = df
     email_lists = []
     if dead is not None:
         email_lists.append(dead.select("key", F.lit(1).alias("prio")))
@@ -45,14 +46,12 @@ def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFram
         for x in email_lists[1:]:
             el = el.unionByName(x)
         el = el.groupBy("key").agg(F.min("prio").alias("_eprio")).withColumnRenamed("key", "_ekey")
-        _, small = bounded_broadcast(el, broadcast_rows)
-        out = mark_join(out, X.norm_lower(sql_or_blank(df, "email_address")), el, "_ekey", ["_eprio"], small)
+        out = mark_join(out, X.norm_lower(sql_or_blank(df, "email_address")), el, "_ekey", ["_eprio"], broadcast_rows)
         prio = F.col("_eprio")
     dom = F.lit(False)
     if domain is not None:
         dl = domain.select(F.col("key").alias("_dkey")).distinct().withColumn("_dhit", F.lit(True))
-        _, small = bounded_broadcast(dl, broadcast_rows)
-        out = mark_join(out, X.norm_lower(sql_or_blank(df, "domain")), dl, "_dkey", ["_dhit"], small)
+        out = mark_join(out, X.norm_lower(sql_or_blank(df, "domain")), dl, "_dkey", ["_dhit"], broadcast_rows)
         dom = F.coalesce(F.col("_dhit"), F.lit(False))
     reason = (F.when(prio == 1, F.lit(DEAD_REASON)).when(prio == 2, F.lit(RPC_REASON))
                .when(dom, F.lit(DOMAIN_REASON)).otherwise(F.lit("")))
@@ -139,22 +138,27 @@ def update_rpc_list(calls: DataFrame, as_of: dt.datetime, existing: DataFrame |
     return _last_per_key(new, "email")
 
 
-def write_list(keys: DataFrame, lists_dir: str, name: str, version: str) -> str:
-    """K5/K6: write a list as a new version folder ``{lists_dir}/{name}/v={version}``.
-    A list is never overwritten in place (readers may be reading it); a
-    wholesale replacement is just a newer version."""
-    path = f"{lists_dir.rstrip('/')}/{name}/v={version}"
+def write_list(keys: DataFrame, lists_dir: str, name: str, version: str, written_at: dt.datetime | None = None) -> str:
+    """K5/K6: write a list as a new version and record it in the list's manifest.
+
+    A list is never overwritten in place (readers may be reading it).  The newest
+    manifest row (by write time, then version) names the list in force, so a list
+    can also be replaced by an empty one."""
+    root = lists_dir.rstrip("/")
+    path = f"{root}/{name}/v={version}"
     keys.write.mode("overwrite").parquet(path)
+    spark = keys.sparkSession
+    at = written_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    spark.createDataFrame([(version, at)], "version string, written_at timestamp_ntz") \
+        .write.mode("append").parquet(f"{root}/{name}-versions")
     return path
 
 
 def read_list(spark, lists_dir: str, name: str) -> DataFrame | None:
-    """The newest version of a list (versions sort as text), or None when the
-    list does not exist - the matching suppression step is then skipped."""
-    root = f"{lists_dir.rstrip('/')}/{name}"
-    try:
-        versions = spark.read.parquet(root).select("v").distinct()
-    except Exception:  # noqa: BLE001 - a missing list means "skip this step"
-        return None
-    newest = versions.agg(F.max("v").alias("v"))
-    return spark.read.parquet(root).join(newest, "v", "left_semi").drop("v")
+    """The list in force, or None when no version was ever written - the matching
+    suppression step is then skipped.  Any other trouble (no permission, a broken
+    file, a recorded version that is gone) raises: a list is never skipped silently."""
+    root = lists_dir.rstrip("/")
+    versions = read_if_written(spark, f"{root}/{name}-versions")
+    newest = None if versions is None else versions.orderBy(F.col("written_at").desc(), F.col("version").desc()).first()
+    return None if newest is None else spark.read.parquet(f"{root}/{name}/v={newest['version']}")

@@ -128,12 +128,7 @@ def q_direct_dial_keys(spark, d):
 
 def q_suppression_sizes(spark, d):
     l = lists(spark, d)
-    parts = [l.dead.select(F.lit("dead").alias("list")), l.rpc.select(F.lit("rpc").alias("list")),
-             l.domain.select(F.lit("domain").alias("list")), l.direct.select(F.lit("direct").alias("list"))]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("list").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    return A.list_sizes({"dead": l.dead, "rpc": l.rpc, "domain": l.domain, "direct": l.direct})
 
 
 def q_suppression_tag(spark, d):
@@ -233,13 +228,12 @@ def q_first_usable_phone(spark, d):
 
 def q_date_parse(spark, d):
     e = B.table(spark, d, "events")
-    et = F.col("event_type")
-    raw = (F.when(et == "click", F.date_format("ts", "yyyy-MM-dd"))
-            .when(et == "view", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-            .when(et == "error", F.date_format("ts", "MM/dd/yyyy"))
-            .when(et == "signup", F.when(F.col("event_id") % 2 == 0, F.lit("-")).otherwise(F.lit("x")))
-            .otherwise(F.lit("")))
-    return e.select(F.col("event_id").alias("row_ord"), raw.alias("raw")) \
+    spelled = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm", "M/d/yyyy h:mm:ss a",
+               "dd-MMM-yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyyMMdd", "yyyy-M-d", "M/d/yyyy H:mm", "yyyy/M/d"]
+    raw = F.when(F.col("event_type") == "signup", F.when(F.col("event_id") % 2 == 0, F.lit("-")).otherwise(F.lit("x")))
+    for i, f in enumerate(spelled):
+        raw = raw.when(F.col("event_id") % 13 == i, F.date_format("ts", f))
+    return e.select(F.col("event_id").alias("row_ord"), raw.otherwise(F.lit("")).alias("raw")) \
             .withColumn("parsed", parse_date("raw"))
 
 
@@ -363,6 +357,10 @@ def q_run_stats(spark, d):
     return A.pipeline_stats(B.runs(spark, d))
 
 
+def q_grand_totals(spark, d):
+    return A.grand_totals(B.runs(spark, d))
+
+
 def q_activity_topk(spark, d):
     return A.activity_topk(B.runs(spark, d), 1000)
 

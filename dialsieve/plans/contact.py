@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import (activity_row, append_run_log, audit_rows, batch_campaign, campaign_list,
-                               export_rows, run_metrics)
+from ..operators.audit import (activity_row, audit_rows, batch_campaign, campaign_list, export_rows, replace_batch,
+                               run_metrics, write_run_log)
 from ..operators.dial import tag_dial_limits
 from ..operators.output import transform_and_output
 from ..operators.snapshot import snapshot_rows, write_snapshot
@@ -35,7 +35,7 @@ class Limits:
     is_dell: bool = False
 
 
-def tag(collated: DataFrame, lists: Lists, history: DataFrame, limits: Limits) -> DataFrame:
+def tag(collated: DataFrame, lists: Lists, history: DataFrame | None, limits: Limits) -> DataFrame:
     """One tagged frame: every input row with suppression / dial-limit reasons
     and ``row_status`` in {GTG, SUPPRESSED, OVER_LIMIT}."""
     s = tag_suppressions(collated, lists.dead, lists.rpc, lists.domain)
@@ -63,7 +63,8 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
     every sink reads it: output, suppressed and over-limit rows (one Parquet
     dataset partitioned by ``row_status``), the audit rows, the snapshot
     batch.  Nothing is recomputed per sink and a lost executor re-reads the
-    checkpoint instead of the whole upstream plan."""
+    checkpoint instead of the whole upstream plan.  Audit, snapshot and run log are
+    partitioned by ``batch_id``: a run that is started again replaces its own rows."""
     processed_at = dt.datetime.strptime(run_ts, "%Y-%m-%d %H:%M:%S")
     tagged = materialize(tag(collated, lists, history, limits))
     output = output_of(tagged, run_ts)
@@ -72,8 +73,7 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
         .partitionBy("row_status").parquet(f"{out_dir}/removed")
     camp = batch_campaign(tagged)
     if audit_path:
-        audit_rows(tagged, batch_id, processed_at, campaign_type, camp, camp) \
-            .write.mode("append").parquet(audit_path)
+        replace_batch(audit_rows(tagged, batch_id, processed_at, campaign_type, camp, camp), audit_path)
     if snapshot_path:
         snap = snapshot_rows(collated, batch_id, processed_at)
         if snap is not None:
@@ -83,6 +83,6 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
     metrics["campaigns"] = campaign_list(collated).first()["campaigns"]
     metrics["batch_id"] = batch_id
     if runlog_path:
-        append_run_log(activity_row(metrics_df, processed_at, username, "contact", batch_id, metrics["campaigns"]),
-                       runlog_path)
+        write_run_log(activity_row(metrics_df, processed_at, username, "contact", batch_id, metrics["campaigns"]),
+                      runlog_path)
     return metrics

@@ -91,8 +91,9 @@ def phone_cols(raw: str, c: str) -> tuple[str, str]:
 
 def pdate(x: str) -> str:
     v = f"trim({x})"
-    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%m/%d/%Y",
-            "%m/%d/%Y %H:%M:%S", "%Y/%m/%d"]
+    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ",
+            "%Y-%m-%d %H:%M:%S.%f", "%m/%d/%Y", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %I:%M %p",
+            "%m/%d/%Y %I:%M:%S %p", "%d-%b-%Y", "%Y%m%d", "%Y/%m/%d"]
     tries = ", ".join(f"try_strptime({v}, '{f}')" for f in fmts)
     return f"(CASE WHEN {v} IN ('', '-', 'nan', 'NaT', 'NAT') THEN NULL ELSE CAST(coalesce({tries}) AS DATE) END)"
 
@@ -442,9 +443,10 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     q["first_usable_phone"] = with_(CALLS, f"dn AS ({dn})") + (
         f"SELECT row_ord, CASE WHEN trim(d1) {us} THEN d1 WHEN trim(d2) {us} THEN d2 WHEN trim(d0) {us} THEN d0 "
         "ELSE '' END AS phone_direct FROM dn")
-    rawd = ("CASE event_type WHEN 'click' THEN strftime(ts, '%Y-%m-%d') WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') "
-            "WHEN 'error' THEN strftime(ts, '%m/%d/%Y') WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN '-' ELSE 'x' END "
-            "ELSE '' END")
+    spelled = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%-m/%-d/%Y", "%Y-%m-%d %H:%M", "%-m/%-d/%Y %-I:%M:%S %p",
+               "%d-%b-%Y", "%Y-%m-%dT%H:%M:%SZ", "%Y%m%d", "%Y-%-m-%-d", "%-m/%-d/%Y %-H:%M", "%Y/%-m/%-d"]
+    rawd = ("CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN '-' ELSE 'x' END "
+            + " ".join(f"WHEN event_id % 13 = {i} THEN strftime(ts, '{f}')" for i, f in enumerate(spelled)) + " ELSE '' END")
     q["date_parse"] = (f"SELECT row_ord, raw, {pdate('raw')} AS parsed FROM "
                        f"(SELECT event_id AS row_ord, {rawd} AS raw FROM events)")
     q["iso_week"] = ("SELECT row_ord, d, CAST(isoyear(d) AS INTEGER) AS iso_year, CAST(week(d) AS INTEGER) AS iso_week, "
@@ -579,6 +581,9 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
         "CAST(SUM(gtg_rows) AS BIGINT) AS gtg_rows, CAST(SUM(suppressed) AS BIGINT) AS suppressed, "
         "CAST(SUM(over_limit) AS BIGINT) AS over_limit, MAX(logged_at) AS last_run FROM runs GROUP BY pipeline "
         "ORDER BY last_run DESC")
+    q["grand_totals"] = with_(runs) + (
+        "SELECT CAST(SUM(total_rows) AS BIGINT) AS total_rows, CAST(SUM(gtg_rows) AS BIGINT) AS gtg_rows, "
+        "CAST(SUM(suppressed) AS BIGINT) AS suppressed, CAST(SUM(over_limit) AS BIGINT) AS over_limit FROM runs")
     q["activity_topk"] = with_(runs) + (
         "SELECT id, logged_at, username, pipeline, batch_id, coalesce(nullif(trim(campaign_name), ''), '—') AS campaign, "
         "total_rows, gtg_rows, suppressed, over_limit FROM runs ORDER BY logged_at DESC, id DESC LIMIT 1000")

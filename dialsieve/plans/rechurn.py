@@ -3,13 +3,17 @@ snapshot -> clean -> output.  Writes no audit and no snapshot."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.audit import activity_row, campaign_list, export_rows, run_metrics, write_run_log
 from ..operators.output import transform_and_output
 from ..operators.qa import gtg_filter, rechurn_filter
 from ..operators.snapshot import rechurn_merge, snapshot_lookup
 from ..schema import OUTPUT_COLUMNS
+from ..session import materialize
 from .contact import Limits, Lists, tag
 
 
@@ -24,9 +28,13 @@ def rechurn_tagged(f3: DataFrame, lists: Lists, history: DataFrame, limits: Limi
 def rechurn_output(f3: DataFrame, snapshot: DataFrame | None, lists: Lists, history: DataFrame,
                    limits: Limits, run_ts: str, filter_rechurn: bool = False) -> DataFrame:
     """Lazy P2 output (66 columns)."""
-    tagged = rechurn_tagged(f3, lists, history, limits, filter_rechurn)
+    return _output(rechurn_tagged(f3, lists, history, limits, filter_rechurn), f3, snapshot, run_ts)
+
+
+def _output(tagged: DataFrame, f3: DataFrame, snapshot: DataFrame | None, run_ts: str) -> DataFrame:
     allowed = tagged.where(F.col("row_status") == "GTG").drop("suppression_reason", "dial_limit_reason", "row_status")
-    merged = rechurn_merge(allowed, snapshot, keys_from=f3).drop("_matched")
+    merged = rechurn_merge(allowed, snapshot, keys_from=f3)
+    merged = merged.drop("_matched")
     out = transform_and_output(merged, run_ts)
     return out.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
 
@@ -35,8 +43,29 @@ def gtg_output(f3: DataFrame, snapshot: DataFrame, run_ts: str) -> DataFrame:
     """The extract's second output: snapshot rows matched by the extract's
     (campaign, link) keys, GTG-filtered by their QA columns (FL4), then the
     cleaning chain, the 66 columns and the keep-first dedup."""
-    matched = snapshot_lookup(snapshot, f3)
+    # the filter decides on all matched rows before it reads them: one computation serves both
+    matched = materialize(snapshot_lookup(snapshot, f3))
     matched = matched.drop(*[c for c in ("batch_id", "loaded_at", "_campaign_name", "_contact_link")
                              if c in matched.columns])
     out = transform_and_output(gtg_filter(matched), run_ts)
     return out.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
+
+
+def run_rechurn(f3: DataFrame, snapshot: DataFrame | None, lists: Lists, history: DataFrame | None, limits: Limits, *,
+                run_ts: str, batch_id: str, out_dir: str, runlog_path: str | None = None, username: str = "",
+                filter_rechurn: bool = False) -> dict:
+    """Run P2 end to end: output, removed rows (partitioned by ``row_status``), run-log row.
+
+    The tagged extract is checkpointed once and every sink reads it; a run that is started
+    again replaces its own files and its own run-log row."""
+    at = dt.datetime.strptime(run_ts, "%Y-%m-%d %H:%M:%S")
+    tagged = materialize(rechurn_tagged(f3, lists, history, limits, filter_rechurn))
+    output = materialize(_output(tagged, f3, snapshot, run_ts))
+    output.write.mode("overwrite").parquet(f"{out_dir}/output")
+    export_rows(tagged.where(F.col("row_status") != "GTG")).write.mode("overwrite") \
+        .partitionBy("row_status").parquet(f"{out_dir}/removed")
+    metrics_df = run_metrics(tagged, output)
+    metrics = metrics_df.first().asDict() | {"campaigns": campaign_list(f3).first()["campaigns"], "batch_id": batch_id}
+    if runlog_path:
+        write_run_log(activity_row(metrics_df, at, username, "rechurn", batch_id, metrics["campaigns"]), runlog_path)
+    return metrics

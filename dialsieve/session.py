@@ -53,13 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset - local runs and tests - a scratch folder is made."""
+    only in local runs and tests, where it may be unset, is a scratch folder made."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dialsieve-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

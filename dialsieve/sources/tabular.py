@@ -44,6 +44,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", options: dict |
     return blank_na(df)
 
 
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet dataset, or None where the path does not exist or holds no file yet.
+    Every other error is raised."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def _csv_header(spark: SparkSession, path: str, opts: dict) -> list[str] | None:
     import csv
     first = spark.read.text(path).limit(1).collect()
@@ -89,4 +101,9 @@ def union_blank(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         acc = acc.unionByName(f, allowMissingColumns=True)
     fill = [c for c in acc.columns if c not in ORDER_COLUMNS]
-    return acc.fillna("", subset=fill) if fill else acc
+    out = acc.fillna("", subset=fill) if fill else acc
+    for c in fill:                       # labels of the first file that has the column
+        label = next((f.schema[c].metadata for f in frames if c in f.columns), {})
+        if label:
+            out = out.withMetadata(c, label)
+    return out

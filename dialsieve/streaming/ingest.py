@@ -12,35 +12,52 @@ folder under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import append_history
+from ..plans.history_load import load_history
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, store_path: str, checkpoint_location: str,
                   schema=None, fmt: str = "parquet", batch_prefix: str = "stream_",
                   loaded_at: dt.datetime | None = None, options: dict | None = None,
-                  available_now: bool = True, max_files_per_trigger: int | None = None) -> list[dict]:
-    """Run the ingest stream; with ``available_now`` it processes what is in
-    ``source_dir`` and stops.  Returns the per-micro-batch counts."""
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  lists_dir: str | None = None) -> list[dict] | StreamingQuery:
+    """Run the ingest stream.
+
+    With ``available_now`` it processes what is in ``source_dir``, stops, and returns the
+    per-micro-batch counts; else it returns the running query, whose progress reports tell
+    the batches.  ``loaded_at`` defaults to the time of the micro-batch.  Batch ids carry the
+    progress folder's run, so new progress never reuses an id.  Rows of several files in a
+    micro-batch keep the files' order (modification time, then path).  ``lists_dir`` also
+    maintains the suppression lists (K5)."""
     if schema is None:  # file streams need a schema: take it from what is there now
         schema = spark.read.format(fmt).options(**(options or {})).load(source_dir).schema
     reader = spark.readStream.format(fmt).schema(schema).options(**(options or {}))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.load(source_dir)
+    stream = reader.load(source_dir).select("*", F.col("_metadata.file_modification_time").alias("_at"),
+                                            F.col("_metadata.file_path").alias("_file"))
+    run = zlib.crc32(checkpoint_location.encode())
     results: list[dict] = []
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        stamp = loaded_at or dt.datetime(2000, 1, 1)
-        counts = append_history(batch.sparkSession, store_path, batch, f"{batch_prefix}{epoch_id:06d}", stamp)
-        counts["epoch"] = epoch_id
-        results.append(counts)
+        session = batch.sparkSession
+        stamp = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        files = Window.orderBy("_at", "_file")          # one row per file of the micro-batch
+        order = batch.select("_at", "_file").distinct().withColumn("src_ord", F.row_number().over(files).cast("long"))
+        rows = batch.drop("src_ord").join(F.broadcast(order) if max_files_per_trigger else order, ["_at", "_file"]).drop("_at", "_file")
+        counts = load_history(session, store_path, rows, f"{batch_prefix}{run:08x}_{epoch_id:06d}", stamp, lists_dir)
+        if available_now:
+            results.append(counts | {"epoch": epoch_id})
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    q = writer.start()
-    if available_now:
-        q.awaitTermination()
+    query = writer.start()
+    if not available_now:
+        return query
+    query.awaitTermination()
     return results
