@@ -10,10 +10,10 @@ distinct ``shingle``-word sequences (the whole sequence where it has fewer words
 * Equal sets are one class, represented by its smallest id.  Half keys that no other class
   has are dropped before pairs are formed, so a document without near copies makes no key.
 * Candidates are verified on the full sets, from the texts.  In a table's bucket, classes
-  are first compared with the bucket's smallest id only; links found join components, and
-  then only pairs of the bucket that are in different components are compared, so
-  a bucket of thousands of near copies costs thousands of comparisons, not their square,
-  while no candidate that could still join two components is left out.
+  are first compared with the bucket's smallest id only, and links found join components.
+  What is left in different components of one bucket is settled exactly, block against
+  block (``_settle``), so no candidate that could join two components is left out and no
+  pairs of a group are ever rows.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a null id
 has component null and is kept (it cannot be named); rows that share an id are one node
@@ -34,6 +34,8 @@ from .components import components
 
 HALVES, ROWS = 10, 2
 SHINGLE, PERCENT = 4, 80
+#: Shingles of a block of sets that are compared with another block in one task.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_rows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +115,94 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return C.save(pairs.join(one, "v").join(two, "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
 
 
+def _placed(df: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the component (else the class itself) of ``column`` as ``name``."""
+    here = of.select(F.col("node").alias(column), F.col("component").alias(name))
+    return df.join(here, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The (u, v) pairs in different components."""
+    return _placed(_placed(pairs, of, "u", "cu"), of, "v", "cv").where("cu <> cv").select("u", "v")
+
+
+def _open(buckets: DataFrame, of: DataFrame) -> DataFrame:
+    """(bucket, rep, comp) of the buckets whose classes are in several components."""
+    m = _placed(buckets.select("bucket", "rep"), of, "rep", "comp")
+    several = m.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("bucket", F.col("a").alias("main"))
+    return C.save(m.join(several, "bucket"))
+
+
+def _settle(near: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that still join components inside a bucket, found exactly and without pair rows.
+
+    Buckets that share a class make up a region.  A region's sets are dealt by hash into
+    blocks of about BLOCK_SHINGLES shingles; every two blocks meet in one task, which counts
+    the common shingles of all their pairs as a matrix product over the shingles that both
+    have, and returns one link for two components at most."""
+    now = _open(buckets, components(near))
+    if not now.limit(1).count():
+        return near
+    region = components(now.select("bucket", "rep").groupBy("bucket").agg(F.min("rep").alias("u")).join(now, "bucket").select("u", F.col("rep").alias("v")))
+    place = now.groupBy("rep").agg(F.min("comp").alias("comp")).join(region.select(F.col("node").alias("rep"), F.col("component").alias("region")), "rep")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in C.text_slices(batch, "text"):
+                v, off = shingle_rows(s.column(1), k)
+                yield pa.record_batch([s.column(0), pa.array(np.diff(off)), pa.array([v[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())],
+                                      ["rep", "n", "sigs"])
+
+    sets = C.save(texts.join(place.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(spread, "rep long, n long, sigs binary")
+                  .join(place, "rep"))
+    sizes = sets.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = (sets.join(sizes, "region").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sigs"))
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("rep", "ascending")])
+        rep, comp, n, block = (part[c].to_numpy() for c in ("rep", "comp", "n", "block"))
+        i, j = part["i"][0].as_py(), part["j"][0].as_py()
+        found = [np.zeros((0, 2), np.int64)]
+        if (comp != comp[0]).any():
+            token, inv = np.unique(np.frombuffer(b"".join(part["sigs"].to_pylist()), np.uint64), return_inverse=True)
+            owner = np.repeat(np.arange(len(n)), n)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            side = np.zeros((2, len(n)), bool)
+            side[0, left], side[1, right] = True, True
+            has = [np.bincount(inv[side[x][owner]], minlength=len(token)) for x in (0, 1)]
+            useful = np.flatnonzero((has[0] > 0) & (has[1] > 0) & ((has[0] + has[1]) > (2 if i == j else 1)))
+            common = np.zeros((len(left), len(right)), np.float32)
+            at = np.full(len(token), -1, np.int64)
+            row = np.full(len(n), -1, np.int64)
+            for a in range(0, len(useful), 2048):
+                cols = useful[a:a + 2048]
+                at[:] = -1
+                at[cols] = np.arange(len(cols))
+                inside = np.flatnonzero(at[inv] >= 0)
+                both = []
+                for own in (left, right):
+                    row[:] = -1
+                    row[own] = np.arange(len(own))
+                    here = inside[row[owner[inside]] >= 0]
+                    m = np.zeros((len(own), len(cols)), np.float32)
+                    m[row[owner[here]], at[inv[here]]] = 1
+                    both.append(m)
+                common += both[0] @ both[1].T
+            x, y = np.nonzero(100 * common >= percent * (n[left][:, None] + n[right][None, :] - common))
+            x, y = left[x], right[y]
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+            lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            _, one = np.unique(np.stack([lo, hi], 1), axis=0, return_index=True)     # a link for two components
+            found.append(np.stack([np.minimum(rep[x[one]], rep[y[one]]), np.maximum(rep[x[one]], rep[y[one]])], 1))
+        links = np.concatenate(found)
+        return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+
+    return C.save(near.union(dealt.groupBy("region", "i", "j").applyInArrow(compare, "u long, v long").distinct()))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept of every document."""
@@ -141,27 +231,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows of one id are one node, whichever classes they are in
     same = named.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     same = C.save(same.where("u <> v").distinct())
-    near = _verify(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, shingle, percent)
-    tried = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    for residual in (False, True):
-        of = components(near)
-        placed = lambda df, c, name: df.join(of.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-        if not residual:
-            rest = placed(placed(stars, "u", "cu"), "v", "cv").where("cu <> cv").select("u", "v")
-        else:
-            # members outside their bucket's main component against all its other members
-            m = C.save(placed(placed(buckets, "centre", "main"), "rep", "comp"))
-            open_ = m.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-            size = classes.select("rep", "n")
-            cand = (open_.join(m.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx <> cy")
-                    .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-            rest = (cand.join(size.select(F.col("rep").alias("u"), F.col("n").alias("nu")), "u")
-                    .join(size.select(F.col("rep").alias("v"), F.col("n").alias("nv")), "v")
-                    .where(f"100 * least(nu, nv) >= {int(percent)} * greatest(nu, nv)").select("u", "v"))
-        rest = C.save(rest.join(tried, ["u", "v"], "left_anti"))
-        tried = tried.union(rest)
-        if rest.limit(1).count():
-            near = C.save(near.union(_verify(rest, texts, shingle, percent)))
+    # the smallest centre of each class first, then the other centres that still join two components
+    first = C.save(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    near = _verify(first, texts, shingle, percent)
+    more = C.save(_apart(stars.join(first, ["u", "v"], "left_anti"), components(near)))
+    if more.limit(1).count():
+        near = C.save(near.union(_verify(more, texts, shingle, percent)))
+    near = _settle(near, buckets, texts, shingle, percent)
     of = components(near.union(same))
     out = (signs.select("id", "n").join(of, F.col("id") == F.col("node"), "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
