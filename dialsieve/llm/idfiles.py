@@ -43,9 +43,9 @@ BLOCK_IDS, FILE_BYTES = 1 << 20, 32 << 20
 #: Text bytes that are cut into pieces at a time.
 SLICE_BYTES = 1 << 20
 #: Text bytes of a key range (one task sorts and writes it).
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 24 << 20
 #: Pieces of text whose ids a worker remembers in each of two generations.
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 150_000
 
 MAGIC = b"FRQ1"
 
@@ -281,6 +281,7 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame, id_col: st
                            T.StructField("n_tokens", T.LongType()), last])
 
     def decode(batches):
+        _tokens.clear()                         # a worker that wrote needs its pieces no longer
         for b in batches:
             for i in range(b.num_rows):
                 path, begin = b.column(0)[i].as_py(), 0
