@@ -248,3 +248,21 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The documents (all columns) without those that are not their group's smallest id."""
     gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(C.save(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def oracle(shingle: int = SHINGLE, percent: int = PERCENT) -> str:
+    """DuckDB SQL of the query over ``documents`` (ids not null): all pairs that share a shingle."""
+    return f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as (select doc_id, w, unnest(range(greatest(1, len(w) - {shingle - 1}))) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i + 1:i + {shingle}], ' ') as g from v),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= {percent} * (p.n + q.n - common)),
+e as (select x, y from l union all select y, x from l),
+reach as (select x as doc_id, x as other from e union select r.doc_id, e.y from reach r join e on e.x = r.other),
+m as (select doc_id, min(other) as least from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.least, d.doc_id) as component_id, coalesce(m.least, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+"""

@@ -317,3 +317,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        + [T.StructField("kept_text", T.StringType())] * texts)
     done = (shards.join(by_anchor, "g", "left").join(_replies(second, "w"), "g", "left").mapInArrow(locate, out))
     return done.withColumnRenamed("id", id_col) if id_col != "id" else done
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL of the query over ``documents``: all windows, grouped by their words."""
+    return f"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as (select k, unnest(range(len(w) - {window - 1})) as i, w from d where len(w) >= {window}),
+t as (select k, i, array_to_string(w[i + 1:i + {window}], ' ') as t from v),
+r as (select k, i from (select k, i, count(*) over (partition by t) as n from t) where n > 1),
+x as (select k, unnest(range(len(w))) as i, unnest(w) as word from d),
+y as (select x.k, x.i, x.word, max((r.i is not null)::int) over (partition by x.k order by x.i rows between {window - 1} preceding and current row) as gone
+      from x left join r on r.k = x.k and r.i = x.i),
+z as (select k, sum(gone)::bigint as n, string_agg(word, ' ' order by i) filter (gone = 0) as kept from y group by k)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join z using (k)
+"""

@@ -87,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL where SQL expresses the query; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
+    "op7_near_dedup": minhash.oracle(),
     "op9_secret_scan": secrets.oracle(),
+    "op10_substring_dedup": phrases.oracle(),
 }

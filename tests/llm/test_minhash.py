@@ -104,3 +104,27 @@ def test_components_of_random_links(spark):
             root[u] = root[v] = min(root[u], root[v])
     got = components(spark.createDataFrame(links, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_sql_twin(spark, docs):
+    import duckdb
+    rows = [(k, t, "s") for k, t in corpus(5)] + [(2000, None, "s"), (2001, "", "s"), (2003, "one two", "s"), (2004, "ONE two", "s")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    assert sorted(con.sql(M.oracle()).fetchall()) == brute([(k, t) for k, t, _ in rows])
+
+
+def test_blocks_against_blocks(spark, docs, monkeypatch):
+    """Near copies around the threshold: the star leaves many components, blocks settle them."""
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 1500)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(12)}"
+        rows.append((i, " ".join(w)))
+    got = M.near_groups(docs([(k, t, "s") for k, t in rows])).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)

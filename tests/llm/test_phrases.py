@@ -60,3 +60,13 @@ def test_long_repetitive_text_and_shared_passage(spark, docs):
 def test_empty_table(spark, docs):
     out = phrases.remove_repeats(docs([]))
     assert out.collect() == [] and out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
+def test_sql_twin(spark, docs):
+    import duckdb
+    rows = [(i, t, "s") for i, t in corpus(21)] + [(900, None, "s"), (901, "", "s"), (905, "Ünïcode 日本 " * 20, "s"), (906, "Ünïcode 日本 " * 20, "s")]
+    got = phrases.remove_repeats(docs(rows), window=8, anchor=3, texts=False).collect()
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.sql(phrases.oracle(8)).fetchall())
