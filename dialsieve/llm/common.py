@@ -36,9 +36,12 @@ LOWER[65:91] += 32
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: small Arrow batches, shared checkpoint folder."""
+    """Session settings of these operators: small Arrow batches, shared checkpoint folder, and
+    shuffle files that go as soon as an execution has ended (results that are used again
+    are checkpointed, so no later job reads them)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     checkpoint_dir(spark)
     ship_package(spark)
     return spark
