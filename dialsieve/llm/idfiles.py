@@ -45,7 +45,7 @@ SLICE_BYTES = 1 << 20
 #: Text bytes of a key range (one task sorts and writes it).
 RANGE_BYTES = 24 << 20
 #: Pieces of text whose ids a worker remembers in each of two generations.
-MEMORY_PIECES = 150_000
+MEMORY_PIECES = 400_000
 
 MAGIC = b"FRQ1"
 
@@ -124,20 +124,37 @@ class Tokens:
     too, so a word's ids serve it with any signs.  Each new piece is encoded once."""
 
     def __init__(self, path: str, end_id: int | None):
+        import os
         import re
-
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # one task, one core
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.cut = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]").findall
         self.signs = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]+)").fullmatch
+        self.word = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}        # what was known before: used again, a piece moves up
 
     def _encode(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 2000):
-            part = pieces[a:a + 2000]
+        """Words are encoded many in one text: each is one word of the pre-tokenizer, which
+        says of every id whose it is.  Other pieces are encoded one by one."""
+        plain = [p for p in pieces if self.word(p)]
+        rest = set(pieces).difference(plain)
+        for a in range(0, len(plain), 4000):
+            part = plain[a:a + 4000]
+            e = self.model.encode("".join(part), add_special_tokens=False)
+            ids, owner = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
+            cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
+            if owner[-1] != len(part) - 1:
+                rest.update(part)
+                continue
+            for p, x, y in zip(part, cuts, cuts[1:], strict=False):
+                self.known[p] = ids[x:y]
+        others = list(rest)
+        for a in range(0, len(others), 2000):
+            part = others[a:a + 2000]
             for p, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[p] = array("I", e.ids).tobytes()
 
@@ -150,7 +167,7 @@ class Tokens:
         for p in new.intersection(self.older):
             self.known[p] = self.older[p]
         new.difference_update(self.older)
-        parts = {p: m.groups() for p in new if (m := self.signs(p))}
+        parts = {p: m.groups() for p in new if not p[-1].isalpha() and (m := self.signs(p))}
         self._encode(list({x for m in parts.values() for x in m}.union(new.difference(parts)).difference(self.known)))
         for p, (word, signs) in parts.items():
             self.known[p] = self.known[word] + self.known[signs]
