@@ -90,3 +90,11 @@ def test_missing_classes(spark, docs, case, labels, score):
     model = Q.fit(docs(case[0]), spark.createDataFrame(labels, "doc_id long, quality int"))
     assert {r.score for r in Q.score(docs(case[0]), model).collect()} == {score}
     assert Q.score(docs([]), model).collect() == []
+
+
+def test_sample_is_the_smallest_hashes_whatever_the_share(spark, docs, case):
+    """A sample smaller than the labelled rows: the cut by value leaves the same rows."""
+    rows, labels = case
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    a, b = (Q.fit(docs(rows).repartition(n), known, fit_rows=120) for n in (1, 6))
+    assert np.allclose(a.weight, b.weight) and a.intercept == pytest.approx(b.intercept)
