@@ -3,14 +3,15 @@
 A text's features are indicators of two kinds of n-grams, hashed into ``BUCKETS``:
 byte n-grams (1 to 3) and n-grams (1 to 3) of word shapes - how a word begins, how
 it ends, whether it holds lower case letters, whether it repeats the word before.
-Every indicator is scaled by the class log-count ratio of its bucket, counted over
-all labelled training rows; a text's vector has length 1.  A hinge-loss linear model
+Every indicator is scaled by the class log-count ratio of its bucket; a text's vector
+has length 1.  A hinge-loss linear model
 is fitted on the scaled vectors by dual coordinate descent, and a logistic curve
 fitted on labelled rows that the descent did not see turns margins into scores.
 
-Only ``FIT_ROWS`` labelled rows (those with the smallest hash of id and text) are
-used for the descent and the curve; the ratios use all of them.  Scoring reads every
-whole text, in the task that holds it; the model is a few hundred kB at any scale.
+The model is fitted on a bounded sample: the ratios on at most ``SAMPLE_ROWS`` labelled
+rows (those with the smallest hash of the id), the descent and the curve on ``FIT_ROWS``
+of them.  The sample's ids are broadcast, so no text is shuffled for training.  Scoring
+reads every whole text, in the task that holds it; the model is a few hundred kB.
 
 Defined cases: null and empty texts have no features and get the score of margin =
 intercept; rows without a label, or with a label other than 0 and 1, do not train;
@@ -34,7 +35,9 @@ from . import common as C
 
 #: Hash buckets of byte n-grams; as many again hold the word-shape n-grams.
 BUCKETS = 1 << 15
-#: Labelled rows used for coordinate descent (four fifths) and the logistic curve (one fifth).
+#: Labelled rows that class counts are taken of: the bound of the training sample.
+SAMPLE_ROWS = 20_000
+#: Of these, rows used for coordinate descent (four fifths) and the logistic curve (one fifth).
 FIT_ROWS = 5_000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 THRESHOLD = 0.7
@@ -99,7 +102,7 @@ class Model:
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """((2, buckets) documents of each class that have the bucket, documents per class)
-    over all labelled rows (text, y): summed per task, then per bucket by Spark."""
+    over labelled rows (text, y): summed per task, then per bucket by Spark."""
 
     def count(batches):
         total, n = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
@@ -165,15 +168,24 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(c)
 
 
+def _smallest(rows: DataFrame, key: str, ties: list[str], count: int) -> DataFrame:
+    """The ``count`` rows of smallest 64-bit hash ``key``.  They are cut off by value first,
+    so that few more rows than needed are ordered and meet in one task."""
+    share = min(1.0, 1.3 * count / max(1, rows.count()))
+    some = rows if share == 1.0 else rows.where(F.col(key) <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+    return some.orderBy(key, *ties).limit(count)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        train: str | None = None, fit_rows: int = FIT_ROWS) -> Model:
+        train: str | None = None, fit_rows: int = FIT_ROWS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on the labelled documents whose id passes the SQL condition ``train`` (over column ``id``)."""
     C.prepare(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"))
     if train:
         known = known.where(train)
-    rows = C.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-                  .select("text", "y", F.xxhash64("id", "text", "y").alias("h")))
+    known = _smallest(known.where("id is not null").withColumn("k", F.xxhash64("id")), "k", ["id", "y"], sample_rows)
+    rows = C.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                  .join(F.broadcast(known.select("id", "y")), "id").select("text", "y", F.xxhash64("id", "text", "y").alias("h")))
     total, n = class_counts(rows.select("text", "y"))
     if not n.all():
         return Model(np.zeros(0), np.zeros(0), 0, 0, 0, constant=0.0 if n[0] else 1.0)
@@ -197,10 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         a, c = logistic(margin[test], y[test])
         return pd.DataFrame({"w": [(w * ratio).astype(np.float64).tobytes()], "b": [b], "a": [a], "c": [c]})
 
-    # the smallest hashes: cut off by value first, so that few more rows than needed meet in one task
-    share = min(1.0, 1.3 * fit_rows / float(n.sum()))
-    some = rows if share == 1.0 else rows.where(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
-    got = (some.orderBy("h", "text", "y").limit(fit_rows).groupBy(F.lit(0).alias("k"))
+    got = (_smallest(rows, "h", ["text", "y"], fit_rows).groupBy(F.lit(0).alias("k"))
            .applyInPandas(train_one, "w binary, b double, a double, c double").first())
     if got is None:
         return Model(np.zeros(0), np.zeros(0), 0, 0, 0, constant=1.0)
