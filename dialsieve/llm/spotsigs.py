@@ -2,9 +2,14 @@
 
 A text is lower-cased and cut into runs of letters and digits.  Every common word
 (``ANCHORS``) that is followed by content words starts a chain: the anchor and up to
-``CHAIN`` content words after it, ``DISTANCE`` apart.  The set of the chains' 32-bit
-values is the signature set; its sorted hexadecimal text is the fingerprint.  A text in
-which no chain starts takes every word as an anchor of the words after it.
+``CHAIN`` content words after it, ``DISTANCE`` apart.  Where common words are sparse, words
+of the text itself are anchors too: of every ``WINDOW`` consecutive words without a common
+word that has content at most ``WINDOW`` words after it, the word of smallest hash (the last
+of equal ones) starts a chain of the words after it.  Such a choice depends on those words
+alone, never on the rest of the text, so what two texts share has the same chains in both,
+and every text has at least one chain for each ``WINDOW`` words (a shorter one has one).
+The set of the chains' 32-bit values is the signature set; its sorted hexadecimal text is
+the fingerprint.
 
 * ``fingerprints``: the set of every document.
 * ``near_pairs``: similarity join.  Equal sets collapse into classes; classes are
@@ -44,28 +49,52 @@ au avec dans de des du en est et la le les pas pour que qui sur un une
 con de del el en es la las los no o para por que se un una y
 """.split())
 CHAIN, DISTANCE = 3, 2
+#: Words without an anchor that give one of their own; as dense as common words are in ordinary text (2 in 7).
+WINDOW = 6
 THRESHOLD = 0.8
 
 _WORD = re.compile(r"[^\W_]+").findall
 _EMPTY = np.zeros(0, np.uint32)
 
 
-def signature(text: str | None, anchors: frozenset = ANCHORS, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
+def _own_anchors(words: list[str], covered: list[int], window: int) -> Iterator[int]:
+    """Places of the smallest word hashes of all windows that hold no place of ``covered``."""
+    from zlib import crc32
+    before = -1
+    for stop in (*covered, len(words)):
+        first, size = before + 1, min(window, len(words))
+        before = stop
+        if stop - first < size:
+            continue
+        rank = [(crc32(w.encode("utf-8", "replace")), -i) for i, w in enumerate(words[first:stop], first)]
+        last = None
+        for i in range(len(rank) - size + 1):
+            at = -min(rank[i:i + size])[1]
+            if at != last:
+                yield at
+                last = at
+
+
+def signature(text: str | None, anchors: frozenset = ANCHORS, chain: int = CHAIN, distance: int = DISTANCE,
+              window: int = WINDOW) -> np.ndarray:
     """Sorted distinct values of a text's chains."""
     words = _WORD(text.lower()) if text else []
     if not words:
         return _EMPTY
     from zlib import crc32
-    spots, content = [], []
-    for w in words:
+    spots, content, covered, waiting = [], [], [], []
+    for i, w in enumerate(words):
         if w in anchors:
             spots.append((w, len(content)))
+            waiting.append(i)
         else:
             content.append(w)
+            if waiting:
+                covered += [x for x in waiting[-window:] if i - x <= window]
+                waiting = []
     reach = chain * distance
     found = {f"{a} {' '.join(content[i:i + reach:distance])}" for a, i in spots if i < len(content)}
-    if not found:
-        found = {" ".join(words[i:i + 1 + reach:distance]) for i in range(len(words))}
+    found.update(" ".join(words[i:i + 1 + reach:distance]) for i in _own_anchors(words, covered, window))
     return np.unique(np.array([crc32(x.encode("utf-8", "replace")) for x in found], np.uint32))
 
 

@@ -24,6 +24,33 @@ def test_chains():
     assert S.likeness(S.signature(""), S.signature("?")) == 1.0 and S.likeness(S.signature(""), S.signature("a")) == 0.0
 
 
+@pytest.mark.parametrize("n_words", [30, 60, 1200])
+@pytest.mark.parametrize("commons", [0, 1, 2, 3])
+def test_few_anchors_degrade_gradually(spark, docs, commons, n_words):
+    """Half of a text is enough for a likeness, whatever common words the other half or the next text has."""
+    rng = random.Random(n_words)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    first, after = text(), text()
+    for at, w in zip((n_words - 2, n_words // 3, n_words * 2 // 3), ("the", "und", "la"), strict=True):
+        if commons:
+            first[at], commons = w, commons - 1
+    after[3] = "of"                       # only the edited text has this anchor
+    rows = [(1, " ".join(first), "s"), (2, " ".join(after), "s")]
+    got = {r.doc_id: r for r in S.edited_digest(docs(rows)).collect()}
+    assert len(S.signature(rows[0][1])) >= n_words // S.WINDOW
+    assert got[1].near_edited >= (0.2 if n_words >= 60 else 0.05) and got[2].near_edited > 0
+    one = rows[0][1].split()
+    one[n_words // 2] = "mit"             # a single word becomes an anchor: only its surroundings change
+    assert S.likeness(S.signature(rows[0][1]), S.signature(" ".join(one))) >= (0.9 if n_words >= 1200 else 0.3 if n_words >= 60 else 0.05)
+
+
+def test_common_words_only(spark, docs):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["the", "of", "und", "la", "que", "to"]) for _ in range(200))
+    a, b = S.signature(text), S.signature(text + " house")
+    assert len(a) >= 200 // S.WINDOW // 2 and S.likeness(a, b) >= 0.6
+
+
 @pytest.mark.parametrize("range_bytes", [8, 60, 1 << 20])
 def test_edited_digest(spark, docs, range_bytes):
     rng = random.Random(range_bytes)
