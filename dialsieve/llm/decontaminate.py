@@ -3,7 +3,8 @@
 Texts are folded (lower case per character, white space runs as one space).  A
 benchmark item of m characters leaks into a document where some stretch of the
 document is within k = floor(``rate`` * m) edits of the whole item.  Such a
-stretch shares at least m - q + 1 - k*q of the item's q-grams, all inside one of
+stretch shares at least m - q + 1 - k*q of the item's q-grams (q is at most m / (k + 1),
+so this is never below 1: short items have shorter q-grams), all inside one of
 the overlapping diagonal bands (diagonal = document position - item position;
 bands are wider than k and overlap by k, so one band holds the whole alignment).
 Shared q-grams are counted per (document, item, band); bands that reach the bound
@@ -12,9 +13,9 @@ are verified by banded alignment, which also gives the stretch and its edits.
 The documents are only scanned (no shuffle); a benchmark larger than
 ``block_bytes`` is taken in blocks, so a task's index stays bounded.
 
-Defined cases: null or empty texts never leak; items with a null text or fewer
-than ``MIN_CHARS`` folded characters carry too little evidence and are left out;
-repeated items and repeated documents are each reported; an empty benchmark finds
+Defined cases: null or empty texts never leak; items with a null text or no character
+but white space are left out, all others are searched, however short (below 10
+characters the budget is 0: exact copies, wherever they stand); repeated items and repeated documents are each reported; an empty benchmark finds
 nothing.  Only the id and text columns are read; ``drop_leaks`` passes all columns on.
 """
 
@@ -32,9 +33,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 EDIT_RATE = 0.1
+#: Longest q-grams.
 Q = 8
-#: Folded characters below which an item is not searched.
-MIN_CHARS = 20
 #: Benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 4 << 20
 #: Document text that one numpy step scans, and q-gram hits that it expands at once.
@@ -95,81 +95,98 @@ def char_grams(points: np.ndarray, q: int) -> np.ndarray:
         size *= 2
 
 
-class Items:
-    """Index of a block of benchmark items: q-gram postings, budgets, bands."""
+def _slot(values: np.ndarray) -> np.ndarray:
+    return ((values * _ODD[63]) >> np.uint64(42)).astype(np.int64)
 
-    def __init__(self, items: list[tuple[object, str]], rate: float, q: int):
-        self.q, self.ids, self.texts = q, [], []
-        for key, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            points = fold(raw, np.array([0, len(raw)]))[0]
-            points = points[1:] if len(points) and points[0] == 0x20 else points
-            points = points[:-1] if len(points) and points[-1] == 0x20 else points
-            if len(points) >= max(MIN_CHARS, q):
-                self.ids.append(key)
-                self.texts.append(points)
-        self.m = np.array([len(x) for x in self.texts], np.int64)
-        self.k = np.minimum((self.m * rate).astype(np.int64), (self.m - q) // q)
-        self.least = self.m - q + 1 - self.k * q
-        self.step = 2 * self.k + 16
-        self.longest = int(self.m.max(initial=0))
-        found = [char_grams(x, q) for x in self.texts]
-        values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+class Grams:
+    """Postings of the q-grams of one length."""
+
+    def __init__(self, texts: list[np.ndarray], which: np.ndarray, q: int):
+        self.q = q
+        found = [char_grams(texts[x], q) for x in which]
+        values = np.concatenate(found)
         order = np.argsort(values, kind="stable")
-        self.item = np.repeat(np.arange(len(found)), [len(x) for x in found])[order]
-        self.at = np.concatenate([np.arange(len(x)) for x in found] or [np.zeros(0, np.int64)])[order]
+        self.item = np.repeat(which, [len(x) for x in found])[order]
+        self.at = np.concatenate([np.arange(len(x)) for x in found])[order]
         self.values, self.first, self.count = np.unique(values[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[self._slot(self.values)] = True
+        self.bits[_slot(self.values)] = True
 
-    @staticmethod
-    def _slot(values: np.ndarray) -> np.ndarray:
-        return ((values * _ODD[63]) >> np.uint64(42)).astype(np.int64)
+    def hits(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, row, index of the value) of the text's q-grams that are the benchmark's."""
+        p, g = self._shared(points)
+        if not len(p):
+            return p, p, p
+        j = np.minimum(np.searchsorted(self.values, g), len(self.values) - 1)
+        row = np.searchsorted(offsets, p, "right") - 1
+        good = (self.values[j] == g) & (p + self.q <= offsets[row + 1])
+        return p[good], row[good], j[good]
 
     def _shared(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, gram) of the text's q-grams that are probably the benchmark's."""
         at, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a in range(0, max(0, len(points) - self.q + 1), BLOCK_CHARS):
             g = char_grams(points[a:a + BLOCK_CHARS + self.q - 1], self.q)
-            p = np.flatnonzero(self.bits[self._slot(g)])
+            p = np.flatnonzero(self.bits[_slot(g)])
             at.append(p + a)
             values.append(g[p])
         return np.concatenate(at), np.concatenate(values)
 
+
+class Items:
+    """Index of a block of benchmark items: q-gram postings, budgets, bands."""
+
+    def __init__(self, items: list[tuple[object, str]], rate: float, q: int):
+        if not 0 <= rate < 1:
+            raise ValueError("rate must be at least 0 and below 1")
+        self.ids, self.texts = [], []
+        for key, text in items:
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            points = fold(raw, np.array([0, len(raw)]))[0]
+            points = points[1:] if len(points) and points[0] == 0x20 else points
+            points = points[:-1] if len(points) and points[-1] == 0x20 else points
+            if len(points):
+                self.ids.append(key)
+                self.texts.append(points)
+        self.m = np.array([len(x) for x in self.texts], np.int64)
+        self.k = (self.m * rate).astype(np.int64)
+        self.q = np.minimum(q, self.m // (self.k + 1))
+        self.least = self.m - self.q + 1 - self.k * self.q
+        # a band of a short item has no room for two stretches that do not overlap
+        self.step = np.maximum(self.k + 1, np.minimum(2 * self.k + 16, self.m - 3 * self.k - 1))
+        self.longest = int(self.m.max(initial=0))
+        self.grams = [Grams(self.texts, np.flatnonzero(self.q == n), int(n)) for n in np.unique(self.q)]
+
     def bands(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first diagonal) of the bands that reach the lemma's bound."""
         empty = np.zeros(0, np.int64)
-        p, g = self._shared(points) if len(self.values) else (empty, empty)
-        if not len(p):
-            return empty, empty, empty
-        j = np.minimum(np.searchsorted(self.values, g), len(self.values) - 1)
-        row = np.searchsorted(offsets, p, "right") - 1
-        good = (self.values[j] == g) & (p + self.q <= offsets[row + 1])
-        p, j, row = p[good], j[good], row[good]
-        if not len(p):
+        hits = [(g, *found, np.cumsum(g.count[found[2]])) for g in self.grams if len((found := g.hits(points, offsets))[0])]
+        if not hits:
             return empty, empty, empty
-        many = np.cumsum(self.count[j])
-        width = int((np.diff(offsets).max(initial=0) + self.longest) // 16 + 3)
+        rows = len(offsets) - 1
+        begin = np.concatenate([[0], np.cumsum(offsets[-1] + rows * (self.m + 2))])   # of each item's band keys
 
         def postings() -> Iterator[tuple]:
             """(band key, item position, bound) of every hit; a hit in an overlap belongs to two bands."""
-            a = 0
-            while a < len(p):
-                b = max(a + 1, int(np.searchsorted(many, (many[a - 1] if a else 0) + HITS, "right")))
-                n = self.count[j[a:b]]
-                post = np.repeat(self.first[j[a:b]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                item, at, r = self.item[post], self.at[post], np.repeat(row[a:b], n)
-                diagonal = np.repeat(p[a:b], n) - offsets[r] - at + self.longest
-                band = diagonal // self.step[item]
-                key = (r * len(self.ids) + item) * width + band
-                twin = np.flatnonzero((diagonal - band * self.step[item] < self.k[item]) & (band > 0))
-                yield (np.concatenate([key, key[twin] - 1]), np.concatenate([at, at[twin]]),
-                       np.concatenate([self.least[item], self.least[item[twin]]]))
-                a = b
+            for g, p, row, j, many in hits:
+                a = 0
+                while a < len(p):
+                    b = max(a + 1, int(np.searchsorted(many, (many[a - 1] if a else 0) + HITS, "right")))
+                    n = g.count[j[a:b]]
+                    post = np.repeat(g.first[j[a:b]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    item, at, r = g.item[post], g.at[post], np.repeat(row[a:b], n)
+                    diagonal = np.repeat(p[a:b], n) - offsets[r] - at + self.m[item]
+                    band = diagonal // self.step[item]
+                    key = begin[item] + offsets[r] + r * (self.m[item] + 2) + band
+                    twin = np.flatnonzero((diagonal - band * self.step[item] < self.k[item]) & (band > 0))
+                    yield (np.concatenate([key, key[twin] - 1]), np.concatenate([at, at[twin]]),
+                           np.concatenate([self.least[item], self.least[item[twin]]]))
+                    a = b
 
         slots = 1 << 20
         slot = lambda key: ((key.view(np.uint64) * _ODD[62]) >> np.uint64(44)).astype(np.int64)
-        one = list(postings()) if many[-1] <= HITS else None
+        one = list(postings()) if sum(h[-1][-1] for h in hits) <= HITS else None
         seen = np.zeros(slots, np.int64)         # hashed counts never fall below the true ones
         for key, _, _ in one or postings():
             seen += np.bincount(slot(key), minlength=slots)
@@ -178,10 +195,16 @@ class Items:
             full = np.flatnonzero(seen[slot(key)] >= least)
             keys.append(np.unique(key[full] * self.longest + at[full]))   # an item's q-gram counts once in a band
         u, total = np.unique(np.unique(np.concatenate(keys)) // self.longest, return_counts=True)
-        item = u // width % len(self.ids)
+        item = np.searchsorted(begin, u, "right") - 1
         hit = total >= self.least[item]
-        u, item = u[hit], item[hit]
-        return u // width // len(self.ids), item, u % width * self.step[item] - self.longest
+        u, item = u[hit] - begin[item[hit]], item[hit]
+        row, above = np.zeros(len(u), np.int64), np.full(len(u), rows)        # the last row that begins at u or before
+        while (above - row > 1).any():
+            mid = (row + above) // 2
+            low = offsets[mid] + mid * (self.m[item] + 2) <= u
+            row, above = np.where(low, mid, row), np.where(low, above, mid)
+        band = u - offsets[row] - row * (self.m[item] + 2)
+        return row, item, band * self.step[item] - self.m[item]
 
     def align(self, points: np.ndarray, offsets: np.ndarray, row, item, diagonal) -> Iterator[tuple]:
         """(row, item, begin, end, edits) of bands within budget, in flat folded positions."""
@@ -193,21 +216,21 @@ class Items:
 
         cost[d]: least edits for the item's first i characters ending at text
         position origin + i + d; begin[d] is where that alignment starts."""
-        m, wide = self.m[item], int((self.step[item] + 2 * self.k[item]).max()) + 1
-        pad = self.longest + wide + 1
-        text = np.concatenate([np.full(pad, _NONE), points, np.full(pad + self.longest, _NONE)])
+        m, own = self.m[item], self.step[item] + 2 * self.k[item] + 1
+        wide = int(own.max())
         origin = offsets[row] + diagonal - self.k[item] // 2
         lo, hi = offsets[row][:, None], offsets[row + 1][:, None]
         pattern = np.full((len(row), int(m.max())), _NONE - np.uint32(1))
         for i, x in enumerate(item):
             pattern[i, :m[i]] = self.texts[x]
         d = np.arange(wide)
-        cost = np.zeros((len(row), wide), np.int32)
+        beyond = d >= own[:, None]               # of another, wider band
+        cost = np.where(beyond, 1 << 20, 0).astype(np.int32)
         begin = origin[:, None] + d
         best, end, start = np.full(len(row), 1 << 20), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         for i in range(int(m.max())):
             at = origin[:, None] + i + d
-            same = (text[np.clip(at + pad, 0, len(text) - 1)] == pattern[:, i, None]) & (at >= lo) & (at < hi)
+            same = (points[np.clip(at, 0, len(points) - 1)] == pattern[:, i, None]) & (at >= lo) & (at < hi)
             here = cost + ~same
             skip = np.concatenate([cost[:, 1:] + 1, np.full((len(row), 1), 1 << 20, np.int32)], 1)
             from_skip = skip < here
@@ -219,7 +242,7 @@ class Items:
             cost, begin = (low + d).astype(np.int32), np.take_along_axis(origin_of, src, 1)
             done = np.flatnonzero(m == i + 1)
             if len(done):
-                x = cost[done].argmin(1)
+                x = np.where(beyond[done], 1 << 20, cost[done]).argmin(1)
                 best[done] = cost[done, x]
                 start[done], end[done] = begin[done, x], origin[done] + i + 1 + x
         for i in np.flatnonzero(best <= self.k[item]):

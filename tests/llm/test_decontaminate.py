@@ -72,6 +72,31 @@ def test_every_leak_within_budget_and_no_other(spark, docs, case):
         assert nearest(folded(item[r.item_id]), stretch) == r.edits <= budget[r.item_id]
 
 
+def test_short_items_have_their_whole_budget(spark, docs):
+    rng = random.Random(4)
+    items = [(m, "".join(rng.choice(LETTERS) for _ in range(m))) for m in range(5, 41)] + [(1, "z"), (2, "Q é"), (3, " \n"), (4, "")]
+    rows, planted = [], set()
+    for n in range(400):
+        key, item = items[n % len(items)]
+        t, leak = words(rng, rng.randrange(0, 30)), edit(rng, item, int(len(item) * D.EDIT_RATE)) if item.strip() else ""
+        rows.append((n, t + leak + words(rng, rng.randrange(0, 9)), "s"))
+        planted |= {(n, key)} if leak else set()
+    got = D.find_leaks(docs(rows).repartition(2), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    want = {(n, k) for n, t, _ in rows for k, x in items if folded(x) and nearest(folded(x), folded(t)) <= int(len(folded(x)) * D.EDIT_RATE)}
+    assert found == want and planted <= found
+    assert {k for _, k in found} == {k for k, x in items if x.strip()}
+
+
+def test_copies_side_by_side_are_all_found(spark, docs):
+    rng = random.Random(6)
+    items = [(m, "".join(rng.choice(LETTERS) for _ in range(m))) for m in (5, 9, 10, 20, 25, 30, 60)]
+    rows = [(m, " ".join([x] * 7), "s") for m, x in items]
+    got = D.find_leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    own = sorted((r.item_id, r.start, r.end, r.edits) for r in got if r.item_id == r.doc_id)
+    assert own == sorted((m, i * (m + 1), i * (m + 1) + m, 0) for m, _ in items for i in range(7))
+
+
 def test_blocks_and_small_expansions_change_nothing(spark, docs, case, monkeypatch):
     items, rows, _ = case
     bench = spark.createDataFrame(items, "item_id long, text string")
