@@ -22,6 +22,7 @@ nothing.  Only the id and text columns are read; ``drop_leaks`` passes all colum
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,8 +259,12 @@ class Items:
                 at = (r, x, int(place[a] - first[r]), int(place[b - 1] + 1 - first[r]))
                 found[at] = min(e, found.get(at, e))
         best: list[tuple] = []
+        taken: dict[tuple, list[tuple]] = {}       # spans of each (row, item), apart and in order
         for (r, x, a, b), e in sorted(found.items(), key=lambda f: (f[0][:2], f[1], f[0][2:])):
-            if not any(y[:2] == (r, x) and a < y[3] and y[2] < b for y in best[-8:]):   # a better overlapping one stays
+            spans = taken.setdefault((r, x), [])
+            i = bisect_left(spans, (a, b))
+            if (not i or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):   # a better overlapping one stays
+                spans.insert(i, (a, b))
                 best.append((r, x, a, b, e))
         return sorted(best)
 

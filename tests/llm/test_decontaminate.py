@@ -97,6 +97,15 @@ def test_copies_side_by_side_are_all_found(spark, docs):
     assert own == sorted((m, i * (m + 1), i * (m + 1) + m, 0) for m, _ in items for i in range(7))
 
 
+def test_a_better_overlapping_leak_stays_among_many(monkeypatch):
+    import pyarrow as pa
+    good = [(0, 0, 100 * i, 100 * i + 40, 0) for i in range(30)]
+    worse = [(0, 0, a + shift, b + shift, 2) for _, _, a, b, _ in good for shift in (-3, 3) if a + shift >= 0]
+    monkeypatch.setattr(D.Items, "align", lambda self, *_: iter(worse + good + [(0, 0, 50, 90, 3)]))
+    got = D.Items([(1, "x" * 40)], D.EDIT_RATE, D.Q).leaks(pa.array(["y" * 3000]))
+    assert got == sorted([*good, (0, 0, 50, 90, 3)])
+
+
 def test_blocks_and_small_expansions_change_nothing(spark, docs, case, monkeypatch):
     items, rows, _ = case
     bench = spark.createDataFrame(items, "item_id long, text string")
