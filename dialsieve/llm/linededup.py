@@ -73,7 +73,8 @@ def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFra
     k, h, pos, rank (order among the suffixes), later (not the interval's first member)."""
     later = F.struct("k", "h", "pos") > F.col("first")
     first = _intervals(lines, "l1", "l2")
-    rows = C.save(lines.join(first, ["l1", "l2"]).select("k", "h", "pos", "chars", "rank", later.alias("later")))
+    # rows that are equal in id and text are one document: one suffix each, so a round joins one to one
+    rows = C.save(lines.join(first, ["l1", "l2"]).select("k", "h", "pos", "chars", "rank", later.alias("later")).distinct())
     runs, size = rows.select("k", "h", "pos", "rank", "later"), 1
     while size < min_lines:
         step = min(size, min_lines - size)

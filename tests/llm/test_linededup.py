@@ -79,6 +79,16 @@ def test_ranks_are_suffix_order(spark, docs):
         assert prefix[a.k, a.pos] <= prefix[b.k, b.pos]
 
 
+def test_equal_rows_are_one_document_in_every_round(spark, docs):
+    rows = corpus(3)
+    rows += [rows[5], (900, "one\ntwo\nthree\nfour", "s")] + [(901, "one\ntwo\nthree\nfour", "s")] * 40
+    for frame in L.repeated_runs(L.lines_of(docs(rows)), 4):
+        got = [(r.k, r.h, r.pos) for r in frame.collect()]
+        assert len(got) == len(set(got)) > 0
+    cut = {r.doc_id: r.n_removed for r in L.drop_repeats(docs(rows)).collect()}
+    assert (cut[900], cut[901]) == (0, 4)
+
+
 def test_sql_twin(spark, docs):
     rows = corpus(5) + EXTRA
     got = L.drop_repeats(docs(rows)).collect()
