@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, each in its own module.
+"""Training-data operators: thirteen Spark jobs over documents and embeddings, each in its own module.
 
 Nothing outside this subpackage imports it; ``queries`` holds the driver's
 ``opN_*`` queries and their SQL twins.

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, linededup, minhash, mixing, phrases, quality, secrets, spotsigs, tokencount
+from . import (decontaminate, idfiles, lexical, linededup, minhash, mixing, phrases, quality, secrets, sharding, spotsigs,
+               tokencount, whitening)
 from .common import shared_folder, table
 
 #: Documents whose labels never train: crc32 of the id's text, mod 4, is 2.
@@ -71,6 +72,20 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, d, "documents"), texts=False)
 
 
+def op11_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.digest(sharding.assign(table(spark, d, "documents")))
+
+
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    model = whitening.fit(rows)
+    return whitening.components_of(whitening.whiten(rows, model), model)
+
+
+def op13_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: DuckDB SQL where SQL expresses the query; the others are tested against brute force.
@@ -90,4 +108,6 @@ ORACLES: dict[str, str] = {
     "op7_near_dedup": minhash.oracle(),
     "op9_secret_scan": secrets.oracle(),
     "op10_substring_dedup": phrases.oracle(),
+    "op11_sharding": sharding.oracle(),
+    "op13_lexical_search": lexical.oracle(),
 }
