@@ -31,13 +31,17 @@ DATE_FORMATS: dict[str, str] = {
 
 DATE_BLANKS = ["", "-", "nan", "NaT", "NAT"]
 
+#: Shapes that Spark's own cast reads alike; it is many times faster than a formatter.
+CAST_SHAPES = {_DASH, f"{_DASH} {_D12}:{_D2}:{_D2}", f"{_DASH} {_D12}:{_D2}:{_D2}[.][0-9]{{3}}",
+               f"{_DASH} {_D12}:{_D2}:{_D2}[.][0-9]{{6}}"}
+
 
 def parse_timestamp_sql(x: str) -> str:
     """One parse attempt per value, with the format of its shape (a failed parse is
     costly in the JVM); blanks and values of no known shape are NULL."""
     v = X.norm(x)
-    shaped = " ".join(f"WHEN {v} rlike {X.lit(f'^{shape}$')} THEN try_to_timestamp({v}, {X.lit(f)})"
-                      for shape, f in DATE_FORMATS.items())
+    read = lambda shape, f: f"try_cast({v} AS TIMESTAMP)" if shape in CAST_SHAPES else f"try_to_timestamp({v}, {X.lit(f)})"
+    shaped = " ".join(f"WHEN {v} rlike {X.lit(f'^{shape}$')} THEN {read(shape, f)}" for shape, f in DATE_FORMATS.items())
     return f"CASE WHEN {v} IN ({X.lits(DATE_BLANKS)}) THEN CAST(NULL AS TIMESTAMP) {shaped} END"
 
 

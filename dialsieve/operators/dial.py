@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..schema import first_present, sql_or_blank
-from ..session import materialize
-from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, mark_join, row_id, spread_blank_sql
+from .joins import DEFAULT_BROADCAST_ROWS, Marks, bounded_broadcast, row_id, spread_blank_sql
 
 # canonical candidates for the dialled number and the direct number, in order
 TEL_CANDIDATES = ["telephone", "phone_office", "dialed_number"]
 DIRECT_CANDIDATES = ["direct_number", "direct_number_1", "telephone", "phone_office"]
 
+#: Columns of the dial counts.
+COUNTS = "dialed_number string, daily_count long, weekly_count long"
+
 # --- fixed values: campaign defaults (max per day, max per direct period)
 DELL_MAX_DAY = 3
 DELL_MAX_DIRECT = 3
@@ -39,13 +41,11 @@ def with_phone_keys(df: DataFrame) -> DataFrame:
 
 
 def mark_direct(df: DataFrame, direct: DataFrame | None,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Add boolean ``_is_direct``: the row's direct number is on the direct-dial list."""
-    if direct is None:
-        return df.withColumn("_is_direct", F.lit(False))
-    dl = direct.select(F.col("phone").alias("_dphone")).distinct().withColumn("_dhit", F.lit(True))
-    return (mark_join(df, "_dtel", dl, "_dphone", ["_dhit"], broadcast_rows)
-              .withColumn("_is_direct", F.coalesce(F.col("_dhit"), F.lit(False))).drop("_dhit"))
+                broadcast_rows: int = DEFAULT_BROADCAST_ROWS, marks: Marks | None = None) -> DataFrame:
+    """Add boolean ``_is_direct``: the row's direct number is on the direct-dial list
+    (given as a frame, or stored already in ``marks``)."""
+    marks = marks or Marks(direct=direct, broadcast_rows=broadcast_rows)
+    return marks.join(df, "direct", "_dtel", "_dhit").withColumn("_is_direct", F.col("_dhit").isNotNull()).drop("_dhit")
 
 
 def phone_universe(marked: DataFrame) -> DataFrame:
@@ -56,45 +56,50 @@ def phone_universe(marked: DataFrame) -> DataFrame:
                   .where(F.col("phone") != "").distinct())
 
 
-def dial_counts(history: DataFrame | None, phones: DataFrame, check_date: dt.date) -> DataFrame:
-    """Per number in ``phones``: distinct call ids on ``check_date`` and in its
-    ISO week, from the history store (``dialed_number``, ``call_id``,
-    ``pbx_dialing_date``).  Numbers never dialled get 0, 0; so does every number
-    when there is no history yet (None or an empty store).
+def week_counts(history: DataFrame, check_date: dt.date, phones: DataFrame | None = None) -> DataFrame:
+    """Per number that was dialled in the ISO week of ``check_date``: distinct call ids on the
+    day and in the week, from the calls (``dialed_number``, ``call_id``, ``pbx_dialing_date``).
 
     The store is cut to one week first: a date range that Parquet can push
     down, plus ``dial_week = monday`` on the partition column when the store
-    is partitioned that way.  Only numbers of the input are kept (semi join),
-    then (number, call) pairs are deduplicated and counted - two aggregates
+    is partitioned that way.  With ``phones`` only its numbers are kept (semi join).
+    (number, call) pairs are then deduplicated and counted - two aggregates
     with map-side combine, so a hot number does not land whole in one task."""
     monday, next_monday = week_bounds(check_date)
-    p = phones.select(F.col("phone").alias("dialed_number")).distinct()
-    if history is None:
-        zero = F.lit(0).cast("long")
-        return p.select("dialed_number", zero.alias("daily_count"), zero.alias("weekly_count"))
     h = history
     if "dial_week" in h.columns:
-        h = h.where(F.col("dial_week") == F.lit(monday))
-    h = h.where((F.col("pbx_dialing_date") >= F.lit(monday)) & (F.col("pbx_dialing_date") < F.lit(next_monday)))
-    calls = (h.select("dialed_number", "call_id", "pbx_dialing_date")
-              .join(p, "dialed_number", "left_semi")
-              .groupBy("dialed_number", "call_id")
+        h = h.where((F.col("dial_week") == F.lit(monday)) & (F.col("pbx_dialing_date") >= F.lit(monday))
+                    & (F.col("pbx_dialing_date") < F.lit(next_monday)))
+    else:  # calls that are no store yet: their date is parsed, so it stands in the filter once
+        h = h.where(F.date_trunc("week", "pbx_dialing_date") == F.lit(monday).cast("timestamp"))
+    h = h.select("dialed_number", "call_id", "pbx_dialing_date")
+    if phones is not None:
+        h = h.join(phones, "dialed_number", "left_semi")
+    calls = (h.groupBy("dialed_number", "call_id")
               .agg(F.max(F.col("pbx_dialing_date") == F.lit(check_date)).alias("_today")))
-    per_number = calls.groupBy("dialed_number").agg(
+    return calls.groupBy("dialed_number").agg(
         F.count_if(F.col("_today")).cast("long").alias("daily_count"),
         F.count(F.lit(1)).cast("long").alias("weekly_count"))
-    return (p.join(per_number, "dialed_number", "left")
-             .select("dialed_number",
-                     F.coalesce("daily_count", F.lit(0).cast("long")).alias("daily_count"),
-                     F.coalesce("weekly_count", F.lit(0).cast("long")).alias("weekly_count")))
+
+
+def dial_counts(history: DataFrame | None, phones: DataFrame, check_date: dt.date) -> DataFrame:
+    """Per number in ``phones``: ``week_counts``; 0, 0 for numbers never dialled, and for
+    every number when there is no history yet (None or an empty store)."""
+    zero = F.lit(0).cast("long")
+    p = phones.select(F.col("phone").alias("dialed_number")).distinct()
+    if history is None:
+        return p.select("dialed_number", zero.alias("daily_count"), zero.alias("weekly_count"))
+    return (p.join(week_counts(history, check_date, p), "dialed_number", "left")
+             .select("dialed_number", F.coalesce("daily_count", zero).alias("daily_count"),
+                     F.coalesce("weekly_count", zero).alias("weekly_count")))
 
 
 def tag_dial_limits(df: DataFrame, history: DataFrame | None, check_date: dt.date,
                     direct: DataFrame | None = None, max_day: int | None = None,
                     max_direct: int | None = None, is_dell: bool = False,
                     max_direct_week: int | None = None, max_direct_day: int | None = None,
-                    max_week: int | None = None,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize_counts: bool = True) -> DataFrame:
+                    max_week: int | None = None, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                    marks: Marks | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Add ``dial_limit_reason`` to the rows with a blank ``suppression_reason``
     (suppressed rows are not checked) and the final ``row_status``.
 
@@ -104,7 +109,9 @@ def tag_dial_limits(df: DataFrame, history: DataFrame | None, check_date: dt.dat
     3. dialled number's weekly dials > max_week
     4. dialled number's daily dials > max_day
     A blank dialled number is always allowed.  ``max_direct_week``,
-    ``max_direct_day`` and ``max_week`` default to ``max_direct``."""
+    ``max_direct_day`` and ``max_week`` default to ``max_direct``.  ``marks`` may hold the
+    direct list, and ``counts`` the week's counts (``week_counts``, or those that an ingest
+    keeps), in place of ``direct`` and ``history``."""
     if max_day is None:
         max_day = DELL_MAX_DAY if is_dell else NON_DELL_MAX_DAY
     if max_direct is None:
@@ -115,23 +122,20 @@ def tag_dial_limits(df: DataFrame, history: DataFrame | None, check_date: dt.dat
 
     if "suppression_reason" not in df.columns:
         df = df.withColumn("suppression_reason", F.lit(""))
-    keyed = mark_direct(with_phone_keys(df), direct, broadcast_rows)
-    # counts are derived from the input (one row per distinct number), so their
-    # size is only known at run time: AQE turns the joins into broadcasts when
-    # the materialised counts are small and keeps shuffle joins otherwise.
-    counts = dial_counts(history, phone_universe(keyed.where(F.col("suppression_reason") == "")),
-                         check_date)
+    keyed = mark_direct(with_phone_keys(df), direct, broadcast_rows, marks)
     rid = row_id(df)
     # Only numbers that can fail a check matter: a number at or under every
-    # threshold behaves exactly like a number never dialled.  The remaining
-    # (usually few) counts are checkpointed once and size-checked, so the two
-    # lookups are broadcast joins and the wide input rows are never shuffled;
-    # above the bound they fall back to shuffle joins.
+    # threshold behaves exactly like a number never dialled.  They follow from the
+    # history alone, without the input's joins; stored once and measured, both
+    # lookups are broadcast joins and the wide input rows are never shuffled.
+    # Above the bound they are cut to the input's numbers and measured again.
     lo_week, lo_day = min(m_dw, m_w), min(max_day, m_dd if not is_dell else max_day)
-    over = counts.where((F.col("weekly_count") > lo_week) | (F.col("daily_count") > lo_day))
-    if materialize_counts:
-        over = materialize(over)
-    over, _ = bounded_broadcast(over, broadcast_rows)
+    if counts is None:
+        counts = week_counts(history, check_date) if history is not None else df.sparkSession.createDataFrame([], COUNTS)
+    over, small = bounded_broadcast(counts.where((F.col("weekly_count") > lo_week) | (F.col("daily_count") > lo_day)), broadcast_rows)
+    if not small:
+        universe = phone_universe(keyed.where(F.col("suppression_reason") == "")).withColumnRenamed("phone", "dialed_number")
+        over, _ = bounded_broadcast(over.join(universe, "dialed_number", "left_semi"), broadcast_rows)
     d = check_date.isoformat()
     day, week = "coalesce(_day, 0)", "coalesce(_week, 0)"
     dday, dweek = "coalesce(_dday, 0)", "coalesce(_dweek, 0)"

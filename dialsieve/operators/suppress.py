@@ -11,7 +11,7 @@ from ..functions import sql as X
 from ..functions.dates import parse_timestamp_sql
 from ..schema import first_present, q, sql_or_blank
 from ..sources.tabular import read_if_written
-from .joins import DEFAULT_BROADCAST_ROWS, mark_join
+from .joins import DEFAULT_BROADCAST_ROWS, Marks
 
 # --- fixed values: suppression reasons, in priority order
 DEAD_REASON = "DEAD/DNC Email"
@@ -27,36 +27,19 @@ RPC_WINDOW_DAYS = 31
 
 def tag_suppressions(df: DataFrame, dead: DataFrame | None = None, rpc: DataFrame | None = None,
                      domain: DataFrame | None = None,
-                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS, marks: Marks | None = None) -> DataFrame:
     """Add ``suppression_reason``: dead > RPC+ > domain, first hit wins, '' when clean.
 
-    Lists are one-column key frames (``key``), already trimmed/lower-cased and
-    distinct (``sources.lists.suppression_keys``); ``None`` = list missing or
-    toggled off.  The two email lists become one (key, priority) frame, so an
-    input row meets one email join and one domain join."""
-    out = df
-    email_lists = []
-    if dead is not None:
-        email_lists.append(dead.select("key", F.lit(1).alias("prio")))
-    if rpc is not None:
-        email_lists.append(rpc.select("key", F.lit(2).alias("prio")))
-    prio = F.lit(None).cast("int")
-    if email_lists:
-        el = email_lists[0]
-        for x in email_lists[1:]:
-            el = el.unionByName(x)
-        el = el.groupBy("key").agg(F.min("prio").alias("_eprio")).withColumnRenamed("key", "_ekey")
-        out = mark_join(out, X.norm_lower(sql_or_blank(df, "email_address")), el, "_ekey", ["_eprio"], broadcast_rows)
-        prio = F.col("_eprio")
-    dom = F.lit(False)
-    if domain is not None:
-        dl = domain.select(F.col("key").alias("_dkey")).distinct().withColumn("_dhit", F.lit(True))
-        out = mark_join(out, X.norm_lower(sql_or_blank(df, "domain")), dl, "_dkey", ["_dhit"], broadcast_rows)
-        dom = F.coalesce(F.col("_dhit"), F.lit(False))
-    reason = (F.when(prio == 1, F.lit(DEAD_REASON)).when(prio == 2, F.lit(RPC_REASON))
-               .when(dom, F.lit(DOMAIN_REASON)).otherwise(F.lit("")))
-    out = out.withColumn("suppression_reason", reason)
-    return out.drop(*[c for c in ("_eprio", "_dhit") if c in out.columns])
+    Lists are one-column key frames (``key``), already trimmed/lower-cased
+    (``sources.lists.suppression_keys``); ``None`` = list missing or toggled off.  The two
+    email lists are one (key, priority) side, so an input row meets one email join and one
+    domain join.  ``marks`` gives lists that are stored already, in place of the frames."""
+    marks = marks or Marks(dead, rpc, domain, broadcast_rows=broadcast_rows)
+    out = marks.join(df, "email", X.norm_lower(sql_or_blank(df, "email_address")), "_eprio")
+    out = marks.join(out, "domain", X.norm_lower(sql_or_blank(df, "domain")), "_dhit")
+    reason = (F.when(F.col("_eprio") == 1, F.lit(DEAD_REASON)).when(F.col("_eprio") == 2, F.lit(RPC_REASON))
+               .when(F.col("_dhit").isNotNull(), F.lit(DOMAIN_REASON)).otherwise(F.lit("")))
+    return out.withColumn("suppression_reason", reason).drop("_eprio", "_dhit")
 
 
 def _last_per_key(frame: DataFrame, key: str) -> DataFrame:

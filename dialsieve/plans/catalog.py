@@ -1,8 +1,9 @@
-"""Driver query catalog: one lazy DataFrame per operator of the inventory.
+"""Driver query catalog: one DataFrame per operator of the inventory.
 
 Each entry takes ``(spark, sf_dir)``, binds the driver's tables to the
 library's inputs (``sources.bindings``) and returns the operator's result
-without collecting it.  The SQL twins live in ``plans.oracle``.
+without collecting it.  Building a query that tags rows runs a few jobs: the lists and the
+over-limit numbers are stored and measured first, since their sizes choose the joins.  The SQL twins live in ``plans.oracle``.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from ..operators import dial as D
 from ..operators import history as H
 from ..operators import qa as Q
 from ..operators import snapshot as S
+from ..operators.joins import Marks
 from ..operators.output import (add_phone_validity, clean_columns, contacted, first_usable_phone,
                                 output_dedup, output_projection)
 from ..operators.suppress import tag_suppressions, update_dead_list, update_rpc_list
 from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, OUTPUT_COLUMNS, canonicalize
+from ..session import materialize
 from ..sources import bindings as B
 from ..sources.lists import DEAD_KEYS, DOMAIN_KEYS, RPC_KEYS, direct_dial_keys, suppression_keys
 from ..sources.tabular import blank_na, collate, collate_calls
@@ -45,11 +48,12 @@ def collated(spark, d) -> DataFrame:
     return collate(B.contact_files(spark, d))
 
 
-def lists(spark, d) -> Lists:
-    return Lists(dead=suppression_keys(B.dead_list_file(spark, d), DEAD_KEYS),
-                 rpc=suppression_keys(B.rpc_list_file(spark, d), RPC_KEYS),
-                 domain=suppression_keys(B.domain_list_file(spark, d), DOMAIN_KEYS),
-                 direct=direct_dial_keys(B.direct_list_file(spark, d)))
+def lists(spark, d, distinct: bool = False) -> Lists:
+    """The four lists; tagging drops repeated keys itself."""
+    return Lists(dead=suppression_keys(B.dead_list_file(spark, d), DEAD_KEYS, distinct),
+                 rpc=suppression_keys(B.rpc_list_file(spark, d), RPC_KEYS, distinct),
+                 domain=suppression_keys(B.domain_list_file(spark, d), DOMAIN_KEYS, distinct),
+                 direct=direct_dial_keys(B.direct_list_file(spark, d), distinct))
 
 
 def limits() -> Limits:
@@ -65,6 +69,11 @@ def tagged(spark, d) -> DataFrame:
     return tag(collated(spark, d), lists(spark, d), dial_history(spark, d), limits())
 
 
+def tagged_once(spark, d) -> DataFrame:
+    """The tagged rows, stored: for queries that read them more than once."""
+    return materialize(tagged(spark, d))
+
+
 def extract(spark, d) -> DataFrame:
     return collate_calls([B.extract_file(spark, d)])
 
@@ -116,18 +125,18 @@ def q_collate_formats(spark, d):
 
 
 def q_suppression_keys(spark, d):
-    l = lists(spark, d)
+    l = lists(spark, d, distinct=True)
     return (l.dead.select(F.lit("dead").alias("list"), "key")
             .unionByName(l.rpc.select(F.lit("rpc").alias("list"), "key"))
             .unionByName(l.domain.select(F.lit("domain").alias("list"), "key")))
 
 
 def q_direct_dial_keys(spark, d):
-    return lists(spark, d).direct
+    return lists(spark, d, distinct=True).direct
 
 
 def q_suppression_sizes(spark, d):
-    l = lists(spark, d)
+    l = lists(spark, d, distinct=True)
     return A.list_sizes({"dead": l.dead, "rpc": l.rpc, "domain": l.domain, "direct": l.direct})
 
 
@@ -144,8 +153,9 @@ def q_suppression_summary(spark, d):
 
 def _keyed_clean(spark, d):
     l = lists(spark, d)
-    s = tag_suppressions(collated(spark, d), l.dead, l.rpc, l.domain).where(F.col("suppression_reason") == "")
-    return D.mark_direct(D.with_phone_keys(s), l.direct)
+    marks = Marks(l.dead, l.rpc, l.domain, l.direct)
+    s = tag_suppressions(collated(spark, d), marks=marks).where(F.col("suppression_reason") == "")
+    return D.mark_direct(D.with_phone_keys(s), None, marks=marks)
 
 
 def q_phone_universe(spark, d):
@@ -332,7 +342,7 @@ def q_rechurn_gtg_output(spark, d):
 
 
 def q_audit_rows(spark, d):
-    t = tagged(spark, d)
+    t = tagged_once(spark, d)
     return A.audit_rows(t, B.BATCH_ID, RUN_AT, CAMPAIGN_TYPE)
 
 
@@ -341,7 +351,7 @@ def q_audit_summary(spark, d):
 
 
 def q_run_metrics(spark, d):
-    t = tagged(spark, d)
+    t = tagged_once(spark, d)
     return A.run_metrics(t, output_of(t, B.RUN_TS))
 
 

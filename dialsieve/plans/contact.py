@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.audit import (activity_row, audit_rows, batch_campaign, campaign_list, export_rows, replace_batch,
                                run_metrics, write_run_log)
 from ..operators.dial import tag_dial_limits
+from ..operators.joins import Marks
 from ..operators.output import transform_and_output
 from ..operators.snapshot import snapshot_rows, write_snapshot
 from ..operators.suppress import tag_suppressions
@@ -35,12 +36,16 @@ class Limits:
     is_dell: bool = False
 
 
-def tag(collated: DataFrame, lists: Lists, history: DataFrame | None, limits: Limits) -> DataFrame:
+def tag(collated: DataFrame, lists: Lists, history: DataFrame | None, limits: Limits,
+        counts: DataFrame | None = None) -> DataFrame:
     """One tagged frame: every input row with suppression / dial-limit reasons
-    and ``row_status`` in {GTG, SUPPRESSED, OVER_LIMIT}."""
-    s = tag_suppressions(collated, lists.dead, lists.rpc, lists.domain)
-    return tag_dial_limits(s, history, limits.check_date, lists.direct, limits.max_day,
-                           limits.max_direct, limits.is_dell)
+    and ``row_status`` in {GTG, SUPPRESSED, OVER_LIMIT}.
+
+    The lists are stored once as one frame and measured in the same job.  ``counts`` may
+    give the week's dial counts in place of ``history``."""
+    marks = Marks(lists.dead, lists.rpc, lists.domain, lists.direct)
+    return tag_dial_limits(tag_suppressions(collated, marks=marks), history, limits.check_date, None, limits.max_day,
+                           limits.max_direct, limits.is_dell, marks=marks, counts=counts)
 
 
 def output_of(tagged: DataFrame, run_ts: str) -> DataFrame:

@@ -14,6 +14,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # --- fixed values: binding parameters shared with the SQL oracle
 CHECK_DATE = dt.date(2024, 1, 18)
@@ -41,9 +42,16 @@ FILLED = [("Data_Source", "data_source"), ("First name", "first_name"), ("Last n
           ("AC_List_Mapping", "ac_list_mapping"), ("WP Status", "wp_status")]
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  Its schema is read from a file's footer once a session; the tables
+    of a directory do not change."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(key[1]).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(key[1])
 
 
 def _padded(x: str) -> str:
@@ -87,14 +95,12 @@ def contact_file(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     The two files split customers by nation with an overlap (nations 8..16 are
     in both), so the collated input holds every customer at least once."""
     c = contacts(spark, sf_dir)
-    cols = [F.col("row_ord"), F.col("campaign").alias("Campaign Name"), F.col("full_name").alias("Full name"),
-            F.col("org").alias("Organization 1"), F.col("email").alias("EmailAddress"),
-            F.col("domain").alias("Domain"), F.col("tel").alias("TelephoneNumber"),
-            F.col("state").alias("State"), F.col("country").alias("Country"),
-            F.col("profile_url").alias("Profile url"), *[F.col(c).alias(h) for h, c in FILLED]]
+    cols = ["row_ord", "campaign AS `Campaign Name`", "full_name AS `Full name`", "org AS `Organization 1`",
+            "email AS EmailAddress", "domain AS Domain", "tel AS TelephoneNumber", "state AS State", "country AS Country",
+            "profile_url AS `Profile url`", *[f"{c} AS `{h}`" for h, c in FILLED]]
     if fmt == "1":
-        return c.where(F.col("nation") <= F1_MAX_NATION).select(*cols, F.col("intent").alias("Intent"))
-    return c.where(F.col("nation") >= F2_MIN_NATION).select(*cols)
+        return c.where(F.col("nation") <= F1_MAX_NATION).selectExpr(*cols, "intent AS Intent")
+    return c.where(F.col("nation") >= F2_MIN_NATION).selectExpr(*cols)
 
 
 def contact_files(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str]]:
@@ -130,11 +136,10 @@ def call_file(spark: SparkSession, sf_dir: str, date_from: dt.date | None = None
         c = c.where(F.col("pbx_dialing_date") < F.lit(date_to))
     if event_type is not None:
         c = c.where(F.col("event_type") == event_type)
-    return c.select(
-        "row_ord", F.col("call_id"), F.col("dialed_raw").alias("Dialed Number"),
-        F.col("pbx_text").alias("PBX DialingDate"), F.col("email").alias("EmailAddress"),
-        F.col("dgs").alias("DGS Disposition"), F.col("event_type").alias("System Disposition"),
-        F.col("campaign").alias("campaignName"), F.col("contact_link").alias("Contact Link"))
+    return c.selectExpr(
+        "row_ord", "call_id", "dialed_raw AS `Dialed Number`", "pbx_text AS `PBX DialingDate`", "email AS EmailAddress",
+        "dgs AS `DGS Disposition`", "event_type AS `System Disposition`", "campaign AS campaignName",
+        "contact_link AS `Contact Link`")
 
 
 def extract_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..functions.text import SCAN_NA_TOKENS
-from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, ORDER_COLUMNS, canonicalize, dedupe_columns, q
+from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, ORDER_COLUMNS, canonicalize, dedupe_columns, q, with_labels
 
 
 def blank_na(df: DataFrame, keep: Sequence[str] = ORDER_COLUMNS, tokens=SCAN_NA_TOKENS) -> DataFrame:
@@ -102,8 +102,9 @@ def union_blank(frames: Sequence[DataFrame]) -> DataFrame:
         acc = acc.unionByName(f, allowMissingColumns=True)
     fill = [c for c in acc.columns if c not in ORDER_COLUMNS]
     out = acc.fillna("", subset=fill) if fill else acc
-    for c in fill:                       # labels of the first file that has the column
-        label = next((f.schema[c].metadata for f in frames if c in f.columns), {})
-        if label:
-            out = out.withMetadata(c, label)
-    return out
+    labels: dict[str, str] = {}          # of the first file that has the column
+    for f in frames:
+        for field in f.schema:
+            if field.name in fill:
+                labels.setdefault(field.name, field.metadata.get("label", ""))
+    return with_labels(out, {c: label for c, label in labels.items() if label})
