@@ -9,6 +9,7 @@ over-limit numbers are stored and measured first, since their sizes choose the j
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,13 @@ from ..operators import history as H
 from ..operators import qa as Q
 from ..operators import snapshot as S
 from ..operators.joins import Marks
+from ..operators.snapshot_index import SnapshotIndex
+from ..operators.store import HistoryStore
 from ..operators.output import (add_phone_validity, clean_columns, contacted, first_usable_phone,
                                 output_dedup, output_projection)
 from ..operators.suppress import tag_suppressions, update_dead_list, update_rpc_list
 from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, OUTPUT_COLUMNS, canonicalize
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from ..sources import bindings as B
 from ..sources.lists import DEAD_KEYS, DOMAIN_KEYS, RPC_KEYS, direct_dial_keys, suppression_keys
 from ..sources.tabular import blank_na, collate, collate_calls
@@ -390,16 +393,67 @@ def q_rpc_list_update(spark, d):
 def q_history_ingest_stream(spark, d):
     """K1 stream mode: the call log lands as files in a folder under the shared
     checkpoint directory and is ingested by a file stream (availableNow)."""
-    import uuid
-
-    from ..session import checkpoint_dir
     from ..streaming.ingest import ingest_stream
-    base = f"{checkpoint_dir(spark).rstrip('/')}/history-stream-{uuid.uuid4().hex[:12]}"
+    base = _folder(spark, "history-stream")
     B.call_file(spark, d).write.parquet(f"{base}/landing")
     ingest_stream(spark, f"{base}/landing", f"{base}/store", f"{base}/progress", loaded_at=RUN_AT)
     return spark.read.parquet(f"{base}/store").select(*_HIST_OUT)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def loaded_store(spark, d) -> HistoryStore:
+    """The store after three loads: the first upload, the second one, and the second one again."""
+    store = HistoryStore(spark, _folder(spark, "history"), buckets=16)
+    store.load(B.call_file(spark, d, date_to=B.STORE_BEFORE), OLD_BATCH_ID, OLD_LOADED_AT)
+    for _ in range(2):
+        store.load(B.call_file(spark, d, date_from=B.BATCH_FROM), B.BATCH_ID, RUN_AT)
+    return store
+
+
+def q_history_store(spark, d):
+    """K1 with the kept keys: every stored call with the batch that brought it."""
+    return loaded_store(spark, d).calls().select(*_HIST_OUT, "batch_id")
+
+
+def q_history_loads(spark, d):
+    return loaded_store(spark, d).loads().select("batch_id", "loaded_at", "total", "inserted")
+
+
+def q_dial_counts_kept(spark, d):
+    """A1 from the counts that the ingest keeps: every number dialled in the check date's week."""
+    return loaded_store(spark, d).week_counts(B.CHECK_DATE)
+
+
+def q_dial_limit_kept(spark, d):
+    """FL2 / A1b with the kept counts."""
+    t = tag(collated(spark, d), lists(spark, d), None, limits(), loaded_store(spark, d).week_counts(B.CHECK_DATE))
+    return t.select("src_ord", "row_ord", "suppression_reason", "dial_limit_reason", "row_status")
+
+
+def indexed_snapshot(spark, d) -> SnapshotIndex:
+    """The two runs' snapshot written batch by batch, each batch merged into the key index."""
+    folder = _folder(spark, "snapshot")
+    index = SnapshotIndex(spark, f"{folder}/rows", f"{folder}/index", buckets=16)
+    f1, f2 = B.contact_files(spark, d)
+    for files, batch_id, at in (([f1], OLD_BATCH_ID, OLD_LOADED_AT), ([f2], B.BATCH_ID, RUN_AT)):
+        S.write_snapshot(S.snapshot_rows(collate(files), batch_id, at), f"{folder}/rows")
+        index.update(batch_id)
+    return index
+
+
+def q_snapshot_index(spark, d):
+    return indexed_snapshot(spark, d).latest()
+
+
+def q_snapshot_index_lookup(spark, d):
+    return indexed_snapshot(spark, d).lookup(extract(spark, d)) \
+        .select("batch_id", "src_ord", "row_ord", "campaign_name", "profile_url", "full_name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -479,6 +479,19 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     q["history_ingest_stream"] = with_(CALLS, f"a AS ({hist_select()})") + (
         f"SELECT {hout} FROM a QUALIFY row_number() OVER (PARTITION BY call_id, dialed_number "
         "ORDER BY src_ord, row_ord) = 1")
+    batches = (f"SELECT *, '{OLD_BATCH_ID}' AS batch_id FROM store UNION ALL SELECT *, '{BATCH_ID}' AS batch_id FROM fresh")
+    q["history_store"] = with_(*hx) + f"SELECT {hout}, batch_id FROM ({batches})"
+    q["history_loads"] = with_(*hx) + (
+        f"SELECT '{OLD_BATCH_ID}' AS batch_id, TIMESTAMP '2024-01-01 00:00:00' AS loaded_at, "
+        "(SELECT COUNT(*) FROM s0) AS total, (SELECT COUNT(*) FROM store) AS inserted UNION ALL "
+        f"SELECT '{BATCH_ID}', TIMESTAMP '{RUN_TS}', (SELECT COUNT(*) FROM b), (SELECT COUNT(*) FROM fresh) UNION ALL "
+        f"SELECT '{BATCH_ID}', TIMESTAMP '{RUN_TS}', (SELECT COUNT(*) FROM b), 0")
+    week = ("kept AS (SELECT dialed_number, COUNT(*) FILTER (WHERE pbx_dialing_date = DATE '2024-01-18') AS daily_count, "
+            "COUNT(*) AS weekly_count FROM store2 WHERE pbx_dialing_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' "
+            "GROUP BY dialed_number)")
+    q["dial_counts_kept"] = with_(*hx, week) + "SELECT * FROM kept"
+    q["dial_limit_kept"] = with_(CONTACTS, COLLATED, CALLS, LISTS, *hx[1:], "hist AS (SELECT * FROM store2)", *CONTACT_TAG) + (
+        "SELECT src_ord, row_ord, suppression_reason, dial_limit_reason, row_status FROM tagged")
     q["history_preview"] = with_(*hx) + (
         "SELECT row_ord, call_id, dialed_number, pbx_dialing_date FROM store2 ORDER BY src_ord, row_ord LIMIT 200")
 
@@ -499,12 +512,14 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
            "WHERE _campaign_name <> '' AND _contact_link <> '' QUALIFY row_number() OVER "
            "(PARTITION BY _campaign_name, _contact_link ORDER BY batch_id DESC, src_ord, row_ord) = 1)")
     q["snapshot_latest"] = with_(CONTACTS, SNAP, idx) + "SELECT * FROM idx"
+    q["snapshot_index"] = q["snapshot_latest"]
     q["snapshot_profile"] = with_(CONTACTS, SNAP, idx) + (
         "SELECT COUNT(*) AS total_rows, COUNT(DISTINCT campaign_name) AS campaigns, MIN(loaded_at) AS earliest, "
         "MAX(loaded_at) AS latest FROM idx")
     q["snapshot_lookup"] = with_(CONTACTS, SNAP, EXTRACT) + (
         "SELECT batch_id, src_ord, row_ord, campaign_name, profile_url, full_name FROM latest l WHERE EXISTS "
         f"(SELECT 1 FROM extract e WHERE {nl('e.campaign_name')} = l._campaign_name AND {nl('e.contact_link')} = l._contact_link)")
+    q["snapshot_index_lookup"] = q["snapshot_lookup"]
     q["rechurn_merge"] = with_(CONTACTS, SNAP, EXTRACT, _merged_all()) + (
         "SELECT src_ord, row_ord, campaign_name, full_name, profile_url, contact_link, email_address, dialed_number, "
         "direct_number, asset_pitched, org_name, telephone, qa_final_status, _matched FROM merged_all")
