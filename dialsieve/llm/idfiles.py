@@ -18,7 +18,7 @@ task sorts its range, encodes block by block (bounded memory) and writes its fil
 temporary name before renaming them, so a task that is run again leaves the same files.
 
 Defined cases: a null text is the empty text; null keys come first; documents with equal
-keys are ordered by text; an empty table gives no files and no rows.  Only key and text are
+keys are ordered by their text's hash, then text; an empty table gives no files and no rows.  Only key and text are
 read, so other columns may have any name.
 """
 
@@ -46,6 +46,8 @@ SLICE_BYTES = 1 << 20
 RANGE_BYTES = 24 << 20
 #: Pieces of text whose ids a worker remembers in each of two generations.
 MEMORY_PIECES = 250_000
+#: Pieces that a worker holds in its table (some 60 MB).
+TABLE_PIECES = 1_000_000
 
 MAGIC = b"FRQ1"
 
@@ -121,7 +123,8 @@ class Tokens:
     a word; so a text is cut into runs without white space (with one space before them) and
     the white space between, and the ids of the pieces, one after another, are the ids of the
     text (``tests/llm`` compares them).  Letters and the signs after them are separate there
-    too, so a word's ids serve it with any signs.  Each new piece is encoded once."""
+    too, so a word's ids serve it with any signs.  Each new piece is encoded once; what a worker
+    knows is looked up with numpy (``Table``)."""
 
     def __init__(self, path: str, end_id: int | None):
         import os
@@ -134,24 +137,33 @@ class Tokens:
         self.cut = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]").findall
         self.signs = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]+)").fullmatch
         self.word = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
+        # bytes of every id: the byte-level alphabet writes each with one character
+        vocabulary = self.model.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}        # what was known before: used again, a piece moves up
+        self.table = Table()
 
     def _encode(self, pieces: list[str]) -> None:
-        """Words are encoded many in one text: each is one word of the pre-tokenizer, which
-        says of every id whose it is.  Other pieces are encoded one by one."""
+        """Words are encoded many in one text: each is one word of the pre-tokenizer, and its ids
+        are those whose bytes make it up.  Other pieces are encoded one by one."""
         plain = [p for p in pieces if self.word(p)]
         rest = set(pieces).difference(plain)
-        for a in range(0, len(plain), 4000):
-            part = plain[a:a + 4000]
-            e = self.model.encode("".join(part), add_special_tokens=False)
-            ids, owner = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
-            cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
-            if owner[-1] != len(part) - 1:
-                rest.update(part)
-                continue
-            for p, x, y in zip(part, cuts, cuts[1:], strict=False):
-                self.known[p] = ids[x:y]
+        parts = [plain[a:a + 1000] for a in range(0, len(plain), 1000)]
+        for a in range(0, len(parts), 16):
+            texts = ["".join(p) for p in parts[a:a + 16]]
+            for part, e in zip(parts[a:a + 16], self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.frombuffer(array("I", e.ids), np.uint32)
+                made = np.cumsum(self.width[ids])
+                wanted = np.cumsum([len(p.encode()) for p in part])
+                last = np.searchsorted(made, wanted)
+                if made[-1] != wanted[-1] or not np.array_equal(made[last], wanted):
+                    rest.update(part)
+                    continue
+                cuts, raw = ((last + 1) * 4).tolist(), ids.tobytes()
+                self.known.update((p, raw[x:y]) for p, x, y in zip(part, [0, *cuts], cuts))  # noqa: B905
         others = list(rest)
         for a in range(0, len(others), 2000):
             part = others[a:a + 2000]
@@ -164,24 +176,204 @@ class Tokens:
             return
         if len(self.known) + len(new) > MEMORY_PIECES:
             self.older, self.known = self.known, {p: self.known[p] for p in pieces if p in self.known}
-        for p in new.intersection(self.older):
-            self.known[p] = self.older[p]
-        new.difference_update(self.older)
+        again = [p for p in new if p in self.older]
+        self.known.update((p, self.older[p]) for p in again)
+        new.difference_update(again)
         parts = {p: m.groups() for p in new if not p[-1].isalpha() and (m := self.signs(p))}
         self._encode(list({x for m in parts.values() for x in m}.union(new.difference(parts)).difference(self.known)))
         for p, (word, signs) in parts.items():
             self.known[p] = self.known[word] + self.known[signs]
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of one text, piece by piece."""
+        cut = self.cut(text)
+        self._learn(set(cut))
+        return b"".join(map(self.known.__getitem__, cut))
+
+    def flat(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice one after another with their end ids, n_tokens per text).
+
+        Pieces are found and looked up with numpy, by a 64-bit value; only pieces that the
+        table does not hold yet are handled one by one.  Every piece's bytes are compared
+        with those in the table; a text where they differ is cut and encoded by itself."""
+        buf, offsets = C.flat_bytes(col)
+        starts, ends, rows = cut_pieces(buf, offsets)
+        at = self.table.find(buf, starts, ends, self._new_ids)
+        odd = self.table.differs(buf, starts, ends, at, rows)
+        ids, sizes = self.table.ids_of(at)
+        counts = np.bincount(rows, weights=sizes, minlength=len(col)).astype(np.int64)
+        if len(odd):
+            own = np.split(ids, np.cumsum(counts)[:-1])
+            for r in odd.tolist():
+                own[r] = np.frombuffer(self._plain(col[r].as_py()), "<u4")
+            ids, counts = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+        if not self.end:
+            return ids, counts
+        out = np.empty(len(ids) + len(col), np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(col)), counts)] = ids
+        out[np.cumsum(counts + 1) - 1] = np.frombuffer(self.end, "<u4")[0]
+        return out, counts + 1
+
+    def _new_ids(self, pieces: list[str]) -> list[bytes]:
+        self._learn(set(pieces))
+        return [self.known[p] for p in pieces]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids (and the end id) as little-endian u32 bytes."""
-        # copies of a document stand side by side in key order
-        new = [i == 0 or t != texts[i - 1] for i, t in enumerate(texts)]
-        cut = [self.cut(t) if t and first else [] for t, first in zip(texts, new, strict=True)]
-        self._learn(set().union(*cut))
-        get, out = self.known.__getitem__, []
-        for c, first in zip(cut, new, strict=True):
-            out.append(b"".join(map(get, c)) + self.end if first else out[-1])
-        return out
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
+def cut_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, row) of every piece, in order: as ``Tokens.cut`` cuts.
+
+    A word has the one space before it; of other white space before a word the last character
+    is a piece of its own, and the rest, like white space at the end, is one piece."""
+    z = np.zeros(0, np.int64)
+    if not len(buf):
+        return z, z, z
+    white = C._SPACE[buf]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):                    # white space beyond ASCII
+        p = np.flatnonzero(buf == lead)
+        for tail in _WIDE[lead]:
+            hit = p[p + len(tail) < len(buf)]
+            for k, allowed in enumerate(tail, 1):
+                hit = hit[np.isin(buf[hit + k], allowed)]
+            for k in range(len(tail) + 1):
+                white[hit + k] = True
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[offsets] = True
+    first = ~white
+    first[1:] &= white[:-1] | edge[1:-1]
+    last = ~white
+    last[:-1] &= white[1:] | edge[1:-1]
+    words, after = np.flatnonzero(first), np.flatnonzero(last) + 1
+    row = np.searchsorted(offsets, words, "right") - 1
+    # white space before a word: from the end of the word before it in its row
+    gap = offsets[row]
+    if len(words):
+        gap[1:] = np.maximum(gap[1:], after[:-1])
+    some = np.flatnonzero(words > gap)
+    char = words[some] - 1                                   # first byte of its last character
+    wide = buf[char] >= 0x80
+    char[wide] -= np.where(buf[char[wide] - 1] == 0xC2, 1, 2)
+    space = buf[char] == 0x20
+    begin = words.copy()
+    begin[some[space]] -= 1
+    # white space after the last word of a row, or all of it
+    tail = offsets[:-1].copy()
+    np.maximum.at(tail, row, after)
+    end = np.flatnonzero(tail < offsets[1:])
+    more = char > gap[some]
+    starts = np.concatenate([begin, gap[some[more]], char[~space], tail[end]])
+    stops = np.concatenate([after, char[more], words[some[~space]], offsets[1:][end]])
+    order = np.argsort(starts, kind="stable")
+    starts = starts[order]
+    return starts, stops[order], np.searchsorted(offsets, starts, "right") - 1
+
+
+#: The bytes after each lead byte that make Unicode white space (of ``_WS``).
+_WIDE = {0xC2: [([0x85, 0xA0],)], 0xE1: [([0x9A], [0x80])],
+         0xE2: [([0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), ([0x81], [0x9F])], 0xE3: [([0x80], [0x80])]}
+
+
+class _Grow:
+    """A numpy array that is added to at its end."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[:self.n], np.zeros(max(len(x), self.n), self.data.dtype)])
+        self.data[self.n:self.n + len(x)] = x
+        self.n += len(x)
+
+    def view(self) -> np.ndarray:
+        return self.data[:self.n]
+
+
+class Table:
+    """Pieces by their 64-bit value: bytes and ids, held in flat arrays.
+
+    Beyond ``TABLE_PIECES`` the pieces that were not met since the last time are forgotten."""
+
+    def __init__(self):
+        self.values, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)      # ascending values
+        self._clear()
+
+    def _clear(self) -> None:
+        self.bytes, self.ids = _Grow(np.uint8), _Grow(np.uint32)
+        self.byte_ends, self.id_ends, self.used = _Grow(np.int64), _Grow(np.int64), _Grow(bool)
+        self.byte_ends.add(np.zeros(1, np.int64))
+        self.id_ends.add(np.zeros(1, np.int64))
+
+    def find(self, buf, starts, ends, learn) -> np.ndarray:
+        """Slot of every piece; pieces that are not held are learnt."""
+        values, lead, which = np.unique(C.spans_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.values) + len(values) > TABLE_PIECES:
+            self._forget()
+        at = np.searchsorted(self.values, values)
+        held = np.zeros(len(values), bool)
+        inside = at < len(self.values)
+        held[inside] = self.values[at[inside]] == values[inside]
+        slot = np.empty(len(values), np.int64)
+        slot[held] = self.slots[at[held]]
+        new = np.flatnonzero(~held)
+        if len(new):
+            spelled = [buf[a:b].tobytes() for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist(), strict=True)]
+            ids = learn([x.decode() for x in spelled])
+            slot[new] = len(self.used.view()) + np.arange(len(new))
+            self._append(spelled, ids)
+            self.values = np.insert(self.values, at[new], values[new])
+            self.slots = np.insert(self.slots, at[new], slot[new])
+        self.used.view()[slot] = True
+        return slot[which]
+
+    def _append(self, spelled: list[bytes], ids: list[bytes]) -> None:
+        self.bytes.add(np.frombuffer(b"".join(spelled), np.uint8))
+        self.ids.add(np.frombuffer(b"".join(ids), "<u4"))
+        self.byte_ends.add(self.byte_ends.view()[-1] + np.cumsum([len(x) for x in spelled]))
+        self.id_ends.add(self.id_ends.view()[-1] + np.cumsum([len(x) // 4 for x in ids]))
+        self.used.add(np.zeros(len(ids), bool))
+
+    def _forget(self) -> None:
+        keep = self.used.view()[self.slots]
+        if np.count_nonzero(keep) > TABLE_PIECES // 2:
+            keep[:] = False
+        slots, b, i = self.slots[keep], self.byte_ends.view(), self.id_ends.view()
+        all_bytes, all_ids = self.bytes.view(), self.ids.view()
+        spelled = [all_bytes[x:y].tobytes() for x, y in zip(b[slots].tolist(), b[slots + 1].tolist(), strict=True)]
+        ids = [all_ids[x:y].astype("<u4").tobytes() for x, y in zip(i[slots].tolist(), i[slots + 1].tolist(), strict=True)]
+        self.values, self.slots = self.values[keep], np.arange(len(slots))
+        self._clear()
+        self._append(spelled, ids)
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slots one after another, how many of each)."""
+        ends = self.id_ends.view()
+        sizes = ends[at + 1] - ends[at]
+        return self.ids.view()[_ranges(ends[at], sizes)], sizes
+
+    def differs(self, buf, starts, ends, at, rows) -> np.ndarray:
+        """Rows with a piece whose bytes are not the slot's."""
+        held = self.byte_ends.view()
+        sizes = ends - starts
+        bad = np.flatnonzero(held[at + 1] - held[at] != sizes)
+        if len(bad):                       # lengths differ: no bytes to compare
+            same = np.ones(len(at), bool)
+            same[bad] = False
+            starts, at, sizes, left = starts[same], at[same], sizes[same], rows[same]
+        else:
+            left = rows
+        unlike = np.flatnonzero(buf[_ranges(starts, sizes)] != self.bytes.view()[_ranges(held[at], sizes)])
+        return np.unique(np.concatenate([rows[bad], left[np.searchsorted(np.cumsum(sizes), unlike, "right")]]))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of every range [start, start + size), one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _tokens: dict[tuple, Tokens] = {}
@@ -235,21 +427,21 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part, tokens = TaskContext.get().partitionId(), _tokens_of(tokenizer, end_id)
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         keys: list[pa.Array] = []
         out, trial, number = None, "", 0
         size = docs_in = ids_in = written = 0
 
         def block() -> None:
             """Encode what is held and append it to the open file."""
-            nonlocal held, keys, size, out, trial, written
+            nonlocal held, counts, keys, size, out, trial, written
             if out is None:
                 trial = f"{root}/_{uuid.uuid4().hex}"
                 out, written = store.open_output_stream(trial), 0
-            raw = encode_block(np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held], np.uint32),
-                               pa.concat_arrays(keys))
+            raw = encode_block(np.concatenate(held), np.concatenate(counts).astype(np.uint32), pa.concat_arrays(keys))
             out.write(raw)
-            held, keys, size, written = [], [], 0, written + len(raw)
+            held, counts, keys, size, written = [], [], [], 0, written + len(raw)
 
         def close() -> pa.RecordBatch:
             nonlocal out, docs_in, ids_in, number
@@ -264,11 +456,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
         for b in batches:
             for s in C.text_slices(b, "text", SLICE_BYTES):
-                got = tokens.ids(s.column(1).to_pylist())
-                held += got
+                ids, per_text = tokens.flat(s.column(1))
+                held.append(ids)
+                counts.append(per_text)
                 keys.append(s.column(0))
-                n = sum(map(len, got)) // 4
-                size, docs_in, ids_in = size + n, docs_in + len(got), ids_in + n
+                size, docs_in, ids_in = size + len(ids), docs_in + s.num_rows, ids_in + len(ids)
                 if size >= BLOCK_IDS:
                     block()
                 if out is not None and written >= FILE_BYTES:

@@ -30,12 +30,33 @@ def direct(rows):
 
 def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(I, "MEMORY_PIECES", 200)
+    monkeypatch.setattr(I, "TABLE_PIECES", 900)
     rows = [*texts(2000, 1), "", None, "x" * 30_000, "ab " * 20_000]
     tokens = I.Tokens(tokenizer_file(BPE), 0)
     got = [x for a in range(0, len(rows), 50) for x in tokens.ids(rows[a:a + 50])]
     assert all(a == b.tobytes() for a, b in zip(got, direct(rows), strict=True))
 
 
+def test_pieces_are_cut_as_the_pattern_cuts():
+    tokens = I.Tokens(tokenizer_file(BPE), None)
+    white = ["a", "é", "日b", " ", "  ", "\n", "\t", "\xa0", "\x85", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\x1c"]
+    rng = random.Random(8)
+    rows = ["".join(rng.choice(white) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["", " ", "\n\n", " a", "a ", "\u3000"]
+    from dialsieve.llm.common import flat_bytes
+    buf, offsets = flat_bytes(pa.array(rows))
+    got = [[] for _ in rows]
+    for a, b, r in zip(*I.cut_pieces(buf, offsets), strict=True):
+        got[r].append(buf[a:b].tobytes().decode())
+    assert got == [tokens.cut(t) for t in rows]
+
+
+def test_a_clash_of_values_is_seen(monkeypatch):
+    rows = [*texts(60, 5), "one two three", "two", ""]
+    monkeypatch.setattr(I.C, "spans_hash", lambda buf, a, b: ((b - a) % 3).astype(np.uint64))
+    got = I.Tokens(tokenizer_file(BPE), 0).ids(rows)
+    assert all(a == b.tobytes() for a, b in zip(got, direct(rows), strict=True))
+
+
 @pytest.mark.parametrize("top", [1, 3, 255, 256, 70_000, 20_000_000])
 def test_block_round_trip(top):
     rng = np.random.default_rng(top)
