@@ -75,6 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """All rows of a lookup table that must be small; raises beyond ``limit`` rows."""
     rows = df.limit(limit + 1).collect()

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
@@ -288,7 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = T.StructType([T.StructField(id_col, kinds[0]), T.StructField(item_col, kinds[1]),
                            T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                            T.StructField("edits", T.IntegerType())])
-    item_kind = pa.int64() if isinstance(kinds[1], T.LongType) else None
+    item_kind = to_arrow_type(kinds[1])
     out = None
     for block in item_blocks(benchmark, item_col, item_text, block_bytes):
         def run(batches, block=block):

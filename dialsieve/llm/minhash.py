@@ -246,8 +246,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents (all columns) without those that are not their group's smallest id."""
-    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(C.save(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = C.free_name(docs, "gone")
+    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(C.save(gone), F.col(id_col) == F.col(name), "left_anti")
 
 
 def oracle(shingle: int = SHINGLE, percent: int = PERCENT) -> str:

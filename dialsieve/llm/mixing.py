@@ -107,6 +107,10 @@ def tilts(table: DataFrame, goal: DataFrame, max_rate: float = MAX_RATE) -> Data
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
+#: Sources whose figures are broadcast to the documents.
+MAX_SOURCES = 100_000
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          weights: tuple = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
     """id, source, h (text hash), size, source_size, target, rate, copies, taken of every document."""
@@ -121,6 +125,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         "g.source", "g.source_size", "g.target", "g.docs", "mean", "tilt")
     rate = (F.when(F.col("size") == 0, 1.0).when(F.col("tilt").isNull(), F.when(F.col("target") > 0, max_rate).otherwise(0.0))
             .otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(max_rate))))))
+    of = C.save(of)
+    if of.count() <= MAX_SOURCES:               # a row per source: beyond the bound the rows are shuffled to it
+        of = F.broadcast(of)
     rows = (rows.alias("d").join(of.alias("o"), F.expr("d.source <=> o.source"))
             .select("id", "d.source", "h", "size", "source_size", "target", rate.alias("rate"),
                     F.pmod(F.xxhash64("id", "h"), F.ceil(F.col("docs") / CHUNK)).alias("chunk")))
@@ -146,15 +153,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents (all columns), each as often as its copies."""
     p = plan(docs, id_col, text_col, source_col, **how)
+    n = {c: C.free_name(docs, c) for c in ("i", "s", "h", "sum", "n", "c", "copy")}
     # equal rows are told apart by their order: their copies are spread over them
-    p = C.save(p.groupBy(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(
-        F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n")).where("_sum > 0"))
-    same = (F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s"))
-            & F.xxhash64(text_col).eqNullSafe(F.col("_h")))
-    out = docs.join(p, same)                    # columns of the plan begin with "_"
-    nth = F.row_number().over(Window.partitionBy("_i", "_s", "_h").orderBy(F.lit(0)))
-    times = (out.where("_n = 1").withColumn("_c", F.col("_sum"))
-             .union(out.where("_n > 1").withColumn("_c", nth)
-                    .withColumn("_c", F.expr("_sum div _n + cast(_c <= _sum % _n as int)"))))
-    return (times.where("_c > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    p = C.save(p.groupBy(F.col("id").alias(n["i"]), F.col("source").alias(n["s"]), F.col("h").alias(n["h"])).agg(
+        F.sum("copies").alias(n["sum"]), F.count(F.lit(1)).alias(n["n"])).where(F.col(n["sum"]) > 0))
+    same = (F.col(id_col).eqNullSafe(F.col(n["i"])) & F.col(source_col).eqNullSafe(F.col(n["s"]))
+            & F.xxhash64(text_col).eqNullSafe(F.col(n["h"])))
+    out = docs.join(p, same)
+    nth = F.row_number().over(Window.partitionBy(n["i"], n["s"], n["h"]).orderBy(F.lit(0)))
+    share = F.expr(f"{n['sum']} div {n['n']} + cast({n['c']} <= {n['sum']} % {n['n']} as int)")
+    times = (out.where(F.col(n["n"]) == 1).withColumn(n["c"], F.col(n["sum"]))
+             .union(out.where(F.col(n["n"]) > 1).withColumn(n["c"], nth).withColumn(n["c"], share)))
+    return (times.where(F.col(n["c"]) > 0).withColumn(n["copy"], F.explode(F.sequence(F.lit(1), F.col(n["c"]).cast("int"))))
             .select(*[f"`{c}`" for c in docs.columns]))

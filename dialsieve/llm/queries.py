@@ -52,7 +52,7 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = quality.fit(docs, table(spark, d, "labels"), train=f"not ({HELD_OUT})")
     return (quality.score(docs, model)
-            .select("doc_id", F.expr(HELD_OUT.replace("id", "doc_id")).alias("held_out"), "score",
+            .select("doc_id", F.coalesce(F.expr(HELD_OUT.replace("id", "doc_id")), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
 
 
