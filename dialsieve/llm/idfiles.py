@@ -45,7 +45,7 @@ SLICE_BYTES = 1 << 20
 #: Text bytes of a key range (one task sorts and writes it).
 RANGE_BYTES = 24 << 20
 #: Pieces of text whose ids a worker remembers in each of two generations.
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 100_000
 #: Pieces that a worker holds in its table (some 60 MB).
 TABLE_PIECES = 1_000_000
 
