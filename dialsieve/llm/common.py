@@ -71,6 +71,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet below the shared folder and read again.  Unlike a checkpoint, whose size
+    estimate is that of its plan, the files give their true size: use it where rounds build on each other,
+    for there the estimates of joins multiply until they are numbers of millions of digits."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

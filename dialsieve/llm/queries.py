@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return (linededup.drop_repeats(table(spark, d, "documents"))
-            .select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256")))
+            .select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
