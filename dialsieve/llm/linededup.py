@@ -188,8 +188,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 #: places is an island of equal lines on one diagonal.
 ORACLE = """
 with d as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls first, coalesce(text, '')) as k from documents),
-l as (select k, unnest(range(len(string_split(text, chr(10))))) as at, unnest(string_split(text, chr(10))) as line from d),
-a as (select k, at, line, row_number() over (partition by k order by at) as pos from l where trim(line) <> ''),
+l as (select k, unnest(range(len(string_split(text, chr(10))))) as nth, unnest(string_split(text, chr(10))) as line from d),
+a as (select k, nth, line, row_number() over (partition by k order by nth) as pos from l where trim(line) <> ''),
 b as (select *, row_number() over (partition by line order by k, pos) > 1 as gone from a),
 c as (select *, gone and not coalesce(lag(gone) over (partition by k order by pos), false) as opens from b),
 p as (select x.k, y.k as k2, x.pos, x.pos - y.pos as diagonal from a x join a y on x.line = y.line and (x.k <> y.k or x.pos <> y.pos)),
@@ -198,6 +198,6 @@ r as (select k, max(n) as longest from (select k, count(*) as n from q group by
 select any_value(d.doc_id) as doc_id, case when any_value(d.text) = '' then 0 else count(*) end::bigint as n_lines,
   coalesce(sum(c.gone::int), 0)::bigint as n_removed, coalesce(sum(c.opens::int), 0)::bigint as n_runs,
   coalesce(any_value(r.longest), 0)::bigint as longest_run,
-  sha256(coalesce(string_agg(l.line, chr(10) order by l.at) filter (not coalesce(c.gone, false)), '')) as kept_sha256
-from l join d using (k) left join c on c.k = l.k and c.at = l.at left join r on r.k = l.k group by l.k
+  sha256(coalesce(string_agg(l.line, chr(10) order by l.nth) filter (not coalesce(c.gone, false)), '')) as kept_sha256
+from l join d using (k) left join c on c.k = l.k and c.nth = l.nth left join r on r.k = l.k group by l.k
 """
