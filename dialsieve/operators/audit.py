@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql as X
 from ..functions.phone import STATUSES
 from ..schema import ORDER_COLUMNS, col_or_blank, first_present, labels_of, q, sql_or_blank
+from ..sources.tabular import read_if_written
 
 BLANK_CAMPAIGN = ["", "nan", "None", "-"]
 
@@ -106,6 +107,18 @@ def run_metrics(tagged: DataFrame, output: DataFrame | None = None) -> DataFrame
         (F.count_if(F.col("row_status") == "GTG") - F.count_if(F.col("_o") == 1)).cast("long").alias("dedup_removed"))
 
 
+def status_figures() -> dict[str, F.Column]:
+    """The tagged rows' part of the metrics, as figures that the job that stores them takes."""
+    rows = lambda status: F.count_if(F.col("row_status") == status)
+    return {"total_rows": F.count(F.lit(1)), "gtg_rows": rows("GTG"), "suppressed": rows("SUPPRESSED"), "over_limit": rows("OVER_LIMIT")}
+
+
+def observed_metrics(spark: SparkSession, tagged: dict, output_rows: int) -> DataFrame:
+    """``run_metrics`` from what was observed while the tagged rows and the output were written: one row."""
+    row = {**tagged, "dedup_removed": tagged["gtg_rows"] - output_rows}
+    return spark.createDataFrame([row], ", ".join(f"{c} long" for c in row))
+
+
 def activity_row(metrics: DataFrame, logged_at: dt.datetime, username: str, pipeline: str, batch_id: str,
                  campaign_name: str, notes: str = "") -> DataFrame:
     """K4: the run-log row built from the metrics frame."""
@@ -126,6 +139,35 @@ def export_rows(tagged: DataFrame) -> DataFrame:
                              "suppression_reason", "dial_limit_reason", "row_status")
 
 
+def activity_report(runs: DataFrame, n: int = 1000) -> DataFrame:
+    """K7: the newest ``n`` rows of the written run log as exported (ties by batch), label cleaned."""
+    return (runs.select("logged_at", "username", "pipeline", "batch_id", _label(F.col("campaign_name")).alias("campaign"),
+                        "total_rows", "gtg_rows", "suppressed", "over_limit", "notes")
+                .orderBy(F.col("logged_at").desc(), F.col("batch_id").desc()).limit(n))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """K7: a folder of CSV files, each with the header line; every cell is quoted and quotes are
+    doubled, so ``read_table`` gives the texts back (with ``multiLine`` where cells hold line breaks)."""
+    rows.write.mode("overwrite").options(header="true", quoteAll="true", escape='"', emptyValue="", nullValue="",
+                                         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def export_run(spark: SparkSession, out_dir: str, csv_dir: str) -> None:
+    """K7: what a run wrote below ``out_dir`` as CSV: the output and, apart, the suppressed and the
+    over-limit rows.  The Parquet files are read, nothing is computed again."""
+    write_csv(spark.read.parquet(f"{out_dir}/output"), f"{csv_dir}/output")
+    removed = read_if_written(spark, f"{out_dir}/removed")
+    for status in ("SUPPRESSED", "OVER_LIMIT") if removed is not None else ():
+        write_csv(removed.where(F.col("row_status") == status).drop("row_status"), f"{csv_dir}/{status.lower()}")
+
+
+def export_reports(audit: DataFrame, runs: DataFrame, csv_dir: str, n: int = 1000) -> None:
+    """K7: the audit summary and the activity log as CSV."""
+    write_csv(audit_summary(audit), f"{csv_dir}/audit")
+    write_csv(activity_report(runs, n), f"{csv_dir}/activity")
+
+
 def replace_batch(rows: DataFrame, path: str) -> None:
     """Write the rows of a batch into its ``batch_id`` partition, replacing what an earlier
     run of the same batch left there; other batches are not touched."""

@@ -19,7 +19,7 @@ from ..functions import sql as X
 from ..functions.dates import DATE_BLANKS, parse_date_sql, week_start
 from ..functions.text import HISTORY_NULL_TOKENS
 from ..schema import CALL_LAYOUT, HISTORY_COLUMNS, key_columns, q
-from ..session import materialize
+from ..session import materialize, observed
 from ..sources.tabular import read_if_written
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
@@ -27,14 +27,15 @@ KEYS = ["call_id", "dialed_number"]
 _HEADER_TO_COL = dict(CALL_LAYOUT)
 
 
-def align_history(raw: DataFrame) -> DataFrame:
+def align_history(raw: DataFrame, flag: str | None = None) -> DataFrame:
     """Align an uploaded call file to the 61 history columns.
 
     Headers are matched exactly (after trim); the dialled number keeps digits
     only; the dialling date is parsed to DATE (NULL when blank or
     unparseable); missing columns are ''; every other value is trimmed and
     null sentinels are blanked.  ``src_ord``/``row_ord`` are carried for the
-    keep-first dedup."""
+    keep-first dedup.  ``flag`` names a further column: the dialling date is not blank and
+    no date format parses it."""
     present = {}
     for c in raw.columns:
         h = c.strip()
@@ -58,9 +59,29 @@ def align_history(raw: DataFrame) -> DataFrame:
         order = ["CAST(1 AS BIGINT) AS src_ord"] + order
     if "row_ord" not in raw.columns:
         order.append("monotonically_increasing_id() AS row_ord")
+    if flag and "pbx_dialing_date" in present:
+        src = q(present["pbx_dialing_date"])
+        text = X.norm(f"CAST({src} AS STRING)")
+        order.append(f"coalesce({parse_date_sql(src)} IS NULL AND {text} NOT IN ({X.lits(DATE_BLANKS)}), false) AS {flag}")
+    elif flag:
+        order.append(f"false AS {flag}")
     return raw.selectExpr(*cols, *order)
 
 
+def upload_keys(raw: DataFrame) -> DataFrame:
+    """(call_id, dialed_number, n, unparsed) of an upload: its keys, their rows, and how many of
+    these have a dialling date that no format parses.  The totals of a load are sums over this
+    small frame, so an upload is read once for its keys and figures and once for its rows."""
+    return (align_history(raw, "_unparsed").groupBy(*KEYS)
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("_unparsed").alias("unparsed")))
+
+
+def upload_totals(keys: DataFrame) -> tuple[int, int]:
+    """(rows, unparsed dates) of an upload from its stored ``upload_keys``."""
+    n, unparsed = keys.agg(F.sum("n"), F.sum("unparsed")).first()
+    return n or 0, unparsed or 0
+
+
 def dedup_batch(aligned: DataFrame) -> DataFrame:
     """One row per (call_id, dialed_number): the first in upload order.
     Plans as a partial ``WindowGroupLimit`` before the shuffle, so a hot key
@@ -69,22 +90,23 @@ def dedup_batch(aligned: DataFrame) -> DataFrame:
     return aligned.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def new_rows(store: DataFrame | None, batch_aligned: DataFrame,
-             broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def new_rows(store: DataFrame | None, batch_aligned: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+             wanted: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """Rows of the batch whose key is not in the store (J6 / K1 plan).
 
     A batch whose keys were counted small is broadcast against the store's two
     key columns (a map-only filter over the store), and the hits against the
     batch.  A larger batch is anti-joined with the store's keys by a shuffle: only
     the keys of the store move, and blank call ids, which share one key per
-    number, are reduced map-side first."""
+    number, are reduced map-side first.  ``wanted`` may give the batch's distinct keys as
+    ``bounded_broadcast`` stored them."""
     batch = dedup_batch(batch_aligned)
     if store is None:
         return batch
     keys = store.select(*KEYS)
-    bkeys, small = bounded_broadcast(batch_aligned.select(*KEYS), broadcast_rows)
+    bkeys, small = wanted or bounded_broadcast(batch_aligned.select(*KEYS).distinct(), broadcast_rows)
     if small:
-        hits = F.broadcast(keys.join(F.broadcast(bkeys.distinct()), KEYS, "left_semi").distinct())
+        hits = F.broadcast(keys.join(bkeys, KEYS, "left_semi").distinct())
         return batch.join(hits, KEYS, "left_anti")
     return batch.join(keys.distinct().hint("merge"), KEYS, "left_anti")
 
@@ -113,27 +135,19 @@ def append_history(spark: SparkSession, store_path: str, raw_batch: DataFrame, b
     """K1: align, dedup, keep new keys, append to the store; returns counts, with the
     number of non-blank dialling dates that no date format parses.
 
-    The new rows are checkpointed first so the count and the write come from
-    one computation.  Single writer: a crash between checkpoint and commit is
+    The new rows are checkpointed first, counted by the job that does so, and the write reads
+    the checkpoint; the upload's totals come from its stored keys.  Single writer: a crash between checkpoint and commit is
     repaired by re-running the same batch (already stored keys are skipped)."""
     aligned = align_history(raw_batch)
+    wanted = bounded_broadcast(upload_keys(raw_batch), broadcast_rows)
+    total, unparsed = upload_totals(wanted[0])
     store = read_if_written(spark, store_path)
-    fresh = materialize(with_store_columns(new_rows(store, aligned, broadcast_rows), batch_id, loaded_at))
-    total = aligned.count()
-    inserted = fresh.count()
+    rows, seen = observed(with_store_columns(new_rows(store, aligned, broadcast_rows, wanted), batch_id, loaded_at), n=F.count(F.lit(1)))
+    fresh = materialize(rows)
+    inserted = seen.get["n"]
     if inserted:
         fresh.write.mode("append").partitionBy("dial_week").parquet(store_path)
-    return {"total": total, "inserted": inserted, "skipped": total - inserted, "unparsed_dates": unparsed_dates(raw_batch)}
-
-
-def unparsed_dates(raw: DataFrame) -> int:
-    """Non-blank dialling dates that parse to no date."""
-    found = next((c for c in raw.columns if _HEADER_TO_COL.get(c.strip(), c.strip()) == "pbx_dialing_date"), None)
-    if found is None:
-        return 0
-    text = X.norm(f"CAST({q(found)} AS STRING)")
-    return raw.selectExpr(f"{text} AS t", f"{parse_date_sql(q(found))} AS d") \
-        .where(f"d IS NULL AND t NOT IN ({X.lits(DATE_BLANKS)})").count()
+    return {"total": total, "inserted": inserted, "skipped": total - inserted, "unparsed_dates": unparsed}
 
 
 def store_schema() -> T.StructType:
@@ -172,6 +186,27 @@ def history_profile(store: DataFrame, approx: bool = False, rsd: float = 0.01) -
         F.max("pbx_dialing_date").alias("latest_date"))
 
 
+#: Log2 of a sketch's entries: the standard error of a distinct count is about 0.65 %.
+SKETCH_BITS = 14
+
+
+def profile_sketch(rows: DataFrame) -> DataFrame:
+    """What A2 needs of some calls, as one mergeable row: rows, HyperLogLog sketches of the two
+    distinct columns, first and last dialling date.  A value is marked, as sketches leave out the
+    empty text and the exact count does not."""
+    sketch = lambda c: F.hll_sketch_agg(F.concat(F.lit("="), F.col(c)), SKETCH_BITS).alias(c)
+    return rows.agg(F.count(F.lit(1)).alias("n"), sketch("campaign_name"), sketch("contact_link"),
+                    F.min("pbx_dialing_date").alias("earliest_date"), F.max("pbx_dialing_date").alias("latest_date"))
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """A2 from ``profile_sketch`` rows of disjoint parts of a store."""
+    distinct = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("long")
+    return sketches.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_rows"), distinct("campaign_name").alias("campaigns"),
+                        distinct("contact_link").alias("contacts"), F.min("earliest_date").alias("earliest_date"),
+                        F.max("latest_date").alias("latest_date"))
+
+
 def history_match(f3: DataFrame, store: DataFrame) -> DataFrame:
     """Extract rows whose (lower(trim(campaign)), lower(trim(contact link)))
     occur in the history store.  Key columns are found by their aliases, else the

@@ -6,7 +6,8 @@ the key.  A new batch is reduced to one place per key by itself and joined, in t
 index's buckets, with the index in force; the later place of each key is written as the next
 version.  The index is read without a shuffle, no other batch is read, and no window
 runs over all batches.  ``versions`` names the version in force and the batches it covers;
-readers of an older version are not disturbed.
+readers of an older version are not disturbed.  The job that writes a version also takes the profile's
+figures (``profiles``, a row per version).
 
 A lookup joins the wanted keys with the index (small ones are broadcast, others shuffled into
 the buckets) and then reads the snapshot's full rows once, of the batches that hold a
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ..sources.bucketed import Bucketed
 from ..sources.tabular import read_if_written
+from .audit import snapshot_profile
+from .history import SKETCH_BITS
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from .snapshot import extract_keys, read_snapshot, winners
 
@@ -30,6 +33,7 @@ _KEY = ("_campaign_name", "_contact_link")
 #: The place of a row, the later the greater (null load times first), and then its order columns.
 _PLACE = (("loaded_at", "TIMESTAMP_NTZ"), ("batch_id", "STRING"), ("src_ord", "BIGINT"), ("row_ord", "BIGINT"))
 _VERSIONS = "version long, folder string, buckets int, batches array<string>"
+_PROFILES = "version long, total_rows long, campaigns binary, earliest timestamp_ntz, latest timestamp_ntz"
 
 
 class SnapshotIndex:
@@ -55,6 +59,17 @@ class SnapshotIndex:
         return self.read().select("batch_id", F.col("_campaign_name").alias("campaign_name"),
                                   F.col("_contact_link").alias("contact_link"), "loaded_at")
 
+    def profile(self, approx: bool = False) -> DataFrame:
+        """A3 of the index in force.  ``approx`` reads the version's one row of figures (distinct campaigns from
+        a sketch, within a few per cent; the rest exact); a version without such a row is counted."""
+        newest, kept = self._newest(), read_if_written(self.spark, f"{self.root}/profiles") if approx else None
+        if kept is not None:
+            kept = kept.where(F.col("version") == newest["version"])
+            if kept.count() == 1:
+                return kept.select("total_rows", F.coalesce(F.hll_sketch_estimate("campaigns"), F.lit(0)).cast("long").alias("campaigns"),
+                                   "earliest", "latest")
+        return snapshot_profile(self.latest())
+
     def update(self, batch_id: str) -> None:
         """Take a batch of the snapshot into the index.
 
@@ -87,7 +102,12 @@ class SnapshotIndex:
         version = 0 if newest is None else newest["version"] + 1
         buckets = self._buckets if newest is None else newest["buckets"]
         folder = f"{self.root}/v{version}-{uuid.uuid4().hex}"
-        self._table(folder, buckets).add(places)
+        seen = self._table(folder, buckets).add(
+            places, total_rows=F.count(F.lit(1)), campaigns=F.hll_sketch_agg("_campaign_name", SKETCH_BITS),
+            earliest=F.min("loaded_at"), latest=F.max("loaded_at"))
+        figures = seen.get
+        row = (version, figures["total_rows"], figures["campaigns"], figures["earliest"], figures["latest"])
+        self.spark.createDataFrame([row], _PROFILES).coalesce(1).write.mode("append").parquet(f"{self.root}/profiles")
         self.spark.createDataFrame([(version, folder, buckets, batches)], _VERSIONS).coalesce(1) \
             .write.mode("append").parquet(f"{self.root}/versions")
 

@@ -2,6 +2,7 @@
 
 Below one root: ``calls`` (the rows, by ``dial_week``), ``keys`` (the key of every call, a
 table bucketed by the key), ``counts`` (calls per week, number and day, by ``dial_week``),
+``sketches`` (one row per load: what the profile needs of its calls),
 ``loads`` (one row per finished load) and ``layout`` (where keys and counts are, newest last).
 
 Everything that a load writes carries its load id, and readers take finished loads only.  A
@@ -14,6 +15,8 @@ a batch that was loaded already finds its keys stored and adds nothing.  One wri
 * The counts of a load are added, not recomputed: a call is stored once, so calls per
   number and day of different loads sum up to the store's distinct calls.  The dial
   limits read one week of counts instead of the week's calls.
+* A load also adds one row of distinct-value sketches; the approximate profile merges these rows
+  and reads no call.
 * Many loads leave many small files; ``compact`` writes keys and counts anew (one file a bucket,
   one row per number and day, any number of buckets) and then names the new folders.
 """
@@ -26,11 +29,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, observed
 from ..sources.bucketed import Bucketed
 from ..sources.tabular import read_if_written
 from .dial import week_bounds
-from .history import KEYS, align_history, dedup_batch, store_schema, unparsed_dates, with_store_columns
+from .history import (KEYS, align_history, dedup_batch, history_profile, profile_of_sketches, profile_sketch, store_schema, upload_keys,
+                      upload_totals, with_store_columns)
 from .joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 BUCKETS = 64
@@ -94,12 +98,25 @@ class HistoryStore:
         return (self.counts().where(F.col("dial_week") == F.lit(week_bounds(check_date)[0])).groupBy("dialed_number")
                 .agg(F.sum(day).cast("long").alias("daily_count"), F.sum("n").cast("long").alias("weekly_count")))
 
+    def profile(self, approx: bool = False) -> DataFrame:
+        """A2 of the stored calls.  ``approx`` merges the loads' sketches (distinct counts within a few
+        per cent, the rest exact) and reads no call; a store with loads from before there were sketches
+        is counted exactly."""
+        kept = read_if_written(self.spark, f"{self.root}/sketches") if approx else None
+        if kept is not None:
+            kept = self._finished(kept)
+            if kept.count() == self.loads().where("inserted > 0").count():
+                return profile_of_sketches(kept)
+        return history_profile(self.calls())
+
     # --- loading ---------------------------------------------------------------
 
-    def new_rows(self, batch_aligned: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-        """Rows of the batch, one per key, whose key is not stored."""
+    def new_rows(self, batch_aligned: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                 wanted: tuple[DataFrame, bool] | None = None) -> DataFrame:
+        """Rows of the batch, one per key, whose key is not stored.  ``wanted`` may give the batch's
+        distinct keys as ``bounded_broadcast`` stored them."""
         batch = dedup_batch(batch_aligned)
-        wanted, small = bounded_broadcast(batch_aligned.select(*KEYS).distinct(), broadcast_rows)
+        wanted, small = wanted or bounded_broadcast(batch_aligned.select(*KEYS).distinct(), broadcast_rows)
         if small:
             hits = self.keys().join(wanted, KEYS, "left_semi").distinct()
             return batch.join(F.broadcast(hits), KEYS, "left_anti")       # no more hits than wanted keys
@@ -111,22 +128,26 @@ class HistoryStore:
              broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> dict:
         """K1: align, keep the first row of each key, add what is not stored; returns counts.
 
-        The new rows are checkpointed, so calls, keys and counts come from one computation; the
-        row in ``loads`` is written last and makes them visible together."""
-        aligned = align_history(raw_batch)
+        The new rows are checkpointed and counted by one job, so calls, keys, counts and sketches come
+        from one computation; the row in ``loads`` is written last and makes them visible together.
+        The upload's totals come from its stored keys."""
         load_id = f"{batch_id}-{uuid.uuid4().hex}"
-        fresh = materialize(with_store_columns(self.new_rows(aligned, broadcast_rows), batch_id, loaded_at)
-                            .withColumn("load_id", F.lit(load_id)))
-        total, inserted = aligned.count(), fresh.count()
+        wanted = bounded_broadcast(upload_keys(raw_batch), broadcast_rows)
+        total, unparsed = upload_totals(wanted[0])
+        rows = with_store_columns(self.new_rows(align_history(raw_batch), broadcast_rows, wanted), batch_id, loaded_at)
+        rows, seen = observed(rows.withColumn("load_id", F.lit(load_id)), n=F.count(F.lit(1)))
+        fresh = materialize(rows)
+        inserted = seen.get["n"]
         if inserted:
             fresh.write.mode("append").partitionBy("dial_week").parquet(f"{self.root}/calls")
             self._keys.add(fresh)
             dated = fresh.where("pbx_dialing_date IS NOT NULL")
             (dated.groupBy("dialed_number", F.col("pbx_dialing_date").alias("day"), "load_id", "dial_week")
              .agg(F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("dial_week").parquet(self._counts))
+            profile_sketch(fresh).withColumn("load_id", F.lit(load_id)).coalesce(1).write.mode("append").parquet(f"{self.root}/sketches")
         self.spark.createDataFrame([(load_id, batch_id, loaded_at, total, inserted)], self.loads().schema) \
             .coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
-        return {"total": total, "inserted": inserted, "skipped": total - inserted, "unparsed_dates": unparsed_dates(raw_batch)}
+        return {"total": total, "inserted": inserted, "skipped": total - inserted, "unparsed_dates": unparsed}
 
     def compact(self, buckets: int | None = None) -> None:
         """Write keys and counts of the finished loads anew and use the new folders.

@@ -30,14 +30,15 @@ from ..operators.snapshot_index import SnapshotIndex
 from ..operators.store import HistoryStore
 from ..operators.output import (add_phone_validity, clean_columns, contacted, first_usable_phone,
                                 output_dedup, output_projection)
-from ..operators.suppress import tag_suppressions, update_dead_list, update_rpc_list
+from ..operators.suppress import read_list, tag_suppressions, update_dead_list, update_rpc_list
 from ..schema import CALL_LAYOUT, CONTACT_LAYOUT, OUTPUT_COLUMNS, canonicalize
 from ..session import checkpoint_dir, materialize
 from ..sources import bindings as B
 from ..sources.lists import DEAD_KEYS, DOMAIN_KEYS, RPC_KEYS, direct_dial_keys, suppression_keys
-from ..sources.tabular import blank_na, collate, collate_calls
-from .contact import Limits, Lists, output_of, tag
-from .rechurn import gtg_output, rechurn_output
+from ..sources.tabular import blank_na, collate, collate_calls, read_table
+from .contact import Limits, Lists, output_of, run_contact, tag
+from .history_load import load_history
+from .rechurn import gtg_output, rechurn_output, rechurn_tagged
 
 OLD_BATCH_ID = "20240101_000000_f0e1d2"
 OLD_LOADED_AT = dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -454,6 +455,53 @@ def q_snapshot_index_lookup(spark, d):
         .select("batch_id", "src_ord", "row_ord", "campaign_name", "profile_url", "full_name")
 
 
+def _near(estimate: str, exact: DataFrame, name: str) -> F.Column:
+    """The estimate is within 3 % of the exact count."""
+    right = exact.select(estimate).scalar()
+    return (F.abs(F.col(estimate) - right) <= 0.03 * right).alias(name)
+
+
+def q_history_profile_kept(spark, d):
+    """A2 from the sketches that the ingest keeps: exact figures, and whether the distinct counts are near."""
+    store = loaded_store(spark, d)
+    exact = store.profile()
+    return store.profile(approx=True).select("total_rows", _near("campaigns", exact, "campaigns_near"), _near("contacts", exact, "contacts_near"),
+                                             "earliest_date", "latest_date")
+
+
+def q_snapshot_profile_kept(spark, d):
+    """A3 from the figures taken while the key index was written."""
+    index = indexed_snapshot(spark, d)
+    return index.profile(approx=True).select("total_rows", _near("campaigns", index.profile(), "campaigns_near"), "earliest", "latest")
+
+
+def q_rechurn_removed(spark, d):
+    """The extract's suppressed and over-limit rows."""
+    t = rechurn_tagged(extract(spark, d), lists(spark, d), dial_history(spark, d), limits())
+    return t.where(F.col("row_status") != "GTG").select("row_ord", "suppression_reason", "dial_limit_reason", "row_status")
+
+
+def q_list_growth(spark, d):
+    """The dead and RPC+ lists after two uploads that both extend them."""
+    folder = _folder(spark, "growth")
+    for raw, batch_id, at in ((B.call_file(spark, d, date_to=B.STORE_BEFORE), OLD_BATCH_ID, OLD_LOADED_AT),
+                              (B.call_file(spark, d, date_from=B.BATCH_FROM), B.BATCH_ID, RUN_AT)):
+        load_history(spark, f"{folder}/store", raw, batch_id, at, lists_dir=f"{folder}/lists", as_of=B.AS_OF)
+    dead, rpc = (read_list(spark, f"{folder}/lists", name) for name in ("dead", "rpc"))
+    return (dead.select(F.lit("dead").alias("list"), "email", F.lit("").alias("disposition"))
+            .unionByName(rpc.select(F.lit("rpc").alias("list"), "email", "disposition")))
+
+
+def q_export_removed(spark, d):
+    """K7: the removed rows of a run as its CSV files give them back."""
+    folder = _folder(spark, "export")
+    run_contact(collated(spark, d), lists(spark, d), dial_history(spark, d), limits(), run_ts=B.RUN_TS, batch_id=B.BATCH_ID,
+                campaign_type="NON-DELL", out_dir=f"{folder}/run", csv_dir=f"{folder}/csv")
+    parts = [read_table(spark, f"{folder}/csv/{status.lower()}").withColumn("row_status", F.lit(status)) for status in ("SUPPRESSED", "OVER_LIMIT")]
+    return parts[0].unionByName(parts[1]).select(F.col("Full name").alias("full_name"), F.col("EmailAddress").alias("email_address"),
+                                                 F.col("Profile url").alias("profile_url"), "suppression_reason", "dial_limit_reason", "row_status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -8,15 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import (activity_row, audit_rows, batch_campaign, campaign_list, export_rows, replace_batch,
-                               run_metrics, write_run_log)
+from ..operators.audit import (activity_row, audit_rows, batch_campaign, campaign_list, export_rows, export_run, observed_metrics,
+                               replace_batch, status_figures, write_run_log)
 from ..operators.dial import tag_dial_limits
 from ..operators.joins import Marks
 from ..operators.output import transform_and_output
 from ..operators.snapshot import snapshot_rows, write_snapshot
 from ..operators.suppress import tag_suppressions
 from ..schema import OUTPUT_COLUMNS
-from ..session import materialize
+from ..session import materialize, observed
 
 
 @dataclass
@@ -61,19 +61,23 @@ def contact_output(collated: DataFrame, lists: Lists, history: DataFrame, limits
 
 def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: Limits, *, run_ts: str,
                 batch_id: str, campaign_type: str, out_dir: str, snapshot_path: str | None = None,
-                audit_path: str | None = None, runlog_path: str | None = None, username: str = "") -> dict:
+                audit_path: str | None = None, runlog_path: str | None = None, username: str = "",
+                csv_dir: str | None = None) -> dict:
     """Run P1 end to end with sinks.
 
     The tagged frame is checkpointed once (shared checkpoint folder), then
     every sink reads it: output, suppressed and over-limit rows (one Parquet
     dataset partitioned by ``row_status``), the audit rows, the snapshot
     batch.  Nothing is recomputed per sink and a lost executor re-reads the
-    checkpoint instead of the whole upstream plan.  Audit, snapshot and run log are
+    checkpoint instead of the whole upstream plan.  The metrics are observed by the jobs that
+    store the tagged rows and write the output, no pass counts them.  ``csv_dir`` also gets
+    output and removed rows as CSV.  Audit, snapshot and run log are
     partitioned by ``batch_id``: a run that is started again replaces its own rows."""
     processed_at = dt.datetime.strptime(run_ts, "%Y-%m-%d %H:%M:%S")
-    tagged = materialize(tag(collated, lists, history, limits))
-    output = output_of(tagged, run_ts)
-    output.select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS]).write.mode("overwrite").parquet(f"{out_dir}/output")
+    rows, statuses = observed(tag(collated, lists, history, limits), **status_figures())
+    tagged = materialize(rows)
+    output, written = observed(output_of(tagged, run_ts).select(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS]), n=F.count(F.lit(1)))
+    output.write.mode("overwrite").parquet(f"{out_dir}/output")
     export_rows(tagged.where(F.col("row_status") != "GTG")).write.mode("overwrite") \
         .partitionBy("row_status").parquet(f"{out_dir}/removed")
     camp = batch_campaign(tagged)
@@ -83,9 +87,11 @@ def run_contact(collated: DataFrame, lists: Lists, history: DataFrame, limits: L
         snap = snapshot_rows(collated, batch_id, processed_at)
         if snap is not None:
             write_snapshot(snap, snapshot_path)
-    metrics_df = run_metrics(tagged, output)
+    if csv_dir:
+        export_run(tagged.sparkSession, out_dir, csv_dir)
+    metrics_df = observed_metrics(tagged.sparkSession, statuses.get, written.get["n"])
     metrics = metrics_df.first().asDict()
-    metrics["campaigns"] = campaign_list(collated).first()["campaigns"]
+    metrics["campaigns"] = campaign_list(tagged).first()["campaigns"]
     metrics["batch_id"] = batch_id
     if runlog_path:
         write_run_log(activity_row(metrics_df, processed_at, username, "contact", batch_id, metrics["campaigns"]),

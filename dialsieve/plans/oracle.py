@@ -472,6 +472,9 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     q["history_profile"] = with_(*hx) + (
         "SELECT COUNT(*) AS total_rows, COUNT(DISTINCT campaign_name) AS campaigns, COUNT(DISTINCT contact_link) AS contacts, "
         "MIN(pbx_dialing_date) AS earliest_date, MAX(pbx_dialing_date) AS latest_date FROM store2")
+    q["history_profile_kept"] = with_(*hx) + (
+        "SELECT COUNT(*) AS total_rows, TRUE AS campaigns_near, TRUE AS contacts_near, "
+        "MIN(pbx_dialing_date) AS earliest_date, MAX(pbx_dialing_date) AS latest_date FROM store2")
     q["history_match"] = with_(*hx, EXTRACT) + (
         "SELECT e.row_ord, e.campaign_name, e.contact_link FROM extract e JOIN (SELECT DISTINCT "
         f"{nl('campaign_name')} AS camp, {nl('contact_link')} AS link FROM store2) pc "
@@ -516,6 +519,8 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     q["snapshot_profile"] = with_(CONTACTS, SNAP, idx) + (
         "SELECT COUNT(*) AS total_rows, COUNT(DISTINCT campaign_name) AS campaigns, MIN(loaded_at) AS earliest, "
         "MAX(loaded_at) AS latest FROM idx")
+    q["snapshot_profile_kept"] = with_(CONTACTS, SNAP, idx) + (
+        "SELECT COUNT(*) AS total_rows, TRUE AS campaigns_near, MIN(loaded_at) AS earliest, MAX(loaded_at) AS latest FROM idx")
     q["snapshot_lookup"] = with_(CONTACTS, SNAP, EXTRACT) + (
         "SELECT batch_id, src_ord, row_ord, campaign_name, profile_url, full_name FROM latest l WHERE EXISTS "
         f"(SELECT 1 FROM extract e WHERE {nl('e.campaign_name')} = l._campaign_name AND {nl('e.contact_link')} = l._contact_link)")
@@ -542,6 +547,9 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
     octes3, last3 = output_ctes("merged", mpresent, "r")
     q["rechurn_run"] = with_(*base, SNAP, EXTRACT, *xtag, xallowed, merged, *octes3) + out66(last3)
 
+    q["rechurn_removed"] = with_(*base, EXTRACT, *xtag) + (
+        "SELECT row_ord, suppression_reason, dial_limit_reason, row_status FROM xtagged WHERE row_status <> 'GTG'")
+
     # extract's GTG output: latest snapshot rows matched by extract keys (no QA column -> all kept)
     gm = ("gmatch AS (SELECT * FROM latest l WHERE EXISTS (SELECT 1 FROM extract e WHERE "
           f"{nl('e.campaign_name')} = l._campaign_name AND {nl('e.contact_link')} = l._contact_link))")
@@ -571,6 +579,9 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
         "CAST(SUM(CASE WHEN row_status = 'SUPPRESSED' THEN 1 ELSE 0 END) AS BIGINT) AS suppressed, "
         "CAST(SUM(CASE WHEN row_status = 'OVER_LIMIT' THEN 1 ELSE 0 END) AS BIGINT) AS over_limit "
         "FROM audit GROUP BY ALL ORDER BY processed_at DESC")
+    q["export_removed"] = tag + (
+        "SELECT full_name, email_address, profile_url, suppression_reason, dial_limit_reason, row_status "
+        "FROM tagged WHERE row_status <> 'GTG'")
     q["run_metrics"] = with_(*base, *CONTACT_TAG, gtg, *octes) + (
         "SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE row_status = 'GTG') AS gtg_rows, "
         "COUNT(*) FILTER (WHERE row_status = 'SUPPRESSED') AS suppressed, "
@@ -619,4 +630,13 @@ SELECT row_ord, CASE WHEN state IN {toks} THEN '' ELSE state END AS state,
         f"SELECT {nl('email')}, trim(dgs), '2024-02-10', 2, row_ord FROM up WHERE {nl('dgs')} IN {_in(RPC_DISPOSITIONS)} "
         f"AND {pdate('pbx_text')} >= DATE '2024-01-10' AND {nl('email')} <> '') "
         "QUALIFY row_number() OVER (PARTITION BY email ORDER BY ver DESC, row_ord DESC) = 1")
+    # two uploads (before 01-20, from 01-13), each extending the lists
+    ups = ("ups AS (SELECT *, 1 AS ver FROM calls WHERE pbx_dialing_date < DATE '2024-01-20' UNION ALL "
+           "SELECT *, 2 FROM calls WHERE pbx_dialing_date >= DATE '2024-01-13')")
+    q["list_growth"] = with_(CALLS, ups) + (
+        f"SELECT DISTINCT 'dead' AS list, {nl('email')} AS email, '' AS disposition FROM ups "
+        f"WHERE {nl('dgs')} IN ('dead contact', 'dnc prospect') AND {nl('email')} <> '' UNION ALL "
+        f"SELECT 'rpc', email, disposition FROM (SELECT {nl('email')} AS email, trim(dgs) AS disposition, ver, row_ord FROM ups "
+        f"WHERE {nl('dgs')} IN {_in(RPC_DISPOSITIONS)} AND {pdate('pbx_text')} >= DATE '2024-01-10' AND {nl('email')} <> '') "
+        "QUALIFY row_number() OVER (PARTITION BY email ORDER BY ver DESC, row_ord DESC) = 1")
     return q

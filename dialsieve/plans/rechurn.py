@@ -8,12 +8,13 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import activity_row, campaign_list, export_rows, run_metrics, write_run_log
+from ..operators.audit import (activity_row, campaign_list, export_rows, export_run, observed_metrics, status_figures,
+                               write_run_log)
 from ..operators.output import transform_and_output
 from ..operators.qa import gtg_filter, rechurn_filter
 from ..operators.snapshot import rechurn_merge, snapshot_lookup
 from ..schema import OUTPUT_COLUMNS
-from ..session import materialize
+from ..session import materialize, observed
 from .contact import Limits, Lists, tag
 
 
@@ -53,18 +54,22 @@ def gtg_output(f3: DataFrame, snapshot: DataFrame, run_ts: str) -> DataFrame:
 
 def run_rechurn(f3: DataFrame, snapshot: DataFrame | None, lists: Lists, history: DataFrame | None, limits: Limits, *,
                 run_ts: str, batch_id: str, out_dir: str, runlog_path: str | None = None, username: str = "",
-                filter_rechurn: bool = False) -> dict:
+                filter_rechurn: bool = False, csv_dir: str | None = None) -> dict:
     """Run P2 end to end: output, removed rows (partitioned by ``row_status``), run-log row.
 
-    The tagged extract is checkpointed once and every sink reads it; a run that is started
-    again replaces its own files and its own run-log row."""
+    The tagged extract is checkpointed once and every sink reads it; the metrics are observed by the
+    jobs that write.  ``csv_dir`` also gets the rows as CSV.  A run that is started again replaces
+    its own files and its own run-log row."""
     at = dt.datetime.strptime(run_ts, "%Y-%m-%d %H:%M:%S")
-    tagged = materialize(rechurn_tagged(f3, lists, history, limits, filter_rechurn))
-    output = materialize(_output(tagged, f3, snapshot, run_ts))
+    rows, statuses = observed(rechurn_tagged(f3, lists, history, limits, filter_rechurn), **status_figures())
+    tagged = materialize(rows)
+    output, written = observed(_output(tagged, f3, snapshot, run_ts), n=F.count(F.lit(1)))
     output.write.mode("overwrite").parquet(f"{out_dir}/output")
     export_rows(tagged.where(F.col("row_status") != "GTG")).write.mode("overwrite") \
         .partitionBy("row_status").parquet(f"{out_dir}/removed")
-    metrics_df = run_metrics(tagged, output)
+    if csv_dir:
+        export_run(tagged.sparkSession, out_dir, csv_dir)
+    metrics_df = observed_metrics(tagged.sparkSession, statuses.get, written.get["n"])
     metrics = metrics_df.first().asDict() | {"campaigns": campaign_list(f3).first()["campaigns"], "batch_id": batch_id}
     if runlog_path:
         write_run_log(activity_row(metrics_df, at, username, "rechurn", batch_id, metrics["campaigns"]), runlog_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -67,6 +67,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def observed(df, **figures):
+    """``df`` and an Observation of aggregates that the job that writes it takes on the way.
+
+    They stand on top of the plan, in the tasks that write: a task's figures count once, with
+    its output, even where earlier stages run again after an executor was lost."""
+    seen = Observation()
+    return df.observe(seen, *[column.alias(name) for name, column in figures.items()]), seen
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder:
     one computation feeds several sinks, and a lost executor does not force the

@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..schema import q
+from ..session import observed
 
 
 @dataclass(frozen=True)
@@ -38,10 +39,14 @@ class Bucketed:
         spark.catalog.refreshTable(self._known(spark))
         return spark.table(self.name)
 
-    def add(self, rows: DataFrame) -> None:
-        """Append rows, one file a bucket."""
+    def add(self, rows: DataFrame, **figures) -> Observation | None:
+        """Append rows, one file a bucket; ``figures`` are taken by the job that writes."""
         name = self._known(rows.sparkSession)
-        self.dealt(rows.select(*[c for c, _ in self.columns])).write.insertInto(name)
+        dealt, seen = self.dealt(rows.select(*[c for c, _ in self.columns])), None
+        if figures:
+            dealt, seen = observed(dealt, **figures)
+        dealt.write.insertInto(name)
+        return seen
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         """Rows shuffled into the table's buckets, by the key columns of the same names."""

@@ -7,6 +7,10 @@ harmless: a micro-batch re-run after a failure finds its keys already stored
 and inserts nothing (the key test is against the whole store, so late files
 need no watermark).  Progress lives in ``checkpointLocation`` - on a cluster a
 folder under the shared ``spark.checkpoint.dir``.
+
+With ``replay_delay`` a state store remembers the rows of the files of that span (their
+128-bit values, by the files' modification time), and the rows of a file that is delivered again are
+dropped before the store is asked.  What the state has forgotten, the store's keys still stop.
 """
 
 from __future__ import annotations
@@ -19,13 +23,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.history_load import load_history
+from ..session import materialize
+
+
+def _seen_rows_dropped(stream: DataFrame, columns: list[str], delay: str) -> DataFrame:
+    """Rows that state does not know: equal in every column, null or not, at the same place of their file."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    parts = [*cells, *[c.isNull() for c in cells]]           # a hash passes over nulls, so their places are told
+    return (stream.withColumns({"_v1": F.xxhash64(*parts), "_v2": F.xxhash64(F.lit(1), *parts)})
+            .withWatermark("_at", delay).dropDuplicatesWithinWatermark(["_v1", "_v2"]).drop("_v1", "_v2"))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, store_path: str, checkpoint_location: str,
                   schema=None, fmt: str = "parquet", batch_prefix: str = "stream_",
                   loaded_at: dt.datetime | None = None, options: dict | None = None,
                   available_now: bool = True, max_files_per_trigger: int | None = None,
-                  lists_dir: str | None = None) -> list[dict] | StreamingQuery:
+                  lists_dir: str | None = None, replay_delay: str | None = None) -> list[dict] | StreamingQuery:
     """Run the ingest stream.
 
     With ``available_now`` it processes what is in ``source_dir``, stops, and returns the
@@ -33,19 +46,36 @@ def ingest_stream(spark: SparkSession, source_dir: str, store_path: str, checkpo
     the batches.  ``loaded_at`` defaults to the time of the micro-batch.  Batch ids carry the
     progress folder's run, so new progress never reuses an id.  Rows of several files in a
     micro-batch keep the files' order (modification time, then path).  ``lists_dir`` also
-    maintains the suppression lists (K5)."""
+    maintains the suppression lists (K5).
+
+    ``replay_delay`` (say ``"7 days"``) drops the rows of files delivered again by state.  A state store keeps any
+    one of equal rows of a micro-batch, so it then takes one file at a time, and the rows' place
+    must be known: from a ``row_ord`` column or, in Parquet files, by counting."""
+    if replay_delay and max_files_per_trigger not in (None, 1):
+        raise ValueError("replay_delay takes one file a micro-batch")
     if schema is None:  # file streams need a schema: take it from what is there now
         schema = spark.read.format(fmt).options(**(options or {})).load(source_dir).schema
     reader = spark.readStream.format(fmt).schema(schema).options(**(options or {}))
+    columns = list(schema.names)
+    if replay_delay and "row_ord" not in columns and fmt != "parquet":
+        raise ValueError("replay_delay needs a row_ord column in files that are not Parquet")
+    if replay_delay:
+        max_files_per_trigger = 1
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(source_dir).select("*", F.col("_metadata.file_modification_time").alias("_at"),
                                             F.col("_metadata.file_path").alias("_file"))
+    if replay_delay:
+        if "row_ord" not in columns:
+            stream, columns = stream.withColumn("row_ord", F.col("_metadata.row_index")), [*columns, "row_ord"]
+        stream = _seen_rows_dropped(stream, columns, replay_delay)
     run = zlib.crc32(checkpoint_location.encode())
     results: list[dict] = []
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
+        if replay_delay:        # the state is asked once, whatever reads its answer
+            batch = materialize(batch)
         stamp = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         files = Window.orderBy("_at", "_file")          # one row per file of the micro-batch
         order = batch.select("_at", "_file").distinct().withColumn("src_ord", F.row_number().over(files).cast("long"))
