@@ -81,6 +81,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that a key's rows are counted in, so that no task meets all rows of a frequent key.
+COUNTED_PARTS = 64
+
+
+def spread(rows: DataFrame, key: str, by: str, per: int) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with a column slot, (key, slot) of all slots): a key with n rows has ceil(n / ``per``) slots,
+    and its rows are dealt to them by the hash of ``by``.  What has to meet a key's rows goes to each
+    of its slots, and no (key, slot) has many more than ``per`` rows, however frequent the key is."""
+    part = F.pmod(F.xxhash64(by), F.lit(COUNTED_PARTS))
+    slots = (rows.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+             .groupBy(key).agg(F.ceil(F.sum("n") / per).cast("int").alias("_slots"), F.collect_set("_part").alias("_part")))
+    dealt = (rows.withColumn("_part", part).join(slots.withColumn("_part", F.explode("_part")), [key, "_part"])
+             .withColumn("slot", F.pmod(F.xxhash64(F.lit(1), by), F.col("_slots")).cast("int")).drop("_part", "_slots"))
+    return dealt, slots.select(key, F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,10 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every step keeps the components and shortens the paths to each component's smallest
-node; partial minima are taken before the shuffle, so a node with very many links is no
-hot group, and no more links than the input has are ever made.  State is checkpointed."""
+node.  A node's links are dealt over parts by their other end, and its minimum, taken in two
+steps, goes to each of these parts: a node with very many links is no hot group.  No more links than
+the input has are ever made.  State is written to the shared folder, so its size is known to
+the next step's joins."""
 
 from __future__ import annotations
 
@@ -12,21 +14,35 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+#: Parts that the links of one node are dealt over.
+PARTS = 256
+
+
+def _save(links: DataFrame) -> DataFrame:
+    return C.stored(links, "links")
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """(u, v, m): every link with the smallest v of its u."""
+    dealt = links.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    least = (dealt.groupBy("u", "part").agg(F.min("v").alias("v"))
+             .groupBy("u").agg(F.min("v").alias("m"), F.collect_set("part").alias("part")))
+    return dealt.join(least.withColumn("part", F.explode("part")), ["u", "part"]).drop("part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component): the smallest node reachable, for nodes with links."""
-    edges = C.save(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = _save(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         # large star: all larger neighbours of a node go to the smallest of its neighbourhood
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        both = _with_least(edges.union(edges.select("v", "u")))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
-        large = C.save(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                 .union(least.select("u", F.col("m").alias("v"))))
-        edges = C.save(small.distinct())
+        large = _save(large.distinct())
+        near = _with_least(large)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near.where("v = m").select("u", "m"))
+        edges = _save(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -7,13 +7,16 @@ distinct ``shingle``-word sequences (the whole sequence where it has fewer words
   minhashes.  A table's key is a pair: one half of the first collection with one of the
   second, so HALVES**2 tables come from 2 * HALVES * ROWS minhashes.  A pair at
   likeness 0.8 misses all tables with probability 2 * (1 - 0.8**ROWS)**HALVES = 7e-5.
-* Equal sets are one class, represented by its smallest id.  Half keys that no other class
-  has are dropped before pairs are formed, so a document without near copies makes no key.
+* Equal sets are one class, named by its smallest id, with one text: repeated rows and copies are
+  compared once.  Half keys that no other class has are dropped before pairs are formed, so a
+  document without near copies makes no key.
 * Candidates are verified on the full sets, from the texts.  In a table's bucket, classes
-  are first compared with the bucket's smallest id only, and links found join components.
+  are first compared with the bucket's first class only, and links found join components.  A class
+  that very many are compared with is dealt over tasks with its text (``PAIRS`` pairs each).
   What is left in different components of one bucket is settled exactly, block against
   block (``_settle``), so no candidate that could join two components is left out and no
-  pairs of a group are ever rows.
+  pairs of a group are ever rows.  A block is bounded by its shingles and by its sets, so
+  neither long nor short texts make a large matrix.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a null id
 has component null and is kept (it cannot be named); rows that share an id are one node
@@ -36,6 +39,16 @@ HALVES, ROWS = 10, 2
 SHINGLE, PERCENT = 4, 80
 #: Shingles of a block of sets that are compared with another block in one task.
 BLOCK_SHINGLES = 1 << 18
+#: Sets of such a block: two blocks' matrix of common counts has the square of it.
+BLOCK_SETS = 1 << 10
+#: Pairs with one class that a task verifies beside one copy of its text.
+PAIRS = 512
+#: Tasks over which the members of one class are dealt when they get their class's name.
+MEMBER_PARTS = 64
+
+
+def _save(df: DataFrame) -> DataFrame:
+    return C.stored(df, "near")
 
 
 def shingle_rows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +78,7 @@ def shingle_rows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, k: int, halves: int, rows: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (the set's 128-bit value), a and b (half keys)."""
+    """id, h (the text's value), n (set size), s1 and s2 (the set's 128-bit value), a and b (half keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,18 +98,19 @@ def _signatures(docs: DataFrame, k: int, halves: int, rows: int) -> DataFrame:
                         half[h, full] = key
                 keys = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * halves, halves), pa.int32()),
                                                  pa.array(C.as_long(np.ascontiguousarray(x.T).reshape(-1)))) for x in (half[:halves], half[halves:])]
-                yield pa.record_batch([s.column(0), pa.array(n.astype(np.int64)), pa.array(C.as_long(s1)), pa.array(C.as_long(s2)), *keys],
-                                      ["id", "n", "s1", "s2", "a", "b"])
+                yield pa.record_batch([s.column(0), s.column(2), pa.array(n.astype(np.int64)), pa.array(C.as_long(s1)), pa.array(C.as_long(s2)), *keys],
+                                      ["id", "h", "n", "s1", "s2", "a", "b"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, a array<long>, b array<long>")
+    return docs.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, a array<long>, b array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose full sets reach the likeness.
 
-    u, the bucket's smallest id, may stand in very many pairs: it is joined last."""
-    one = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    two = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
+    u, the bucket's first class, may stand in very many pairs: they are dealt over tasks."""
+    pairs, slots = C.spread(pairs, "u", "v", PAIRS)
+    one = texts.select(F.col("c").alias("v"), F.col("text").alias("text_v"))
+    two = texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")).join(slots, "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +126,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.record_batch([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
 
-    return C.save(pairs.join(one, "v").join(two, "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+    return _save(pairs.join(one, "v").join(two, ["u", "slot"]).select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
 
 
 def _placed(df: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
@@ -130,14 +144,14 @@ def _open(buckets: DataFrame, of: DataFrame) -> DataFrame:
     """(bucket, rep, comp) of the buckets whose classes are in several components."""
     m = _placed(buckets.select("bucket", "rep"), of, "rep", "comp")
     several = m.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("bucket", F.col("a").alias("main"))
-    return C.save(m.join(several, "bucket"))
+    return _save(m.join(several, "bucket"))
 
 
 def _settle(near: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that still join components inside a bucket, found exactly and without pair rows.
 
     Buckets that share a class make up a region.  A region's sets are dealt by hash into
-    blocks of about BLOCK_SHINGLES shingles; every two blocks meet in one task, which counts
+    blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets at most; every two blocks meet in one task, which counts
     the common shingles of all their pairs as a matrix product over the shingles that both
     have, and returns one link for two components at most."""
     now = _open(buckets, components(near))
@@ -153,9 +167,9 @@ def _settle(near: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, perce
                 yield pa.record_batch([s.column(0), pa.array(np.diff(off)), pa.array([v[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())],
                                       ["rep", "n", "sigs"])
 
-    sets = C.save(texts.join(place.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(spread, "rep long, n long, sigs binary")
+    sets = _save(texts.join(place.select(F.col("rep").alias("c")), "c", "left_semi").mapInArrow(spread, "rep long, n long, sigs binary")
                   .join(place, "rep"))
-    sizes = sets.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    sizes = sets.groupBy("region").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = (sets.join(sizes, "region").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sigs"))
@@ -200,17 +214,21 @@ def _settle(near: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, perce
         links = np.concatenate(found)
         return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
-    return C.save(near.union(dealt.groupBy("region", "i", "j").applyInArrow(compare, "u long, v long").distinct()))
+    return _save(near.union(dealt.groupBy("region", "i", "j").applyInArrow(compare, "u long, v long").distinct()))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept of every document."""
     C.prepare(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signs = C.save(_signatures(src, shingle, halves, rows))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    signs = _save(_signatures(src, shingle, halves, rows))
     named = signs.where("id is not null and n > 0")
-    classes = C.save(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")))
+    # a class is a node of its own: two texts of one id may be in two classes
+    classes = _save(named.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "h")).alias("own"), F.count(F.lit(1)).alias("members"),
+                                                        F.first("a").alias("a"), F.first("b").alias("b"))
+                     .withColumn("rep", F.monotonically_increasing_id()))
+    names = classes.select("rep", "own.id")
 
     # tensored keys, from the half keys that two classes share
     def shared(side: str) -> DataFrame:
@@ -220,25 +238,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tables = (shared("a").join(shared("b"), "rep").select("rep", F.explode("a").alias("x"), "b")
               .select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("bucket"), "rep"))
-    tables = C.save(tables)
+    tables = _save(tables)
     centres = tables.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    buckets = C.save(tables.join(centres, "bucket"))
-
-    stars = C.save(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct())
-    involved = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
-    texts = C.save(src.join(involved, "id", "left_semi"))
-
-    # rows of one id are one node, whichever classes they are in
-    same = named.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    same = C.save(same.where("u <> v").distinct())
+    buckets = _save(tables.join(centres, "bucket"))
+
+    stars = _save(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct())
+    involved = stars.select(F.col("u").alias("rep")).union(stars.select("v")).distinct()
+    owners = classes.join(involved, "rep", "left_semi").select("own.id", "own.h", F.col("rep").alias("c"))
+    # one text a class, whatever rows share its id and text
+    texts = _save(src.join(owners, ["id", "h"]).groupBy("c").agg(F.first("text").alias("text")))
+
+    # rows of one id are one node, whichever classes they are in; a class of very many members is dealt by them
+    part = F.pmod(F.xxhash64("id"), F.lit(MEMBER_PARTS)).alias("part")
+    groups = (classes.where("members > 1").select("n", "s1", "s2", F.col("own.id").alias("v"),
+                                                  F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))).alias("part")))
+    same = (named.select(F.col("id").alias("u"), "n", "s1", "s2", part).distinct()
+            .join(groups.withColumn("part", F.col("part").cast("long")), ["n", "s1", "s2", "part"]).select("u", "v"))
+    same = _save(same.where("u <> v"))
     # the smallest centre of each class first, then the other centres that still join two components
-    first = C.save(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    first = _save(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     near = _verify(first, texts, shingle, percent)
-    more = C.save(_apart(stars.join(first, ["u", "v"], "left_anti"), components(near)))
+    more = _save(_apart(stars.join(first, ["u", "v"], "left_anti"), components(near)))
     if more.limit(1).count():
-        near = C.save(near.union(_verify(more, texts, shingle, percent)))
+        near = _save(near.union(_verify(more, texts, shingle, percent)))
     near = _settle(near, buckets, texts, shingle, percent)
-    of = components(near.union(same))
+    linked = (near.join(names.select(F.col("rep").alias("u"), F.col("id").alias("x")), "u")
+              .join(names.select(F.col("rep").alias("v"), F.col("id").alias("y")), "v").select("x", "y"))
+    of = components(linked.toDF("u", "v").union(same))
     out = (signs.select("id", "n").join(of, F.col("id") == F.col("node"), "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -248,7 +274,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The documents (all columns) without those that are not their group's smallest id."""
     name = C.free_name(docs, "gone")
     gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(C.save(gone), F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(_save(gone), F.col(id_col) == F.col(name), "left_anti")
 
 
 def oracle(shingle: int = SHINGLE, percent: int = PERCENT) -> str:

@@ -224,5 +224,5 @@ def edited_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                            T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     return (docs.select(key.alias("key"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
             .mapInArrow(deal, "part int, ahead boolean, key long, h long, z binary")
-            .repartition(max(parts, 2), "part").sortWithinPartitions("part", "ahead", "key", "h")
+            .repartitionById(len(bounds), "part").sortWithinPartitions("part", "ahead", "key", "h")
             .mapInArrow(digest, schema))

@@ -128,3 +128,44 @@ def test_blocks_against_blocks(spark, docs, monkeypatch):
         rows.append((i, " ".join(w)))
     got = M.near_groups(docs([(k, t, "s") for k, t in rows])).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_repeated_rows_are_compared_once(spark, docs, monkeypatch):
+    """Two near texts with very many rows each: one pair is verified, with one text a side."""
+    t = " ".join(f"w{i}" for i in range(40))
+    seen = []
+    real = M._verify
+    monkeypatch.setattr(M, "_verify", lambda pairs, texts, *how: seen.append((pairs.count(), texts.count())) or real(pairs, texts, *how))
+    rows = [(5, t, "s")] * 3000 + [(9, t + " z", "s")] * 3000 + [(None, t, "s")] * 500
+    got = M.near_groups(docs(rows).repartition(6)).groupBy("doc_id", "n_shingles", "component_id", "kept").count().collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept, r["count"]) for r in got) == [
+        ("5", 37, "5", True, 3000), ("9", 38, "5", False, 3000), ("None", 37, "None", True, 500)]
+    assert seen == [(1, 2)]
+
+
+def test_short_alike_texts_make_small_blocks(spark, docs, monkeypatch):
+    """Texts that share most shingles and are no copies: blocks are bounded by their sets."""
+    monkeypatch.setattr(M, "BLOCK_SETS", 128)
+    rows = [(i, f"your order was shipped today under number {i}", "s") for i in range(700)]
+    rows += [(1000 + i, f"one two three four five six seven eight nine ten eleven twelve {'x' * (i % 3)} {i // 3 % 5}", "s") for i in range(60)]
+    got = M.near_groups(docs(rows).repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == brute([r[:2] for r in rows])
+
+
+def test_a_frequent_key_is_dealt_in_slots(spark):
+    from pyspark.sql import functions as F
+
+    from dialsieve.llm.common import spread
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    dealt, slots = spread(rows, "u", "v", 100)
+    assert dealt.count() == dealt.join(slots, ["u", "slot"]).count() == 5000
+    most = dealt.groupBy("u", "slot").count().agg(F.max("count")).first()[0]
+    assert most < 160 and slots.where("u = 1").count() == 40 and slots.where("u <> 1").count() == 1000
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from dialsieve.llm import components as K
+    monkeypatch.setattr(K, "PARTS", 3)
+    links = [(7, i) for i in range(100, 900)] + [(i, 2000 + i) for i in range(100, 130)] + [(3, 899), (5000, 5001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: 5000 if x >= 5000 else 3 for e in links for x in e}
