@@ -29,7 +29,7 @@ name.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,10 +116,10 @@ def find_cuts(rows: DataFrame, shards: int = SHARDS) -> Cuts:
 
 
 class _Known:
-    """Group ends that are known, and whether others lie between one and the next."""
+    """Group ends that are known, whether others lie between one and the next, and the width of the slice that told."""
 
     def __init__(self, total: int):
-        self.points, self.hides = [0, total], [True]
+        self.points, self.hides, self.widths = [0, total], [True], [total]
 
     def reach(self, limit: int) -> tuple[int, int]:
         """Bounds of the last group end at or before ``limit``."""
@@ -145,11 +145,16 @@ class _Known:
                 low = mid
         return high
 
-    def put(self, a: int, b: int, found: list[tuple[int, int]]) -> None:
+    def between(self, a: int, b: int) -> slice:
+        """Where what is known of the stretch from the end ``a`` to the end ``b`` stands."""
+        return slice(bisect_left(self.points, a), bisect_left(self.points, b))
+
+    def put(self, a: int, b: int, found: list[tuple[int, int]], width: int) -> None:
         """Replace what is known between the ends ``a`` and ``b`` by (end, groups up to it) rows."""
-        i, j = self.points.index(a), self.points.index(b)
-        self.points[i + 1:j + 1] = [e for e, _ in found]
-        self.hides[i:j] = [n > 1 for _, n in found]
+        at = self.between(a, b)
+        self.points[at.start + 1:at.stop + 1] = [e for e, _ in found]
+        self.hides[at] = [n > 1 for _, n in found]
+        self.widths[at] = [width] * len(found)
 
 
 def minimax(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
@@ -177,28 +182,35 @@ def minimax(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int
                     stretches.append((a, b))
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
+def _stretch_of(end: Column, starts: list[int]) -> Column:
+    """Number (from 1) of the last of the ascending ``starts`` below ``end``, else 0: a binary search in
+    one array, so that the expression is as small for thousands of stretches as for one."""
+    held, steps = _longs(starts), [1 << bit for bit in reversed(range(len(starts).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda at, step: F.when(F.try_element_at(held, at + step) < end, at + step).otherwise(at))
+
+
 def _split(ends: DataFrame, known: _Known, stretches: list[tuple[int, int]]) -> None:
-    """Learn more group ends inside the stretches, by one aggregate over them."""
-    end = F.col("end")
-    which, where = F.lit(None).cast("long"), F.lit(False)
-    sizes = []
-    for k, (a, b) in enumerate(stretches):
-        held = known.points.index(b) - known.points.index(a)
-        width = max(1, (b - a) // max(POINTS // len(stretches), 4 * held))
-        sizes.append(width)
-        inside = (end > a) & (end <= b)
-        where = where | inside
-        which = F.when(inside, F.lit(k).cast("long")).otherwise(which)
-    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (F.col("k") + 1).cast("int"))
-    found = (ends.where(where).select("end", which.alias("k"))
-             .withColumns({"start": of([a for a, _ in stretches]), "width": of(sizes)})
+    """Learn more group ends inside the stretches, by one aggregate over them.
+
+    Slices are at most a quarter as wide as those that told of the stretch, so each round learns something."""
+    widths = [max(1, min((b - a) // max(POINTS // len(stretches), 1), min(known.widths[known.between(a, b)]) // 4)) for a, b in stretches]
+    of = lambda values: F.get(_longs(values), F.col("k") - 1)
+    found = (ends.where((F.col("end") > stretches[0][0]) & (F.col("end") <= stretches[-1][1]))
+             .select("end", _stretch_of(F.col("end"), [a for a, _ in stretches]).alias("k"))
+             .where(F.col("end") <= of([b for _, b in stretches]))
+             .withColumns({"start": of([a for a, _ in stretches]), "width": of(widths)})
              .groupBy("k", F.expr("(`end` - `start` - 1) div width").alias("slice"))
              .agg(F.max("end").alias("last"), F.count(F.lit(1)).alias("n")).select("k", "last", "n").collect())
     by: dict[int, list[tuple[int, int]]] = {}
     for r in found:
         by.setdefault(r["k"], []).append((r["last"], r["n"]))
-    for k, (a, b) in enumerate(stretches):
-        known.put(a, b, sorted(by[k]))
+    for k, ((a, b), width) in enumerate(zip(stretches, widths, strict=True), 1):
+        known.put(a, b, sorted(by[k]), width)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text") -> DataFrame:

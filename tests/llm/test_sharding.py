@@ -111,3 +111,40 @@ def test_written_shards_hold_the_same_rows(spark, docs, scratch):
     assert back == {r["id"]: r["shard"] for r in sharding.assign(df, 6).collect()}
     with pytest.raises(ValueError):
         sharding.write_shards(df.withColumn("shard", F.lit(0)), f"{scratch}/no", 6)
+
+
+def test_many_stretches_make_a_small_plan(spark, docs):
+    """Thousands of stretches are looked up in one array, not by as many conditions."""
+    docs([])
+    ends = spark.range(1, 20001).select((F.col("id") * 10).alias("end"))
+    known = sharding._Known(200000)
+    known.points, known.hides, known.widths = list(range(0, 200001, 20)), [True] * 10000, [20] * 10000
+    stretches = [(a, a + 20) for a in range(0, 200000, 40)]
+    sharding._split(ends, known, stretches)
+    assert known.points == sorted({*range(0, 200001, 20), *(a + 10 for a, _ in stretches)})
+    assert known.hides == [False, False, True] * 5000
+
+
+def test_ends_close_together_after_a_wide_gap(spark, docs):
+    """Slices become narrower each round, also where many stretches share the points."""
+    docs([])
+    ends, at = [], 0
+    for _ in range(40):
+        for size in (100000, 8, 8):
+            at += size
+            ends.append((at, size))
+    frame = spark.createDataFrame(ends, "end long, bytes long")
+    known = sharding._Known(at)
+    stretches = [(0, at)]
+    for _ in range(20):
+        sharding._split(frame, known, stretches)
+        stretches = [(a, b) for a, b, hides in zip(known.points, known.points[1:], known.hides) if hides]
+        if not stretches:
+            break
+    assert known.points == [0, *(e for e, _ in ends)]
+
+
+def test_search_ends_on_uneven_groups(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "POINTS", 16)
+    rows = [(i, ("z" * 20000 if i % 3 == 0 else "") + str(i)) for i in range(180)]
+    check(sharding.assign(docs([(i, t, None) for i, t in rows]), 40).collect(), rows, 40)
