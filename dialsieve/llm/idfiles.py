@@ -214,9 +214,43 @@ class Tokens:
         out[np.cumsum(counts + 1) - 1] = np.frombuffer(self.end, "<u4")[0]
         return out, counts + 1
 
-    def _new_ids(self, pieces: list[str]) -> list[bytes]:
-        self._learn(set(pieces))
-        return [self.known[p] for p in pieces]
+    def _new_ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, how many of each).
+
+        Words, nearly all of what is new, are joined, encoded and cut with numpy; only the other
+        pieces are spelled one by one."""
+        sizes = ends - starts
+        plain = np.flatnonzero(_are_words(buf, starts, ends))
+        ids, counts, done = self._joined(buf[_ranges(starts[plain], sizes[plain])], sizes[plain])
+        rest = np.ones(len(starts), bool)
+        rest[plain[done]] = False
+        rest = np.flatnonzero(rest)
+        spelled = [buf[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        self._learn(set(spelled))
+        own = [self.known[x] for x in spelled]
+        n = np.zeros(len(starts), np.int64)
+        n[plain], n[rest] = counts, [len(x) // 4 for x in own]
+        first = np.zeros(len(starts), np.int64)
+        first[plain] = np.cumsum(counts) - counts
+        first[rest] = len(ids) + np.cumsum(n[rest]) - n[rest]
+        return np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])[_ranges(first, n)], n
+
+    def _joined(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of words that stand one after another, how many of each, whether known) - a thousand words make
+        one text, and a word's ids are those whose bytes make it up; where they don't, its thousand is left out."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found, counts, done = [np.zeros(0, np.uint32)], np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+        for a in range(0, len(sizes), 16_000):
+            parts = [(x, min(x + 1000, len(sizes))) for x in range(a, min(a + 16_000, len(sizes)), 1000)]
+            texts = [letters[ends[x]:ends[y]].tobytes().decode() for x, y in parts]
+            for (x, y), e in zip(parts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.frombuffer(array("I", e.ids), np.uint32)
+                made, wanted = np.cumsum(self.width[ids]), ends[x + 1:y + 1] - ends[x]
+                last = np.minimum(np.searchsorted(made, wanted), len(made) - 1)
+                if len(made) and made[-1] == wanted[-1] and np.array_equal(made[last], wanted):
+                    found.append(ids)
+                    counts[x:y], done[x:y] = np.diff(last, prepend=-1), True
+        return np.concatenate(found), counts, done
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids (and the end id) as little-endian u32 bytes."""
@@ -272,6 +306,23 @@ def cut_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, stops[order], np.searchsorted(offsets, starts, "right") - 1
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _are_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each piece is what ``Tokens.word`` matches: a space and letters up to U+017F."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    letter = _ASCII_LETTER[buf]
+    lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC5))         # texts are valid, so one more byte follows
+    second = buf[lead + 1]
+    lead = lead[(buf[lead] != 0xC3) | ((second != 0x97) & (second != 0xB7))]
+    letter[lead] = letter[lead + 1] = True
+    other = np.concatenate([[0], np.cumsum(~letter)])
+    return (buf[starts] == 0x20) & (ends - starts > 1) & (other[ends] == other[starts + 1])
+
+
 #: The bytes after each lead byte that make Unicode white space (of ``_WS``).
 _WIDE = {0xC2: [([0x85, 0xA0],)], 0xE1: [([0x9A], [0x80])],
          0xE2: [([0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), ([0x81], [0x9F])], 0xE3: [([0x80], [0x80])]}
@@ -321,33 +372,33 @@ class Table:
         slot[held] = self.slots[at[held]]
         new = np.flatnonzero(~held)
         if len(new):
-            spelled = [buf[a:b].tobytes() for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist(), strict=True)]
-            ids = learn([x.decode() for x in spelled])
+            first, after = starts[lead[new]], ends[lead[new]]
+            ids, counts = learn(buf, first, after)
             slot[new] = len(self.used.view()) + np.arange(len(new))
-            self._append(spelled, ids)
+            self._append(buf[_ranges(first, after - first)], after - first, ids, counts)
             self.values = np.insert(self.values, at[new], values[new])
             self.slots = np.insert(self.slots, at[new], slot[new])
         self.used.view()[slot] = True
         return slot[which]
 
-    def _append(self, spelled: list[bytes], ids: list[bytes]) -> None:
-        self.bytes.add(np.frombuffer(b"".join(spelled), np.uint8))
-        self.ids.add(np.frombuffer(b"".join(ids), "<u4"))
-        self.byte_ends.add(self.byte_ends.view()[-1] + np.cumsum([len(x) for x in spelled]))
-        self.id_ends.add(self.id_ends.view()[-1] + np.cumsum([len(x) // 4 for x in ids]))
-        self.used.add(np.zeros(len(ids), bool))
+    def _append(self, spelled: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Add pieces: their bytes and ids one after another, and how many of each."""
+        self.bytes.add(spelled)
+        self.ids.add(ids)
+        self.byte_ends.add(self.byte_ends.view()[-1] + np.cumsum(sizes))
+        self.id_ends.add(self.id_ends.view()[-1] + np.cumsum(counts))
+        self.used.add(np.zeros(len(sizes), bool))
 
     def _forget(self) -> None:
         keep = self.used.view()[self.slots]
         if np.count_nonzero(keep) > TABLE_PIECES // 2:
             keep[:] = False
         slots, b, i = self.slots[keep], self.byte_ends.view(), self.id_ends.view()
-        all_bytes, all_ids = self.bytes.view(), self.ids.view()
-        spelled = [all_bytes[x:y].tobytes() for x, y in zip(b[slots].tolist(), b[slots + 1].tolist(), strict=True)]
-        ids = [all_ids[x:y].astype("<u4").tobytes() for x, y in zip(i[slots].tolist(), i[slots + 1].tolist(), strict=True)]
+        sizes, counts = b[slots + 1] - b[slots], i[slots + 1] - i[slots]
+        spelled, ids = self.bytes.view()[_ranges(b[slots], sizes)], self.ids.view()[_ranges(i[slots], counts)]
         self.values, self.slots = self.values[keep], np.arange(len(slots))
         self._clear()
-        self._append(spelled, ids)
+        self._append(spelled, sizes, ids, counts)
 
     def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the slots one after another, how many of each)."""

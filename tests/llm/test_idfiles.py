@@ -108,3 +108,31 @@ def test_empty_table(spark, docs):
     folder = shared_folder(spark, "test-ids")
     manifest = I.write_files(docs([]), folder, tokenizer_file(BPE))
     assert manifest.count() == 0 and I.read_files(spark, folder, manifest).collect() == []
+
+
+def test_new_words_are_cut_with_numpy(monkeypatch):
+    """Words are not spelled one by one, and every kind of piece has the library's ids."""
+    import os
+    import random
+    import re
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = os.fspath(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens, rng, spelled = I.Tokens(path, 0), random.Random(3), set()
+    learn = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda pieces: spelled.update(pieces) or learn(pieces))
+    letters = "abcdefgéßłžA×÷Ω日7.,'-"
+    texts = [" ".join("".join(rng.choices(letters, [9] * 7 + [2] * 4 + [1] * 10, k=rng.randrange(1, 9)))
+                      for _ in range(2000)) + rng.choice(["", " ", "\n", "\u3000"]) for _ in range(6)] + [None, "", " ", " x"]
+    plain = Tokenizer.from_file(path)
+    want = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert tokens.ids(texts) == want and tokens.ids(texts) == want
+    assert not [p for p in spelled if tokens.word(p)]
+    pieces = sorted({p for t in texts for p in tokens.cut(t or "")})
+    buf = np.frombuffer("".join(pieces).encode(), np.uint8)
+    ends = np.cumsum([len(p.encode()) for p in pieces])
+    starts = np.concatenate([[0], ends[:-1]])
+    assert I._are_words(buf, starts, ends).tolist() == [bool(tokens.word(p)) for p in pieces]
+    assert re.search("[0-9]", "".join(spelled))
