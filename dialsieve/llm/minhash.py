@@ -147,14 +147,14 @@ def _open(buckets: DataFrame, of: DataFrame) -> DataFrame:
     return _save(m.join(several, "bucket"))
 
 
-def _settle(near: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that still join components inside a bucket, found exactly and without pair rows.
+def _settle(near: DataFrame, of: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that still join components (``of``, those of ``near``) inside a bucket, found exactly and without pair rows.
 
     Buckets that share a class make up a region.  A region's sets are dealt by hash into
     blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets at most; every two blocks meet in one task, which counts
     the common shingles of all their pairs as a matrix product over the shingles that both
     have, and returns one link for two components at most."""
-    now = _open(buckets, components(near))
+    now = _open(buckets, of)
     if not now.limit(1).count():
         return near
     region = components(now.select("bucket", "rep").groupBy("bucket").agg(F.min("rep").alias("u")).join(now, "bucket").select("u", F.col("rep").alias("v")))
@@ -258,10 +258,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the smallest centre of each class first, then the other centres that still join two components
     first = _save(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     near = _verify(first, texts, shingle, percent)
-    more = _save(_apart(stars.join(first, ["u", "v"], "left_anti"), components(near)))
+    of = components(near)
+    more = _save(_apart(stars.join(first, ["u", "v"], "left_anti"), of))
     if more.limit(1).count():
-        near = _save(near.union(_verify(more, texts, shingle, percent)))
-    near = _settle(near, buckets, texts, shingle, percent)
+        found = _verify(more, texts, shingle, percent)
+        near = near.union(found)
+        of = components(of.toDF("u", "v").union(found))
+    near = _settle(near, of, buckets, texts, shingle, percent)
     linked = (near.join(names.select(F.col("rep").alias("u"), F.col("id").alias("x")), "u")
               .join(names.select(F.col("rep").alias("v"), F.col("id").alias("y")), "v").select("x", "y"))
     of = components(linked.toDF("u", "v").union(same))

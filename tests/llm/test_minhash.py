@@ -169,3 +169,22 @@ def test_components_of_a_hub(spark, monkeypatch):
     links = [(7, i) for i in range(100, 900)] + [(i, 2000 + i) for i in range(100, 130)] + [(3, 899), (5000, 5001)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: 5000 if x >= 5000 else 3 for e in links for x in e}
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars need no step, a star of stars one; each step costs two writes."""
+    from dialsieve.llm import components as K
+    saves, real = [], K._save
+    monkeypatch.setattr(K, "_save", lambda links: saves.append(1) or real(links))
+
+    def of(links):
+        saves.clear()
+        rows = components(spark.createDataFrame(links, "u long, v long")).collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.component for r in rows}, len(saves)
+
+    star = [(1, i) for i in range(2, 40)] + [(50, 51), (51, 50)]
+    assert of(star) == ({**{i: 1 for i in range(1, 40)}, 50: 50, 51: 50}, 1)
+    got, writes = of([*star, (40, 39), (40, 60), (60, 61)])
+    assert got == {**{i: 1 for i in (*range(1, 41), 60, 61)}, 50: 50, 51: 50} and writes <= 5
+    assert of([(7, 7)]) == ({}, 1)
