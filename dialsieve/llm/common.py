@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, materialize, observed
 
 #: Bytes of text that one numpy step handles (a longer single text is handled alone).
 SLICE_BYTES = 1 << 20
@@ -71,6 +71,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of a few numbers that one task writes.
+FILE_ROWS = 1 << 17
+
+
+def narrowed(df: DataFrame, rows: int, per: int = FILE_ROWS) -> DataFrame:
+    """The same rows in as many partitions as ``rows`` of them need, one a core at least and never more than
+    before.  Small tables between wide steps cost as many tasks as the session shuffles large ones in, else."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+
+
+def counted(df: DataFrame, save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """(the saved rows, their number, which the job that writes them takes on the way)."""
+    rows, seen = observed(df, rows=F.count(F.lit(1)))
+    return save(rows), int(seen.get["rows"])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet below the shared folder and read again.  Unlike a checkpoint, whose size
     estimate is that of its plan, the files give their true size: use it where rounds build on each other,
@@ -81,20 +97,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Parts that a key's rows are counted in, so that no task meets all rows of a frequent key.
-COUNTED_PARTS = 64
+def frequent(rows: DataFrame, key: str, per: int, most: int | None = None) -> DataFrame:
+    """(key, _slots) of the keys with more than ``per`` rows, ceil(n / ``per``) slots each: counted with partial sums,
+    so no task meets a key's rows, and stored, so that joins know how few they are.  ``most``: a bound of the rows' number."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per)
+    counts = counts.select(key, F.ceil(F.col("n") / per).cast("int").alias("_slots"))
+    return stored(counts if most is None else narrowed(counts, most), "frequent")
+
+
+def dealt(rows: DataFrame, many: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with a column slot: a ``frequent`` key's rows are dealt to its slots by the hash of ``by``, others have slot 0."""
+    return (rows.join(many, key, "left").withColumn("slot", F.pmod(F.xxhash64(F.lit(1), by), F.coalesce("_slots", F.lit(1))).cast("int"))
+            .drop("_slots"))
+
+
+def to_slots(rows: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """``rows`` once for each slot of their key."""
+    return (rows.join(many, key, "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)))
+            .drop("_slots"))
 
 
 def spread(rows: DataFrame, key: str, by: str, per: int) -> tuple[DataFrame, DataFrame]:
-    """(``rows`` with a column slot, (key, slot) of all slots): a key with n rows has ceil(n / ``per``) slots,
-    and its rows are dealt to them by the hash of ``by``.  What has to meet a key's rows goes to each
+    """(``rows`` with a column slot, (key, slot) of all slots): what has to meet a key's rows goes to each
     of its slots, and no (key, slot) has many more than ``per`` rows, however frequent the key is."""
-    part = F.pmod(F.xxhash64(by), F.lit(COUNTED_PARTS))
-    slots = (rows.groupBy(key, part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-             .groupBy(key).agg(F.ceil(F.sum("n") / per).cast("int").alias("_slots"), F.collect_set("_part").alias("_part")))
-    dealt = (rows.withColumn("_part", part).join(slots.withColumn("_part", F.explode("_part")), [key, "_part"])
-             .withColumn("slot", F.pmod(F.xxhash64(F.lit(1), by), F.col("_slots")).cast("int")).drop("_part", "_slots"))
-    return dealt, slots.select(key, F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("slot"))
+    many = frequent(rows, key, per)
+    return dealt(rows, many, key, by), to_slots(rows.select(key).distinct(), many, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import stars as star_links
 
 HALVES, ROWS = 10, 2
 SHINGLE, PERCENT = 4, 80
@@ -43,6 +43,8 @@ BLOCK_SHINGLES = 1 << 18
 BLOCK_SETS = 1 << 10
 #: Pairs with one class that a task verifies beside one copy of its text.
 PAIRS = 512
+#: Pairs that a task verifies.
+TASK_PAIRS = 1 << 12
 #: Tasks over which the members of one class are dealt when they get their class's name.
 MEMBER_PARTS = 64
 
@@ -104,13 +106,14 @@ def _signatures(docs: DataFrame, k: int, halves: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, h long, n long, s1 long, s2 long, a array<long>, b array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets reach the likeness.
+def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (stored, ``rows`` at most) whose full sets reach the likeness.
 
     u, the bucket's first class, may stand in very many pairs: they are dealt over tasks."""
-    pairs, slots = C.spread(pairs, "u", "v", PAIRS)
+    many = C.frequent(pairs, "u", PAIRS, rows)
     one = texts.select(F.col("c").alias("v"), F.col("text").alias("text_v"))
-    two = texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")).join(slots, "u")
+    two = C.to_slots(texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")), many, "u")
+    both = C.dealt(pairs, many, "u", "v").join(one, "v").join(two, ["u", "slot"]).select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +129,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.record_batch([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
 
-    return _save(pairs.join(one, "v").join(two, ["u", "slot"]).select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+    return _save(C.narrowed(both, rows, TASK_PAIRS).mapInArrow(run, "u long, v long"))
 
 
 def _placed(df: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
@@ -140,39 +143,42 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return _placed(_placed(pairs, of, "u", "cu"), of, "v", "cv").where("cu <> cv").select("u", "v")
 
 
-def _open(buckets: DataFrame, of: DataFrame) -> DataFrame:
-    """(bucket, rep, comp) of the buckets whose classes are in several components."""
+def _open(buckets: DataFrame, of: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """((bucket, rep, comp, u) of the buckets whose classes are in several components, u the smallest class; their number)."""
     m = _placed(buckets.select("bucket", "rep"), of, "rep", "comp")
-    several = m.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("bucket", F.col("a").alias("main"))
-    return _save(m.join(several, "bucket"))
+    several = (m.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min("rep").alias("u"))
+               .where("a <> z").select("bucket", "u"))
+    return C.counted(C.narrowed(m.join(several, "bucket"), rows), _save)
 
 
-def _settle(near: DataFrame, of: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that still join components (``of``, those of ``near``) inside a bucket, found exactly and without pair rows.
+def _settle(of: DataFrame, buckets: DataFrame, rows: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that still join components (``of``) inside one of the ``rows`` of ``buckets``, found exactly and without pair rows.
 
     Buckets that share a class make up a region.  A region's sets are dealt by hash into
     blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets at most; every two blocks meet in one task, which counts
     the common shingles of all their pairs as a matrix product over the shingles that both
     have, and returns one link for two components at most."""
-    now = _open(buckets, of)
-    if not now.limit(1).count():
-        return near
-    region = components(now.select("bucket", "rep").groupBy("bucket").agg(F.min("rep").alias("u")).join(now, "bucket").select("u", F.col("rep").alias("v")))
-    place = now.groupBy("rep").agg(F.min("comp").alias("comp")).join(region.select(F.col("node").alias("rep"), F.col("component").alias("region")), "rep")
+    now, rows = _open(buckets, of, rows)
+    if not rows:
+        return of.toDF("u", "v").limit(0)
+    region = star_links(now.select("u", F.col("rep").alias("v")), rows)
+    place = _save(C.narrowed(_placed(now.groupBy("rep").agg(F.min("comp").alias("comp")), region, "rep", "region"), rows))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in C.text_slices(batch, "text"):
-                v, off = shingle_rows(s.column(1), k)
-                yield pa.record_batch([s.column(0), pa.array(np.diff(off)), pa.array([v[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())],
-                                      ["rep", "n", "sigs"])
-
-    sets = _save(texts.join(place.select(F.col("rep").alias("c")), "c", "left_semi").mapInArrow(spread, "rep long, n long, sigs binary")
-                  .join(place, "rep"))
-    sizes = sets.groupBy("region").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+                v, off = shingle_rows(s.column(3), k)
+                yield pa.record_batch([*s.columns[:3], pa.array(np.diff(off)), pa.array([v[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())],
+                                      ["rep", "comp", "region", "n", "sigs"])
+
+    sets = _save(C.narrowed(texts.withColumnRenamed("c", "rep").join(place, "rep").select("rep", "comp", "region", "text"), rows, BLOCK_SETS)
+                 .mapInArrow(spread, "rep long, comp long, region long, n long, sigs binary"))
+    # stored: the join on it does not bring a region's blocks into one task
+    sizes = _save(C.narrowed(sets.groupBy("region").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks")), rows))
     dealt = (sets.join(sizes, "region").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sigs"))
+             .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sigs")
+             .repartition("region", "i", "j"))
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.sort_by([("rep", "ascending")])
@@ -214,7 +220,7 @@ def _settle(near: DataFrame, of: DataFrame, buckets: DataFrame, texts: DataFrame
         links = np.concatenate(found)
         return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
-    return _save(near.union(dealt.groupBy("region", "i", "j").applyInArrow(compare, "u long, v long").distinct()))
+    return _save(dealt.groupBy("region", "i", "j").applyInArrow(compare, "u long, v long"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -222,52 +228,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n_shingles, component_id, kept of every document."""
     C.prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    signs = _save(_signatures(src, shingle, halves, rows))
+    signs, rows = C.counted(_signatures(src, shingle, halves, rows), _save)
     named = signs.where("id is not null and n > 0")
     # a class is a node of its own: two texts of one id may be in two classes
-    classes = _save(named.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "h")).alias("own"), F.count(F.lit(1)).alias("members"),
-                                                        F.first("a").alias("a"), F.first("b").alias("b"))
-                     .withColumn("rep", F.monotonically_increasing_id()))
-    names = classes.select("rep", "own.id")
+    classes = (named.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "h")).alias("own"), F.count(F.lit(1)).alias("members"),
+                                                  F.first("a").alias("a"), F.first("b").alias("b")))
+    classes, kinds = C.counted(C.narrowed(classes, rows * halves).withColumn("rep", F.monotonically_increasing_id()), _save)
 
     # tensored keys, from the half keys that two classes share
-    def shared(side: str) -> DataFrame:
-        one = classes.select("rep", F.posexplode(side).alias("i", "h"))
-        many = one.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "h")
-        return one.join(many, ["i", "h"]).groupBy("rep").agg(F.collect_list(F.struct("i", "h")).alias(side))
-
-    tables = (shared("a").join(shared("b"), "rep").select("rep", F.explode("a").alias("x"), "b")
-              .select("rep", "x", F.explode("b").alias("y")).select(F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("bucket"), "rep"))
-    tables = _save(tables)
+    one = classes.select("rep", F.posexplode(F.concat("a", "b")).alias("i", "h"))
+    many = one.groupBy("i", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "h")
+    halved = C.narrowed(one.join(many, ["i", "h"]), kinds * halves).groupBy("rep").agg(F.collect_list(F.struct("i", "h")).alias("x"))
+    tables = (halved.select("rep", F.explode(F.filter("x", lambda x: x.i < halves)).alias("x"), F.filter("x", lambda y: y.i >= halves).alias("y"))
+              .select("rep", "x", F.explode("y").alias("y")).select(F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("bucket"), "rep"))
+    tables, rows = C.counted(C.narrowed(tables, kinds * halves), _save)
     centres = tables.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    buckets = _save(tables.join(centres, "bucket"))
+    buckets, rows = C.counted(C.narrowed(tables.join(centres, "bucket"), rows), _save)
 
-    stars = _save(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct())
-    involved = stars.select(F.col("u").alias("rep")).union(stars.select("v")).distinct()
-    owners = classes.join(involved, "rep", "left_semi").select("own.id", "own.h", F.col("rep").alias("c"))
-    # one text a class, whatever rows share its id and text
-    texts = _save(src.join(owners, ["id", "h"]).groupBy("c").agg(F.first("text").alias("text")))
+    stars, pairs = C.counted(C.narrowed(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), rows), _save)
+    involved = buckets.select("rep").distinct()
+    owners = _save(C.narrowed(classes.join(involved, "rep").select("own.id", "own.h", F.col("rep").alias("c")), kinds))
+    # one text a class, whatever rows share its id and text; the same join at every size, so that figures of small tables carry on
+    texts = _save(src.join(owners.hint("merge"), ["id", "h"]).groupBy("c").agg(F.first("text").alias("text")))
 
     # rows of one id are one node, whichever classes they are in; a class of very many members is dealt by them
     part = F.pmod(F.xxhash64("id"), F.lit(MEMBER_PARTS)).alias("part")
     groups = (classes.where("members > 1").select("n", "s1", "s2", F.col("own.id").alias("v"),
                                                   F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))).alias("part")))
-    same = (named.select(F.col("id").alias("u"), "n", "s1", "s2", part).distinct()
+    same = (named.select(F.col("id").alias("u"), "n", "s1", "s2", part)
             .join(groups.withColumn("part", F.col("part").cast("long")), ["n", "s1", "s2", "part"]).select("u", "v"))
-    same = _save(same.where("u <> v"))
     # the smallest centre of each class first, then the other centres that still join two components
-    first = _save(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    near = _verify(first, texts, shingle, percent)
-    of = components(near)
-    more = _save(_apart(stars.join(first, ["u", "v"], "left_anti"), of))
-    if more.limit(1).count():
-        found = _verify(more, texts, shingle, percent)
-        near = near.union(found)
-        of = components(of.toDF("u", "v").union(found))
-    near = _settle(near, of, buckets, texts, shingle, percent)
-    linked = (near.join(names.select(F.col("rep").alias("u"), F.col("id").alias("x")), "u")
-              .join(names.select(F.col("rep").alias("v"), F.col("id").alias("y")), "v").select("x", "y"))
-    of = components(linked.toDF("u", "v").union(same))
+    first = _save(C.narrowed(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), pairs))
+    of = star_links(_verify(first, texts, shingle, percent, pairs), pairs)
+    more, pairs = C.counted(C.narrowed(_apart(stars.join(first, ["u", "v"], "left_anti"), of), pairs), _save)
+    if pairs:
+        of = star_links(of.toDF("u", "v").union(_verify(more, texts, shingle, percent, pairs)), pairs + kinds)
+    linked = of.toDF("u", "v").union(_settle(of, buckets, rows, texts, shingle, percent))
+    linked = (linked.join(owners.select(F.col("c").alias("u"), F.col("id").alias("x")), "u")
+              .join(owners.select(F.col("c").alias("v"), F.col("id").alias("y")), "v").select("x", "y"))
+    of = star_links(linked.toDF("u", "v").union(same))
     out = (signs.select("id", "n").join(of, F.col("id") == F.col("node"), "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -188,3 +188,48 @@ def test_components_stop_at_stars(spark, monkeypatch):
     got, writes = of([*star, (40, 39), (40, 60), (60, 61)])
     assert got == {**{i: 1 for i in (*range(1, 41), 60, 61)}, 50: 50, 51: 50} and writes <= 5
     assert of([(7, 7)]) == ({}, 1)
+
+
+def test_components_take_few_wide_stages(spark):
+    """Two steps over a small table: every stage costs as many tasks as the session shuffles large tables in."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(40, 44)] + [(1, i) for i in range(2, 40)], "u long, v long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-stages", "components")
+    try:
+        got = components(links).collect()
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few-stages")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert {r.node: r.component for r in got} == {i: 1 if i < 40 else 40 for i in range(1, 45)}
+    assert sum(len(j.stageIds) for j in jobs) <= 45
+
+
+def test_blocks_of_a_region_are_dealt_over_tasks(spark, docs, monkeypatch):
+    """A region's pairs of blocks go to tasks each by itself, not all to the one that has the region."""
+    monkeypatch.setattr(M, "BLOCK_SETS", 64)
+    plans, real = [], M._save
+
+    def save(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df)
+
+    monkeypatch.setattr(M, "_save", save)
+    rows = [(i, f"your order was shipped today under number {i}", "s") for i in range(300)]
+    got = M.near_groups(docs(rows).repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == brute([r[:2] for r in rows])
+    compared = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert compared and all(re.search(r"hashpartitioning\(region#\d+L?, i#\d+L?, j#\d+L?, \d+\)", p) for p in compared)
+    assert not any(re.search(r"hashpartitioning\(region#\d+L?, \d+\)", p) for p in compared)
+
+
+def test_narrowed_and_counted(spark):
+    from dialsieve.llm import common as C
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(1000).repartition(cores * 5)
+    assert C.narrowed(wide, 1000).rdd.getNumPartitions() == cores
+    assert C.narrowed(wide, 3 * cores * 10, 10).rdd.getNumPartitions() == 3 * cores
+    assert C.narrowed(spark.range(0, 10, 1, 1), 1000).rdd.getNumPartitions() == 1
+    kept, rows = C.counted(C.narrowed(wide, 1000).where("id % 2 = 0"), lambda df: C.stored(df, "few"))
+    assert rows == 500 and sorted(r.id for r in kept.collect()) == list(range(0, 1000, 2))
+    assert C.counted(wide.where("id < 0"), lambda df: C.stored(df, "none"))[1] == 0
